@@ -28,7 +28,12 @@ from . import grams
 
 #: Labelled rows of each class that the models are fitted on, at most.
 SAMPLE_ROWS = 4000
-DISCOUNT = 0.75
+#: Counts up to this much of a class say nothing of their own: their mass goes to the shared counts.
+DISCOUNT = 2.5
+#: Discount of the shared counts, and the bytes of context that they look at.
+SHARED_DISCOUNT, SHARED_DEPTH = 0.75, 2
+#: Bytes added to a text's length, so that a few odd words do not decide on a short text.
+LENGTH = 100
 #: The share of the sample that calibrates.
 HOLD = 4
 
@@ -45,40 +50,43 @@ class KneserNey:
         keys, owner = grams.events(vocab)
         by = [grams.tally(keys, np.fromiter((c.get(w, 0) for w in vocab), np.float64, len(vocab))[owner]) for c in counts]
         cells, own = by[0][0], [x[1] for x in by]
-        shared = self._shared(cells, own[0] + own[1])
+        shared = self._shared(cells)
         contexts, at = np.unique(grams.context(cells), return_inverse=True)
         seen = np.zeros(len(cells))
         unseen = np.zeros(len(contexts))
         for sign, n in ((1, own[1]), (-1, own[0])):
             total = np.bincount(at, n, len(contexts))
-            kinds = np.bincount(at, n > 0, len(contexts))
-            free = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+            freed = np.bincount(at, np.minimum(n, DISCOUNT), len(contexts))
+            free = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
             seen += sign * np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total[at], 1) + free[at] * shared)
             unseen += sign * np.log(free)
         self.cells, self.seen = cells, seen.astype(np.float32)
         self.contexts, self.unseen = contexts, unseen.astype(np.float32)
 
     @staticmethod
-    def _shared(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Interpolated Kneser-Ney probability of each cell under the counts of both classes."""
-        levels = [(cells, n)]
-        while True:  # continuation counts: distinct longer events that end so
+    def _shared(cells: np.ndarray) -> np.ndarray:
+        """Interpolated Kneser-Ney probability of each cell from continuation counts of both classes' events.
+
+        A level counts the distinct events, of the longest contexts that the models have, which end in it.
+        """
+        ends = cells.copy()
+        while (long := grams.length(ends) > SHARED_DEPTH + 1).any():
+            ends[long] = grams.shorter(ends[long])
+        levels = [grams.tally(ends, np.ones(len(ends)))]
+        for _ in range(SHARED_DEPTH):
             k, m = levels[-1]
             longer = grams.length(k) > 1
-            if not longer.any():
-                break
-            levels.append(grams.tally(grams.shorter(k[longer]), np.ones(longer.sum())))
-        below: tuple[np.ndarray, np.ndarray] | None = None
-        for k, m in reversed(levels):
-            contexts, at = np.unique(grams.context(k), return_inverse=True)
-            total, kinds = np.bincount(at, m, len(contexts)), np.bincount(at, m > 0, len(contexts))
-            base = np.full(len(k), 1 / 256)
-            if below is not None:
+            levels.append(grams.tally(np.where(longer, grams.shorter(k), k), m))
+        below = np.full(len(levels[-1][0]), 1 / 256)
+        for n, (k, m) in reversed(list(enumerate(levels))):
+            if n + 1 < len(levels):
                 longer = grams.length(k) > 1
-                pos, there = grams.find(below[0], grams.shorter(k[longer]))
-                base[longer] = np.where(there, below[1][pos], 1 / 256)
-            below = (k, np.maximum(m - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * base)
-        return below[1]
+                pos, _ = grams.find(levels[n + 1][0], np.where(longer, grams.shorter(k), k))
+                below = below[pos]
+            contexts, at = np.unique(grams.context(k), return_inverse=True)
+            total, kinds = np.bincount(at, m, len(contexts)), np.bincount(at, minlength=len(contexts))
+            below = (m - SHARED_DISCOUNT) / total[at] + SHARED_DISCOUNT * kinds[at] / total[at] * below
+        return below[grams.find(levels[0][0], ends)[0]]
 
     def ratios(self, vocab: list[bytes]) -> np.ndarray:
         """log P_toxic / P_ordinary of each word."""
@@ -112,7 +120,7 @@ class Scorer:
             part = fresh[k : k + 100_000]
             self.known.update(zip(part, self.model.ratios(part).tolist(), strict=True))
         get = self.known.__getitem__
-        return np.array([sum(map(get, ws)) / max(1, sum(map(len, ws)) + len(ws)) for ws in split])
+        return np.array([sum(map(get, ws)) / (LENGTH + sum(map(len, ws)) + len(ws)) for ws in split])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
@@ -133,11 +141,12 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float,
 
 def train(rows: list[tuple[str, int, bool]], share: float) -> dict:
     """rows: text, label, whether it calibrates; share: of label 1 among all labelled rows."""
+    rows = list({t: (t, y, holds) for t, y, holds in rows}.values())  # copies count once
     counts: list[dict[bytes, int]] = [{}, {}]
     for text, y, holds in rows:
         if not holds:
             c = counts[y]
-            for w in words(text):
+            for w in set(words(text)):  # a word that a text repeats counts once
                 c[w] = c.get(w, 0) + 1
     held = [(t, y) for t, y, holds in rows if holds] or [(t, y) for t, y, _ in rows]
     ys = np.array([y for _, y in held], float)

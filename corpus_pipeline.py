@@ -1,7 +1,56 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: toxicity, exact copies, near copies, benchmark passages, packing.
+
+Each stage works on the documents that the one before kept, written as Parquet in between. All but the last return the
+columns of documents; the last returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from shardwell.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from shardwell.llm.common import Scratch, fold
+from shardwell.llm.queries import table, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below 0.5; the models learn from the labels of all folds but the first."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id") != 0)
+    return toxicity.score(docs, model, keep=tuple(docs.columns[1:])).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("packing", pack),
+]
+
+#: The models, fingerprints and tokens of the stages can't be expressed in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs, name)
+    return docs

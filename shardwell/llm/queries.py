@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, exact_dedup, packing, simhash, toxicity, url_filter
+from . import chat_format, common, decontaminate, exact_dedup, packing, simhash, toxicity, url_filter
 
 # The rules (action, host, path) of op6.
 URL_RULES = [
@@ -34,6 +34,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,12 +65,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op5_exact_dedup, op6_url_filter, op7_chat_format, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op10_packing)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op4_decontaminate": rf"""
+        WITH t AS (SELECT doc_id AS id, text, 0 AS kind FROM documents UNION ALL SELECT item_id, text, 1 FROM benchmark),
+        w AS (SELECT id, kind, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+        d AS (SELECT id AS doc_id, ws FROM w WHERE kind = 0),
+        i AS (SELECT id AS item_id, ws AS iw, len(ws) AS n, least(5, len(ws)) AS k FROM w WHERE kind = 1 AND len(ws) > 0),
+        ir AS (SELECT item_id, n, k, r - 1 AS q, list_slice(iw, r, r + k - 1) AS run FROM i, unnest(range(1, n - k + 2)) AS u(r)),
+        dr AS (SELECT doc_id, k, r - 1 AS p, list_slice(ws, r, r + k - 1) AS run
+               FROM d, (SELECT DISTINCT k FROM i) AS ks, unnest(range(1, len(ws) - k + 2)) AS u(r)),
+        s AS (SELECT DISTINCT doc_id, item_id, p - q AS raw, n, k FROM dr JOIN ir USING (run, k)),
+        c AS (SELECT DISTINCT doc_id, item_id, n, k, greatest(least(raw, len(ws) - n), 0) AS st FROM s JOIN d USING (doc_id)),
+        wr AS (SELECT doc_id, item_id, st, n, k, list_slice(ws, st + r, st + r + k - 1) AS run, least(n, len(ws)) - k + 1 AS total
+               FROM c JOIN d USING (doc_id), unnest(range(1, least(n, len(ws)) - k + 2)) AS u(r)),
+        wc AS (SELECT doc_id, item_id, st, n, k, total, run, count(*) AS a FROM wr GROUP BY ALL),
+        ic AS (SELECT item_id, run, count(*) AS b FROM ir GROUP BY ALL),
+        v AS (SELECT doc_id, item_id, st, n, sum(least(a, b))::DOUBLE / greatest(n - k + 1, total) AS similarity
+              FROM wc JOIN ic USING (item_id, run) GROUP BY doc_id, item_id, st, n, k, total)
+        SELECT doc_id, item_id, similarity, CAST(st AS INTEGER) AS window_start, CAST(n AS INTEGER) AS n_words
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) AS best FROM v WHERE similarity >= 0.8)
+        WHERE best = 1""",
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(n) AS text_sha256

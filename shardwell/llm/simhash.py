@@ -75,15 +75,16 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     table = segments.select("seg", "val", F.col("fp").alias("b"))
     if some_hot:
         table = table.join(hot, ["seg", "val"], "left_anti")
-    cold = probes.select("seg", F.col("probe").alias("val"), F.col("fp").alias("a")).join(table, ["seg", "val"]).filter(F.col("a") < F.col("b")).filter(near).select("a", "b")
+    cold = probes.select("seg", F.col("probe").alias("val"), F.col("fp").alias("a")).hint("merge").join(table, ["seg", "val"]).filter(F.col("a") < F.col("b")).filter(near).select("a", "b")
     if not some_hot:
         return cold.distinct()
+    # (merge joins: the planner takes exploded rows for as many as there were before)
     members = segments.join(hot, ["seg", "val"], "left_semi")
     exact = members.select("seg", "val", F.explode(ball).alias("flip"), "other", "fp").select("seg", "val", F.col("other").bitwiseXOR(F.col("flip")).alias("place"), "fp")
     flipped = probes.filter("flip != 0").select("seg", F.col("probe").alias("val"), F.col("other").alias("place"), "fp").join(hot, ["seg", "val"], "left_semi")
     places = exact.unionByName(flipped)
     least = places.groupBy("seg", "val", "place").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a != top")
-    star = places.join(least, ["seg", "val", "place"]).select("a", F.col("fp").alias("b")).filter("a != b").filter(near)
+    star = places.hint("merge").join(least, ["seg", "val", "place"]).select("a", F.col("fp").alias("b")).filter("a != b").filter(near)
     return cold.unionByName(star).distinct()
 
 

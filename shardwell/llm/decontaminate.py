@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows. Native: DataFrame functions only.
 
-1. Every run of WIDTH words of a document is hashed; a run that some item has (one of fewer words is a run by itself)
-   places a window of that item's size where the run would begin in it. A window that shares no run has similarity 0,
-   so none that could pass is left out, and only documents with such a run go on.
+1. A few long words of each item are its anchors, so many and so far apart that a window without any of them lacks too
+   many runs of WIDTH words to pass; documents without an anchor go no further. In the others every run that some item
+   has (an item of fewer words is a run by itself) places a window of that item's size where the run would begin in it.
+   A window that shares no run has similarity 0, so none that could pass is left out.
 2. Windows and items get SimHash fingerprints over their runs, each weighted by how often it occurs.
 3. Multi-index blocks: two fingerprints within RADIUS bits agree in one of RADIUS + 1 blocks at least, so an equi-join
    on (item, block, bits) finds them all; the complete distance is verified.
@@ -57,16 +58,31 @@ def shared(a: str, b: str) -> Column:
 
 
 def item_table(items: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """item_id, n_words, width, runs (hashes), fp."""
+    """item_id, n_words, width, words, runs (hashes), fp."""
     words = items.select(F.col(item_col).alias("item_id"), words_of(text_or_empty(text_col)).alias("words")).filter(F.size("words") > 0).distinct()
     sized = words.select("item_id", "words", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(width)).alias("width"))
     hashed = None
     for k in range(1, width + 1):
-        part = sized.filter(F.col("width") == k).select("item_id", "n_words", "width", runs("words", k).alias("runs"))
+        part = sized.filter(F.col("width") == k).select("item_id", "n_words", "width", "words", runs("words", k).alias("runs"))
         hashed = part if hashed is None else hashed.unionByName(part)
     return hashed.withColumn("fp", simhash("runs"))
 
 
+def anchors(table: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Distinct words, at least one of which is in every window that passes.
+
+    A word `width` or more from both ends is in `width` runs. Words that far apart share none, so k of them missing
+    cost k * width runs: k is the least number for which that is more than a passing window may lack.
+    """
+    spare = f"CAST(floor((n_words - {width - 1}) * {1 - similarity} + 1e-9) AS INT)"
+    inner = table.withColumn("k", F.expr(f"IF(n_words < {2 * width - 1}, 1, {spare} div {width} + 1)"))
+    inner = inner.withColumn("step", F.expr(f"IF(k = 1, n_words + {width}, (n_words - {width - 1}) div k)"))
+    inner = inner.withColumn("from", F.expr(f"IF(n_words < {2 * width - 1}, 0, {width - 1})"))
+    inner = inner.withColumn("size", F.expr(f"IF(n_words < {2 * width - 1}, n_words, IF(k = 1, n_words - {2 * (width - 1)}, step - {width - 1}))"))
+    picked = inner.select(F.explode(F.expr("transform(sequence(0, k - 1), z -> array_max(transform(slice(words, from + z * step + 1, size), w -> struct(length(w) AS n, w AS w))).w)")).alias("word"))
+    return picked.distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One row for each document and item that it holds: id, item_id, similarity, window_start, n_words."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
@@ -77,7 +93,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     few = distinct.count() <= SET_LIMIT
 
     base = docs.select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
-    # every run with its position; nothing else of the document is copied per run
+    if few:
+        words = [r[0] for r in anchors(table, similarity, width).collect()]
+        base = base.filter(F.arrays_overlap("words", F.array(*map(F.lit, words)).cast("array<string>")))
     indexed = [F.transform(runs("words", k), lambda h, i: F.struct(i.alias("pos"), h.alias("run"))) for k in widths]
     found = base.withColumn("all_runs", F.concat(*indexed) if len(indexed) > 1 else indexed[0])
     if few:

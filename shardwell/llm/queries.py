@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, decontaminate, exact_dedup, packing, simhash, toxicity, url_filter
+from . import chat_format, common, decontaminate, exact_dedup, packing, simhash, suffix_dedup, toxicity, url_filter
 
 # The rules (action, host, path) of op6.
 URL_RULES = [
@@ -54,6 +54,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(formatted).drop("valid")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -65,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op9_suffix_dedup, op10_packing)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, decontaminate, exact_dedup, packing, simhash, suffix_dedup, toxicity, url_filter
+from . import chat_format, common, decontaminate, exact_dedup, lm_score, packing, simhash, suffix_dedup, toxicity, url_filter
 
 # The rules (action, host, path) of op6.
 URL_RULES = [
@@ -34,6 +34,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.query(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lm_score, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op9_suffix_dedup, op10_packing)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

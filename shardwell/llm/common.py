@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application: their Python may not find the driver's folders."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if here.endswith(".zip") or not os.path.isdir(here):
+        return
+    folder = tempfile.mkdtemp(prefix="shardwell-code-")
+    atexit.register(__import__("shutil").rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/shardwell_code.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.join("shardwell", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(f"{folder}/shardwell_code.zip")
+
+
 class Scratch:
     """Tables written to the shared folder: lineage ends there, so a lost executor costs no more than one stage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

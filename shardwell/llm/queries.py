@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, decontaminate, exact_dedup, lm_score, packing, simhash, suffix_dedup, toxicity, url_filter
+from . import chat_format, common, decontaminate, exact_dedup, lm_score, packing, passages, simhash, suffix_dedup, toxicity, url_filter
 
 # The rules (action, host, path) of op6.
 URL_RULES = [
@@ -58,6 +58,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(formatted).drop("valid")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lm_score, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op9_suffix_dedup, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lm_score, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op8_passages, op9_suffix_dedup, op10_packing)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
+from .common import ship
 
 #: Labelled rows of each class that the models are fitted on, at most.
 SAMPLE_ROWS = 4000
@@ -160,6 +161,7 @@ def train(rows: list[tuple[str, int, bool]], share: float) -> dict:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """A model from labelled rows; usable: a condition on the id column."""
+    ship(docs.sparkSession)
     own = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if usable is not None:
         own = own.filter(usable)
@@ -185,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id column, the columns in keep, score and predicted, for every row."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
     fields = [f for f in rows.schema.fields if f.name != "_text"]
 

@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
         rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, share))], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(build, "model binary").first()[0])
+    return pickle.loads(sample.repartition(1).mapInArrow(build, "model binary").first()[0])
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -47,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 
 
@@ -81,8 +82,14 @@ class Scratch:
         self._fs.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-        out = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(out)
+        """The table, written and read back. Nothing else reads the shuffles behind it, so their files go at once."""
+        out, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(out)
+        finally:
+            conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, name: str) -> None:

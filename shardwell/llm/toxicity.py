@@ -10,7 +10,7 @@ The models are fitted on a bounded sample: at most sample_rows labelled rows of
 id), so what goes to the executors is bounded too. Scores cover whole texts of all rows.
 
 Defined results: null and empty texts score as length 0 (the curve's intercept); without labelled rows of both classes
-every score is the prior (0 if there are no labels); a label that is neither 0 nor 1 is not learnt from; of several
+every score is the share of label 1 (0 if there are no labels); a label that is neither 0 nor 1 is not learnt from; of several
 labels of one id the largest counts; repeated rows each get a row.
 """
 
@@ -182,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
         rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, share))], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(build, "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(build, "model binary").first()
+    return pickle.loads(row[0]) if row else {"prior": share}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

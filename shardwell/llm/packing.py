@@ -34,10 +34,11 @@ class WordTokenizer:
     """A tokenizers file whose pre-tokens never span white space, with the ids of met words remembered.
 
     A text's ids are then its words' ids in order. Words not met yet are encoded together, and tell their ids apart by
-    offsets. At most `most` words are remembered.
+    offsets. A word of letters with a capital first letter, or a full stop or comma behind it, has the ids of its small
+    letters and of that mark, so it is put together from those. At most `most` words are remembered.
     """
 
-    most = 400_000
+    most = 600_000
 
     def __init__(self, path: str):
         import os
@@ -47,7 +48,24 @@ class WordTokenizer:
 
         self.inner, self.known = Tokenizer.from_file(path), {}
 
+    @staticmethod
+    def plain(word: str) -> tuple[str, str]:
+        """The word in small letters and the mark behind it, or the word itself where that is not known to be safe."""
+        core, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        rest = core[1:]
+        if len(core) > 1 and core.isalpha() and rest.islower() and ("A" <= core[0] <= "Z" or core[0].islower()):
+            return (core[0].lower() if core[0] <= "Z" else core[0]) + rest, mark
+        return word, ""
+
     def learn(self, words: list[str]) -> None:
+        parts = [self.plain(w) for w in words]
+        known = self.known
+        self._encode(list({x for p in parts for x in p if x and x not in known}))
+        for w, (core, mark) in zip(words, parts, strict=True):
+            if w not in known:
+                known[w] = known[core] + known[mark] if mark else known[core]
+
+    def _encode(self, words: list[str]) -> None:
         for k in range(0, len(words), 5000):
             part = words[k : k + 5000]
             lens = np.fromiter(map(len, part), np.int64, len(part)) + 1

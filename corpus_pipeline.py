@@ -7,6 +7,7 @@ columns of documents; the last returns the pieces of the packed sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shardwell.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from shardwell.llm.common import Scratch, fold
@@ -16,7 +17,8 @@ from shardwell.llm.queries import table, tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5; the models learn from the labels of all folds but the first."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id") != 0)
-    return toxicity.score(docs, model, keep=tuple(docs.columns[1:])).filter("predicted = 0").select(*docs.columns)
+    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    return toxicity.score(rows, model, keep=("_row",)).filter("predicted = 0").select("_row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

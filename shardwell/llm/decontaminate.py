@@ -69,18 +69,23 @@ def item_table(items: DataFrame, item_col: str = "item_id", text_col: str = "tex
 
 
 def anchors(table: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Distinct words, at least one of which is in every window that passes.
+    """Distinct (word, pair): words, and pairs of words of which they are the first, at least one of which is in every
+    window that passes.
 
     A word `width` or more from both ends is in `width` runs. Words that far apart share none, so k of them missing
-    cost k * width runs: k is the least number for which that is more than a passing window may lack.
+    cost k * width runs: k is the least number for which that is more than a passing window may lack. A pair is missing
+    only if one of its words is. An item of one word has no pair.
     """
     spare = f"CAST(floor((n_words - {width - 1}) * {1 - similarity} + 1e-9) AS INT)"
     inner = table.withColumn("k", F.expr(f"IF(n_words < {2 * width - 1}, 1, {spare} div {width} + 1)"))
     inner = inner.withColumn("step", F.expr(f"IF(k = 1, n_words + {width}, (n_words - {width - 1}) div k)"))
     inner = inner.withColumn("from", F.expr(f"IF(n_words < {2 * width - 1}, 0, {width - 1})"))
     inner = inner.withColumn("size", F.expr(f"IF(n_words < {2 * width - 1}, n_words, IF(k = 1, n_words - {2 * (width - 1)}, step - {width - 1}))"))
-    picked = inner.select(F.explode(F.expr("transform(sequence(0, k - 1), z -> array_max(transform(slice(words, from + z * step + 1, size), w -> struct(length(w) AS n, w AS w))).w)")).alias("word"))
-    return picked.distinct()
+    # the longest word of each zone but its last one, so that the pair lies within
+    spot = "from + z * step + i"
+    longest = f"array_max(transform(sequence(0, greatest(size - 2, 0)), i -> struct(length(get(words, {spot})) AS n, get(words, {spot}) AS word, get(words, {spot} + 1) AS next)))"
+    picked = inner.select(F.explode(F.expr(f"transform(sequence(0, k - 1), z -> {longest})")).alias("a"))
+    return picked.select("a.word", F.concat("a.word", F.lit(" "), "a.next").alias("pair")).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -94,8 +99,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     base = docs.select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
     if few:
-        words = [r[0] for r in anchors(table, similarity, width).collect()]
-        base = base.filter(F.arrays_overlap("words", F.array(*map(F.lit, words)).cast("array<string>")))
+        found = anchors(table, similarity, width).collect()  # about one in twelve words of the items
+        within = lambda c, values: F.arrays_overlap(c, F.array(*map(F.lit, sorted(values))).cast("array<string>"))
+        pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        hit = within(pairs, {r["pair"] for r in found if r["pair"]})
+        if lone := {r["word"] for r in found if not r["pair"]}:
+            hit = hit | within("words", lone)
+        base = base.filter(within("words", {r["word"] for r in found})).filter(hit)
     indexed = [F.transform(runs("words", k), lambda h, i: F.struct(i.alias("pos"), h.alias("run"))) for k in widths]
     found = base.withColumn("all_runs", F.concat(*indexed) if len(indexed) > 1 else indexed[0])
     if few:

@@ -24,6 +24,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,8 @@ HOT_BLOCKS = 64
 _STEP = 1 << 22
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+def _pack(a: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(a.tobytes())
 
 
 def _unpack(b: bytes, dtype: str) -> np.ndarray:
@@ -164,7 +165,7 @@ def make_blocks(docs: DataFrame, least: int = LEAST, seed: int = SEED, id_col: s
             first, count, at = units(buf, lens, real, least, seed)
             row = {
                 "block": f"{part}-{made}", "least": least, "seed": seed, "n_bytes": len(buf), "ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "real": real.astype(np.uint8).tobytes(),
-                "lens": lens.tobytes(), "text": _pack(buf), "units": _pack(np.stack([count, at - first]).astype(np.uint8)),
+                "lens": lens.tobytes(), "text": _pack(buf, 3), "units": _pack(np.stack([count, at - first]).astype(np.uint8)),
             }
             ids, texts, size, made = [], [], 0, made + 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -242,7 +243,7 @@ def repeats(blocks: DataFrame, buckets: int, hot_blocks: int = HOT_BLOCKS) -> Da
 
 
 def candidates(blocks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block and packed units (ids, positions, windows, bytes); bucket -1: windows settled in the block."""
+    """bucket, block and packed units (ids, positions, windows, bytes); without bytes: windows settled in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +291,7 @@ def _candidates(b: Block, answers: list[dict], buckets: int) -> list[tuple]:
     later[order] = doc[order] > doc[order][head]  # the block's first document has these windows too
     out = []
     if later.any():
-        out.append((-1, b.name, b"", _pack(first[later].astype("<i8")), _pack(count[later].astype("<u1")), b""))
+        out.append((zlib.crc32(b.name.encode()) % buckets, b.name, b"", _pack(first[later].astype("<i8")), _pack(count[later].astype("<i8")), b""))
     to = h.copy()
     if len(k):  # by the window's own bytes
         lone = np.r_[np.zeros((~single).sum(), bool), np.ones(len(k), bool)]
@@ -300,7 +301,7 @@ def _candidates(b: Block, answers: list[dict], buckets: int) -> list[tuple]:
     go = go[np.lexsort((first[go], to[go]))]
     for bucket_, (u,) in _split(to[go].astype(np.int64), go):
         mask = np.arange(most)[None, :] < (count[u] + b.least - 1)[:, None]
-        out.append((bucket_, b.name, _pack(doc[u].astype("<i8")), _pack(first[u].astype("<i8")), _pack(count[u].astype("<u1")), _pack(text[u][mask])))
+        out.append((bucket_, b.name, _pack(doc[u].astype("<i8")), _pack(first[u].astype("<i8")), _pack(count[u].astype("<u1")), _pack(text[u][mask], 3)))
     return out
 
 
@@ -338,6 +339,14 @@ def factors(cands: DataFrame, least: int = LEAST) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
+        out = [(r["block"], r["pos"], r["count"]) for r in rows if not r["bytes"]]
+        rows = [r for r in rows if r["bytes"]]
+        if rows:
+            out += within(rows)
+        cols = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.table({"block": pa.array(cols[0], pa.string()), "pos": pa.array(cols[1], pa.binary()), "count": pa.array(cols[2], pa.binary())})
+
+    def within(rows: list[dict]) -> list[tuple]:
         ids, pos, count = (np.concatenate([_unpack(r[c], d) for r in rows]) for c, d in (("ids", "<i8"), ("pos", "<i8"), ("count", "u1")))
         count = count.astype(np.int64)
         text = np.concatenate([_unpack(r["bytes"], "u1") for r in rows])
@@ -361,9 +370,7 @@ def factors(cands: DataFrame, least: int = LEAST) -> DataFrame:
         new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)] if len(r) else np.zeros(0, bool)
         start = np.flatnonzero(new)
         length = np.diff(np.r_[start, len(r)])
-        out = [(rows[k]["block"], _pack(a.astype("<i8")), _pack(n.astype("<i8"))) for k, (a, n) in _split(r[start], p[start], length)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"block": pa.array(cols[0], pa.string()), "pos": pa.array(cols[1], pa.binary()), "count": pa.array(cols[2], pa.binary())})
+        return [(rows[k]["block"], _pack(a.astype("<i8")), _pack(n.astype("<i8"))) for k, (a, n) in _split(r[start], p[start], length)]
 
     return cands.groupBy("bucket").applyInArrow(run, "block string, pos binary, count binary")
 
@@ -378,7 +385,7 @@ def cut(blocks: DataFrame, runs: DataFrame, want_text: bool = False) -> DataFram
                 b = Block(row)
                 edge = np.zeros(len(b.buf) + 1, np.int32)
                 for a in row["answers"] or []:
-                    pos, count = _unpack(a["pos"], "<i8"), _unpack(a["count"], a["kind"]).astype(np.int64)
+                    pos, count = _unpack(a["pos"], "<i8"), _unpack(a["count"], "<i8")
                     np.add.at(edge, pos, 1)
                     np.add.at(edge, pos + count + b.least - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -394,7 +401,7 @@ def cut(blocks: DataFrame, runs: DataFrame, want_text: bool = False) -> DataFram
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    gathered = runs.groupBy("block").agg(F.collect_list(F.struct("pos", "count", "kind")).alias("answers"))
+    gathered = runs.groupBy("block").agg(F.collect_list(F.struct("pos", "count")).alias("answers"))
     out = blocks.join(gathered, "block", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if want_text else out.drop("kept")
 
@@ -405,8 +412,6 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     seed = min(SEED, least)
     blocks = scratch.write(make_blocks(docs, least, seed, id_col, text_col), "blocks", codec="none")
     buckets = max(8, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET)
-    found = repeats(blocks, buckets)
-    cands = scratch.write(candidates(blocks, found, buckets), "candidates", codec="none")
-    runs = factors(cands.filter("bucket >= 0"), least).withColumn("kind", F.lit("<i8"))
-    own = cands.filter("bucket < 0").select("block", "pos", "count", F.lit("u1").alias("kind"))
-    return cut(blocks, runs.unionByName(own), want_text).withColumnRenamed("doc_id", id_col)
+    found = scratch.write(repeats(blocks, buckets), "repeats", codec="none")
+    runs = scratch.write(factors(candidates(blocks, found, buckets), least), "runs", codec="none")
+    return cut(blocks, runs, want_text).withColumnRenamed("doc_id", id_col)

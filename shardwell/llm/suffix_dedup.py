@@ -43,6 +43,8 @@ BUCKET = 8 << 20
 #: A seed in more blocks than this has its windows dealt one by one.
 HOT_BLOCKS = 64
 _STEP = 1 << 22
+#: Buckets that travel together, in larger payloads that compress alike at every size, and are sorted one after another.
+TOGETHER = 4
 
 
 def _pack(a: np.ndarray, level: int = 1) -> bytes:
@@ -251,11 +253,11 @@ def candidates(blocks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
                 row = batch.slice(n, 1).to_pylist()[0]
                 rows = _candidates(Block(row), row["answers"] or [], buckets)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "ids", "pos", "count", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "part", "ids", "pos", "count", "bytes"])
 
-    types = (pa.int64(), pa.string(), *[pa.binary()] * 4)
+    types = (pa.int64(), pa.string(), *[pa.binary()] * 5)
     gathered = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("answers"))
-    return blocks.join(gathered, "block", "left").mapInArrow(run, "bucket long, block string, ids binary, pos binary, count binary, bytes binary")
+    return blocks.join(gathered, "block", "left").mapInArrow(run, "bucket long, block string, part binary, ids binary, pos binary, count binary, bytes binary")
 
 
 def _candidates(b: Block, answers: list[dict], buckets: int) -> list[tuple]:
@@ -291,17 +293,17 @@ def _candidates(b: Block, answers: list[dict], buckets: int) -> list[tuple]:
     later[order] = doc[order] > doc[order][head]  # the block's first document has these windows too
     out = []
     if later.any():
-        out.append((zlib.crc32(b.name.encode()) % buckets, b.name, b"", _pack(first[later].astype("<i8")), _pack(count[later].astype("<i8")), b""))
+        out.append((zlib.crc32(b.name.encode()) % buckets // TOGETHER, b.name, b"", b"", _pack(first[later].astype("<i8")), _pack(count[later].astype("<i8")), b""))
     to = h.copy()
     if len(k):  # by the window's own bytes
         lone = np.r_[np.zeros((~single).sum(), bool), np.ones(len(k), bool)]
         to[lone] = seed_hashes(b.buf, first[lone], b.least)
-    to = (to >> np.uint64(20)) % np.uint64(buckets)
+    to = ((to >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     go = np.flatnonzero(~later)
     go = go[np.lexsort((first[go], to[go]))]
-    for bucket_, (u,) in _split(to[go].astype(np.int64), go):
+    for bucket_, (u,) in _split(to[go] // TOGETHER, go):
         mask = np.arange(most)[None, :] < (count[u] + b.least - 1)[:, None]
-        out.append((bucket_, b.name, _pack(doc[u].astype("<i8")), _pack(first[u].astype("<i8")), _pack(count[u].astype("<u1")), _pack(text[u][mask], 3)))
+        out.append((bucket_, b.name, _pack((to[u] % TOGETHER).astype("<u1")), _pack(doc[u].astype("<i8")), _pack(first[u].astype("<i8")), _pack(count[u].astype("<u1")), _pack(text[u][mask], 3)))
     return out
 
 
@@ -352,19 +354,26 @@ def factors(cands: DataFrame, least: int = LEAST) -> DataFrame:
         text = np.concatenate([_unpack(r["bytes"], "u1") for r in rows])
         row = np.repeat(np.arange(len(rows)), [len(_unpack(r["count"], "u1")) for r in rows])
         base = np.cumsum(count + least - 1) - (count + least - 1)
-        order = np.argsort(ids, kind="stable")  # equal suffixes then stand in the order of their documents
-        unit = np.repeat(order, count[order])
-        step = np.arange(len(unit)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
-        windows = np.lib.stride_tricks.sliding_window_view(text, least)[base[unit] + step]
-        suffix = np.argsort(windows.view(f"S{least}").ravel(), kind="stable")
-        common = np.zeros(len(suffix), np.int64)
-        for a in range(1, len(suffix), 1 << 18):
-            z = min(a + (1 << 18), len(suffix))
-            differ = windows[suffix[a:z]] != windows[suffix[a - 1 : z - 1]]
-            common[a:z] = np.where(differ.any(axis=1), differ.argmax(axis=1), least)
-        hit = np.zeros(len(unit), bool)
-        hit[suffix] = previous_factors(ids[unit[suffix]], common, least) >= least
-        r, p = row[unit[hit]], (pos[unit] + step)[hit]
+        part = np.concatenate([_unpack(r["part"], "u1") for r in rows])
+        found_r, found_p = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in np.unique(part):
+            mine = np.flatnonzero(part == k)
+            order = mine[np.argsort(ids[mine], kind="stable")]  # equal suffixes then stand in the order of their documents
+            unit = np.repeat(order, count[order])
+            step = np.arange(len(unit)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
+            windows = np.lib.stride_tricks.sliding_window_view(text, least)[base[unit] + step]
+            suffix = np.argsort(windows.view(f"S{least}").ravel(), kind="stable")
+            common = np.zeros(len(suffix), np.int64)
+            for a in range(1, len(suffix), 1 << 18):
+                z = min(a + (1 << 18), len(suffix))
+                differ = windows[suffix[a:z]] != windows[suffix[a - 1 : z - 1]]
+                common[a:z] = np.where(differ.any(axis=1), differ.argmax(axis=1), least)
+            hit = np.zeros(len(unit), bool)
+            hit[suffix] = previous_factors(ids[unit[suffix]], common, least) >= least
+            found_r.append(row[unit[hit]])
+            found_p.append((pos[unit] + step)[hit])
+            del windows
+        r, p = np.concatenate(found_r), np.concatenate(found_p)
         order = np.lexsort((p, r))
         r, p = r[order], p[order]
         new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)] if len(r) else np.zeros(0, bool)
@@ -411,7 +420,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     scratch = Scratch(spark, "suffix")
     seed = min(SEED, least)
     blocks = scratch.write(make_blocks(docs, least, seed, id_col, text_col), "blocks", codec="none")
-    buckets = max(8, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET)
+    buckets = max(32, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET)
     found = scratch.write(repeats(blocks, buckets), "repeats", codec="none")
     runs = scratch.write(factors(candidates(blocks, found, buckets), least), "runs", codec="none")
     return cut(blocks, runs, want_text).withColumnRenamed("doc_id", id_col)

@@ -21,7 +21,15 @@ def chk14(spark, sf_dir):
 
 @query("chk16_python_atoms", "SELECT o_orderkey, 'f' || o_orderkey AS name, 'function' AS kind, 1 AS start_line FROM orders WHERE o_orderkey < 2000 UNION ALL SELECT o_orderkey, 'C' || o_orderkey, 'class', 4 FROM orders WHERE o_orderkey < 2000")
 def chk16(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 2000")
+    return python_atoms(table(spark, sf_dir, "orders").filter("o_orderkey < 2000"))
+
+
+@query("chk16_python_atoms_all", "SELECT o_orderkey, 'f' || o_orderkey AS name, 'function' AS kind, 1 AS start_line FROM orders UNION ALL SELECT o_orderkey, 'C' || o_orderkey, 'class', 4 FROM orders")
+def chk16_all(spark, sf_dir):
+    return python_atoms(table(spark, sf_dir, "orders"))
+
+
+def python_atoms(o):
     source = F.format_string("def f%d(a):\n    return a\n\nclass C%d:\n    pass\n", "o_orderkey", "o_orderkey")
     a = o.select("o_orderkey", F.explode(code.atom_column("python")(source)).alias("a"))
     return a.select("o_orderkey", "a.name", "a.kind", "a.start_line")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from shardwell.catalog import query
 from shardwell.operators import graph as g
 from shardwell.sources import corpus
-from shardwell.sources.corpus import FK_EDGES_SQL, NODES_SQL, table
+from shardwell.sources.corpus import EDGES_SQL, FK_EDGES_SQL, NODES_SQL, table
 
 
 def bfs(start: str, depth: int, a: str = "src", b: str = "dst", where: str = "true") -> str:
@@ -49,6 +49,16 @@ def grf04(spark, sf_dir):
     return g.expand(groups, nodes, edges)
 
 
+def order_groups(spark, sf_dir):
+    """Each customer's orders as a group of seeds."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("seed"), F.col("o_orderkey").alias("pos"))
+
+
+@query("grf04_expansion_all")
+def grf04_all(spark, sf_dir):
+    return g.expand(order_groups(spark, sf_dir), corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir))
+
+
 @query("grf06_auto_expand", bfs("orders:3", 2, where="edge_type IN ('imports', 'type_ref', 'generic_ref')"))
 def grf06(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependencies("orders:3").of("imports", "type_ref", "generic_ref").with_depth(2), *parts(spark, sf_dir)).select("node_id", "depth")
@@ -72,6 +82,16 @@ def grf09(spark, sf_dir):
     return g.closure(parts(spark, sf_dir)[1], roots).groupBy("root").agg(F.count("*").alias("reached"))
 
 
+@query(
+    "grf09_closure_all",
+    f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT 'customer:' || c_custkey AS root, 'customer:' || c_custkey AS node FROM customer
+      UNION SELECT w.root, e.dst FROM w JOIN edges e ON e.src = w.node) SELECT root, count(*) AS reached FROM w GROUP BY root""",
+)
+def grf09_all(spark, sf_dir):
+    roots = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("root"))
+    return g.closure(corpus.edges(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("reached"))
+
+
 @query("grf10_transitive", bfs("orders:11", 5).replace("SELECT node_id, CAST(min(depth) AS INTEGER) AS depth", "SELECT node_id, CASE WHEN min(depth) = 1 THEN 'direct' ELSE 'transitive' END AS kind").replace("GROUP BY node_id", "GROUP BY node_id HAVING min(depth) > 0"))
 def grf10(spark, sf_dir):
     t = g.traverse(g.GraphQuery.dependencies("orders:11").with_depth(5), *parts(spark, sf_dir)).filter("depth > 0")

@@ -18,7 +18,16 @@ def join01(spark, sf_dir):
 
 @query("join02_score_merge", "SELECT coalesce(d.doc_id, e.vec_id) AS chunk_id, round(coalesce(0.3::DOUBLE * (d.n_chars % 10), 0) + coalesce(0.5::DOUBLE * label, 0), 6) AS score FROM (SELECT * FROM documents WHERE doc_id % 3 = 0) d FULL JOIN embeddings e ON d.doc_id = e.vec_id")
 def join02(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id"), (0.3 * (F.col("n_chars") % 10)).alias("t"))
+    return merged_scores(spark, sf_dir, table(spark, sf_dir, "documents").filter("doc_id % 3 = 0"))
+
+
+@query("join02_score_merge_all", "SELECT coalesce(d.doc_id, e.vec_id) AS chunk_id, round(coalesce(0.3::DOUBLE * (d.n_chars % 10), 0) + coalesce(0.5::DOUBLE * label, 0), 6) AS score FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id")
+def join02_all(spark, sf_dir):
+    return merged_scores(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+def merged_scores(spark, sf_dir, documents):
+    a = documents.select(F.col("doc_id").alias("chunk_id"), (0.3 * (F.col("n_chars") % 10)).alias("t"))
     b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (0.5 * F.col("label")).alias("s"))
     return a.join(b, "chunk_id", "full").select("chunk_id", F.round(F.coalesce("t", F.lit(0.0)) + F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
@@ -66,6 +75,13 @@ def join07(spark, sf_dir):
     return e.select(F.col("dst").alias("ghost")).distinct().join(req, F.col("ghost") == F.col("id"), "left_anti")
 
 
+@query("join07_ghosts_all", f"WITH {EDGES_SQL}, req AS (SELECT 'customer:' || c_custkey AS id FROM customer) SELECT DISTINCT dst AS ghost FROM edges JOIN req ON src = id WHERE dst NOT IN (SELECT id FROM req)")
+def join07_all(spark, sf_dir):
+    req = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    e = corpus.edges(spark, sf_dir).join(req, F.col("src") == F.col("id"))
+    return e.select(F.col("dst").alias("ghost")).distinct().join(req, F.col("ghost") == F.col("id"), "left_anti")
+
+
 @query("join08_explanation", f"WITH {FK_EDGES_SQL} SELECT dst AS ghost, min(src) AS because FROM edges WHERE src LIKE 'customer:%' AND edge_type IN ('imports', 'type_ref') GROUP BY dst")
 def join08(spark, sf_dir):
     e = et.of_type(corpus.edges(spark, sf_dir, lineitem=False), ["imports", "type_ref"]).filter(F.startswith("src", F.lit("customer:")))
@@ -79,6 +95,15 @@ def join09(spark, sf_dir):
     return p.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("consumer"), F.col("o_custkey").alias("t")), "t").select("provider", "consumer")
 
 
+@query("join09_compatible_all", "SELECT p_size AS t, 'provider' AS side, p_partkey AS id FROM part WHERE p_size IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'consumer', o_orderkey FROM orders WHERE o_custkey IN (SELECT p_size FROM part)")
+def join09_all(spark, sf_dir):
+    """All members of every type that has both sides; each provider fits each consumer of its type, and pairs are not listed."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("t"), F.lit("provider").alias("side"), F.col("p_partkey").alias("id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("t"), F.lit("consumer").alias("side"), F.col("o_orderkey").alias("id"))
+    have = lambda x: x.select("t").distinct()
+    return p.join(have(o), "t", "left_semi").unionByName(o.join(have(p), "t", "left_semi"))
+
+
 @query("join10_any_input", f"WITH {FILES_SQL} SELECT DISTINCT f.page_id AS consumer, p.page_id AS provider FROM files f, unnest(f.imports) AS u(i) JOIN (SELECT page_id, '/' || regexp_extract(url, '[^/]*$') AS out FROM pages) p ON i = p.out")
 def join10(spark, sf_dir):
     f = corpus.files(spark, sf_dir)
@@ -92,6 +117,14 @@ def join12(spark, sf_dir):
     return h.filter("doc_id < 100").join(h.withColumnRenamed("doc_id", "other"), "h").filter("doc_id <> other").select("doc_id", "other")
 
 
+@query("join12_equivalents_all", "SELECT doc_id, min(doc_id) OVER w AS class, count(*) OVER w AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY sha256(text)) QUALIFY n > 1")
+def join12_all(spark, sf_dir):
+    """All documents whose text occurs again, with the smallest id of the text as class; equivalents are the others of the class."""
+    h = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    classes = h.groupBy("h").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).filter("n > 1")
+    return h.join(classes, "h").select("doc_id", "class", "n")
+
+
 @query("join13_semantic_hash", "SELECT sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def join13(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -7,6 +7,7 @@ from shardwell.functions import code
 from shardwell.functions import text as t
 from shardwell.operators import edge_types as et
 from shardwell.operators import graph as g
+from shardwell.plans.graph import order_groups
 from shardwell.sources import corpus
 from shardwell.sources.corpus import EDGES_SQL, FILES_SQL, FK_EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
 
@@ -133,11 +134,11 @@ def topk05(spark, sf_dir):
 
 @query("grf05_policies")
 def grf05(spark, sf_dir):
-    groups = table(spark, sf_dir, "orders").filter("o_orderkey < 6").select(F.lit(1).cast("long").alias("grp"), F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("seed"), F.col("o_orderkey").alias("pos"))
-    nodes, edges = corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir, lineitem=False)
+    """Each customer's orders as a group, over the complete graph."""
+    groups, nodes, edges = order_groups(spark, sf_dir), corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir)
     out = None
     for name, policy in (("default", g.Policy()), ("conservative", g.CONSERVATIVE), ("aggressive", g.AGGRESSIVE)):
-        part = g.expand(groups, nodes, edges, policy).select(F.lit(name).alias("policy"), F.size("included").alias("n"), "tokens", "depth", "truncated")
+        part = g.expand(groups, nodes, edges, policy).select("grp", F.lit(name).alias("policy"), F.size("included").alias("n"), "tokens", "depth", "truncated")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -216,7 +217,15 @@ def scal41(spark, sf_dir):
 
 @query("scal51_transform_inputs", "SELECT l_orderkey AS step, string_agg('pending:' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS inputs FROM lineitem WHERE l_orderkey < 1000 GROUP BY 1")
 def scal51(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 1000")
+    return pending_inputs(table(spark, sf_dir, "lineitem").filter("l_orderkey < 1000"))
+
+
+@query("scal51_transform_inputs_all", "SELECT l_orderkey AS step, string_agg('pending:' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS inputs FROM lineitem GROUP BY 1")
+def scal51_all(spark, sf_dir):
+    return pending_inputs(table(spark, sf_dir, "lineitem"))
+
+
+def pending_inputs(li):
     inputs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("pending:"), x["l_partkey"].cast("string")))
     return li.groupBy(F.col("l_orderkey").alias("step")).agg(F.array_join(inputs, ",").alias("inputs"))
 

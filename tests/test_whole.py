@@ -48,3 +48,12 @@ def test_expansion_of_all_orders(spark):
             included, *rest = simulate(s, out, tokens, policy)
             assert got[c, name] == (len(included), *rest)
     assert any(got[c, "aggressive"] != got[c, "default"] for c in seeds)
+
+
+def test_members_with_short_first_lines(spark, tmp_path):
+    items = [(1, "Thing."), (2, "Rrquell.\nand a second line"), (3, "x"), (4, ""), (5, None), (6, "exactly 12ch"), (7, "longer than twelve"), (8, "é\n"), (9, "Absent.")]
+    docs = [(1, "Some Thing. here"), (2, "a\nRrquell.\nand a second line\n"), (3, "Rrquell.\nand another"), (4, ""), (5, None), (6, "x"), (7, "é\nexactly 12ch longer than twelve"), (8, "Thing"), (9, "Thing. Thing.")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((i, d) for i, item in items for d, text in docs if item is not None and text is not None and item in text)
+    assert sorted((r["item_id"], r["doc_id"]) for r in rows(spark, "join05_members", str(tmp_path))) == want

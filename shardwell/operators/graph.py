@@ -37,7 +37,7 @@ class GraphQuery:
     start: tuple[str, ...] = ()
     direction: str = "outgoing"
     depth: int = 3
-    limit: int = 100
+    limit: int | None = 100
     edge_types: tuple[str, ...] | None = None
     include_start: bool = True
     where: dict[str, str] = field(default_factory=dict)
@@ -53,7 +53,8 @@ class GraphQuery:
     def with_depth(self, depth: int) -> GraphQuery:
         return replace(self, depth=depth)
 
-    def with_limit(self, limit: int) -> GraphQuery:
+    def with_limit(self, limit: int | None) -> GraphQuery:
+        """None: all nodes, in no order."""
         return replace(self, limit=limit)
 
     def of(self, *types: str) -> GraphQuery:
@@ -95,7 +96,7 @@ def traverse(q: GraphQuery, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = seen.join(nodes.select("node_id"), "node_id", "left_semi")
     if not q.include_start:
         out = out.filter("depth > 0")
-    return out.orderBy("depth", "node_id").limit(q.limit)
+    return out if q.limit is None else out.orderBy("depth", "node_id").limit(q.limit)
 
 
 def closure(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:

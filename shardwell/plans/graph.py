@@ -8,8 +8,8 @@ from shardwell.sources import corpus
 from shardwell.sources.corpus import EDGES_SQL, FK_EDGES_SQL, NODES_SQL, table
 
 
-def bfs(start: str, depth: int, a: str = "src", b: str = "dst", where: str = "true") -> str:
-    return f"""WITH RECURSIVE {NODES_SQL}, {FK_EDGES_SQL}, w AS (
+def bfs(start: str, depth: int, a: str = "src", b: str = "dst", where: str = "true", edges: str = FK_EDGES_SQL) -> str:
+    return f"""WITH RECURSIVE {NODES_SQL}, {edges}, w AS (
       SELECT '{start}' AS node_id, 0 AS depth UNION SELECT e.{b}, w.depth + 1 FROM w JOIN edges e ON e.{a} = w.node_id WHERE w.depth < {depth} AND {where})
       SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE node_id IN (SELECT node_id FROM nodes) GROUP BY node_id"""
 
@@ -18,6 +18,11 @@ def parts(spark, sf_dir):
     return corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir, lineitem=False)
 
 
+def whole(spark, sf_dir):
+    """With the edges of lineitem: 'calls' (order to part) and 'generic_ref' (part to supplier)."""
+    return corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir)
+
+
 @query("grf01_dependencies", bfs("orders:0", 3))
 def grf01(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependencies("orders:0"), *parts(spark, sf_dir)).select("node_id", "depth")
@@ -28,6 +33,16 @@ def grf01b(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependents("region:0").with_limit(10**6), *parts(spark, sf_dir)).select("node_id", "depth")
 
 
+@query("grf01_dependencies_all", bfs("orders:0", 3, edges=EDGES_SQL))
+def grf01_all(spark, sf_dir):
+    return g.traverse(g.GraphQuery.dependencies("orders:0").with_limit(None), *whole(spark, sf_dir)).select("node_id", "depth")
+
+
+@query("grf01_dependents_all", bfs("region:0", 3, "dst", "src", edges=EDGES_SQL))
+def grf01b_all(spark, sf_dir):
+    return g.traverse(g.GraphQuery.dependents("region:0").with_limit(None), *whole(spark, sf_dir)).select("node_id", "depth")
+
+
 @query("grf02_strong_typed", bfs("orders:5", 2, where="edge_type IN ('imports', 'type_ref', 'implements', 'extends')"))
 def grf02(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependencies("orders:5").strong_only().with_depth(2), *parts(spark, sf_dir)).select("node_id", "depth")
@@ -64,9 +79,24 @@ def grf06(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependencies("orders:3").of("imports", "type_ref", "generic_ref").with_depth(2), *parts(spark, sf_dir)).select("node_id", "depth")
 
 
+@query("grf06_auto_expand_all", bfs("orders:3", 2, where="edge_type IN ('imports', 'type_ref', 'generic_ref', 'calls')", edges=EDGES_SQL))
+def grf06_all(spark, sf_dir):
+    """'calls' too: an order reaches parts, and so 'generic_ref', by it alone."""
+    q = g.GraphQuery.dependencies("orders:3").of("imports", "type_ref", "generic_ref", "calls").with_depth(2).with_limit(None)
+    return g.traverse(q, *whole(spark, sf_dir)).select("node_id", "depth")
+
+
 @query("grf08_chain", f"WITH {FK_EDGES_SQL} SELECT a.src AS source, min(a.src || ' -> ' || b.src || ' -> ' || b.dst) AS chain FROM edges a JOIN edges b ON a.dst = b.src WHERE b.edge_type = 'imports' GROUP BY a.src")
 def grf08(spark, sf_dir):
-    e = parts(spark, sf_dir)[1]
+    return chains(parts(spark, sf_dir)[1])
+
+
+@query("grf08_chain_all", f"WITH {EDGES_SQL} SELECT a.src AS source, min(a.src || ' -> ' || b.src || ' -> ' || b.dst) AS chain FROM edges a JOIN edges b ON a.dst = b.src WHERE b.edge_type = 'imports' GROUP BY a.src")
+def grf08_all(spark, sf_dir):
+    return chains(whole(spark, sf_dir)[1])
+
+
+def chains(e):
     second = e.filter("edge_type = 'imports'").select(F.col("src").alias("mid"), F.col("dst").alias("end"))
     two = e.select(F.col("src").alias("source"), F.col("dst").alias("mid")).join(second, "mid")
     return two.groupBy("source").agg(F.min(F.concat_ws(" -> ", "source", "mid", "end")).alias("chain"))
@@ -106,7 +136,16 @@ def grf11(spark, sf_dir):
 
 @query("grf13_adjacency", f"WITH {FK_EDGES_SQL} SELECT dst AS node, count(*) AS fan_in, min(src) AS first FROM edges GROUP BY dst")
 def grf13(spark, sf_dir):
-    return parts(spark, sf_dir)[1].groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"), F.min("src").alias("first"))
+    return adjacency(parts(spark, sf_dir)[1])
+
+
+@query("grf13_adjacency_all", f"WITH {EDGES_SQL} SELECT dst AS node, count(*) AS fan_in, min(src) AS first FROM edges GROUP BY dst")
+def grf13_all(spark, sf_dir):
+    return adjacency(whole(spark, sf_dir)[1])
+
+
+def adjacency(e):
+    return e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"), F.min("src").alias("first"))
 
 
 @query("topk12_topological", f"WITH {NODES_SQL} SELECT node_id AS node, CASE language WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'supplier' THEN 2 ELSE 0 END AS level FROM nodes WHERE language IN ('region', 'nation', 'customer', 'supplier')")

@@ -57,3 +57,10 @@ def test_members_with_short_first_lines(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = sorted((i, d) for i, item in items for d, text in docs if item is not None and text is not None and item in text)
     assert sorted((r["item_id"], r["doc_id"]) for r in rows(spark, "join05_members", str(tmp_path))) == want
+
+
+def test_graph_has_the_edges_of_lineitem(spark):
+    for name, reached in (("grf01_dependencies_all", {"part", "supplier"}), ("grf01_dependents_all", {"part"}), ("grf06_auto_expand_all", {"part", "supplier"})):
+        assert reached <= {r["node_id"].split(":")[0] for r in rows(spark, name)}, name
+    assert {"part", "supplier"} <= {r["node"].split(":")[0] for r in rows(spark, "grf13_adjacency_all")}
+    assert any("supplier:" in r["chain"] for r in rows(spark, "grf08_chain_all"))

@@ -2,6 +2,8 @@
 
 import os
 
+import pandas as pd
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -16,7 +18,7 @@ def connect(sf_dir):
 
 
 def value(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "NULL"
     return f"{v:.6f}" if isinstance(v, float) else str(v)
 

@@ -12,7 +12,9 @@ rows are pieces of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +30,26 @@ END_ID = 1
 BLOCK = 50_000
 #: Placements (40 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_PLACEMENTS = 200_000
+# The parts of a tokenizer file under which words can be encoded one by one.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordTokenizer:
-    """A tokenizers file whose pre-tokens never span white space, with the ids of met words remembered.
+    """A tokenizers file, with the ids of met words remembered where its pre-tokens never span white space.
 
-    A text's ids are then its words' ids in order. Words not met yet are encoded together, and tell their ids apart by
-    offsets. A word of letters with a capital first letter, or a full stop or comma behind it, has the ids of its small
-    letters and of that mark, so it is put together from those. At most `most` words are remembered.
+    For a file of the kind KNOWN (checked when it is loaded) a text's ids are its words' ids in order. A word of
+    characters below U+0300, which no normal form changes, is cut by the file's own pattern, and each piece goes to the
+    BPE model alone; other words, and those that may hold a special token, go through the whole tokenizer. At most
+    `most` words and as many pieces are remembered. Of any other file texts are encoded as they are.
     """
 
     most = 600_000
@@ -44,41 +58,44 @@ class WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.inner, self.known = Tokenizer.from_file(path), {}
-
-    @staticmethod
-    def plain(word: str) -> tuple[str, str]:
-        """The word in small letters and the mark behind it, or the word itself where that is not known to be safe."""
-        core, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        rest = core[1:]
-        if len(core) > 1 and core.isalpha() and rest.islower() and ("A" <= core[0] <= "Z" or core[0].islower()):
-            return (core[0].lower() if core[0] <= "Z" else core[0]) + rest, mark
-        return word, ""
+        self.inner, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        own = json.loads(self.inner.to_str())
+        cut = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
+        self.by_words = own["normalizer"] == KNOWN["normalizer"] and own["pre_tokenizer"] == KNOWN["pre_tokenizer"] and own["model"]["type"] == "BPE" and not own["model"]["dropout"]
+        self.cut = regex.compile(cut).findall
+        self.special = [t["content"] for t in own["added_tokens"]]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(33, 0x300)} if self.by_words else {}
 
     def learn(self, words: list[str]) -> None:
-        parts = [self.plain(w) for w in words]
-        known = self.known
-        self._encode(list({x for p in parts for x in p if x and x not in known}))
-        for w, (core, mark) in zip(words, parts, strict=True):
-            if w not in known:
-                known[w] = known[core] + known[mark] if mark else known[core]
-
-    def _encode(self, words: list[str]) -> None:
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            lens = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            ends = np.cumsum(lens)
-            e = self.inner.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            begins = np.array([o[0] for o in e.offsets], np.int64)
-            cuts = np.searchsorted(begins, ends - lens)  # words in order: the first token of each
-            raw, cuts = ids.astype("<u4").tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+        known, parts, tokenize, letters, cut = self.known, self.parts, self.inner.model.tokenize, self.letters, self.cut
+        late = []
+        if len(parts) > self.most:
+            parts.clear()
+        for w in words:
+            w2 = w.lower()
+            if min(w) < "!" or "\x7f" in w or max(w) >= "\u0300" or max(w2) >= "\u0300" or any(s in w for s in self.special):
+                late.append(w)
+                continue
+            found = [w2] if w2.isascii() and w2.isalpha() else cut(w2)
+            out = []
+            for x in found:
+                ids = parts.get(x)
+                if ids is None:
+                    ids = parts[x] = array("I", [t.id for t in tokenize(x if x.isascii() else x.translate(letters))]).tobytes()
+                out.append(ids)
+            known[w] = out[0] if len(out) == 1 else b"".join(out)
+        for w in late:
+            known[w] = np.array(self.inner.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
         get, out, late = self.known.get, [], {}
         for n, t in enumerate(texts):
             ws = t.split()

@@ -8,11 +8,12 @@ share their first `least` bytes must meet; they are brought together without shi
    seeds; consecutive windows mostly share theirs, and such a run of windows is a unit.
 2. Repeats. Blocks send the hashes of their seeds, packed, to buckets; a bucket answers each block with one bit a seed:
    whether another document has it. Units of other seeds cannot hold a repeated window.
-3. Factors. A block settles copies of its own units (later documents lose to the first). What is left goes, by seed, to
-   buckets that sort the suffixes, take the longest common prefixes of neighbours, and find for each suffix the previous
-   and the next one in suffix order that stands in a smaller document: the longer of the two common prefixes is its
-   longest previous factor. Seeds that occur in very many blocks are split: each window goes by its own bytes.
-4. Coverage. Every block gets its windows' answers back and cuts its documents.
+3. Factors. Copies of a unit, first in its block and then in its bucket, are represented by that of the smallest
+   document. Buckets, dealt by seed, sort the suffixes of the units (which end with their unit), take the whole longest
+   common prefixes of neighbours, and find for each suffix the previous and the next one in suffix order that stands in
+   a smaller document: the longer of the two common prefixes is its longest previous factor. Seeds that occur in very
+   many blocks are split: each window goes by its own bytes.
+4. Coverage. What factors of `least` bytes or more cover goes back to the blocks, which cut their documents.
 
 Answers, seeds and units travel as packed binary columns, so shuffles stay below the size of the input.
 
@@ -39,12 +40,12 @@ LEAST = 50
 SEED = 20
 #: Bytes of text in a block, and of the input for each bucket.
 BLOCK = 3 << 20
-BUCKET = 8 << 20
+BUCKET = 4 << 20
 #: A seed in more blocks than this has its windows dealt one by one.
 HOT_BLOCKS = 64
 _STEP = 1 << 22
 #: Buckets that travel together, in larger payloads that compress alike at every size, and are sorted one after another.
-TOGETHER = 4
+TOGETHER = 8
 
 
 def _pack(a: np.ndarray, level: int = 1) -> bytes:
@@ -336,6 +337,75 @@ def previous_factors(docs: np.ndarray, common: np.ndarray, need: int) -> np.ndar
     return best
 
 
+def _keyed(text: np.ndarray, base: np.ndarray, size: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """The strings at base, filled up with zeros, with their size as a last byte (so zeros at their ends count)."""
+    most = int(size.max(initial=0))
+    padded = np.r_[text, np.zeros(most, np.uint8)]
+    out = np.empty((len(base), most + 1), np.uint8)
+    view = np.lib.stride_tricks.sliding_window_view(padded, most) if most else None
+    for a in range(0, len(base), chunk):
+        z = min(a + chunk, len(base))
+        out[a:z, :most] = view[base[a:z]]
+        out[a:z, :most][np.arange(most)[None, :] >= size[a:z, None]] = 0
+        out[a:z, most] = size[a:z]
+    return out
+
+
+def representatives(text: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each unit, given in order of document, the first one of the same bytes."""
+    keyed = _keyed(text, base, size)
+    order = np.argsort(keyed.view(f"S{keyed.shape[1]}").ravel(), kind="stable")
+    same = np.r_[False, (keyed[order[1:]] == keyed[order[:-1]]).all(axis=1)]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    out = np.empty(len(order), np.int64)
+    out[order] = order[head]
+    return out
+
+
+def longest_previous(text: np.ndarray, base: np.ndarray, count: np.ndarray, ids: np.ndarray, least: int) -> np.ndarray:
+    """The longest previous factor, of `least` bytes or more (else 0), of each of the first `count` suffixes of each
+    unit: units are given in order of document, and suffixes end with their unit."""
+    unit = np.repeat(np.arange(len(base)), count)
+    step = np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)
+    size = count[unit] + least - 1 - step
+    if not len(unit):
+        return np.zeros(0, np.int64)
+    keyed = _keyed(text, base[unit] + step, size)
+    suffix = np.argsort(keyed.view(f"S{keyed.shape[1]}").ravel(), kind="stable")
+    common = np.zeros(len(suffix), np.int64)
+    for a in range(1, len(suffix), 1 << 18):
+        i, j = suffix[a : a + (1 << 18)], suffix[a - 1 : min(a - 1 + (1 << 18), len(suffix) - 1)]
+        differ = keyed[i, :-1] != keyed[j, :-1]
+        common[a : a + len(i)] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), keyed.shape[1]), np.minimum(size[i], size[j]))
+    out = np.zeros(len(unit), np.int64)
+    out[suffix] = previous_factors(ids[unit[suffix]], common, least)
+    return out
+
+
+def covered(ids: np.ndarray, count: np.ndarray, rep: np.ndarray, own: np.ndarray, length: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Unit, first window and number of windows of the runs that factors cover. A copy of a smaller document's unit is
+    covered as a whole; copies within one document are covered alike."""
+    later = np.flatnonzero(ids > ids[rep])
+    yield later, np.zeros(len(later), np.int64), count[later]
+    start = np.cumsum(count[own]) - count[own]
+    edge = np.zeros(len(length) + 1, np.int64)
+    at = np.flatnonzero(length)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length[at] - least + 1, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    unit = np.repeat(np.arange(len(own)), count[own])
+    new = inside & ~np.r_[False, inside[:-1] & (unit[1:] == unit[:-1])]
+    end = inside & ~np.r_[inside[1:] & (unit[1:] == unit[:-1]), False]
+    first, last = np.flatnonzero(new), np.flatnonzero(end)
+    of = unit[first]  # sorted
+    rest = np.flatnonzero(ids == ids[rep])
+    slot = np.searchsorted(own, rep[rest])
+    low, high = np.searchsorted(of, slot), np.searchsorted(of, slot, side="right")
+    many = high - low
+    k = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    yield np.repeat(rest, many), first[k] - start[of[k]], last[k] - first[k] + 1
+
+
 def factors(cands: DataFrame, least: int = LEAST) -> DataFrame:
     """block, pos, count: runs of windows that a smaller document has too."""
 
@@ -350,36 +420,26 @@ def factors(cands: DataFrame, least: int = LEAST) -> DataFrame:
 
     def within(rows: list[dict]) -> list[tuple]:
         ids, pos, count = (np.concatenate([_unpack(r[c], d) for r in rows]) for c, d in (("ids", "<i8"), ("pos", "<i8"), ("count", "u1")))
-        count = count.astype(np.int64)
-        text = np.concatenate([_unpack(r["bytes"], "u1") for r in rows])
-        row = np.repeat(np.arange(len(rows)), [len(_unpack(r["count"], "u1")) for r in rows])
-        base = np.cumsum(count + least - 1) - (count + least - 1)
+        sizes = [len(_unpack(r["part"], "u1")) for r in rows]
         part = np.concatenate([_unpack(r["part"], "u1") for r in rows])
-        found_r, found_p = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        text = np.concatenate([_unpack(r.pop("bytes"), "u1") for r in rows])
+        row, count = np.repeat(np.arange(len(rows)), sizes), count.astype(np.int64)
+        base = np.cumsum(count + least - 1) - (count + least - 1)
+        found_r, found_p, found_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in np.unique(part):
             mine = np.flatnonzero(part == k)
-            order = mine[np.argsort(ids[mine], kind="stable")]  # equal suffixes then stand in the order of their documents
-            unit = np.repeat(order, count[order])
-            step = np.arange(len(unit)) - np.repeat(np.cumsum(count[order]) - count[order], count[order])
-            windows = np.lib.stride_tricks.sliding_window_view(text, least)[base[unit] + step]
-            suffix = np.argsort(windows.view(f"S{least}").ravel(), kind="stable")
-            common = np.zeros(len(suffix), np.int64)
-            for a in range(1, len(suffix), 1 << 18):
-                z = min(a + (1 << 18), len(suffix))
-                differ = windows[suffix[a:z]] != windows[suffix[a - 1 : z - 1]]
-                common[a:z] = np.where(differ.any(axis=1), differ.argmax(axis=1), least)
-            hit = np.zeros(len(unit), bool)
-            hit[suffix] = previous_factors(ids[unit[suffix]], common, least) >= least
-            found_r.append(row[unit[hit]])
-            found_p.append((pos[unit] + step)[hit])
-            del windows
-        r, p = np.concatenate(found_r), np.concatenate(found_p)
+            mine = mine[np.argsort(ids[mine], kind="stable")]
+            rep = representatives(text, base[mine], count[mine] + least - 1)
+            own = np.unique(rep)
+            length = longest_previous(text, base[mine[own]], count[mine[own]], ids[mine[own]], least)
+            for r, p, n in covered(ids[mine], count[mine], rep, own, length, least):
+                found_r.append(row[mine[r]])
+                found_p.append(pos[mine[r]] + p)
+                found_n.append(n)
+        r, p, n = np.concatenate(found_r), np.concatenate(found_p), np.concatenate(found_n)
         order = np.lexsort((p, r))
-        r, p = r[order], p[order]
-        new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)] if len(r) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        length = np.diff(np.r_[start, len(r)])
-        return [(rows[k]["block"], _pack(a.astype("<i8")), _pack(n.astype("<i8"))) for k, (a, n) in _split(r[start], p[start], length)]
+        r, p, n = r[order], p[order], n[order]
+        return [(rows[k]["block"], _pack(a.astype("<i8")), _pack(c.astype("<i8"))) for k, (a, c) in _split(r, p, n)]
 
     return cands.groupBy("bucket").applyInArrow(run, "block string, pos binary, count binary")
 
@@ -420,7 +480,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     scratch = Scratch(spark, "suffix")
     seed = min(SEED, least)
     blocks = scratch.write(make_blocks(docs, least, seed, id_col, text_col), "blocks", codec="none")
-    buckets = max(32, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET)
+    buckets = max(64, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET)
     found = scratch.write(repeats(blocks, buckets), "repeats", codec="none")
     runs = scratch.write(factors(candidates(blocks, found, buckets), least), "runs", codec="none")
     return cut(blocks, runs, want_text).withColumnRenamed("doc_id", id_col)

@@ -281,3 +281,28 @@ def test_passages(spark):
     assert (x.start, x.end, x.ref_start, x.ref_end, x.similarity) == (20, 90, 40, 110, 1.0)
     assert 0.8 <= got[4, 3].similarity < 1 and got[4, 3].n_aligned == 59
     assert passages.fuzzy_passages(docs.limit(0)).count() == 0
+
+
+def test_longest_previous_factors():
+    r = random.Random(9)
+    for _ in range(30):
+        units = [bytes(r.choice(b"ab\0") for _ in range(r.randrange(6, 14))) for _ in range(r.randrange(1, 9))]
+        units += [r.choice(units) for _ in range(3)]
+        ids = sorted(r.randrange(4) for _ in units)
+        least, text = 4, np.frombuffer(b"".join(units), np.uint8)
+        size = np.array([len(u) for u in units])
+        base, count, ids = np.cumsum(size) - size, size - least + 1, np.array(ids)
+        got = suffix_dedup.longest_previous(text, base, count, ids, least)
+        every = [(i, u[k:]) for i, u in zip(ids, units) for k in range(len(u) - least + 1)]
+        prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = [max((prefix(s, t) for j, t in every if j < i), default=0) for i, s in every]
+        assert got.tolist() == [w if w >= least else 0 for w in want] and max(got, default=0) >= 0
+        rep = suffix_dedup.representatives(text, base, size)
+        assert [units[k] for k in rep] == units and all(ids[k] == min(ids[j] for j, u in enumerate(units) if u == units[k]) for k in rep)
+        own = np.unique(rep)
+        length = suffix_dedup.longest_previous(text, base[own], count[own], ids[own], least)
+        seen = {(u, p + j) for us, ps, ns in suffix_dedup.covered(ids, count, rep, own, length, least) for u, p, n in zip(us.tolist(), ps.tolist(), ns.tolist()) for j in range(n)}
+        at = iter(want)
+        assert seen == {(u, p) for u in range(len(units)) for p in range(count[u]) if next(at) >= least}
+    long = np.frombuffer(b"x" * 40 + b"y" * 40 + b"x" * 40 + b"y" * 40, np.uint8)
+    assert suffix_dedup.longest_previous(long, np.array([0, 80]), np.array([31, 31]), np.array([1, 2]), 50).tolist() == [0] * 31 + list(range(80, 49, -1))

@@ -1,9 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows. Native: DataFrame functions only.
 
-1. A few long words of each item are its anchors, so many and so far apart that a window without any of them lacks too
-   many runs of WIDTH words to pass; documents without an anchor go no further. In the others every run that some item
-   has (an item of fewer words is a run by itself) places a window of that item's size where the run would begin in it.
-   A window that shares no run has similarity 0, so none that could pass is left out.
+1. A few pairs of long words of each item are its anchors, so many and so far apart that a window without any of them
+   lacks too many runs of WIDTH words to pass; documents without an anchor go no further. In the others every run that
+   some item has (an item of fewer words is a run by itself) begins a window of that item's size (the document's last
+   one, if it ends before). A window that begins with another run shares no less when it is moved on to the next shared
+   one, so the best window is among these. Those with too few shared runs can't pass. The one with most is judged first,
+   others only if they could be better.
 2. Windows and items get SimHash fingerprints over their runs, each weighted by how often it occurs.
 3. Multi-index blocks: two fingerprints within RADIUS bits agree in one of RADIUS + 1 blocks at least, so an equi-join
    on (item, block, bits) finds them all; the complete distance is verified.
@@ -13,21 +15,24 @@ At a similarity of 0.8 or more the distance of two fingerprints is about 13 on a
 in ten thousand, so RADIUS = 26 loses nothing in practice; the tests hold it against brute force.
 
 Defined results: null texts count as empty and match nothing; an item without words matches nothing; repeated rows add
-nothing (one row for each pair of ids); empty tables give an empty result.
+nothing (one row for each pair of ids, of the best window of any text of that id); drop_contaminated judges each row by
+its own text, whatever other rows share its id; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty, words_of
+from .common import SPACES, Scratch, free_name, text_or_empty, words_of
 
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 26
-#: So many distinct runs of items go into the scan as a set; more are met by a shuffled join.
+#: So many runs of items (about 40 bytes each) go to all tasks; more are met by a shuffled join.
 SET_LIMIT = 100_000
+#: Below this similarity the zones of anchors would meet, and documents are not filtered by them.
+ANCHORED = 0.5
 
 
 def runs(words: str, width: int) -> Column:
@@ -72,12 +77,12 @@ def anchors(table: DataFrame, similarity: float, width: int) -> DataFrame:
     """Distinct (word, pair): words, and pairs of words of which they are the first, at least one of which is in every
     window that passes.
 
-    A word `width` or more from both ends is in `width` runs. Words that far apart share none, so k of them missing
-    cost k * width runs: k is the least number for which that is more than a passing window may lack. A pair is missing
-    only if one of its words is. An item of one word has no pair.
+    Two neighbouring words `width` or more from both ends are in `width - 1` runs. Pairs that far apart share none, so k
+    of them missing cost k * (width - 1) runs: k is the least number for which that is more than a passing window may
+    lack. An item of one word has no pair.
     """
     spare = f"CAST(floor((n_words - {width - 1}) * {1 - similarity} + 1e-9) AS INT)"
-    inner = table.withColumn("k", F.expr(f"IF(n_words < {2 * width - 1}, 1, {spare} div {width} + 1)"))
+    inner = table.withColumn("k", F.expr(f"IF(n_words < {2 * width - 1}, 1, {spare} div {width - 1} + 1)"))
     inner = inner.withColumn("step", F.expr(f"IF(k = 1, n_words + {width}, (n_words - {width - 1}) div k)"))
     inner = inner.withColumn("from", F.expr(f"IF(n_words < {2 * width - 1}, 0, {width - 1})"))
     inner = inner.withColumn("size", F.expr(f"IF(n_words < {2 * width - 1}, n_words, IF(k = 1, n_words - {2 * (width - 1)}, step - {width - 1}))"))
@@ -88,58 +93,99 @@ def anchors(table: DataFrame, similarity: float, width: int) -> DataFrame:
     return picked.select("a.word", F.concat("a.word", F.lit(" "), "a.next").alias("pair")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One row for each document and item that it holds: id, item_id, similarity, window_start, n_words."""
+def anchored(docs: DataFrame, text_col: str, found: list) -> DataFrame:
+    """The documents that have an anchor, found by their words in small letters, then by pairs."""
+    within = lambda c, values: F.exists(c, lambda x: x.isin(sorted(values)))
+    rough = F.split(F.lower(text_or_empty(text_col)), SPACES)  # lower() also meets other capitals, on both sides alike
+    some = docs.filter(within(rough, {r["rough"] for r in found}))
+    words = words_of(text_or_empty(text_col))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    hit = within(pairs, {r["pair"] for r in found if r["pair"]})
+    if lone := {r["word"] for r in found if not r["pair"]}:
+        hit = hit | within(words, lone)
+    return some.filter(hit)
+
+
+def findings(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, similarity: float, width: int, radius: int) -> DataFrame:
+    """doc_id, digest (of the text), item_id, similarity, window_start, n_words: the best window of each text and item."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     table = scratch.write(item_table(items, item_col, width=width), "items")
     starts = scratch.write(table.select("item_id", "n_words", "width", F.posexplode("runs").alias("at", "run")), "runs")
     widths = sorted(r[0] for r in starts.select("width").distinct().collect()) or [width]  # width values at most
-    distinct = starts.select("run").distinct()
-    few = distinct.count() <= SET_LIMIT
+    few = starts.count() <= SET_LIMIT
 
-    base = docs.select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
-    if few:
-        found = anchors(table, similarity, width).collect()  # about one in twelve words of the items
-        within = lambda c, values: F.arrays_overlap(c, F.array(*map(F.lit, sorted(values))).cast("array<string>"))
-        pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-        hit = within(pairs, {r["pair"] for r in found if r["pair"]})
-        if lone := {r["word"] for r in found if not r["pair"]}:
-            hit = hit | within("words", lone)
-        base = base.filter(within("words", {r["word"] for r in found})).filter(hit)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if few and similarity >= ANCHORED:
+        found = anchors(table, similarity, width).withColumn("rough", F.lower("word")).collect()  # about one in ten words of the items
+        rows = anchored(rows, "text", found) if found else rows.limit(0)
+    base = rows.select("doc_id", F.sha2(text_or_empty("text").cast("binary"), 256).alias("digest"), words_of(text_or_empty("text")).alias("words"))
     indexed = [F.transform(runs("words", k), lambda h, i: F.struct(i.alias("pos"), h.alias("run"))) for k in widths]
     found = base.withColumn("all_runs", F.concat(*indexed) if len(indexed) > 1 else indexed[0])
     if few:
-        known = [r[0] for r in distinct.collect()]
+        known = [r[0] for r in starts.select("run").distinct().collect()]
         hits = found.withColumn("hits", F.filter("all_runs", lambda x: x["run"].isin(known))).drop("all_runs").filter(F.size("hits") > 0)
     else:
-        key = F.xxhash64("doc_id", F.array_join("words", " "))
-        flat = found.select(key.alias("_key"), "doc_id", F.explode("all_runs").alias("x")).select("_key", "doc_id", "x", "x.run")
-        met = flat.join(distinct, "run", "left_semi").groupBy("_key").agg(F.collect_set("x").alias("hits"))
-        hits = base.withColumn("_key", key).join(met, "_key").drop("_key")
-
-    hits = hits.select("doc_id", "words", F.explode("hits").alias("x")).select("doc_id", "words", "x.pos", "x.run")
-    met = hits.join(F.broadcast(starts) if few else starts, "run")
-    begin = F.greatest(F.least(F.col("pos") - F.col("at"), F.size("words") - F.col("n_words")), F.lit(0))
-    windows = met.select("doc_id", "item_id", "n_words", "width", begin.alias("window_start"), F.slice("words", begin + 1, F.col("n_words")).alias("window")).distinct()
-    windows = scratch.write(windows, "windows")
+        flat = found.select("doc_id", "digest", F.explode("all_runs").alias("x")).select("doc_id", "digest", "x", "x.run")
+        met = flat.join(starts.select("run").distinct(), "run", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("x").alias("hits"))
+        met = met.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "hits")
+        hits = base.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).drop("_id", "_digest")
+    held = scratch.write(hits.dropDuplicates(["doc_id", "digest"]), "held")
+
+    each = held.select("doc_id", "digest", F.size("words").alias("size"), F.explode("hits").alias("x")).select("doc_id", "digest", "size", "x.pos", "x.run")
+    places = starts.select("item_id", "n_words", "width", "run").distinct()
+    met = each.join(F.broadcast(places) if few else places, "run").drop("run")
+    total = F.col("n_words") - F.col("width") + 1
+    start = F.greatest(F.least(F.col("pos"), F.col("size") - F.col("n_words")), F.lit(0))
+    met = met.select("doc_id", "digest", "item_id", "n_words", "width", total.alias("total"), "pos", start.alias("start"))
+    one = Window.partitionBy("doc_id", "digest", "item_id")
+    # up to total - 1 further
+    ahead = F.expr("count(*) OVER (PARTITION BY doc_id, digest, item_id ORDER BY pos / total RANGE BETWEEN CURRENT ROW AND 0.999999D FOLLOWING)")
+    alike = F.count("*").over(Window.partitionBy("doc_id", "digest", "item_id", "start"))  # at the end of the document
+    bound = F.least(F.greatest(ahead, alike), F.col("total"))
+    starting = met.withColumn("bound", bound).filter(F.col("bound") >= similarity * F.col("total") - 1e-9)
+    starting = starting.groupBy("doc_id", "digest", "item_id", "n_words", "width", "total", "start").agg(F.max("bound").alias("bound"))
+    first = F.row_number().over(one.orderBy(F.desc("bound"), "start"))
+    windows = scratch.write(starting.withColumn("rank", first).withColumn("top", F.max("bound").over(one)), "windows")
+
+    best = scratch.write(_best(windows.filter("rank = 1"), held, table, widths, similarity, radius), "best")
+    own = best.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("item_id").alias("_item"), "m.similarity")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & F.col("item_id").eqNullSafe(F.col("_item"))
+    more = windows.filter("rank > 1").join(own, same, "left").withColumn("met", F.coalesce("similarity", F.lit(0.0)))
+    more = more.filter((F.col("met") < F.col("top") / F.col("total")) & (F.col("bound") / F.col("total") >= F.col("met"))).select(*windows.columns)
+    rest = _best(more, held, table, widths, similarity, radius)
+    return best.unionByName(rest).groupBy("doc_id", "digest", "item_id").agg(F.max("m").alias("m"))
+
+
+def _best(windows: DataFrame, held: DataFrame, table: DataFrame, widths: list[int], similarity: float, radius: int) -> DataFrame:
+    """doc_id, digest, item_id and m (similarity, -window_start, n_words) of the best of the windows that pass."""
+    words = held.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "words")
+    cut = windows.join(words, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    cut = cut.select("doc_id", "digest", "item_id", "n_words", "width", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window"))
     hashed = None
     for k in widths:
-        part = windows.filter(F.col("width") == k).select("doc_id", "item_id", "n_words", "window_start", runs("window", k).alias("own"))
+        part = cut.filter(F.col("width") == k).select("doc_id", "digest", "item_id", "n_words", "start", runs("window", k).alias("own"))
         hashed = part if hashed is None else hashed.unionByName(part)
-    hashed = hashed.filter(F.size("own") > 0).withColumn("own_fp", simhash("own"))
-
+    hashed = hashed.filter(F.size("own") > 0).groupBy("doc_id", "digest", "item_id", "n_words", "own").agg(F.min("start").alias("start"))
+    hashed = hashed.withColumn("own_fp", simhash("own"))
     n = radius + 1
     probe = hashed.select("*", F.explode(blocks("own_fp", n)).alias("b")).select("*", "b.block", "b.bits").drop("b")
     index = table.select("item_id", "fp", F.explode(blocks("fp", n)).alias("b")).select("item_id", "fp", "b.block", "b.bits")
     near = probe.join(index, ["item_id", "block", "bits"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("own_fp"))) <= radius)
-    near = near.select("doc_id", "item_id", "n_words", "window_start", "own").distinct()
+    near = near.select("doc_id", "digest", "item_id", "n_words", "start", "own").distinct()
     verified = near.join(table.select("item_id", "runs"), "item_id")
     verified = verified.withColumn("similarity", shared("own", "runs") / F.greatest(F.size("own"), F.size("runs"))).filter(F.col("similarity") >= similarity)
-    best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("window_start")).alias("at"), F.col("n_words"))).alias("m"))
+    return verified.groupBy("doc_id", "digest", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("at"), F.col("n_words"))).alias("m"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """One row for each document and item that it holds: id, item_id, similarity, window_start, n_words."""
+    best = findings(docs, items, id_col, text_col, item_col, similarity, width, radius).groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
     return best.select(F.col("doc_id").alias(id_col), "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.at")).alias("window_start"), F.col("m.n_words").alias("n_words"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item."""
-    lost = contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows whose text holds no item."""
+    name = free_name(docs, "lost")
+    lost = findings(docs, items, id_col, text_col, item_col, SIMILARITY, WIDTH, RADIUS).select(F.struct("doc_id", "digest").alias(name)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(f"{name}.doc_id")) & (F.sha2(text_or_empty(text_col).cast("binary"), 256) == F.col(f"{name}.digest"))
+    return docs.join(lost, same, "left_anti")

@@ -27,7 +27,7 @@ from .common import Scratch
 CAPACITY = 2048
 END_ID = 1
 #: Pieces whose ranks one task counts.
-BLOCK = 50_000
+BLOCK = 10_000
 #: Placements (40 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_PLACEMENTS = 200_000
 # The parts of a tokenizer file under which words can be encoded one by one.

@@ -91,7 +91,7 @@ ORACLE: dict[str, str] = {
         ir AS (SELECT item_id, n, k, r - 1 AS q, list_slice(iw, r, r + k - 1) AS run FROM i, unnest(range(1, n - k + 2)) AS u(r)),
         dr AS (SELECT doc_id, k, r - 1 AS p, list_slice(ws, r, r + k - 1) AS run
                FROM d, (SELECT DISTINCT k FROM i) AS ks, unnest(range(1, len(ws) - k + 2)) AS u(r)),
-        s AS (SELECT DISTINCT doc_id, item_id, p - q AS raw, n, k FROM dr JOIN ir USING (run, k)),
+        s AS (SELECT DISTINCT doc_id, item_id, p AS raw, n, k FROM dr JOIN ir USING (run, k)),
         c AS (SELECT DISTINCT doc_id, item_id, n, k, greatest(least(raw, len(ws) - n), 0) AS st FROM s JOIN d USING (doc_id)),
         wr AS (SELECT doc_id, item_id, st, n, k, list_slice(ws, st + r, st + r + k - 1) AS run, least(n, len(ws)) - k + 1 AS total
                FROM c JOIN d USING (doc_id), unnest(range(1, least(n, len(ws)) - k + 2)) AS u(r)),

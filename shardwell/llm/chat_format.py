@@ -1,4 +1,4 @@
-"""Chat formatting: a finite-state machine over roles, and text segments with loss flags. Native expressions only.
+"""Chat formatting: a finite-state machine over roles emits text segments with loss flags. Native expressions only.
 
 A Template declares how each role opens and closes, which roles bear loss, and which turn may follow which. Every
 control string of a template starts with "<" or "[". Inside texts "~", "<" and "[" become "~0", "~1" and "~2", so no
@@ -28,6 +28,8 @@ class Template:
     #: state -> role -> next state; a conversation is valid if it ends in one of accept.
     moves: dict[str, dict[str, str]] = field(default_factory=lambda: {"start": {"system": "primed", "user": "asked"}, "primed": {"user": "asked"}, "asked": {"assistant": "answered"}, "answered": {"user": "asked"}})
     accept: frozenset[str] = frozenset({"answered"})
+    #: Whether a turn after (or at) a refused move still bears loss.
+    loss_when_refused: bool = True
 
 
 LLAMA_LIKE = Template()
@@ -59,25 +61,35 @@ def _step(s: Column, r: Column, t: Template) -> Column:
 
 
 def format_conversations(rows: DataFrame, template: Template = LLAMA_LIKE, conv_col: str = "conv_id") -> DataFrame:
-    """One row a conversation: formatted, segments (text, loss), state, valid.
+    """One row a conversation: formatted, segments (text, loss), turn_loss, state, valid.
 
-    segments cover formatted without gaps; loss is true for the text (with its closing mark excluded) of a role that
-    bears loss.
+    The machine reads roles and emits a loss flag a turn (turn_loss). segments cover formatted without gaps; loss is
+    true for the text (with its closing mark excluded) of a turn that bears loss.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = rows.select(F.col(conv_col), F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t"))
     grouped = turns.groupBy(conv_col).agg(F.array_sort(F.collect_list("t")).alias("_turns"))
-    pieces = F.transform(
+
+    def move(a: Column, r: Column) -> Column:
+        to = _step(a["state"], r, template)
+        bears = r.isin(*template.loss) if template.loss_when_refused else r.isin(*template.loss) & (to != "refused")
+        return F.struct(to.alias("state"), F.concat(a["flags"], F.when(bears, "1").otherwise("0")).alias("flags"))
+
+    ran = F.aggregate(F.transform("_turns", lambda x: x["role"]), F.struct(F.lit("start").alias("state"), F.lit("").alias("flags")), move)
+    ran = grouped.select(conv_col, "_turns", ran.alias("_ran"))
+    flags = F.transform(F.split("_ran.flags", ""), lambda x: x == "1")
+    pieces = F.zip_with(
         "_turns",
-        lambda x: F.array(
+        "turn_loss",
+        lambda x, bears: F.array(
             F.struct(_opening(x["role"], template).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(x["text"]).alias("text"), x["role"].isin(*template.loss).alias("loss")),
+            F.struct(escape(x["text"]).alias("text"), bears.alias("loss")),
             F.struct(F.lit(template.close).alias("text"), F.lit(False).alias("loss")),
         ),
     )
-    state = F.aggregate(F.transform("_turns", lambda x: x["role"]), F.lit("start"), lambda s, r: _step(s, r, template))
-    out = grouped.select(conv_col, F.flatten(pieces).alias("segments"), state.alias("state"))
-    return out.select(conv_col, F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), "segments", "state", F.col("state").isin(*template.accept).alias("valid"))
+    out = ran.select(conv_col, "_turns", F.slice(flags, 1, F.size("_turns")).alias("turn_loss"), F.col("_ran.state").alias("state"))
+    out = out.select(conv_col, F.flatten(pieces).alias("segments"), "turn_loss", "state")
+    return out.select(conv_col, F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), "segments", "turn_loss", "state", F.col("state").isin(*template.accept).alias("valid"))
 
 
 def read_back(formatted: Column, template: Template = LLAMA_LIKE) -> Column:
@@ -101,10 +113,11 @@ def read_back(formatted: Column, template: Template = LLAMA_LIKE) -> Column:
 
 
 def digests(formatted: DataFrame, template: Template = LLAMA_LIKE, conv_col: str = "conv_id") -> DataFrame:
-    """n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from what is read back."""
+    """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, state and valid, from what is read back out of the
+    formatted string and the loss flags of its turns."""
     out = formatted.withColumn("_back", read_back(F.col("formatted"), template))
     whole = F.array_join(F.transform("_back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    masked = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
+    masked = F.array_join(F.zip_with("_back", "turn_loss", lambda x, bears: F.when(bears, x["text"]).otherwise("")), "")
     return out.select(
         conv_col,
         F.size("_back").cast("long").alias("n_turns"),
@@ -112,5 +125,6 @@ def digests(formatted: DataFrame, template: Template = LLAMA_LIKE, conv_col: str
         F.length(masked).cast("long").alias("loss_chars"),
         F.sha2(masked.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "state",
         "valid",
     )

@@ -55,7 +55,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn int, role string, text string")
     formatted = chat_format.format_conversations(rows.unionByName(probe.select(*(probe[c].cast(rows.schema[c].dataType) for c in rows.columns))))
-    return chat_format.digests(formatted).drop("valid")
+    return chat_format.digests(formatted)
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +125,14 @@ ORACLE: dict[str, str] = {
           SELECT conv_id, count(*) AS n_turns,
                  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
                  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS masked,
+                 string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS roles,
                  sum(length(text) + length(regexp_replace(text, '[^~<\[]', '', 'g')) + 4
                      + CASE role WHEN 'system' THEN 7 WHEN 'user' THEN 6 WHEN 'assistant' THEN 7
                        ELSE 4 + length(role) + length(regexp_replace(role, '[^~<\[|]', '', 'g')) END) AS formatted_chars
           FROM c GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(masked) AS loss_chars, sha256(masked) AS loss_sha256,
-               CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""",
+               CAST(formatted_chars AS BIGINT) AS formatted_chars,
+               CASE WHEN roles = 's' THEN 'primed' WHEN regexp_full_match(roles, 's?(ua)+') THEN 'answered'
+                    WHEN regexp_full_match(roles, 's?(ua)*u') THEN 'asked' ELSE 'refused' END AS state,
+               regexp_full_match(roles, 's?(ua)+') AS valid FROM g""",
 }

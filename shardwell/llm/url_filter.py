@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import free_name, join_groups, lower_ascii
 
 #: Hex digits of the digest that the join looks at.
 SHORT = 8
@@ -47,18 +47,22 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     labels = rules.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 0
 
     base = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    urls = pages.select(*base, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    places = urls.select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()  # a busy place goes on once
-    dots = F.split("_host", r"\.")
+    key, own = free_name(pages, "place"), F.col(url_col)
+    urls = pages.select(*base, host_of(own).alias("host"), path_of(own).alias("path"))
+    urls = urls.withColumn(key, F.concat("host", F.lit("#"), "path"))  # neither part has a "#"
+    places = urls.groupBy(F.col(key).alias("k")).agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n"))  # a busy place goes on once
+    dots = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(dots), F.lit(max(labels, 1)))), lambda n: F.array_join(F.slice(dots, F.size(dots) - n + 1, n), "."))
-    prefixes = F.array_distinct(F.filter(F.array(*[F.when(F.length("_path") >= n, F.substring("_path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>"), lambda p: p.isNotNull()))
+    prefixes = F.array_distinct(F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>"), lambda p: p.isNotNull()))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    probes = places.select("_host", "_path", F.explode(expressions).alias("expression")).withColumn("_digest", F.sha2("expression", 256))
-    probes = probes.withColumn("_short", F.substring("_digest", 1, SHORT))
-    table = rules.withColumn("_short", F.substring("digest", 1, SHORT)).select("_short", "digest", "rule", "action", "rule_host")
+    probes = places.select("k", F.explode(expressions).alias("expression")).select("k", F.sha2("expression", 256).alias("full"))
+    probes = probes.withColumn("short", F.substring("full", 1, SHORT))
+    table = rules.withColumn("short", F.substring("digest", 1, SHORT)).select("short", "digest", "rule", "action", "rule_host")
     if rules.count() <= BROADCAST_RULES:
         table = F.broadcast(table)
-    met = probes.join(table, "_short").filter(F.col("_digest") == F.col("digest"))
-    best = met.groupBy("_host", "_path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), F.col("action"), F.col("rule").alias("rule"))).alias("_best"))
-    out = urls.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return out.select(*base, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
+    met = probes.join(table, "short").filter(F.col("full") == F.col("digest"))
+    best = met.groupBy("k").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), F.col("action"), F.col("rule").alias("rule"))).alias("best"))
+    judged = places.select("k", "n").join(best, "k", "left").select(F.col("k").alias(key), F.col("n").alias(f"{key}_n"), F.col("best.rule").alias(f"{key}_rule"), F.col("best.action").alias(f"{key}_action"))
+    total = pages.count()
+    out = join_groups(urls, judged, key, f"{key}_n", F.xxhash64(*[F.col(c).cast("string") for c in base]).cast("string"), total)
+    return out.select(*base, "host", "path", F.col(f"{key}_rule").alias("rule"), F.coalesce(f"{key}_action", F.lit(default)).alias("verdict"))

@@ -24,7 +24,7 @@ def test_native(spark, name):
 
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.COM/en/7x?q#f"), (2, "http://com/en/"), (3, None), (4, "nothing"), (5, "x://example.net/de/81"), (6, "x://net"), (7, "x://evilnet/de/1"), (8, "x://b.example.org/es/?a=://com/en/"), (1, "HTTP://A.Example.COM/en/7x?q#f"), (9, "")]
-    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, rule string, verdict string")
+    pages = spark.createDataFrame([(*r, *["clash"] * 6) for r in rows], "page_id long, url string, rule string, verdict string, _host string, _path string, place string, k string")
     out = url_filter.judge(pages, url_filter.rule_table(spark, queries.URL_RULES))
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.collect())
     assert got[0] == got[1] == (1, "a.example.com", "/en/7x", "example.com/en/7", "allow")
@@ -32,6 +32,7 @@ def test_urls(spark):
     assert got[3][1:] == got[4][1:] == got[9][1:] == ("", "", None, "allow")
     assert got[5][3:] == ("example.net/de/8", "block") and got[6][1:] == ("net", "", None, "allow")
     assert got[7][3] is None and got[8][3:] == ("org/es/", "block")
+    assert out.columns == ["page_id", "url", "_host", "_path", "place", "k", "host", "path", "rule", "verdict"]
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark, queries.URL_RULES)).count() == 0
 
 
@@ -46,6 +47,11 @@ def test_chat(spark):
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
     back = {r[0]: [(t["role"], t["text"]) for t in r[1]] for r in f.select("conv_id", chat_format.read_back(f.formatted)).collect()}
     assert back[1] == [("system", odd), ("user", ""), ("assistant", odd)] and back[3] == [("tool|<", odd)] * 2 and back[4] == [("", "")]
+    assert {r.conv_id: r.state for r in f.collect()} == {1: "answered", 2: "refused", 3: "refused", 4: "refused", None: "asked"}
+    strict = chat_format.Template(loss_when_refused=False)
+    assert {r.conv_id: r.turn_loss for r in chat_format.format_conversations(data, strict).collect()} == {1: [False, False, True], 2: [False], 3: [False] * 2, 4: [False], None: [False]}
+    plan = queries.QUERIES["op7_chat_format"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "answered" in plan and "refused" in plan  # the machine runs in the query
     d = {r.conv_id: r for r in chat_format.digests(f).collect()}
     assert d[1].loss_chars == len(odd) and d[1].loss_sha256 == hashlib.sha256(odd.encode()).hexdigest() and d[3].n_turns == 2
     assert chat_format.format_conversations(data.limit(0)).count() == 0

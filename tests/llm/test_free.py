@@ -306,3 +306,52 @@ def test_longest_previous_factors():
         assert seen == {(u, p) for u in range(len(units)) for p in range(count[u]) if next(at) >= least}
     long = np.frombuffer(b"x" * 40 + b"y" * 40 + b"x" * 40 + b"y" * 40, np.uint8)
     assert suffix_dedup.longest_previous(long, np.array([0, 80]), np.array([31, 31]), np.array([1, 2]), 50).tolist() == [0] * 31 + list(range(80, 49, -1))
+
+
+def test_passages_past_scattered_seeds(spark):
+    """Documents that hold a passage's phrases apart don't stand between two that hold the passage."""
+    r = random.Random(11)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a = make(70)
+    scattered = lambda: sum((a[k : k + 24] + make(3) for k in range(0, 70, 12)), [])
+    rows = [(1, scattered()), (2, make(20) + a + make(9)), (3, scattered()), (4, make(50) + a), (5, ["la"] * 3000), (6, make(30) + ["la"] * 200)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(2)
+    got = {(x.doc_id, x.ref_doc_id): x for x in passages.fuzzy_passages(docs).collect()}
+    assert (4, 2) in got and (got[4, 2].start, got[4, 2].end) == (50, 120)
+    assert (6, 5) in got and got[6, 5].end - got[6, 5].start == 200
+
+
+def passages_by_hand(rows, least=50, similarity=0.8, run=5):
+    """Documents with a window of `least` words that shares enough runs with one of an earlier document."""
+    out = set()
+    text = {i: words(t) for i, t in rows}
+    runs = {i: [tuple(w[k : k + run]) for k in range(len(w) - run + 1)] for i, w in text.items()}
+    n = least - run + 1
+    for i in text:
+        for j in text:
+            if j < i and len(set(runs[i]) & set(runs[j])) >= similarity * n:
+                for s in range(len(runs[i]) - n + 1):
+                    own = Counter(runs[i][s : s + n])
+                    if any(sum((own & Counter(runs[j][t : t + n])).values()) >= similarity * n for t in range(len(runs[j]) - n + 1)):
+                        out.add(i)
+                        break
+    return out
+
+
+def test_passages_by_brute_force(spark):
+    r = random.Random(12)
+    lines = [[f"l{r.randrange(300)}" for _ in range(9)] for _ in range(20)]
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, sources = [], [make(r.randrange(60, 130)) for _ in range(12)]
+    for i in range(150):
+        body = list(r.choice(sources)) if i % 2 else make(60)
+        body = body[r.randrange(5) :]
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            at = r.randrange(len(body))
+            body[at : at + r.randrange(2)] = make(r.randrange(2))
+        rows.append((i, " ".join(make(r.randrange(20)) + r.choice(lines) + body + r.choice(lines) + make(r.randrange(20)))))
+    want = passages_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id for x in passages.fuzzy_passages(docs).collect()}
+    assert len(want) > 40 and len(got & want) >= 0.9 * len(want), (len(got & want), len(want))
+    print("passages: recall", len(got & want) / len(want), "others", len(got - want))

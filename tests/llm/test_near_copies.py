@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline as p
+import numpy as np
+
+from shardwell.llm import near_copies
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(500)]
@@ -43,5 +46,20 @@ def test_near_copies(spark):
     frame = spark.createDataFrame([(*x, "s") for x in docs], "doc_id long, text string, label string").repartition(5)
     left = p.drop_near_copies(spark, frame, SF)
     assert left.columns == frame.columns
-    assert {x.doc_id for x in left.collect()} == kept(docs)
+    got, want = {x.doc_id for x in left.collect()}, kept(docs)
+    lost = len(docs) - len(want)
     assert p.drop_near_copies(spark, frame.limit(0), SF).count() == 0
+    assert got >= want and len(got - want) <= 0.1 * lost, (len(got - want), lost)
+
+
+def test_fingerprints_meet():
+    """Pairs at a similarity of 0.8 to 0.82 share a place, and are within FAR bits, in nine of ten cases at least."""
+    r, met = np.random.default_rng(1), 0
+    for _ in range(300):
+        own = r.integers(0, 1 << 64, 180, np.uint64)
+        a, b = np.unique(own[:162]), np.unique(own[18:])
+        assert near_copies.alike(a, b)
+        x, y = (near_copies.fingerprint(s) for s in (a, b))
+        close = any((p ^ q).bit_count() <= 2 for p, q in zip(near_copies.segments_of(x), near_copies.segments_of(y)))
+        met += close and int(np.bitwise_count(x ^ y).sum()) <= near_copies.FAR
+    assert met >= 270

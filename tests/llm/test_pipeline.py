@@ -4,8 +4,9 @@ import corpus_pipeline as p
 
 from shardwell.llm import toxicity
 from shardwell.llm.common import fold
-from tests.llm.test_free import components, fingerprint, lower
+from tests.llm.test_free import lower
 from tests.llm.test_native import brute
+from tests.llm.test_near_copies import kept as near_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,11 +19,9 @@ def test_pipeline(spark):
     left = {r.doc_id: r.text for r in docs.collect() if r.doc_id not in bad}
     last = {lower(t): i for i, t in sorted(left.items())}
     left = {i: left[i] for i in last.values()}
-    ids = sorted(left)
-    of = components([fingerprint(left[i]) for i in ids])
-    left = {i: left[i] for k, i in enumerate(ids) if of.index(of[k]) == k}
+    left = {i: left[i] for i in near_kept(list(left.items()))}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    near = {d for d, _ in brute([(i, t) for i, t in left.items() if any(x[1].lower().split()[5] in t.lower() for x in items)], items)}
+    near = {d for d, _ in brute(list(left.items()), items)}
     out = p.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(left) - near
     kept = docs

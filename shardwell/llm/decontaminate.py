@@ -94,16 +94,21 @@ def anchors(table: DataFrame, similarity: float, width: int) -> DataFrame:
 
 
 def anchored(docs: DataFrame, text_col: str, found: list) -> DataFrame:
-    """The documents that have an anchor, found by their words in small letters, then by pairs."""
-    within = lambda c, values: F.exists(c, lambda x: x.isin(sorted(values)))
-    rough = F.split(F.lower(text_or_empty(text_col)), SPACES)  # lower() also meets other capitals, on both sides alike
-    some = docs.filter(within(rough, {r["rough"] for r in found}))
-    words = words_of(text_or_empty(text_col))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    hit = within(pairs, {r["pair"] for r in found if r["pair"]})
-    if lone := {r["word"] for r in found if not r["pair"]}:
-        hit = hit | within(words, lone)
-    return some.filter(hit)
+    """The documents that have an anchor: first by their words in small letters, lower() also meeting other capitals, on
+    both sides alike; then by words as they count."""
+
+    def has(words: Column, firsts: set[str], pairs: set[str], lone: set[str]) -> Column:
+        def met(x: Column, y: Column) -> Column:  # a pair is looked up only where its first word is
+            hit = x.isin(sorted(firsts)) & F.concat(x, F.lit(" "), y).isin(sorted(pairs))
+            return hit | x.isin(sorted(lone)) if lone else hit
+
+        each = lambda w: F.array_contains(F.zip_with(w, F.slice(w, 2, F.size(w)), met), True)
+        return F.exists(F.array(words), each)  # binds the words once
+
+    rough = F.split(F.lower(text_or_empty(text_col)), SPACES)
+    paired = [r for r in found if r["pair"]]
+    some = docs.filter(has(rough, {r["rough"] for r in paired}, {r["rough_pair"] for r in paired}, {r["rough"] for r in found if not r["pair"]}))
+    return some.filter(has(words_of(text_or_empty(text_col)), {r["word"] for r in paired}, {r["pair"] for r in paired}, {r["word"] for r in found if not r["pair"]}))
 
 
 def findings(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, similarity: float, width: int, radius: int) -> DataFrame:
@@ -116,7 +121,7 @@ def findings(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if few and similarity >= ANCHORED:
-        found = anchors(table, similarity, width).withColumn("rough", F.lower("word")).collect()  # about one in ten words of the items
+        found = anchors(table, similarity, width).select("*", F.lower("word").alias("rough"), F.lower("pair").alias("rough_pair")).collect()  # about one in ten words of the items
         rows = anchored(rows, "text", found) if found else rows.limit(0)
     base = rows.select("doc_id", F.sha2(text_or_empty("text").cast("binary"), 256).alias("digest"), words_of(text_or_empty("text")).alias("words"))
     indexed = [F.transform(runs("words", k), lambda h, i: F.struct(i.alias("pos"), h.alias("run"))) for k in widths]

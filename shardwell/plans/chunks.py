@@ -36,43 +36,11 @@ def chk01(spark, sf_dir):
     return chunking.by_file(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-SEMANTIC = f"""WITH {DOCS}, b AS (SELECT doc_id, list(i - 1 ORDER BY i) AS cuts FROM docs, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(ls[i], '^(The|Die|El|Le) ') GROUP BY doc_id),
-  s AS (SELECT doc_id, ls, CASE WHEN j = 1 THEN 0 ELSE cuts[j - 1] END AS a, cuts[j] AS z FROM b JOIN docs USING (doc_id), unnest(range(1, len(cuts) + 1)) AS u(j)),
-  k AS (SELECT doc_id, array_to_string(ls[a + 1 : z], chr(10)) AS content, CAST(a AS INTEGER) AS start_line, CAST(z AS INTEGER) AS end_line FROM s WHERE z > a),
-  c AS (SELECT doc_id, text AS content, 0 AS start_line, CAST(len(ls) AS INTEGER) AS end_line FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM b)
-        UNION ALL SELECT * FROM k WHERE trim(content) <> '')"""
-
-
-def boundary():
-    return F.col("line").rlike("^(The|Die|El|Le) ")
-
-
-@query("chk02_semantic", SEMANTIC + " SELECT *, 'chunk:sha256:' || sha256(content) AS chunk_id FROM c")
-def chk02(spark, sf_dir):
-    return chunking.semantic(table(spark, sf_dir, "documents"), "doc_id", "text", boundary())
-
-
 @query("chk03_fixed_size", pieces(25, "s + 25") + " SELECT doc_id, piece, content, start_line, end_line, 'chunk:sha256:' || sha256(content) AS chunk_id FROM p")
 def chk03(spark, sf_dir):
     return chunking.fixed_size(table(spark, sf_dir, "documents"), "doc_id", "text", 2000)
 
 
-@query(
-    "chk04_hierarchical",
-    SEMANTIC + """ SELECT doc_id, text AS content, 0 AS start_line, CAST(len(ls) AS INTEGER) AS end_line, 'chunk:sha256:' || sha256(text) AS chunk_id, NULL AS parent_id FROM docs
-    UNION ALL SELECT c.*, 'chunk:sha256:' || sha256(content), 'chunk:sha256:' || sha256(text) FROM c JOIN docs USING (doc_id)""".replace("c.*,", "c.doc_id, content, start_line, end_line,"),
-)
-def chk04(spark, sf_dir):
-    return chunking.hierarchical(table(spark, sf_dir, "documents"), "doc_id", "text", boundary())
-
-
 @query("chk05_by_lines", pieces(100, "least(s + 100, len(ls))") + " SELECT doc_id, piece, content, start_line, end_line, 'chunk:sha256:' || sha256(content) AS chunk_id FROM p")
 def chk05(spark, sf_dir):
     return chunking.by_lines(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
-
-
-@query("chk06_boundaries", f"WITH {DOCS} SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, ls[i] AS line FROM docs, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(ls[i], '^(The|Die|El|Le) ')")
-def chk06(spark, sf_dir):
-    from shardwell.functions.text import lines
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "line")).filter(boundary())

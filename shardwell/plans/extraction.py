@@ -13,22 +13,12 @@ def rust(spark, sf_dir):
     return p.select("p_partkey", body.alias("source"))
 
 
-@query("chk14_rust_atoms", "SELECT p_partkey, 'p' || p_partkey AS name, 'function' AS kind, 1 AS start_line, 3 AS end_line FROM part UNION ALL SELECT p_partkey, 'S' || p_partkey, 'struct', 5, 5 FROM part")
+@query("chk14_rust_atoms", "SELECT p_partkey, 'p' || p_partkey AS name, 'function' AS kind, 1 AS start_line, 3 AS end_line FROM part UNION ALL SELECT p_partkey, 'S' || p_partkey, 'struct', 4, 5 FROM part")
 def chk14(spark, sf_dir):
     a = rust(spark, sf_dir).select("p_partkey", F.explode(code.atom_column("rust")("source")).alias("a"))
     return a.select("p_partkey", "a.name", "a.kind", "a.start_line", "a.end_line")
 
 
-@query("chk16_python_atoms", "SELECT o_orderkey, 'f' || o_orderkey AS name, 'function' AS kind, 1 AS start_line FROM orders WHERE o_orderkey < 2000 UNION ALL SELECT o_orderkey, 'C' || o_orderkey, 'class', 4 FROM orders WHERE o_orderkey < 2000")
-def chk16(spark, sf_dir):
-    return python_atoms(table(spark, sf_dir, "orders").filter("o_orderkey < 2000"))
-
-
-@query("chk16_python_atoms_all", "SELECT o_orderkey, 'f' || o_orderkey AS name, 'function' AS kind, 1 AS start_line FROM orders UNION ALL SELECT o_orderkey, 'C' || o_orderkey, 'class', 4 FROM orders")
-def chk16_all(spark, sf_dir):
-    return python_atoms(table(spark, sf_dir, "orders"))
-
-
 def python_atoms(o):
     source = F.format_string("def f%d(a):\n    return a\n\nclass C%d:\n    pass\n", "o_orderkey", "o_orderkey")
     a = o.select("o_orderkey", F.explode(code.atom_column("python")(source)).alias("a"))
@@ -72,11 +62,6 @@ def scal19(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", canonical(F.format_string("a=%d+b ( c ,d )  // note\n\n", "p_size")).alias("canonical"))
 
 
-@query("chk23_features", "SELECT doc_id, contains(lower(text), 'the') AS mentions, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+ing')) AS INTEGER) AS names FROM documents")
-def chk23(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.contains(F.lower("text"), F.lit("the")).alias("mentions"), F.size(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ing"), 0)).alias("names"))
-
-
 @query("chk24_manifest_dependencies", "SELECT event_type AS file, CAST(json_extract(props, '$.k') AS BIGINT) AS version, count(*) AS n FROM events GROUP BY 1, 2")
 def chk24(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.explode(F.from_json("props", "map<string,bigint>")).alias("name", "version"))

@@ -89,12 +89,6 @@ def fil20(spark, sf_dir):
     return p.crossJoin(F.broadcast(wanted)).filter(F.endswith("url", F.concat(F.lit("/"), F.col("_a")))).orderBy("url").limit(1).select("page_id", "url")
 
 
-@query("fil22_file_kinds", "SELECT page_id, contains(url, 'ads') OR contains(url, '_test') AS is_test, ends_with(url, '.html') AS is_entry, regexp_matches(url, '[?]') AS is_config FROM pages")
-def fil22(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", (F.contains(u, F.lit("ads")) | F.contains(u, F.lit("_test"))).alias("is_test"), F.endswith(u, F.lit(".html")).alias("is_entry"), u.rlike("[?]").alias("is_config"))
-
-
 @query("fil24_alias_search", f"WITH {NODES_SQL} SELECT node_id, alias FROM nodes WHERE contains(lower(alias), 'ring') OR contains(lower(node_id), 'nation:1')")
 def fil24(spark, sf_dir):
     return corpus.nodes(spark, sf_dir).filter(mentions(F.col("alias"), "ring") | mentions(F.col("node_id"), "nation:1")).select("node_id", "alias")

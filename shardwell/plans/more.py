@@ -87,11 +87,6 @@ def fil19(spark, sf_dir):
     return corpus.nodes(spark, sf_dir).filter("alias = 'NATION_7'").select("node_id")
 
 
-@query("fil21_entity_size", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 5")
-def fil21(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n >= 5")
-
-
 @query("fil23_kinds", "SELECT conv_id, turn, role IN ('user', 'system') AS is_dependency, role = 'assistant' AS is_executable FROM conversations")
 def fil23(spark, sf_dir):
     r = F.col("role")
@@ -163,17 +158,6 @@ def chk07(spark, sf_dir):
 LADDER = "CASE WHEN n < 3 THEN 'atomic' WHEN config THEN 'atomic' WHEN entities = 1 THEN 'atomic' WHEN entities >= 2 AND long_ >= 2 THEN 'by_entity' WHEN n > 30 THEN 'hierarchical' ELSE 'by_entity' END"
 
 
-@query("chk09_decision_ladder", f"WITH f AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, contains(text, '=') AS config, len(regexp_extract_all(text, '\\n')) AS entities, len(regexp_extract_all(text, '\\n[A-Z]')) AS long_ FROM documents) SELECT doc_id, {LADDER} AS decision FROM f")
-def chk09(spark, sf_dir):
-    f = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.contains("text", F.lit("=")).alias("config"), F.size(F.regexp_extract_all("text", F.lit(r"\n"), 0)).alias("entities"), F.size(F.regexp_extract_all("text", F.lit(r"\n[A-Z]"), 0)).alias("long_"))
-    return f.select("doc_id", F.expr(LADDER).alias("decision"))
-
-
-@query("chk11_entity_aliases", "SELECT p_partkey, 'part/' || replace(lower(p_name), ' ', '-') AS alias FROM part")
-def chk11(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("part/"), t.kebab_case(F.col("p_name"))).alias("alias"))
-
-
 @query("scal12_mock_embedding", "SELECT doc_id, array_to_string(list_transform([strlen(text), strlen(text) * 2, strlen(text) / 2.0, 0, 1], lambda x: CAST(round(x * 2) AS BIGINT)), ',') AS vector FROM documents")
 def scal12(spark, sf_dir):
     n = F.octet_length("text").cast("double")
@@ -181,19 +165,6 @@ def scal12(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(v, lambda x: F.round(x * 2).cast("long").cast("string")), ",").alias("vector"))
 
 
-@query("scal15_similarity", "SELECT p_partkey, p_brand = p_type AS identical, CASE WHEN p_brand = p_type THEN 1.0 ELSE round(1 - levenshtein(p_brand, p_type) / greatest(strlen(p_brand), strlen(p_type)), 6) END AS similarity FROM part")
-def scal15(spark, sf_dir):
-    same = F.col("p_brand") == F.col("p_type")
-    s = F.round(1 - F.levenshtein("p_brand", "p_type") / F.greatest(F.octet_length("p_brand"), F.octet_length("p_type")), 6)
-    return table(spark, sf_dir, "part").select("p_partkey", same.alias("identical"), F.when(same, 1.0).otherwise(s).alias("similarity"))
-
-
-@query("scal21_concepts_by_language", "SELECT doc_id, array_to_string(list_filter([CASE WHEN lang = 'en' AND contains(text, 'the') THEN 'article' END, CASE WHEN contains(text, '@') THEN 'decorators' END], lambda x: x IS NOT NULL), ',') AS concepts FROM documents")
-def scal21(spark, sf_dir):
-    found = F.array_compact(F.array(F.when((F.col("lang") == "en") & F.contains("text", F.lit("the")), "article"), F.when(F.contains("text", F.lit("@")), "decorators")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("concepts"))
-
-
 @query("scal26_description", "SELECT doc_id, list_first(list_filter(string_split(text, chr(10))[2:], lambda x: trim(x) <> '' AND NOT starts_with(x, '#'))) AS description FROM documents")
 def scal26(spark, sf_dir):
     rest = F.split("text", "\n")
@@ -201,11 +172,6 @@ def scal26(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.get(good, 0).alias("description"))
 
 
-@query("scal36_imports_exports", f"WITH {FILES_SQL} SELECT page_id, CAST(len(imports) AS INTEGER) AS imports, CAST(len(list_distinct(imports)) AS INTEGER) AS kinds FROM files")
-def scal36(spark, sf_dir):
-    return corpus.files(spark, sf_dir).select("page_id", F.size("imports").alias("imports"), F.size(F.array_distinct("imports")).alias("kinds"))
-
-
 @query("scal41_link_map", f"WITH {FILES_SQL}, i AS (SELECT f.page_id, x, min(p.page_id) AS target FROM files f, unnest(f.imports) AS u(x) JOIN pages p ON x = p.url GROUP BY 1, 2) SELECT page_id, string_agg(x || '=link:' || target, ',' ORDER BY x) AS links FROM i GROUP BY page_id")
 def scal41(spark, sf_dir):
     f = corpus.files(spark, sf_dir)
@@ -215,12 +181,7 @@ def scal41(spark, sf_dir):
     return i.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("links"))
 
 
-@query("scal51_transform_inputs", "SELECT l_orderkey AS step, string_agg('pending:' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS inputs FROM lineitem WHERE l_orderkey < 1000 GROUP BY 1")
-def scal51(spark, sf_dir):
-    return pending_inputs(table(spark, sf_dir, "lineitem").filter("l_orderkey < 1000"))
-
-
-@query("scal51_transform_inputs_all", "SELECT l_orderkey AS step, string_agg('pending:' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS inputs FROM lineitem GROUP BY 1")
+@query("scal51_transform_inputs", "SELECT l_orderkey AS step, string_agg('pending:' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS inputs FROM lineitem GROUP BY 1")
 def scal51_all(spark, sf_dir):
     return pending_inputs(table(spark, sf_dir, "lineitem"))
 

@@ -41,12 +41,6 @@ def scal08(spark, sf_dir):
     return corpus.registry(spark, sf_dir).select("doc_id", F.round(0.5 * ((F.col("coverage") + 1) / 2) + 0.3 * F.col("quality") + 0.2 * F.col("quality"), 6).alias("score"))
 
 
-@query("scal09_quality", f"WITH {REGISTRY_SQL} SELECT doc_id, round(least(0.5 + CASE WHEN description <> '' THEN 0.1 ELSE 0.0 END + coverage * 0.2, 1.0), 6) AS score FROM reg")
-def scal09(spark, sf_dir):
-    s = 0.5 + F.when(F.col("description") != "", 0.1).otherwise(0.0) + F.col("coverage") * 0.2
-    return corpus.registry(spark, sf_dir).select("doc_id", F.round(F.least(s, F.lit(1.0)), 6).alias("score"))
-
-
 @query("scal11_cosine", f"SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
 def scal11(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -105,39 +99,11 @@ def scal29(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.split("text", "\n")[0]).alias("title"), F.octet_length("text").cast("long").alias("size"))
 
 
-@query("scal30_quality_metrics", "SELECT p_type, round(least(count(*) + 2 * count(DISTINCT p_brand) + 1.5 * count(DISTINCT p_size), 100), 6) AS complexity, round(100 * count(DISTINCT p_brand) / count(*), 6) AS modularity FROM part GROUP BY p_type")
-def scal30(spark, sf_dir):
-    n, b, s = F.count("*"), F.count_distinct("p_brand"), F.count_distinct("p_size")
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.round(F.least(n + 2 * b + 1.5 * s, F.lit(100.0)), 6).alias("complexity"), F.round(100 * b / n, 6).alias("modularity"))
-
-
-@query("scal31_features", "SELECT lang, 'defines_' || lang || '_' || count(*) || '_functions' AS feature FROM documents GROUP BY lang")
-def scal31(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.format_string("defines_%s_%d_functions", "lang", F.count("*")).alias("feature"))
-
-
-@query("scal33_language_of_path", "SELECT page_id, CASE WHEN ends_with(url, '.html') THEN 'html' WHEN ends_with(url, '/') THEN 'directory' ELSE 'unknown' END AS language FROM pages")
-def scal33(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.endswith(u, F.lit(".html")), "html").when(F.endswith(u, F.lit("/")), "directory").otherwise("unknown").alias("language"))
-
-
-@query("scal35_category", "SELECT page_id, CASE WHEN contains(url, 'ads') THEN 'test' WHEN contains(url, '?') THEN 'config' WHEN contains(url, '/de/') THEN 'api' ELSE 'logic' END AS category FROM pages")
-def scal35(spark, sf_dir):
-    has = lambda s: F.contains("url", F.lit(s))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(has("ads"), "test").when(has("?"), "config").when(has("/de/"), "api").otherwise("logic").alias("category"))
-
-
 @query("scal37_kebab", "SELECT p_partkey, replace(translate(lower(substr(p_brand, 1, 1) || regexp_replace(substr(p_brand, 2), '([A-Z])', '-\\1', 'g')), '_ ', '--'), '--', '-') AS kebab FROM part")
 def scal37(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.kebab_case(F.col("p_brand")).alias("kebab"))
 
 
-@query("scal38_alias", "SELECT page_id, regexp_extract(url, '([^/]+)/[^/]*$', 1) || '/' || regexp_extract(url, '[^/]*$') AS alias FROM pages")
-def scal38(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws("/", F.regexp_extract("url", "([^/]+)/[^/]*$", 1), F.regexp_extract("url", "[^/]*$", 0)).alias("alias"))
-
-
 @query("scal39_unique_alias", "SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE p_name || '-' || (n - 1) END AS alias FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
 def scal39(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))

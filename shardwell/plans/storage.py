@@ -167,5 +167,3 @@ def src42(spark, sf_dir):
 def src44(spark, sf_dir):
     n = corpus.nodes(spark, sf_dir).agg(F.lit("nodes").alias("pass"), F.count("*").alias("n"))
     return n.unionByName(corpus.edges(spark, sf_dir).agg(F.lit("edges").alias("pass"), F.count("*").alias("n")))
-
-

@@ -45,9 +45,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="shardwell-")
         atexit.register(__import__("shutil").rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", f"file://{found}")

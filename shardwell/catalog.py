@@ -25,5 +25,5 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-for _family in ("chunks", "storage", "filters", "joins", "aggregates", "ranking", "sets", "graph", "scalars", "extraction", "sourcecode", "views", "build", "more"):
+for _family in ("chunks", "storage", "filters", "joins", "aggregates", "ranking", "sets", "graph", "scalars", "extraction", "sourcecode", "views", "build", "projects", "more"):
     importlib.import_module(f"shardwell.plans.{_family}")

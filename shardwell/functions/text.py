@@ -43,8 +43,18 @@ def kebab_case(c: Column) -> Column:
 
 
 def human_bytes(c: Column) -> Column:
-    kb, mb, gb = 1024, 1024**2, 1024**3
-    return F.when(c >= gb, F.format_string("%.2f GB", c / gb)).when(c >= mb, F.format_string("%.2f MB", c / mb)).when(c >= kb, F.format_string("%.2f KB", c / kb)).otherwise(F.format_string("%d B", c.cast("long")))
+    """Bytes in the largest unit that fits, to two decimals, halves to even."""
+
+    def shown(unit: int, name: str) -> Column:
+        n = F.bround(c.cast("decimal(20,0)") / F.lit(unit).cast("decimal(10,0)"), 2)
+        return F.concat(n.cast("decimal(20,2)").cast("string"), F.lit(f" {name}"))
+
+    return F.when(c >= 1024**3, shown(1024**3, "GB")).when(c >= 1024**2, shown(1024**2, "MB")).when(c >= 1024, shown(1024, "KB")).otherwise(F.concat(c.cast("string"), F.lit(" B")))
+
+
+def lenient_verify(found: Column, given: Column) -> Column:
+    """Whether either of two hashes begins with the other."""
+    return F.startswith(found, given) | F.startswith(given, found)
 
 
 def cosine(a: Column, b: Column) -> Column:

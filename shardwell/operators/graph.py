@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass, field, replace
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         made = tempfile.mkdtemp(prefix="shardwell-graph-")
         atexit.register(shutil.rmtree, made, True)
         root = f"file://{made}"
@@ -99,10 +102,10 @@ def traverse(q: GraphQuery, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out if q.limit is None else out.orderBy("depth", "node_id").limit(q.limit)
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """root, node, depth: all that each root (column root) reaches, itself included."""
+def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """root, node, depth: all that each root (column root) reaches within most steps (None: any number), itself included."""
     frontier = seen = cut_lineage(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = cut_lineage(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -111,6 +114,12 @@ def closure(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
     return seen
 
 
+def mutual(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different starts that reach each other: the members of cycles."""
+    reach = closure(edges, starts).filter("depth > 0 AND root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return cut_lineage(reach).join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+
+
 def paths(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """path (array), depth: of every node reached, the smallest of its shortest paths."""
     spark: SparkSession = edges.sparkSession
@@ -184,11 +193,11 @@ def expand(groups: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
     return asked.join(graph, "grp").mapInPandas(run, "grp long, included array<string>, tokens long, depth int, truncated boolean")
 
 
-def topological(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
+def topological(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, level: nodes whose dependencies all have smaller levels; raises if a cycle leaves some over."""
     left, level, done = nodes.select("node"), 0, None
     rest = edges.select("src", "dst")
-    while level < most and not left.isEmpty():
+    while not left.isEmpty():
         ready = left.join(rest.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
         ready = cut_lineage(ready.withColumn("level", F.lit(level)))
         if ready.isEmpty():

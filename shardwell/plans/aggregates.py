@@ -13,13 +13,6 @@ def agg01(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.size(F.split("text", "\n"))).alias("lines"))
 
 
-@query("agg02_project_type", "SELECT source, CASE WHEN count(DISTINCT lang) > 2 THEN 'mixed' ELSE mode_ END AS type FROM documents JOIN (SELECT source, lang AS mode_ FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1) USING (source) GROUP BY source, mode_")
-def agg02(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    best = n.groupBy("source").agg(F.count("*").alias("k"), F.min(F.struct((-F.col("n")).alias("m"), "lang")).alias("b"))
-    return best.select("source", F.when(F.col("k") > 2, "mixed").otherwise(F.col("b.lang")).alias("type"))
-
-
 @query("agg03_modules", f"WITH {FILES_SQL} SELECT parent, count(*) AS files, CAST(sum(len(imports)) AS BIGINT) AS exports, bool_or(ends_with(path, '.html')) AS entry FROM files GROUP BY parent")
 def agg03(spark, sf_dir):
     return corpus.files(spark, sf_dir).groupBy("parent").agg(F.count("*").alias("files"), F.sum(F.size("imports")).alias("exports"), F.bool_or(F.endswith("path", F.lit(".html"))).alias("entry"))

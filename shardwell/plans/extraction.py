@@ -60,9 +60,3 @@ def scal19(spark, sf_dir):
         return s.map(lambda x: code.canonical(x, "rust"))
 
     return table(spark, sf_dir, "part").select("p_partkey", canonical(F.format_string("a=%d+b ( c ,d )  // note\n\n", "p_size")).alias("canonical"))
-
-
-@query("chk24_manifest_dependencies", "SELECT event_type AS file, CAST(json_extract(props, '$.k') AS BIGINT) AS version, count(*) AS n FROM events GROUP BY 1, 2")
-def chk24(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.explode(F.from_json("props", "map<string,bigint>")).alias("name", "version"))
-    return e.groupBy("file", "version").agg(F.count("*").alias("n"))

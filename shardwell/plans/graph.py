@@ -23,22 +23,12 @@ def whole(spark, sf_dir):
     return corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir)
 
 
-@query("grf01_dependencies", bfs("orders:0", 3))
-def grf01(spark, sf_dir):
-    return g.traverse(g.GraphQuery.dependencies("orders:0"), *parts(spark, sf_dir)).select("node_id", "depth")
-
-
-@query("grf01_dependents", bfs("region:0", 3, "dst", "src"))
-def grf01b(spark, sf_dir):
-    return g.traverse(g.GraphQuery.dependents("region:0").with_limit(10**6), *parts(spark, sf_dir)).select("node_id", "depth")
-
-
-@query("grf01_dependencies_all", bfs("orders:0", 3, edges=EDGES_SQL))
+@query("grf01_dependencies", bfs("orders:0", 3, edges=EDGES_SQL))
 def grf01_all(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependencies("orders:0").with_limit(None), *whole(spark, sf_dir)).select("node_id", "depth")
 
 
-@query("grf01_dependents_all", bfs("region:0", 3, "dst", "src", edges=EDGES_SQL))
+@query("grf01_dependents", bfs("region:0", 3, "dst", "src", edges=EDGES_SQL))
 def grf01b_all(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependents("region:0").with_limit(None), *whole(spark, sf_dir)).select("node_id", "depth")
 
@@ -57,41 +47,24 @@ def grf03(spark, sf_dir):
     return g.paths(parts(spark, sf_dir)[1], "orders:7", 3).select("node", F.array_join("path", ">").alias("path"), "depth")
 
 
-@query("grf04_expansion")
-def grf04(spark, sf_dir):
-    groups = table(spark, sf_dir, "orders").filter("o_orderkey < 20").select((F.col("o_orderkey") % 5).alias("grp"), F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("seed"), F.col("o_orderkey").alias("pos"))
-    nodes, edges = parts(spark, sf_dir)
-    return g.expand(groups, nodes, edges)
-
-
 def order_groups(spark, sf_dir):
     """Each customer's orders as a group of seeds."""
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("seed"), F.col("o_orderkey").alias("pos"))
 
 
-@query("grf04_expansion_all")
+@query("grf04_expansion")
 def grf04_all(spark, sf_dir):
     return g.expand(order_groups(spark, sf_dir), corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir))
 
 
-@query("grf06_auto_expand", bfs("orders:3", 2, where="edge_type IN ('imports', 'type_ref', 'generic_ref')"))
-def grf06(spark, sf_dir):
-    return g.traverse(g.GraphQuery.dependencies("orders:3").of("imports", "type_ref", "generic_ref").with_depth(2), *parts(spark, sf_dir)).select("node_id", "depth")
-
-
-@query("grf06_auto_expand_all", bfs("orders:3", 2, where="edge_type IN ('imports', 'type_ref', 'generic_ref', 'calls')", edges=EDGES_SQL))
+@query("grf06_auto_expand", bfs("orders:3", 2, where="edge_type IN ('imports', 'type_ref', 'generic_ref', 'calls')", edges=EDGES_SQL))
 def grf06_all(spark, sf_dir):
     """'calls' too: an order reaches parts, and so 'generic_ref', by it alone."""
     q = g.GraphQuery.dependencies("orders:3").of("imports", "type_ref", "generic_ref", "calls").with_depth(2).with_limit(None)
     return g.traverse(q, *whole(spark, sf_dir)).select("node_id", "depth")
 
 
-@query("grf08_chain", f"WITH {FK_EDGES_SQL} SELECT a.src AS source, min(a.src || ' -> ' || b.src || ' -> ' || b.dst) AS chain FROM edges a JOIN edges b ON a.dst = b.src WHERE b.edge_type = 'imports' GROUP BY a.src")
-def grf08(spark, sf_dir):
-    return chains(parts(spark, sf_dir)[1])
-
-
-@query("grf08_chain_all", f"WITH {EDGES_SQL} SELECT a.src AS source, min(a.src || ' -> ' || b.src || ' -> ' || b.dst) AS chain FROM edges a JOIN edges b ON a.dst = b.src WHERE b.edge_type = 'imports' GROUP BY a.src")
+@query("grf08_chain", f"WITH {EDGES_SQL} SELECT a.src AS source, min(a.src || ' -> ' || b.src || ' -> ' || b.dst) AS chain FROM edges a JOIN edges b ON a.dst = b.src WHERE b.edge_type = 'imports' GROUP BY a.src")
 def grf08_all(spark, sf_dir):
     return chains(whole(spark, sf_dir)[1])
 
@@ -104,16 +77,6 @@ def chains(e):
 
 @query(
     "grf09_closure",
-    f"""WITH RECURSIVE {FK_EDGES_SQL}, w AS (SELECT 'customer:' || c_custkey AS root, 'customer:' || c_custkey AS node FROM customer WHERE c_custkey < 100
-      UNION SELECT w.root, e.dst FROM w JOIN edges e ON e.src = w.node) SELECT root, count(*) AS reached FROM w GROUP BY root""",
-)
-def grf09(spark, sf_dir):
-    roots = table(spark, sf_dir, "customer").filter("c_custkey < 100").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("root"))
-    return g.closure(parts(spark, sf_dir)[1], roots).groupBy("root").agg(F.count("*").alias("reached"))
-
-
-@query(
-    "grf09_closure_all",
     f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT 'customer:' || c_custkey AS root, 'customer:' || c_custkey AS node FROM customer
       UNION SELECT w.root, e.dst FROM w JOIN edges e ON e.src = w.node) SELECT root, count(*) AS reached FROM w GROUP BY root""",
 )
@@ -134,12 +97,7 @@ def grf11(spark, sf_dir):
     return p.filter(F.startswith("node", F.lit("nation:"))).orderBy("depth", "path").limit(1).select(F.array_join("path", ">").alias("path"))
 
 
-@query("grf13_adjacency", f"WITH {FK_EDGES_SQL} SELECT dst AS node, count(*) AS fan_in, min(src) AS first FROM edges GROUP BY dst")
-def grf13(spark, sf_dir):
-    return adjacency(parts(spark, sf_dir)[1])
-
-
-@query("grf13_adjacency_all", f"WITH {EDGES_SQL} SELECT dst AS node, count(*) AS fan_in, min(src) AS first FROM edges GROUP BY dst")
+@query("grf13_adjacency", f"WITH {EDGES_SQL} SELECT dst AS node, count(*) AS fan_in, min(src) AS first FROM edges GROUP BY dst")
 def grf13_all(spark, sf_dir):
     return adjacency(whole(spark, sf_dir)[1])
 

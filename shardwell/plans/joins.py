@@ -16,12 +16,7 @@ def join01(spark, sf_dir):
     return hits.join(corpus.registry(spark, sf_dir), "doc_id", "left").select("chunk_id", F.coalesce("name", F.lit("Unknown")).alias("name"), F.coalesce("description", F.lit("No description")).alias("description"))
 
 
-@query("join02_score_merge", "SELECT coalesce(d.doc_id, e.vec_id) AS chunk_id, round(coalesce(0.3::DOUBLE * (d.n_chars % 10), 0) + coalesce(0.5::DOUBLE * label, 0), 6) AS score FROM (SELECT * FROM documents WHERE doc_id % 3 = 0) d FULL JOIN embeddings e ON d.doc_id = e.vec_id")
-def join02(spark, sf_dir):
-    return merged_scores(spark, sf_dir, table(spark, sf_dir, "documents").filter("doc_id % 3 = 0"))
-
-
-@query("join02_score_merge_all", "SELECT coalesce(d.doc_id, e.vec_id) AS chunk_id, round(coalesce(0.3::DOUBLE * (d.n_chars % 10), 0) + coalesce(0.5::DOUBLE * label, 0), 6) AS score FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id")
+@query("join02_score_merge", "SELECT coalesce(d.doc_id, e.vec_id) AS chunk_id, round(coalesce(0.3::DOUBLE * (d.n_chars % 10), 0) + coalesce(0.5::DOUBLE * label, 0), 6) AS score FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id")
 def join02_all(spark, sf_dir):
     return merged_scores(spark, sf_dir, table(spark, sf_dir, "documents"))
 
@@ -71,14 +66,7 @@ def join05(spark, sf_dir):
     return found.join(d, "doc_id").filter(F.contains("text", F.col("item"))).select("item_id", "doc_id")
 
 
-@query("join07_ghosts", f"WITH {FK_EDGES_SQL}, req AS (SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_custkey < 50) SELECT DISTINCT dst AS ghost FROM edges JOIN req ON src = id WHERE dst NOT IN (SELECT id FROM req)")
-def join07(spark, sf_dir):
-    req = table(spark, sf_dir, "customer").filter("c_custkey < 50").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
-    e = corpus.edges(spark, sf_dir, lineitem=False).join(F.broadcast(req), F.col("src") == F.col("id"))
-    return e.select(F.col("dst").alias("ghost")).distinct().join(req, F.col("ghost") == F.col("id"), "left_anti")
-
-
-@query("join07_ghosts_all", f"WITH {EDGES_SQL}, req AS (SELECT 'customer:' || c_custkey AS id FROM customer) SELECT DISTINCT dst AS ghost FROM edges JOIN req ON src = id WHERE dst NOT IN (SELECT id FROM req)")
+@query("join07_ghosts", f"WITH {EDGES_SQL}, req AS (SELECT 'customer:' || c_custkey AS id FROM customer) SELECT DISTINCT dst AS ghost FROM edges JOIN req ON src = id WHERE dst NOT IN (SELECT id FROM req)")
 def join07_all(spark, sf_dir):
     req = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
     e = corpus.edges(spark, sf_dir).join(req, F.col("src") == F.col("id"))
@@ -92,13 +80,7 @@ def join08(spark, sf_dir):
     return e.withColumn("n", F.row_number().over(w)).filter("n = 1").select(F.col("dst").alias("ghost"), F.col("src").alias("because"))
 
 
-@query("join09_compatible", "SELECT p.p_partkey AS provider, o.o_orderkey AS consumer FROM part p JOIN orders o ON p.p_size = o.o_custkey WHERE p.p_partkey < 200")
-def join09(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("provider"), F.col("p_size").cast("long").alias("t"))
-    return p.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("consumer"), F.col("o_custkey").alias("t")), "t").select("provider", "consumer")
-
-
-@query("join09_compatible_all", "SELECT p_size AS t, 'provider' AS side, p_partkey AS id FROM part WHERE p_size IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'consumer', o_orderkey FROM orders WHERE o_custkey IN (SELECT p_size FROM part)")
+@query("join09_compatible", "SELECT p_size AS t, 'provider' AS side, p_partkey AS id FROM part WHERE p_size IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'consumer', o_orderkey FROM orders WHERE o_custkey IN (SELECT p_size FROM part)")
 def join09_all(spark, sf_dir):
     """All members of every type that has both sides; each provider fits each consumer of its type, and pairs are not listed."""
     p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("t"), F.lit("provider").alias("side"), F.col("p_partkey").alias("id"))
@@ -114,13 +96,7 @@ def join10(spark, sf_dir):
     return f.select(F.col("page_id").alias("consumer"), F.explode(F.array_distinct("imports")).alias("i")).join(provides, "i").select("consumer", "provider").distinct()
 
 
-@query("join12_equivalents", "SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.doc_id <> b.doc_id WHERE a.doc_id < 100")
-def join12(spark, sf_dir):
-    h = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return h.filter("doc_id < 100").join(h.withColumnRenamed("doc_id", "other"), "h").filter("doc_id <> other").select("doc_id", "other")
-
-
-@query("join12_equivalents_all", "SELECT doc_id, min(doc_id) OVER w AS class, count(*) OVER w AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY sha256(text)) QUALIFY n > 1")
+@query("join12_equivalents", "SELECT doc_id, min(doc_id) OVER w AS class, count(*) OVER w AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY sha256(text)) QUALIFY n > 1")
 def join12_all(spark, sf_dir):
     """All documents whose text occurs again, with the smallest id of the text as class; equivalents are the others of the class."""
     h = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))

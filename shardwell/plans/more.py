@@ -16,11 +16,6 @@ def case(column: str, values: dict) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v if isinstance(v, int) else repr(v)}" for k, v in values.items()) + " END"
 
 
-@query("src08_legacy_walk", "SELECT regexp_extract(url, '(\\.[a-z]+)?$', 1) AS extension, count(*) AS files FROM pages GROUP BY 1")
-def src08(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", r"(\.[a-z]+)?$", 1).alias("extension")).agg(F.count("*").alias("files"))
-
-
 @query("src30_embedding_store", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2 FROM embeddings")
 def src30(spark, sf_dir):
     sq = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -87,12 +82,6 @@ def fil19(spark, sf_dir):
     return corpus.nodes(spark, sf_dir).filter("alias = 'NATION_7'").select("node_id")
 
 
-@query("fil23_kinds", "SELECT conv_id, turn, role IN ('user', 'system') AS is_dependency, role = 'assistant' AS is_executable FROM conversations")
-def fil23(spark, sf_dir):
-    r = F.col("role")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.isin("user", "system").alias("is_dependency"), (r == "assistant").alias("is_executable"))
-
-
 @query("ui01_browser_filter", f"WITH {NODES_SQL} SELECT node_id FROM nodes WHERE language = 'part' AND (contains(lower(alias), 'ring') OR contains(lower(node_id), '77'))")
 def ui01(spark, sf_dir):
     n = corpus.nodes(spark, sf_dir).filter("language = 'part'")
@@ -111,14 +100,6 @@ def join06(spark, sf_dir):
     return f.withColumn("stem", F.regexp_extract("path", r"([^/.]+)([.][^/]*)?$", 1)).join(often, "stem", "left_semi").select("page_id", "path")
 
 
-@query("join11_mutual", "SELECT count(*) AS cycles FROM (SELECT 1 WHERE false)")
-def join11(spark, sf_dir):
-    e = corpus.edges(spark, sf_dir, lineitem=False)
-    roots = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("root"))
-    reach = g.closure(e, roots).filter("depth > 0").select("root", "node")
-    return reach.join(reach.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"]).agg(F.count("*").alias("cycles"))
-
-
 @query("topk05_vector_topk", "SELECT vec_id, round(coalesce(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 0), 6) AS score FROM embeddings WHERE label = 2 ORDER BY score DESC, vec_id LIMIT 5")
 def topk05(spark, sf_dir):
     from shardwell.operators.search import nearest
@@ -199,13 +180,6 @@ def udf09(spark, sf_dir):
     return d.groupBy(F.when(F.col("n") == 1, "node").otherwise("EQUIVALENT_TO").alias("made")).agg(F.count("*").alias("rows"))
 
 
-@query("view03_signatures", "SELECT p_partkey, 'fn p' || p_partkey || '()' AS signature FROM part WHERE p_size > 10")
-def view03(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size > 10")
-    source = p.select("p_partkey", F.format_string("fn p%d() {\n}\n", "p_partkey").alias("source"))
-    return source.select("p_partkey", F.explode(code.signatures(F.col("source"), "rust")).alias("signature"))
-
-
 @query("reg01_coverage", f"WITH {REGISTRY_SQL} SELECT language, count(*) FILTER (quality > 0) AS rated, round(avg(coverage), 6) AS coverage FROM reg GROUP BY language")
 def reg01(spark, sf_dir):
     return corpus.registry(spark, sf_dir).groupBy("language").agg(F.count_if(F.col("quality") > 0).alias("rated"), F.round(F.avg("coverage"), 6).alias("coverage"))

@@ -52,13 +52,6 @@ def topk04(spark, sf_dir):
     return search.hybrid(t, s, reg, 10, 0.1)
 
 
-@query("topk06_assembly_order", "SELECT conv_id, turn, role, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 4 ELSE 10 END AS rank FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rank, turn) <= 2")
-def topk06(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("rank", F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 4).otherwise(10))
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("rank", "turn"))
-    return c.withColumn("n", n).filter("n <= 2").select("conv_id", "turn", "role", "rank")
-
-
 @query(
     "topk07_budget_prefix",
     """WITH s AS (SELECT conv_id, turn, sum(strlen(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn) AS running FROM conversations),
@@ -70,12 +63,7 @@ def topk07(spark, sf_dir):
     return running_within(c, ["conv_id"], ["turn"], F.floor(F.octet_length("text") / 4).cast("long"), 300).select("conv_id", "turn", "running")
 
 
-@query("topk08_best_registry", "SELECT source, CAST(substr(source, 4) AS INTEGER) AS priority, count(*) AS chunks FROM documents WHERE doc_id % 2 = 0 GROUP BY source ORDER BY priority LIMIT 1")
-def topk08(spark, sf_dir):
-    return best_registry(table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"))
-
-
-@query("topk08_best_registry_all", "SELECT source, CAST(substr(source, 4) AS INTEGER) AS priority, count(*) AS chunks FROM documents GROUP BY source ORDER BY priority LIMIT 1")
+@query("topk08_best_registry", "SELECT source, CAST(substr(source, 4) AS INTEGER) AS priority, count(*) AS chunks FROM documents GROUP BY source ORDER BY priority LIMIT 1")
 def topk08_all(spark, sf_dir):
     return best_registry(table(spark, sf_dir, "documents"))
 
@@ -88,15 +76,3 @@ def best_registry(documents):
 @query("topk09_page", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 10 OFFSET 20")
 def topk09(spark, sf_dir):
     return table(spark, sf_dir, "part").orderBy("p_name", "p_partkey").offset(20).limit(10).select("p_partkey", "p_name")
-
-
-@query("topk10_suggest", "SELECT page_id, CASE WHEN contains(html, 'the') THEN 10 ELSE 0 END + CASE WHEN contains(html, 'react') THEN 10 ELSE 0 END + CASE WHEN contains(url, '/en/') THEN 5 ELSE 0 END AS score FROM pages WHERE score > 0 ORDER BY score DESC, page_id LIMIT 5")
-def topk10(spark, sf_dir):
-    has = lambda c, s, n: F.when(F.contains(c, F.lit(s)), n).otherwise(0)
-    return table(spark, sf_dir, "pages").select("page_id", (has("html", "the", 10) + has("html", "react", 10) + has("url", "/en/", 5)).alias("score")).filter("score > 0").orderBy(F.desc("score"), "page_id").limit(5)
-
-
-@query("topk11_best_per_component", "SELECT o_custkey AS component, o_orderkey AS choice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
-def topk11(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_custkey").alias("component")).agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("choice"))

@@ -30,12 +30,6 @@ def scal03(spark, sf_dir):
     return d.select("doc_id", t.verify(F.col("content"), F.when(F.col("doc_id") % 3 == 0, F.lit("bad")).otherwise(F.col("chunk_id"))).alias("ok"))
 
 
-@query("scal04_lenient_verify", "SELECT doc_id, true AS ok FROM documents")
-def scal04(spark, sf_dir):
-    h = F.sha2("text", 256)
-    return table(spark, sf_dir, "documents").select("doc_id", F.startswith(h, F.substring(h, 1, 16)).alias("ok"))
-
-
 @query("scal08_alt_hybrid", f"WITH {REGISTRY_SQL} SELECT doc_id, round(0.5 * ((coverage + 1) / 2) + 0.3 * quality + 0.2 * quality, 6) AS score FROM reg")
 def scal08(spark, sf_dir):
     return corpus.registry(spark, sf_dir).select("doc_id", F.round(0.5 * ((F.col("coverage") + 1) / 2) + 0.3 * F.col("quality") + 0.2 * F.col("quality"), 6).alias("score"))
@@ -116,12 +110,6 @@ def scal45(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 2, 3), "\n").alias("snippet"))
 
 
-@query("scal46_human_sizes", "SELECT doc_id, CASE WHEN strlen(text) >= 1024 THEN printf('%.2f KB', strlen(text) / 1024) ELSE printf('%d B', strlen(text)) END AS size, substr(sha256(text), 1, 12) AS short FROM documents WHERE strlen(text) < 1000000")
-def scal46(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.octet_length("text") < 1_000_000)
-    return d.select("doc_id", t.human_bytes(F.octet_length("text")).alias("size"), F.substring(F.sha2("text", 256), 1, 12).alias("short"))
-
-
 @query("scal47_keyed_hash", "SELECT doc_id, 'sig:sha256:' || sha256('secret' || text) AS signature FROM documents")
 def scal47(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("sig:sha256:"), F.sha2(F.concat(F.lit("secret"), "text"), 256)).alias("signature"))

@@ -15,28 +15,12 @@ def src01(spark, sf_dir):
     return d.select("doc_id", F.octet_length("text").cast("long").alias("size"), sha256(F.col("text")).alias("hash"))
 
 
-@query("src02_scan_patterns", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '/(en|fr)/') AND NOT regexp_matches(url, '(ads-track|[?]utm_source)')")
-def src02(spark, sf_dir):
-    return op.scan(table(spark, sf_dir, "pages").select("page_id", "url"), "url", include=["/(en|fr)/"], exclude=["ads-track", "[?]utm_source"])
-
-
-@query("src07_project_walk", "SELECT page_id, url FROM pages WHERE ends_with(url, '.html') AND strlen(html) <= 10485760")
-def src07(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.filter(F.endswith("url", F.lit(".html")) & (F.octet_length("html") <= 10 << 20)).select("page_id", "url")
-
-
 @query("src09_parse_dispatch", "SELECT event_id, CASE WHEN json_valid(props) THEN 'structured' ELSE 'text' END AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def src09(spark, sf_dir):
     v = F.try_parse_json("props")
     return table(spark, sf_dir, "events").select("event_id", F.when(v.isNotNull(), "structured").otherwise("text").alias("kind"), F.try_variant_get(v, "$.k", "bigint").alias("k"))
 
 
-@query("src10_encoding", "SELECT doc_id, 'utf-8' AS encoding FROM documents")
-def src10(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.is_valid_utf8("text"), "utf-8").otherwise("unknown").alias("encoding"))
-
-
 @query("src12_list_nodes", f"WITH {NODES_SQL} SELECT * FROM nodes")
 def src12(spark, sf_dir):
     return corpus.nodes(spark, sf_dir)

@@ -76,7 +76,7 @@ def grace(records: Iterable[Record], budget: int, level: int = 0) -> Iterator[li
     table, source = OpenTable(), iter(records)
     for r in source:
         table.add(r)
-        if table.size > budget and level < 12:
+        if table.size > budget and level < 12 and len(table.records) > 1:  # one text can't be parted
             break
     else:
         yield from table.records

@@ -11,7 +11,8 @@ id), so what goes to the executors is bounded too. Scores cover whole texts of a
 
 Defined results: null and empty texts score as length 0 (the curve's intercept); without labelled rows of both classes
 every score is the share of label 1 (0 if there are no labels); a label that is neither 0 nor 1 is not learnt from; of several
-labels of one id the largest counts; repeated rows each get a row.
+labels of one id, or of equal texts, the largest counts; of several texts of one id the models learn from the one with the
+largest hash; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float,
 
 def train(rows: list[tuple[str, int, bool]], share: float) -> dict:
     """rows: text, label, whether it calibrates; share: of label 1 among all labelled rows."""
-    rows = list({t: (t, y, holds) for t, y, holds in rows}.values())  # copies count once
+    rows = list({t: (t, y, holds) for t, y, holds in sorted(rows)}.values())  # copies count once, by the largest label
     counts: list[dict[bytes, int]] = [{}, {}]
     for text, y, holds in rows:
         if not holds:
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
         part = own.filter(F.col("_y") == y).orderBy(h, id_col).limit(sample_rows)
         picked = part if picked is None else picked.unionByName(part)
     sample = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(picked), id_col)  # 2 * sample_rows ids at most
+    sample = sample.groupBy(id_col, "_y").agg(F.max_by("_t", F.xxhash64("_t")).alias("_t"))  # so rows are bounded, not only ids
     sample = sample.select("_t", "_y", (F.pmod(F.shiftright(h, 8), F.lit(HOLD)) == 0).alias("_hold"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,13 +104,6 @@ def join12_all(spark, sf_dir):
     return h.join(classes, "h").select("doc_id", "class", "n")
 
 
-@query("join13_semantic_hash", "SELECT sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
-def join13(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    h = F.sha2(F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "), 256)
-    return d.groupBy(h.alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-
-
 @query("join14_plan_actions", "SELECT o_orderkey AS node, CASE WHEN l.k IS NULL THEN 'build' ELSE 'cached' END AS action FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') l ON o_orderkey = k")
 def join14(spark, sf_dir):
     cached = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("node")).distinct().withColumn("hit", F.lit(True))

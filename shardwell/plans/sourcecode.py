@@ -348,3 +348,11 @@ def scal15(spark, sf_dir):
     other = F.concat(F.lit("fn  plus(b: i32) {\n b+"), (F.col("p_size") + F.col("p_size") % 2).cast("string"), F.lit(" } // sum"))
     found = table(spark, sf_dir, "part").select("p_partkey", normal(own).alias("a"), normal(other).alias("b"))
     return found.select("p_partkey", (F.col("a") == F.col("b")).alias("identical"), F.round(code.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("join13_semantic_hash", f"SELECT 'semantic:' || sha256({NORMAL % 'p_size'}) AS hash, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_size")
+def join13(spark, sf_dir):
+    """Equivalents: codes with one semantic hash, whatever their names, spaces and comments."""
+    source = F.concat(F.lit("fn part"), F.col("p_partkey").cast("string"), F.lit("(v"), F.col("p_partkey").cast("string"), F.lit(": i32)  {\n v"), F.col("p_partkey").cast("string"), F.lit(" +"), F.col("p_size").cast("string"), F.lit(" }"))
+    hashed = table(spark, sf_dir, "part").select("p_partkey", code.semantic_hashes("rust")(source).alias("hash"))
+    return hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))

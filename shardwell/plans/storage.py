@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shardwell.catalog import query
 from shardwell.functions.text import chunk_id, sha256
 from shardwell.operators import storage as op
+from shardwell.operators import store
 from shardwell.sources import corpus
 from shardwell.sources.corpus import EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
 
@@ -32,12 +33,6 @@ def src13(spark, sf_dir):
     return adjacency.select("src", F.explode("out").alias("e")).select("src", "e.dst", "e.edge_type")
 
 
-@query("src14_node_upsert", "SELECT user_id AS key, event_id AS seq, event_type AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
-def src14(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
-    return op.latest(e, "key", "seq")
-
-
 @query("src15_content_get", "SELECT doc_id, text AS content FROM documents WHERE 'chunk:sha256:' || sha256(text) = (SELECT 'chunk:sha256:' || sha256(text) FROM documents WHERE doc_id = 0)")
 def src15(spark, sf_dir):
     c = corpus.chunks(spark, sf_dir)
@@ -45,12 +40,6 @@ def src15(spark, sf_dir):
     return c.join(wanted, "chunk_id", "left_semi").select("doc_id", "content")
 
 
-@query("src16_node_delete", f"WITH {NODES_SQL} SELECT language, count(*) AS n FROM nodes WHERE node_id NOT IN ('nation:3', 'customer:7', 'part:1') GROUP BY language")
-def src16(spark, sf_dir):
-    gone = spark.createDataFrame([("nation:3",), ("customer:7",), ("part:1",)], "node_id string")
-    return corpus.nodes(spark, sf_dir).join(gone, "node_id", "left_anti").groupBy("language").agg(F.count("*").alias("n"))
-
-
 @query("src18_edge_append", "SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, 'generic_ref' AS edge_type FROM lineitem")
 def src18(spark, sf_dir):
     e = corpus.edges(spark, sf_dir).filter("edge_type = 'generic_ref'")
@@ -151,3 +140,49 @@ def src42(spark, sf_dir):
 def src44(spark, sf_dir):
     n = corpus.nodes(spark, sf_dir).agg(F.lit("nodes").alias("pass"), F.count("*").alias("n"))
     return n.unionByName(corpus.edges(spark, sf_dir).agg(F.lit("edges").alias("pass"), F.count("*").alias("n")))
+
+
+WRITES_SQL = """writes AS (SELECT 'n' || user_id AS node, event_id AS seq, ['s' || (user_id % 40), event_type || '-' || (event_id % 20)] AS symbols,
+    CASE WHEN event_id % 3 = 0 THEN [] ELSE ['n' || (event_id % 50), 'n' || (event_id % 7)] END AS deps FROM events)"""
+INDEX_SQL = """, idx AS (SELECT symbol, max_by(node, seq) AS node FROM (SELECT node, seq, unnest(symbols) AS symbol FROM writes) GROUP BY symbol),
+    fwd AS (SELECT node, max_by(deps, seq) AS deps FROM writes WHERE len(deps) > 0 GROUP BY node), rev AS (SELECT DISTINCT d AS node, node AS dependent FROM (SELECT node, unnest(deps) AS d FROM writes))"""
+
+
+def writes(spark, sf_dir):
+    """Events as writes of their user's node."""
+    e, key = table(spark, sf_dir, "events"), F.col("event_id")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    symbols = F.array(F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")), F.concat("event_type", F.lit("-"), (key % 20).cast("string")))
+    deps = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(name(key % 50), name(key % 7)))
+    return e.select(name(F.col("user_id")).alias("node"), key.alias("seq"), symbols.alias("symbols"), deps.alias("deps"))
+
+
+@query("src14_node_upsert", f"WITH {WRITES_SQL} SELECT node, max(seq) AS seq, array_to_string(max_by(symbols, seq), ',') AS symbols FROM writes GROUP BY node")
+def src14(spark, sf_dir):
+    return store.nodes(writes(spark, sf_dir)).select("node", "seq", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query("src14_symbol_index", f"WITH {WRITES_SQL}{INDEX_SQL} SELECT symbol, node FROM idx")
+def src14_index(spark, sf_dir):
+    return store.symbol_index(writes(spark, sf_dir))
+
+
+@query("src14_adjacency", f"WITH {WRITES_SQL}{INDEX_SQL} SELECT 'forward' AS list, node, unnest(deps) AS other FROM fwd UNION ALL SELECT 'reverse', node, dependent FROM rev")
+def src14_adjacency(spark, sf_dir):
+    w = writes(spark, sf_dir)
+    out = store.forward(w).select(F.lit("forward").alias("list"), "node", F.explode("deps").alias("other"))
+    return out.unionByName(store.reverse(w).select(F.lit("reverse").alias("list"), "node", F.col("dependent").alias("other")))
+
+
+@query(
+    "src16_node_delete",
+    f"""WITH {WRITES_SQL}{INDEX_SQL}, gone AS (SELECT DISTINCT node FROM writes WHERE CAST(substr(node, 2) AS BIGINT) % 5 = 0)
+    SELECT 'symbol' AS kind, node, symbol AS what FROM idx WHERE node NOT IN (SELECT node FROM gone) UNION ALL SELECT 'dependent', node, dependent FROM rev WHERE node NOT IN (SELECT node FROM gone)
+    UNION ALL SELECT 'dangling', node, d FROM (SELECT node, unnest(deps) AS d FROM fwd WHERE node NOT IN (SELECT node FROM gone)) WHERE d NOT IN (SELECT node FROM writes) OR d IN (SELECT node FROM gone)""",
+)
+def src16(spark, sf_dir):
+    """Every fifth node is deleted; what still names one dangles."""
+    w = writes(spark, sf_dir)
+    left = store.without(w, w.filter(F.substring("node", 2, 20).cast("long") % 5 == 0).select("node").distinct())
+    rows = [left["symbols"].select(F.lit("symbol").alias("kind"), "node", F.col("symbol").alias("what")), left["reverse"].select(F.lit("dependent").alias("kind"), "node", F.col("dependent").alias("what"))]
+    return rows[0].unionByName(rows[1]).unionByName(store.dangling(left).select(F.lit("dangling").alias("kind"), "node", F.col("missing").alias("what")))

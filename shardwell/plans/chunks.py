@@ -1,6 +1,5 @@
 """Chunking queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardwell.catalog import query
@@ -25,10 +24,13 @@ def pieces(k: int, end: str) -> str:
            CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum(strlen(content) // 4) AS BIGINT) AS tokens FROM r GROUP BY lang""",
 )
 def flagship(spark, sf_dir):
+    """A chunk is first seen in the language of its first place; ids of documents are unique, so files are first pieces."""
     p = chunking.by_lines(table(spark, sf_dir, "documents"), "doc_id", "text", 5, keep=("lang",))
-    r = p.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("doc_id", "piece")))
     size = F.octet_length("content").cast("long")
-    return r.groupBy(F.col("lang").alias("language")).agg(F.count_distinct("doc_id").alias("files"), F.count("*").alias("chunks"), F.count_if(F.col("k") == 1).alias("first_seen"), F.count_if(F.col("k") > 1).alias("duplicates"), F.sum(size).alias("bytes"), F.sum(F.floor(size / 4)).cast("long").alias("tokens"))
+    sums = p.groupBy(F.col("lang").alias("language")).agg(F.count_if(F.col("piece") == 0).alias("files"), F.count("*").alias("chunks"), F.sum(size).alias("bytes"), F.sum(F.floor(size / 4)).cast("long").alias("tokens"))
+    first = p.groupBy("chunk_id").agg(F.min_by("lang", F.struct("doc_id", "piece")).alias("language")).groupBy("language").agg(F.count("*").alias("first_seen"))
+    out = sums.join(first, "language", "left").withColumn("first_seen", F.coalesce("first_seen", F.lit(0)))
+    return out.select("language", "files", "chunks", "first_seen", (F.col("chunks") - F.col("first_seen")).alias("duplicates"), "bytes", "tokens")
 
 
 @query("chk01_by_file", f"WITH {DOCS} SELECT doc_id, 0 AS piece, text AS content, 0 AS start_line, CAST(len(ls) AS INTEGER) AS end_line, 'chunk:sha256:' || sha256(text) AS chunk_id FROM docs")

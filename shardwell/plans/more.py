@@ -136,8 +136,6 @@ def chk07(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("titled:"), F.trim(F.split("text", "\n")[0])).alias("concept"), F.sha2("text", 256).alias("id"), F.octet_length("text").cast("long").alias("size"))
 
 
-LADDER = "CASE WHEN n < 3 THEN 'atomic' WHEN config THEN 'atomic' WHEN entities = 1 THEN 'atomic' WHEN entities >= 2 AND long_ >= 2 THEN 'by_entity' WHEN n > 30 THEN 'hierarchical' ELSE 'by_entity' END"
-
 
 @query("scal12_mock_embedding", "SELECT doc_id, array_to_string(list_transform([strlen(text), strlen(text) * 2, strlen(text) / 2.0, 0, 1], lambda x: CAST(round(x * 2) AS BIGINT)), ',') AS vector FROM documents")
 def scal12(spark, sf_dir):

@@ -114,6 +114,40 @@ def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
     return seen
 
 
+def chains(edges: DataFrame, starts: DataFrame, follow: tuple[str, ...] = ("imports", "type_ref"), hops: int = 3) -> DataFrame:
+    """start, target, chain: the path of at most so many hops that a search in depth meets first, edges in order of (type,
+    target); only a path's last edge must be of a type to follow. The least path to a node does for each length."""
+    step = F.struct("edge_type", "dst")
+    ways = starts.select("start").join(edges, F.col("start") == edges["src"]).select("start", "dst", "edge_type", F.array(step).alias("path"))
+    found = None
+    for hop in range(1, hops + 1):
+        hit = ways.filter(F.col("edge_type").isin(*follow)).groupBy("start", F.col("dst").alias("target")).agg(F.min("path").alias("path"))
+        found = hit if found is None else found.unionByName(hit)
+        if hop < hops:
+            least = cut_lineage(ways.groupBy("start", F.col("dst").alias("at")).agg(F.min("path").alias("before")))
+            ways = least.join(edges, F.col("at") == edges["src"]).select("start", "dst", "edge_type", F.concat("before", F.array(step)).alias("path"))
+    best = found.groupBy("start", "target").agg(F.min("path").alias("path"))
+    return best.select("start", "target", F.concat_ws(" -> ", "start", F.transform("path", lambda e: e["dst"])).alias("chain"))
+
+
+# An import of a chunk by its name, by language.
+IMPORT_LINES = {"typescript": "import {{ {name} }} from './chunks/{id}';\n", "python": "from .chunks.{id} import {name}\n", "rust": "use chunks::{id}::{name};\n"}
+
+
+def scaffold_imports(groups: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """grp, language, code: a line for each node that the group's seeds (grp, language, seed) depend on, in order of ids;
+    code is null for a language without imports."""
+    reach = closure(edges, groups.select(F.col("seed").alias("root")).distinct()).filter("depth > 0")
+    needed = groups.join(reach, groups["seed"] == reach["root"]).select("grp", "language", F.col("node").alias("node_id")).distinct()
+    line = None
+    for language, form in IMPORT_LINES.items():
+        made = F.replace(F.replace(F.lit(form.replace("{{", "{").replace("}}", "}").replace("{name}", "\0").replace("{id}", "\1")), F.lit("\0"), F.col("alias")), F.lit("\1"), F.col("node_id"))
+        line = F.when(F.col("language") == language, made) if line is None else line.when(F.col("language") == language, made)
+    rows = needed.join(nodes.select("node_id", "alias"), "node_id").select("grp", "language", "node_id", line.alias("line"))
+    lines = rows.groupBy("grp", "language").agg(F.array_sort(F.collect_list(F.struct("node_id", "line"))).alias("l"))
+    return lines.select("grp", "language", F.when(F.col("language").isin(*IMPORT_LINES), F.array_join(F.transform("l", lambda x: x["line"]), "")).alias("code"))
+
+
 def mutual(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different starts that reach each other: the members of cycles."""
     reach = closure(edges, starts).filter("depth > 0 AND root <> node").select(F.col("root").alias("a"), F.col("node").alias("b"))

@@ -64,11 +64,6 @@ def grf06_all(spark, sf_dir):
     return g.traverse(q, *whole(spark, sf_dir)).select("node_id", "depth")
 
 
-@query("grf08_chain", f"WITH {EDGES_SQL} SELECT a.src AS source, min(a.src || ' -> ' || b.src || ' -> ' || b.dst) AS chain FROM edges a JOIN edges b ON a.dst = b.src WHERE b.edge_type = 'imports' GROUP BY a.src")
-def grf08_all(spark, sf_dir):
-    return chains(whole(spark, sf_dir)[1])
-
-
 def chains(e):
     second = e.filter("edge_type = 'imports'").select(F.col("src").alias("mid"), F.col("dst").alias("end"))
     two = e.select(F.col("src").alias("source"), F.col("dst").alias("mid")).join(second, "mid")
@@ -115,3 +110,34 @@ def topk12(spark, sf_dir):
 def grf11(spark, sf_dir):
     """The smallest of the shortest paths to every region that is reached."""
     return g.paths(parts(spark, sf_dir)[1], "orders:9", 6).filter("node LIKE 'region:%'").select("node", F.array_join("path", ">").alias("path"))
+
+
+HOP = "e{0}.edge_type || chr(2) || e{0}.dst"
+CHAIN_SQL = " UNION ALL ".join(
+    f"SELECT e1.src AS start, e{n}.dst AS target, " + " || chr(1) || ".join(HOP.format(k) for k in range(1, n + 1)) + " AS key, e1.src || ' -> ' || " + " || ' -> ' || ".join(f"e{k}.dst" for k in range(1, n + 1))
+    + " AS chain FROM edges e1 " + " ".join(f"JOIN edges e{k} ON e{k - 1}.dst = e{k}.src" for k in range(2, n + 1)) + f" WHERE e{n}.edge_type IN ('imports', 'type_ref')"
+    for n in (1, 2, 3)
+)
+
+
+@query("grf08_chain", f"WITH {EDGES_SQL} SELECT start, target, min_by(chain, key) AS chain FROM ({CHAIN_SQL}) WHERE start LIKE 'orders:%' GROUP BY start, target")
+def grf08(spark, sf_dir):
+    """From every order to whatever three hops reach: its customer, and nations by its customer or by its parts."""
+    nodes, edges = whole(spark, sf_dir)
+    return g.chains(edges, nodes.filter("language = 'orders'").select(F.col("node_id").alias("start")))
+
+
+@query(
+    "grf14_scaffold_imports",
+    """WITH d AS (SELECT c_custkey AS grp, ['typescript', 'python', 'rust', 'cobol'][c_custkey % 4 + 1] AS language, 'nation:' || n_nationkey AS id, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT c_custkey, ['typescript', 'python', 'rust', 'cobol'][c_custkey % 4 + 1], 'region:' || r_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT CAST(grp AS BIGINT) AS grp, language, string_agg(CASE language WHEN 'typescript' THEN 'import { ' || name || ' } from ''./chunks/' || id || ''';' || chr(10)
+      WHEN 'python' THEN 'from .chunks.' || id || ' import ' || name || chr(10) WHEN 'rust' THEN 'use chunks::' || id || '::' || name || ';' || chr(10) END, '' ORDER BY id) AS code FROM d GROUP BY grp, language""",
+)
+def grf14(spark, sf_dir):
+    """The imports of each customer, in its own language; of a language without imports there are none."""
+    nodes, edges = parts(spark, sf_dir)
+    key = F.col("c_custkey").cast("long")
+    language = F.element_at(F.array(*map(F.lit, ["typescript", "python", "rust", "cobol"])), (key % 4 + 1).cast("int"))
+    groups = table(spark, sf_dir, "customer").select(key.alias("grp"), language.alias("language"), F.concat(F.lit("customer:"), key.cast("string")).alias("seed"))
+    return g.scaffold_imports(groups, nodes, edges)

@@ -124,13 +124,6 @@ def grf12(spark, sf_dir):
     return corpus.edges(spark, sf_dir).filter("src = 'orders:42'").select("dst", "edge_type", F.lit(1.0).alias("confidence"))
 
 
-@query("grf14_scaffold_imports", f"WITH {FK_EDGES_SQL} SELECT src, string_agg('use ' || replace(dst, ':', '_') || ';', chr(10) ORDER BY dst) AS header FROM edges WHERE src LIKE 'supplier:%' GROUP BY src")
-def grf14(spark, sf_dir):
-    e = corpus.edges(spark, sf_dir, lineitem=False).filter(F.startswith("src", F.lit("supplier:")))
-    line = F.concat(F.lit("use "), F.replace("dst", F.lit(":"), F.lit("_")), F.lit(";"))
-    return e.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst", line.alias("l")))), lambda x: x["l"]), "\n").alias("header"))
-
-
 @query("chk07_scrape_rows", "SELECT doc_id, 'titled:' || trim(split_part(text, chr(10), 1)) AS concept, sha256(text) AS id, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def chk07(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("titled:"), F.trim(F.split("text", "\n")[0])).alias("concept"), F.sha2("text", 256).alias("id"), F.octet_length("text").cast("long").alias("size"))

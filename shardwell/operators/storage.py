@@ -70,3 +70,8 @@ def running_within(rows: DataFrame, group: list[str], order: list, size: Column,
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("_size", size).withColumn("_sum", F.sum("_size").over(w))
     return out.withColumn("_over", F.max((F.col("_sum") > most).cast("int")).over(w)).filter("_over = 0").drop("_size", "_over").withColumnRenamed("_sum", "running")
+
+
+def relate(edges: DataFrame) -> DataFrame:
+    """Edges as a graph database keeps them, sure of each."""
+    return edges.select("src", "dst", F.col("edge_type").alias("relation"), F.lit(1.0).alias("confidence"))

@@ -37,13 +37,6 @@ def src39(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderkey").alias("node"))
 
 
-@query("src43_constraints", "SELECT 'negative size' AS broken, count(*) AS n FROM part WHERE p_size < 0 UNION ALL SELECT 'unknown nation', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)")
-def src43(spark, sf_dir):
-    a = table(spark, sf_dir, "part").filter("p_size < 0").agg(F.lit("negative size").alias("broken"), F.count("*").alias("n"))
-    lost = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti")
-    return a.unionByName(lost.agg(F.lit("unknown nation").alias("broken"), F.count("*").alias("n")))
-
-
 @query("fil07_assembly_priority", f"WITH {EDGES_SQL} SELECT edge_type, {case('edge_type', et.ASSEMBLY)} AS priority, count(*) AS n FROM edges GROUP BY 1, 2")
 def fil07(spark, sf_dir):
     return corpus.edges(spark, sf_dir).groupBy("edge_type", et.looked_up(F.col("edge_type"), et.ASSEMBLY).alias("priority")).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from shardwell.catalog import query
 from shardwell.functions.text import chunk_id, sha256
 from shardwell.operators import storage as op
 from shardwell.operators import store
-from shardwell.sources import corpus
+from shardwell.sources import corpus, relational
 from shardwell.sources.corpus import EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
 
 
@@ -186,3 +186,30 @@ def src16(spark, sf_dir):
     left = store.without(w, w.filter(F.substring("node", 2, 20).cast("long") % 5 == 0).select("node").distinct())
     rows = [left["symbols"].select(F.lit("symbol").alias("kind"), "node", F.col("symbol").alias("what")), left["reverse"].select(F.lit("dependent").alias("kind"), "node", F.col("dependent").alias("what"))]
     return rows[0].unionByName(rows[1]).unionByName(store.dangling(left).select(F.lit("dangling").alias("kind"), "node", F.col("missing").alias("what")))
+
+
+@query(
+    "src43_constraints",
+    """WITH c AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'chunk:0' ELSE 'chunk:' || doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'source' END AS kind, CASE WHEN doc_id % 9 <> 0 THEN n_chars END AS size FROM documents),
+      s AS (SELECT 'chunk:' || doc_id AS id FROM labels), v AS (
+      SELECT 'chunks' AS table_name, 'chunk_type is one of source, ir, blob, container' AS rule, count(*) AS n FROM c WHERE kind = 'other' UNION ALL SELECT 'chunks', 'size_bytes is required', count(*) FROM c WHERE size IS NULL
+      UNION ALL SELECT 'chunks', 'chunk_id is unique', count(*) FROM (SELECT id FROM c GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'signatures', 'chunk_id refers to chunks', count(*) FROM s WHERE id NOT IN (SELECT id FROM c)) SELECT * FROM v WHERE n > 0""",
+)
+def src43(spark, sf_dir):
+    """Chunks of which some have no size, another type or the same id, and signatures of the labelled ones."""
+    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    name = lambda c: F.concat(F.lit("chunk:"), c.cast("string"))
+    chunks = d.select(F.when(key % 10 == 3, "chunk:0").otherwise(name(key)).alias("chunk_id"), F.when(key % 5 == 0, "other").otherwise("source").alias("chunk_type"), F.when(key % 9 != 0, F.col("n_chars")).alias("size_bytes"), F.sha2("text", 256).alias("content_hash"))
+    signed = table(spark, sf_dir, "labels").select(name(key).alias("chunk_id"), F.col("toxic").cast("string").alias("signer_id"))
+    return relational.violations({"chunks": chunks, "signatures": signed})
+
+
+@query("src28_relate", f"WITH {EDGES_SQL} SELECT src, dst, edge_type AS relation, 1.0::DOUBLE AS confidence FROM edges")
+def src28_relate(spark, sf_dir):
+    return op.relate(corpus.edges(spark, sf_dir))
+
+
+@query("src37_dependency_map", f"WITH {corpus.FILES_SQL} SELECT page_id, path, array_to_string(list_sort(list_distinct(imports)), ' ') AS depends_on FROM files WHERE len(imports) > 0")
+def src37_map(spark, sf_dir):
+    f = corpus.files(spark, sf_dir).filter(F.size("imports") > 0)
+    return f.select("page_id", "path", F.array_join(F.array_sort(F.array_distinct("imports")), " ").alias("depends_on"))

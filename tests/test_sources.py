@@ -48,3 +48,14 @@ def test_stream(spark, tmp_path):
     stream = ingest.chunk_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     ingest.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select("text").distinct().count() == 2 == spark.read.parquet(str(tmp_path / "out")).count()
+
+
+def test_embedding_store(spark, tmp_path):
+    from shardwell.sources import embeddings
+
+    first = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, 0.25])], embeddings.SCHEMA)
+    embeddings.save(first, str(tmp_path / "store"))
+    store = embeddings.load(spark, str(tmp_path / "store"))
+    assert embeddings.get(store, "b") == [0.5, 0.25] and embeddings.get(store, "c") is None
+    more = embeddings.insert(store, spark.createDataFrame([("b", [9.0]), ("c", [8.0])], embeddings.SCHEMA))
+    assert {r.chunk_id: list(r.embedding) for r in more.collect()} == {"a": [1.0, 2.0], "b": [9.0], "c": [8.0]}

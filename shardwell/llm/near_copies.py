@@ -15,7 +15,8 @@ a large group of near copies makes one pair a member. What is then still apart i
 without a row a pair.
 
 Defined results: texts without words are copies of each other; fewer than five words are one shingle; rows without an id
-stay; ids are taken as unique; an empty table gives an empty result.
+stay; of repeated rows one stays, and rows that share an id but not a text are judged each by its own; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 from .simhash import SEED, components
 
 WIDTH = 5
@@ -197,5 +198,15 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay: of each component, the row with the smallest id."""
-    lost = labels(docs, id_col, text_col).filter("node != label").select(F.col("node").alias(id_col))
-    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
+    n, kinds = docs.agg(F.count(id_col), F.count_distinct(id_col)).first()
+    if n == kinds:
+        lost = labels(docs, id_col, text_col).filter("node != label").select(F.col("node").alias(id_col))
+        return docs.join(lost, id_col, "left_anti").select(*docs.columns)
+    # some ids repeat: rows get numbers of their own, which stand once they are written
+    number = free_name(docs, "row")
+    rows = Scratch(docs.sparkSession, "near_rows").write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    named = rows.filter(F.col(id_col).isNotNull())
+    of = labels(named, number, text_col).join(named.select(F.col(number).alias("node"), F.col(id_col).alias("id")), "node")
+    stays = of.groupBy("label").agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    lost = of.join(stays, "node", "left_anti").select(F.col("node").alias(number))
+    return rows.join(lost, number, "left_anti").select(*docs.columns)

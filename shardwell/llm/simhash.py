@@ -121,12 +121,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = groups.agg(F.sum("n_copies")).first()[0] or 0
     out = join_groups(rows, groups, "fp", "n_copies", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), total)
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The documents that stay: of each component, the row with the smallest id. Ids are taken as unique."""
-    found = near_duplicates(docs, id_col, text_col, width)
-    lost = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
-    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
-
-

@@ -63,3 +63,11 @@ def test_fingerprints_meet():
         close = any((p ^ q).bit_count() <= 2 for p, q in zip(near_copies.segments_of(x), near_copies.segments_of(y)))
         met += close and int(np.bitwise_count(x ^ y).sum()) <= near_copies.FAR
     assert met >= 270
+
+
+def test_rows_that_share_an_id(spark):
+    r = random.Random(5)
+    a, b = (" ".join(r.choices(WORDS, k=120)) for _ in range(2))
+    rows = [(1, a), (7, a + " more"), (7, b), (7, b), (None, a), (None, a), (8, "other")]
+    left = near_copies.keep_one(spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, row int"))
+    assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(1, a), (7, b), (None, a), (None, a), (8, "other")], key=str)

@@ -7,12 +7,13 @@ they connect.
 2. Multi-index hashing: in the table of each segment a document stands at the radius-1 ball around its own value, so two
    documents meet there if their segments differ in at most two bits. All pairs within 3 * SEGMENTS - 1 bits meet; a pair
    of similarity 0.8 (43 bits on average) meets in some table with probability 0.94, one of 0.85 with 0.99.
-3. Complete distances are verified (FAR bits, over four standard deviations beyond 0.8), then the similarity itself, on
+3. Complete distances are verified (FAR bits, 2.7 standard deviations beyond 0.8), then the similarity itself, on
    the whole texts. So nothing that is less alike is ever linked.
 
-Members of a place first meet one of them, drawn at random and again anew, and only where they aren't connected yet; so
-a large group of near copies makes one pair a member. What is then still apart in a place is compared by fingerprints,
-without a row a pair.
+Two documents that are alone in a place are compared at once. Of a larger place one member, drawn at random and again anew,
+stands for all, and each document is compared with the closest of those that it meets and isn't connected to yet; so a large
+group of near copies makes one comparison a member and round. What is then still apart in a place is compared by
+fingerprints, without a row a pair.
 
 Defined results: texts without words are copies of each other; fewer than five words are one shingle; rows without an id
 stay; of repeated rows one stays, and rows that share an id but not a text are judged each by its own; an empty table gives
@@ -37,8 +38,8 @@ WIDTH = 5
 TENTHS = 8
 SEGMENTS, BITS = 11, 26
 #: Bits that fingerprints of near copies may differ in.
-FAR = 70
-ROUNDS = 2
+FAR = 60
+ROUNDS = 3
 WORDS = -(-SEGMENTS * BITS // 64)
 #: Ids that are broadcast at most, 8 bytes each, to fetch the texts of pairs.
 BROADCAST_IDS = 250_000
@@ -102,10 +103,11 @@ def places(fps: DataFrame) -> DataFrame:
 
 
 def near(pairs: DataFrame, fps: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose fingerprints are within FAR bits."""
+    """Those of the pairs (a, b) whose fingerprints are within FAR bits, with their distance."""
     side = lambda k: fps.select(F.col("id").alias(k), F.col("fp").alias(f"f{k}"))
     distance = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, WORDS)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(distance <= FAR).select("a", "b")
+    out = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("distance", distance).filter(F.col("distance") <= FAR)
+    return out.select(*pairs.columns, "distance")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,8 +183,15 @@ def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if k < ROUNDS:
             centre = own.groupBy("cell").agg(F.min_by(F.struct("id", "label"), F.struct(F.xxhash64("id", F.lit(k)), "id")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
             own = own if k == 0 else own.filter("n > 2")
-            met = own.join(centre.select("cell", "c"), "cell").filter(F.col("label") != F.col("c.label")).select("id", F.col("c.id").alias("other"))
-            pairs = near(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), fps)
+            met = own.join(centre.select("cell", "c"), "cell").filter(F.col("label") != F.col("c.label")).groupBy(F.col("id").alias("a"), F.col("c.id").alias("b")).agg(F.min("n").alias("n"))
+            order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            met = near(met, fps)
+            if k:
+                known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                met = met.join(known, ["a", "b"], "left_anti")
+            met = scratch.write(met, f"met{k}")
+            closest = met.filter("n > 2").groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+            pairs = order(met.filter("n = 2")).unionByName(order(closest)).distinct()
         else:
             open_ = own.filter("n > 2")
             several = open_.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell")

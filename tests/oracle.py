@@ -20,7 +20,9 @@ def connect(sf_dir):
 def value(v):
     if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "NULL"
-    return f"{v:.6f}" if isinstance(v, float) else str(v)
+    if isinstance(v, float):  # whole numbers beside missing ones come as floats
+        return str(int(v)) if v.is_integer() and abs(v) < 2**53 else f"{v:.6f}"
+    return str(v)
 
 
 def bag(frame):

@@ -414,3 +414,13 @@ def test_passages_by_brute_force(spark):
     got = {x.doc_id for x in passages.fuzzy_passages(docs).collect()}
     assert len(want) > 40 and len(got & want) >= 0.9 * len(want), (len(got & want), len(want))
     print("passages: recall", len(got & want) / len(want), "others", len(got - want))
+
+
+def test_chains_on_one_diagonal():
+    """The short way for matches on one diagonal gives what the tree gives (a match elsewhere makes it take the tree)."""
+    r = random.Random(13)
+    for _ in range(100):
+        xs = sorted(r.sample(range(200), r.randrange(2, 12)))
+        pairs = [(x, x + 7) for x in xs]
+        far = (10_000, 3)
+        assert sorted(passages.chain(pairs)) == sorted(c for c in passages.chain([*pairs, far]) if c != [far])

@@ -231,16 +231,16 @@ def scal21(spark, sf_dir):
     return f.select("p_partkey", F.array_join(files.concepts(F.col("content"), F.col("language")), ",").alias("concepts"))
 
 
-CADL = """// part {0}
+INTERFACE_TEXT = """// part {0}
 @interface Codec{0} {{ encode(a: u8[], b: Opt) -> bytes  decode(x: bytes) -> u8[]
   @contract {{ codec: "h264" }} @effects {{ concurrency: "{1}", io: ["a" "b",] }} @protocol {{ states: [a, b], initial: {2} }} }}
 @impl {3} {{ speed: 3.5 on: true @x {{ y: {{ z: null }} }} }}
 """
 
 
-def cadl():
+def interface_text():
     k = F.col("p_partkey").cast("string")
-    text = CADL.replace("{{", "{").replace("}}", "}")
+    text = INTERFACE_TEXT.replace("{{", "{").replace("}}", "}")
     fill = {"{0}": k, "{1}": F.when(F.col("p_partkey") % 2 == 0, "immutable").otherwise("weird"), "{2}": F.when(F.col("p_partkey") % 3 == 0, "c").otherwise("a"), "{3}": F.when(F.col("p_partkey") % 5 == 0, "bare").otherwise(F.concat(F.lit("Codec"), k, F.lit(".one")))}
     out = F.when(F.col("p_partkey") % 7 == 0, F.lit("@interface {")).otherwise(F.lit(None))
     made = F.lit(text)
@@ -255,12 +255,12 @@ def cadl():
        CASE WHEN p_partkey % 3 = 0 THEN 'Initial state ''c'' not found in states list' END, CASE WHEN p_partkey % 5 = 0 THEN 'Implementation name ''bare'' should be in ''Interface.Implementation'' format' END) END AS problems FROM part""",
 )
 def scal53(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", interfaces.checked(cadl()).alias("c")).select("p_partkey", "c.parsed", F.array_join("c.problems", ";").alias("problems"))
+    return table(spark, sf_dir, "part").select("p_partkey", interfaces.checked(interface_text()).alias("c")).select("p_partkey", "c.parsed", F.array_join("c.problems", ";").alias("problems"))
 
 
 @query("scal52_interface_parts", "SELECT p_partkey, 'Codec' || p_partkey AS interface, 'Codec' || p_partkey || '.encode,Codec' || p_partkey || '.decode' AS methods, CASE WHEN p_partkey % 5 = 0 THEN 'bare' ELSE 'Codec' || p_partkey || '.one' END AS implementation FROM part WHERE p_partkey % 7 <> 0")
 def scal52(spark, sf_dir):
-    c = table(spark, sf_dir, "part").select("p_partkey", interfaces.checked(cadl()).alias("c")).filter("c.parsed")
+    c = table(spark, sf_dir, "part").select("p_partkey", interfaces.checked(interface_text()).alias("c")).filter("c.parsed")
     return c.select("p_partkey", F.get("c.interfaces", 0).alias("interface"), F.array_join("c.methods", ",").alias("methods"), F.get("c.implementations", 0).alias("implementation"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, decontaminate, exact_dedup, lm_score, packing, passages, periodic_runs, simhash, suffix_dedup, toxicity, url_filter
+from . import chat_format, common, conversation_repair, decontaminate, exact_dedup, lm_score, packing, passages, periodic_runs, simhash, suffix_dedup, toxicity, url_filter
 
 # The rules (action, host, path) of op6.
 URL_RULES = [
@@ -76,12 +76,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(conversation_repair.repair(damaged, "lost"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lm_score, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op8_passages, op9_suffix_dedup, op10_packing, op13_periodic_runs)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lm_score, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op8_passages, op9_suffix_dedup, op10_packing, op12_conversation_repair, op13_periodic_runs)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,4 +144,60 @@ ORACLE: dict[str, str] = {
                CASE WHEN roles = 's' THEN 'primed' WHEN regexp_full_match(roles, 's?(ua)+') THEN 'answered'
                     WHEN regexp_full_match(roles, 's?(ua)*u') THEN 'asked' ELSE 'refused' END AS state,
                regexp_full_match(roles, 's?(ua)+') AS valid FROM g""",
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE ids AS (
+          SELECT *, CASE WHEN v IS NULL THEN ' ' ELSE v END AS key
+          FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS v FROM conversations)),
+        sums AS (SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+                   lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+                     lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS m
+                 FROM (SELECT DISTINCT key FROM ids)),
+        damaged AS (
+          SELECT conv_id, turn, CASE m WHEN 4 THEN 'user' ELSE role END AS role,
+                 CASE m WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+          FROM ids JOIN sums USING (key), unnest(CASE m WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS u(copy)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                          rtrim(text, E' \t\n\x0b\x0c\r') AS said FROM damaged),
+        r AS (
+          SELECT *, CASE WHEN said = '' THEN 'blank'
+                         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                         WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                 left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+          FROM placed),
+        c AS (
+          SELECT conv_id, coalesce(max(turn)::BIGINT - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                 count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (before || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+          FROM r GROUP BY conv_id),
+        step(s, t, edit, cost, x, inserted) AS (
+          SELECT i.s, CASE edit WHEN 'D' THEN i.t WHEN 'R' THEN CASE i.t WHEN 2 THEN 3 ELSE 2 END ELSE k.t END, repeat('I', i.k) || edit,
+                 5 * i.k + CASE edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END, k.x, i.said
+          FROM (VALUES (0, 0, 0, ''), (1, 0, 1, ''), (2, 0, 2, ''), (3, 0, 3, ''), (0, 1, 2, 'user:' || chr(10)), (1, 1, 2, 'user:' || chr(10)),
+                       (2, 1, 3, 'assistant:' || chr(10)), (3, 1, 2, 'user:' || chr(10)), (0, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)),
+                       (1, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 2, 2, 'assistant:' || chr(10) || 'user:' || chr(10)),
+                       (3, 2, 3, 'user:' || chr(10) || 'assistant:' || chr(10))) AS i(s, k, t, said),
+               (VALUES ('D'), ('K'), ('R')) AS e(edit), (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3), (NULL, NULL, NULL)) AS k(x, f, t)
+          WHERE CASE edit WHEN 'K' THEN k.f = i.t ELSE k.x IS NULL END),
+        walk AS (
+          SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM c
+          UNION ALL
+          SELECT conv_id, i, t, cost, audit, lines FROM (
+            SELECT w.conv_id, w.i + 1 AS i, p.t, w.cost + p.cost + CASE WHEN r.fault = 'truncated' AND p.edit NOT LIKE '%D' THEN 5 ELSE 0 END AS cost,
+                   w.audit || p.edit AS audit,
+                   w.lines || p.inserted || CASE right(p.edit, 1) WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || r.text || chr(10)
+                     ELSE CASE p.t WHEN 3 THEN 'assistant:' ELSE 'user:' END || r.text || chr(10) END AS lines
+            FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+            JOIN step p ON p.s = w.s AND (p.x IS NULL OR p.x = r.x) AND (p.edit LIKE '%D' OR r.fault NOT IN ('blank', 'duplicate')))
+          QUALIFY row_number() OVER (PARTITION BY conv_id, t ORDER BY cost, audit) = 1),
+        ends AS (
+          SELECT * FROM (SELECT w.conv_id, w.cost + 5 * length(e.tail) AS cost, w.audit || e.tail AS audit, w.lines || e.said AS lines
+          FROM walk w JOIN c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n
+          JOIN (VALUES (0, '', ''), (1, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 'I', 'assistant:' || chr(10)), (3, '', '')) AS e(s, tail, said) USING (s))
+          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(left(lines, length(lines) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ends ON o.conv_id IS NOT DISTINCT FROM ends.conv_id""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, conversation_repair, decontaminate, exact_dedup, lm_score, packing, passages, periodic_runs, simhash, suffix_dedup, toxicity, url_filter
+from . import chat_format, common, conversation_repair, decontaminate, exact_dedup, lm_score, packing, passages, periodic_runs, sanitise, simhash, suffix_dedup, toxicity, url_filter
 
 # The rules (action, host, path) of op6.
 URL_RULES = [
@@ -76,6 +76,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(sanitise.Sanitiser(table(spark, sf_dir, "documents")).spans())
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
     return conversation_repair.report(conversation_repair.repair(damaged, "lost"))
@@ -86,7 +90,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lm_score, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op8_passages, op9_suffix_dedup, op10_packing, op12_conversation_repair, op13_periodic_runs)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_lm_score, op4_decontaminate, op5_exact_dedup, op6_url_filter, op7_chat_format, op8_passages, op9_suffix_dedup, op10_packing, op11_pii, op12_conversation_repair, op13_periodic_runs)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -221,6 +221,7 @@ def digests(spans: DataFrame) -> DataFrame:
     said = lambda kind, x: F.concat_ws(":", kind, x["start"].cast("string"), x["end"].cast("string"))
     base = F.transform("spans", lambda x: said(F.get(named, x["kind"]), x))
     terms = F.transform("terms", lambda x: said(F.lit("term"), x))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    acts = [F.size(F.filter("terms", lambda x, a=a: x["action"] == a)).cast("long").alias(name) for a, name in (("generalise", "n_generalised"), ("remove", "n_removed"))]
+    tally = lambda column, field, value: F.size(F.filter(column, lambda x: x[field] == value)).cast("long")
+    counts = [tally("spans", "kind", k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    acts = [tally("terms", "action", a).alias(name) for a, name in (("generalise", "n_generalised"), ("remove", "n_removed"))]
     return spans.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), *acts)

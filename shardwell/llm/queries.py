@@ -150,46 +150,46 @@ ORACLE: dict[str, str] = {
                     WHEN regexp_full_match(roles, 's?(ua)*u') THEN 'asked' ELSE 'refused' END AS state,
                regexp_full_match(roles, 's?(ua)+') AS valid FROM g""",
     "op11_pii": r"""
-        WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+        WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
         p(k, kind, pattern) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
                                        (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
-        m AS (SELECT row, k, kind, i, ms[i] AS m, ps[i] AS l, ps[i + 1] AS r, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d
-              FROM (SELECT row, k, kind, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS ps FROM t, p), unnest(range(1, len(ms) + 1)) AS u(i)),
-        o AS (SELECT *, (sum(length(l) + length(m)) OVER (PARTITION BY row, k ORDER BY i) - length(m))::BIGINT AS s FROM m),
-        e AS (SELECT row, k, kind, l, r, s, s + length(m) AS e, kind || ':' || CASE kind WHEN 'email' THEN {m} WHEN 'ip' THEN m ELSE d END AS entity
+        m AS (SELECT rid, k, kind, i, ms[i] AS m, ps[i] AS l, ps[i + 1] AS r, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d
+              FROM (SELECT rid, k, kind, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS ps FROM t, p), unnest(range(1, len(ms) + 1)) AS u(i)),
+        o AS (SELECT *, (sum(length(l) + length(m)) OVER (PARTITION BY rid, k ORDER BY i) - length(m))::BIGINT AS s FROM m),
+        e AS (SELECT rid, k, kind, l, r, s, s + length(m) AS e, kind || ':' || CASE kind WHEN 'email' THEN {m} WHEN 'ip' THEN m ELSE d END AS entity
               FROM o WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR right(x, 3)::INTEGER > 255)) = 0
                 WHEN 'card' THEN length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(d)), lambda i:
                   CASE WHEN i % 2 = 0 THEN substr(d, (length(d) - i)::INTEGER, 1)::INTEGER
                        ELSE (2 * substr(d, (length(d) - i)::INTEGER, 1)::INTEGER) // 10 + (2 * substr(d, (length(d) - i)::INTEGER, 1)::INTEGER) % 10 END)) % 10 = 0
                 WHEN 'phone' THEN length(d) BETWEEN 8 AND 15 ELSE true END),
-        side AS (SELECT row, k, s, entity, 0 AS after, right(l, 200) AS part, s - least(length(l), 200) AS base, length(l) <= 200 AS short FROM e
-                 UNION ALL SELECT row, k, s, entity, 1, left(r, 200), e, length(r) <= 200 FROM e),
-        w AS (SELECT row, k, s, entity, after, ws[i] AS w, i, base, short, length(part) AS n,
-                     (base + sum(length(ws[i]) + 1) OVER (PARTITION BY row, k, s, after ORDER BY i) - length(ws[i]) - 1)::BIGINT AS at
+        side AS (SELECT rid, k, s, entity, 0 AS after, right(l, 200) AS part, s - least(length(l), 200) AS base, length(l) <= 200 AS short FROM e
+                 UNION ALL SELECT rid, k, s, entity, 1, left(r, 200), e, length(r) <= 200 FROM e),
+        w AS (SELECT rid, k, s, entity, after, ws[i] AS w, i, base, short, length(part) AS n,
+                     (base + sum(length(ws[i]) + 1) OVER (PARTITION BY rid, k, s, after ORDER BY i) - length(ws[i]) - 1)::BIGINT AS pos
               FROM (SELECT *, string_split_regex(part, '[\x20\x09-\x0D]') AS ws FROM side), unnest(range(1, len(ws) + 1)) AS u(i)),
-        near AS (SELECT row, entity, {t} AS term, at + length(w) - length(ltrim(w, {p})) AS a, at + length(w) - length(ltrim(w, {p})) + length(trim(w, {p})) AS b
-                 FROM (SELECT * FROM w WHERE w <> '' AND (short OR CASE after WHEN 0 THEN at > base ELSE at + length(w) < base + 200 END)
-                       QUALIFY row_number() OVER (PARTITION BY row, k, s, after ORDER BY CASE after WHEN 0 THEN -at ELSE at END) <= 8)
+        near AS (SELECT rid, entity, {t} AS term, pos + length(w) - length(ltrim(w, {p})) AS a, pos + length(w) - length(ltrim(w, {p})) + length(trim(w, {p})) AS b
+                 FROM (SELECT * FROM w WHERE w <> '' AND (short OR CASE after WHEN 0 THEN pos > base ELSE pos + length(w) < base + 200 END)
+                       QUALIFY row_number() OVER (PARTITION BY rid, k, s, after ORDER BY CASE after WHEN 0 THEN -pos ELSE pos END) <= 8)
                  WHERE trim(w, {p}) <> '' AND NOT regexp_matches(trim(w, {p}), '[0-9@+]')),
-        both AS (SELECT entity, term, count(DISTINCT text) AS f_both FROM near JOIN t USING (row) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-        wide AS (SELECT entity, left(term, 2) AS form, count(DISTINCT text) AS f_wide FROM near JOIN t USING (row) GROUP BY ALL),
-        own AS (SELECT entity, count(DISTINCT text) AS f_own FROM e JOIN t USING (row) GROUP BY ALL),
-        words AS (SELECT text, {u} AS term FROM (SELECT DISTINCT text FROM t WHERE EXISTS (FROM both)), unnest(string_split_regex(text, '[\x20\x09-\x0D]')) AS u(w) WHERE trim(w, {p}) <> ''),
-        f1 AS (SELECT term, count(DISTINCT text) AS f_term FROM words WHERE term IN (SELECT term FROM both) GROUP BY ALL),
-        f2 AS (SELECT left(term, 2) AS form, count(DISTINCT text) AS f_form FROM words WHERE left(term, 2) IN (SELECT left(term, 2) FROM both) GROUP BY ALL),
+        pairs AS (SELECT entity, term, count(DISTINCT text) AS f_both FROM near JOIN t USING (rid) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+        wide AS (SELECT entity, left(term, 2) AS form, count(DISTINCT text) AS f_wide FROM near JOIN t USING (rid) GROUP BY ALL),
+        own AS (SELECT entity, count(DISTINCT text) AS f_own FROM e JOIN t USING (rid) GROUP BY ALL),
+        words AS (SELECT text, {u} AS term FROM (SELECT DISTINCT text FROM t WHERE EXISTS (FROM pairs)), unnest(string_split_regex(text, '[\x20\x09-\x0D]')) AS u(w) WHERE trim(w, {p}) <> ''),
+        f1 AS (SELECT term, count(DISTINCT text) AS f_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY ALL),
+        f2 AS (SELECT left(term, 2) AS form, count(DISTINCT text) AS f_form FROM words WHERE left(term, 2) IN (SELECT left(term, 2) FROM pairs) GROUP BY ALL),
         told AS (SELECT entity, term, CASE WHEN ln(n * f_wide / (f_form * f_own)) / ln(n / f_own) >= 0.95 THEN 1 ELSE 0 END AS removed
-                 FROM both JOIN own USING (entity) JOIN f1 USING (term) JOIN wide ON wide.entity = both.entity AND wide.form = left(both.term, 2) JOIN f2 ON f2.form = wide.form,
+                 FROM pairs JOIN own USING (entity) JOIN f1 USING (term) JOIN wide ON wide.entity = pairs.entity AND wide.form = left(pairs.term, 2) JOIN f2 ON f2.form = wide.form,
                       (SELECT count(DISTINCT text)::DOUBLE AS n FROM t)
                  WHERE f_own < n AND ln(n * f_both / (f_term * f_own)) / ln(n / f_own) >= 0.95),
-        terms AS (SELECT row, a, b, max(removed) AS removed FROM near JOIN told USING (entity, term) GROUP BY ALL),
-        spans AS (SELECT row, k, s AS a, kind || ':' || s || ':' || e AS span FROM e UNION ALL SELECT row, 4, a, 'term:' || a || ':' || b FROM terms),
-        listed AS (SELECT row, string_agg(span, ',' ORDER BY k, a) FILTER (k < 4) AS base, string_agg(span, ',' ORDER BY k, a) AS spans,
+        terms AS (SELECT rid, a, b, max(removed) AS removed FROM near JOIN told USING (entity, term) GROUP BY ALL),
+        spans AS (SELECT rid, k, s AS a, kind || ':' || s || ':' || e AS span FROM e UNION ALL SELECT rid, 4, a, 'term:' || a || ':' || b FROM terms),
+        listed AS (SELECT rid, string_agg(span, ',' ORDER BY k, a) FILTER (k < 4) AS base, string_agg(span, ',' ORDER BY k, a) AS spans,
                           count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone
-                   FROM spans GROUP BY row),
-        acts AS (SELECT row, sum(removed)::BIGINT AS n_removed, sum(1 - removed)::BIGINT AS n_generalised FROM terms GROUP BY row)
+                   FROM spans GROUP BY rid),
+        acts AS (SELECT rid, sum(removed)::BIGINT AS n_removed, sum(1 - removed)::BIGINT AS n_generalised FROM terms GROUP BY rid)
         SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_generalised, 0) AS n_generalised, coalesce(n_removed, 0) AS n_removed
-        FROM t LEFT JOIN listed USING (row) LEFT JOIN acts USING (row)""".replace("{m}", _LOWER.format("m")).replace("{t}", _LOWER.format("trim(w, {p})")).replace("{u}", _LOWER.format("trim(w, {p})")).replace("{p}", _PUNCTUATION),
+        FROM t LEFT JOIN listed USING (rid) LEFT JOIN acts USING (rid)""".replace("{m}", _LOWER.format("m")).replace("{t}", _LOWER.format("trim(w, {p})")).replace("{u}", _LOWER.format("trim(w, {p})")).replace("{p}", _PUNCTUATION),
     "op12_conversation_repair": r"""
         WITH RECURSIVE ids AS (
           SELECT *, CASE WHEN v IS NULL THEN ' ' ELSE v END AS key

@@ -174,7 +174,8 @@ class Sanitiser:
         names = self.scratch.write(pairs.select(F.explode(F.array("term", "form")).alias("name")).distinct(), "names")
         n = self.base.select("digest").distinct().count()
         some = names.count()
-        words = whole.select(self.digest.alias("digest"), F.explode(F.split(lower_ascii(F.col("text")), SPACE)).alias("w"))
+        cut = whole.select(self.digest.alias("digest"), F.split(lower_ascii(F.col("text")), SPACE).alias("words"))
+        words = cut.select("digest", F.explode("words").alias("w"))  # a step of its own: a digest a text, not a word
         words = words.select("digest", F.rtrim(F.ltrim("w", F.lit(PUNCTUATION)), F.lit(PUNCTUATION)).alias("w")).filter(F.col("w") != "")
         words = words.select("digest", F.explode(F.array("w", general(F.col("w")))).alias("name"))
         met = words.join(F.broadcast(names) if some <= BROADCAST_TERMS else names, "name", "left_semi")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from dataclasses import dataclass, field, replace
 from itertools import count
 
@@ -13,24 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwell.operators.edge_types import STRONG, of_type
+from shardwell.sources.shared import written
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written under spark.checkpoint.dir and read again; a folder of its own only where none is set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        made = tempfile.mkdtemp(prefix="shardwell-graph-")
-        atexit.register(shutil.rmtree, made, True)
-        root = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    out = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    """The rows written under spark.checkpoint.dir and read again."""
+    return written(df, "graph")
 
 
 @dataclass(frozen=True)

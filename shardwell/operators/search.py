@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwell.functions.text import cosine, mentions
+from shardwell.functions.text import cosine
+from shardwell.operators.gram_index import GramIndex
 
 
-def text_score(query: str, name: str = "name", description: str = "description", language: str = "language", concepts: str | None = None, quality: str = "quality", coverage: str = "coverage") -> Column:
-    """Weights of the fields that mention the query, raised by quality and coverage; 1 at most."""
-    s = F.when(mentions(F.col(name), query), 0.4).otherwise(0.0) + F.when(mentions(F.col(description), query), 0.3).otherwise(0.0)
-    if concepts:
-        s = s + 0.2 * F.size(F.filter(concepts, lambda c: mentions(c, query)))
-    s = s + F.when(mentions(F.col(language), query), 0.1).otherwise(0.0)
-    return F.least(s * (0.5 + 0.5 * F.col(quality)) * (0.8 + 0.2 * F.col(coverage)), F.lit(1.0))
+def weigh(name: Column, description: Column, concepts: Column, language: Column, quality: Column, coverage: Column) -> Column:
+    """The weights of the fields that mention a query (concepts: how many do), raised by quality and coverage; 1 at most."""
+    s = F.when(name, 0.4).otherwise(0.0) + F.when(description, 0.3).otherwise(0.0) + 0.2 * concepts + F.when(language, 0.1).otherwise(0.0)
+    return F.least(s * (0.5 + 0.5 * quality) * (0.8 + 0.2 * coverage), F.lit(1.0))
 
 
-def registry_score(query: str) -> Column:
-    """1 if name and description mention the query, 0.7 if one does, else 0."""
-    n, d = mentions(F.col("name"), query), mentions(F.col("description"), query)
-    return F.when(n & d, 1.0).when(n | d, 0.7).otherwise(0.0)
+def text_hits(index: GramIndex, query: str, marks: DataFrame, concepts: bool = True) -> DataFrame:
+    """doc_id, score of the chunks that mention the query, found by the index. marks: doc_id, quality, coverage."""
+    hits = index.find(query, ("name", "description", "language", *(("concept",) if concepts else ())))
+    has = lambda field: F.max(F.col("field") == field)
+    flags = hits.groupBy(F.col("key").alias("doc_id")).agg(has("name").alias("n"), has("description").alias("d"), has("language").alias("l"), F.count_if(F.col("field") == "concept").alias("c"))
+    known = flags.join(marks, "doc_id", "left").fillna(0.0, ["quality", "coverage"])
+    return known.select("doc_id", weigh(F.col("n"), F.col("d"), F.col("c"), F.col("l"), F.col("quality"), F.col("coverage")).alias("score"))
+
+
+def registry_hits(index: GramIndex, query: str) -> DataFrame:
+    """doc_id, score: 1 if name and description mention the query, 0.7 if one does."""
+    hits = index.find(query, ("name", "description")).groupBy(F.col("key").alias("doc_id")).agg(F.count_distinct("field").alias("n"))
+    return hits.select("doc_id", F.when(F.col("n") == 2, 1.0).otherwise(0.7).alias("score"))
 
 
 def top(rows: DataFrame, score: str, k: int, tie: str = "doc_id") -> DataFrame:

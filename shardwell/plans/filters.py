@@ -53,15 +53,20 @@ def fil12(spark, sf_dir):
 
 @query("fil13_list_chunks", f"WITH {REGISTRY_SQL} SELECT CAST(doc_id AS VARCHAR) || ':' || name AS chunk_id, CAST(strlen(description) AS BIGINT) AS size FROM reg WHERE contains(CAST(doc_id AS VARCHAR), '42') OR contains(name, 'the')")
 def fil13(spark, sf_dir):
-    r = corpus.registry(spark, sf_dir)
-    hit = r.filter(F.contains(F.col("doc_id").cast("string"), F.lit("42")) | F.contains("name", F.lit("the")))
-    return hit.select(F.concat_ws(":", "doc_id", "name").alias("chunk_id"), F.octet_length("description").cast("long").alias("size"))
+    """Case counts here, so that the index (which folds it) proposes and the name decides."""
+    index = corpus.registry_index(spark, sf_dir)
+    keys = index.find("42", ("id",)).select("key").unionByName(index.find("the", ("name",)).select("key")).distinct()
+    own = index.texts().join(keys, "key").groupBy("key").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("id", "name", "description")))
+    hit = own.filter(F.contains("id", F.lit("42")) | F.contains("name", F.lit("the")))
+    return hit.select(F.concat_ws(":", "id", "name").alias("chunk_id"), F.octet_length("description").cast("long").alias("size"))
 
 
 @query("fil14_paged_search", "SELECT sha256(text) AS id, count(*) OVER () AS total FROM documents WHERE contains(sha256(text), 'ab') ORDER BY id, doc_id LIMIT 10 OFFSET 5")
 def fil14(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("id")).filter(F.contains("id", F.lit("ab")))
-    total = d.agg(F.count("*").alias("total"))
+    index = corpus.registry_index(spark, sf_dir)
+    hits = index.find("ab", ("hash",))
+    d = hits.join(index.texts().filter("field = 'hash'"), ["key", "field", "part"]).select(F.col("key").alias("doc_id"), F.col("value").alias("id"))
+    total = hits.agg(F.count("*").alias("total"))
     return d.orderBy("id", "doc_id").offset(5).limit(10).crossJoin(F.broadcast(total)).select("id", "total")
 
 

@@ -53,17 +53,8 @@ def join04(spark, sf_dir):
 
 @query("join05_members", "SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)")
 def join05(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # substring join through the item's first characters, in which a document that has the item has them too
-    size = F.least(F.length("item"), F.lit(12))
-    lead = items.withColumn("lead", F.substring("item", F.lit(1), size))
-    # at most 13 lengths; an empty item (length 0) is in every document
-    lengths = sorted(r[0] for r in items.select(size).distinct().collect() if r[0] is not None) or [12]
-    # (a look-ahead at every place: linear in the text, while substring counts characters from its start)
-    grams = F.concat(*(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), 1) if n else F.array(F.lit("")) for n in lengths))
-    found = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("lead")).join(F.broadcast(lead), "lead").select("item_id", "item", "doc_id")
-    return found.join(d, "doc_id").filter(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("needle"))
+    return corpus.text_index(spark, sf_dir).find_all(items).select(F.col("id").alias("item_id"), F.col("key").alias("doc_id"))
 
 
 @query("join07_ghosts", f"WITH {EDGES_SQL}, req AS (SELECT 'customer:' || c_custkey AS id FROM customer) SELECT DISTINCT dst AS ghost FROM edges JOIN req ON src = id WHERE dst NOT IN (SELECT id FROM req)")

@@ -17,14 +17,36 @@ COS = "round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUB
 
 @query("topk01_text_search", f"WITH {REGISTRY_SQL} SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, {TEXT} AS score FROM reg) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def topk01(spark, sf_dir):
-    r = corpus.registry(spark, sf_dir).withColumn("score", search.text_score("the"))
-    return search.top(r, "score", 20).select("doc_id", F.round("score", 6).alias("score"))
+    hits = search.text_hits(corpus.registry_index(spark, sf_dir), "the", corpus.marks(spark, sf_dir), concepts=False)
+    return search.top(hits, "score", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+TAGGED = f"""WITH {REGISTRY_SQL}, t AS (SELECT reg.*, [lang, source] AS concepts FROM reg JOIN documents USING (doc_id))"""
+CONCEPTS = "len(list_filter(concepts, lambda x: contains(lower(x), '{q}')))"
+
+
+@query(
+    "scal05_concept_score",
+    f"""{TAGGED} SELECT doc_id, round(least((CASE WHEN contains(lower(name), 'en') THEN 0.4::DOUBLE ELSE 0.0 END + CASE WHEN contains(lower(description), 'en') THEN 0.3::DOUBLE ELSE 0.0 END
+      + 0.2::DOUBLE * {CONCEPTS.format(q="en")} + CASE WHEN contains(lower(language), 'en') THEN 0.1::DOUBLE ELSE 0.0 END) * (0.5 + 0.5 * quality) * (0.8 + 0.2 * coverage), 1.0::DOUBLE), 6) AS score
+      FROM t WHERE contains(lower(name), 'en') OR contains(lower(description), 'en') OR contains(lower(language), 'en') OR {CONCEPTS.format(q="en")} > 0""",
+)
+def scal05_concepts(spark, sf_dir):
+    """All chunks that mention the query in some field or concept."""
+    hits = search.text_hits(corpus.registry_index(spark, sf_dir), "EN", corpus.marks(spark, sf_dir))
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("fil17_by_concept", f"{TAGGED} SELECT doc_id, quality FROM t WHERE contains(lower(description), 'src1') OR {CONCEPTS.format(q='src1')} > 0")
+def fil17_by_concept(spark, sf_dir):
+    """Chunks whose description or concepts mention the need."""
+    keys = corpus.registry_index(spark, sf_dir).find("src1", ("description", "concept")).select(F.col("key").alias("doc_id")).distinct()
+    return keys.join(corpus.marks(spark, sf_dir), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0.0)).alias("quality"))
 
 
 @query("topk02_registry_search", f"WITH {REGISTRY_SQL} SELECT * FROM (SELECT doc_id, {REG} AS score FROM reg) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def topk02(spark, sf_dir):
-    r = corpus.registry(spark, sf_dir).withColumn("score", search.registry_score("the"))
-    return search.top(r, "score", 20).select("doc_id", "score")
+    return search.top(search.registry_hits(corpus.registry_index(spark, sf_dir), "the"), "score", 20)
 
 
 def _query_vector(spark, sf_dir):
@@ -46,10 +68,9 @@ def topk03(spark, sf_dir):
     SELECT * FROM m WHERE score >= 0.1 ORDER BY score DESC, doc_id LIMIT 10""",
 )
 def topk04(spark, sf_dir):
-    reg = corpus.registry(spark, sf_dir)
-    t = search.top(reg.withColumn("score", search.registry_score("the")), "score", 20)
+    t = search.top(search.registry_hits(corpus.registry_index(spark, sf_dir), "the"), "score", 20)
     s = search.nearest(_query_vector(spark, sf_dir), F.col("q"), 20).withColumnRenamed("vec_id", "doc_id")
-    return search.hybrid(t, s, reg, 10, 0.1)
+    return search.hybrid(t, s, corpus.marks(spark, sf_dir), 10, 0.1)
 
 
 @query(

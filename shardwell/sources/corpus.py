@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwell.functions.text import chunk_id, lines, token_estimate
+from shardwell.operators.gram_index import GramIndex, index_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,31 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, name (first line), description (second line), language, quality, coverage."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d = table(spark, sf_dir, "documents")
     first = lines(F.col("text"))
     rows = d.select("doc_id", F.coalesce(F.get(first, 0), F.lit("")).alias("name"), F.coalesce(F.get(first, 1), F.lit("")).alias("description"), F.col("lang").alias("language"))
-    marks = labels.select("doc_id", F.col("quality").cast("double").alias("quality"), (1.0 - F.col("toxic")).alias("coverage"))
-    return rows.join(marks, "doc_id", "left").fillna(0.0, ["quality", "coverage"])
+    return rows.join(marks(spark, sf_dir), "doc_id", "left").fillna(0.0, ["quality", "coverage"])
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, quality, coverage of the documents that have labels."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), (1.0 - F.col("toxic")).alias("coverage"))
+
+
+def registry_index(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """The registry's searchable fields: id, hash, name, description, language, and concepts (language and source)."""
+    d = table(spark, sf_dir, "documents")
+    first = lines(F.col("text"))
+    value = lambda field, part, c: F.struct(F.lit(field).alias("field"), F.lit(part).alias("part"), c.alias("value"))
+    fields = [value("id", 0, F.col("doc_id").cast("string")), value("hash", 0, F.sha2("text", 256)), value("name", 0, F.coalesce(F.get(first, 0), F.lit(""))), value("description", 0, F.coalesce(F.get(first, 1), F.lit("")))]
+    fields += [value("language", 0, F.col("lang")), value("concept", 0, F.col("lang")), value("concept", 1, F.col("source"))]
+    return index_of(d, d.select(F.col("doc_id").alias("key"), F.explode(F.array(*fields)).alias("v")).select("key", "v.*"), fold=True)
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """Whole texts of the documents, by grams of eight characters at every fourth place."""
+    d = table(spark, sf_dir, "documents")
+    return index_of(d, d.select(F.col("doc_id").alias("key"), F.lit("text").alias("field"), F.lit(0).alias("part"), F.col("text").alias("value")), q=8, step=4)
 
 
 REGISTRY_SQL = """reg AS (

@@ -1,13 +1,18 @@
 """Scans, stores and sinks."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwell.catalog import query
 from shardwell.functions.text import chunk_id, sha256
 from shardwell.operators import storage as op
 from shardwell.operators import store
+from shardwell.operators.graph_store import GraphStore
 from shardwell.sources import corpus, relational
 from shardwell.sources.corpus import EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
+from shardwell.sources.shared import new_folder
 
 
 @query("src01_read_files", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM documents")
@@ -188,6 +193,75 @@ def src16(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(store.dangling(left).select(F.lit("dangling").alias("kind"), "node", F.col("missing").alias("what")))
 
 
+CHUNKS_SQL = """chunks AS (SELECT 'n' || user_id AS id, event_id AS seq, event_id * 3 // (SELECT max(event_id) + 1 FROM events) AS batch,
+      ['s' || (user_id % 40), event_type || '-' || (event_id % 20)] AS provides, [event_type || '-' || (event_id % 23), 's' || (event_id % 45)] AS requires,
+      ['a' || (user_id % 9)] AS aliases, CASE WHEN event_id % 3 = 0 THEN [] ELSE ['n' || (event_id % 50), 'n' || (event_id % 7)] END AS deps FROM events),
+    owned AS (SELECT k AS batch, symbol, max_by(id, (seq, place)) AS owner FROM (SELECT id, seq, batch, unnest(provides) AS symbol, unnest([0, 1]) AS place FROM chunks) c, range(3) AS b(k) WHERE c.batch <= k GROUP BY ALL),
+    wants AS (SELECT DISTINCT id, batch, unnest(requires) AS wanted FROM chunks),
+    linked AS (SELECT id AS src, w.batch, CASE wanted WHEN 's5' THEN 'n1' ELSE owner END AS dst FROM wants w LEFT JOIN owned o ON o.batch = w.batch AND symbol = wanted
+               WHERE wanted = 's5' OR (owner IS NOT NULL AND owner <> id)),
+    listed AS (SELECT id, max(batch) AS batch, max_by(deps, seq) AS deps FROM chunks WHERE len(deps) > 0 GROUP BY id),
+    forward AS (SELECT id AS src, 'calls' AS edge_type, unnest(deps) AS dst FROM listed
+                UNION SELECT src, 'imports', dst FROM linked LEFT JOIN listed ON src = id WHERE listed.batch IS NULL OR linked.batch >= listed.batch),
+    reverse AS (SELECT unnest(deps) AS dst, 'calls' AS edge_type, id AS src FROM chunks UNION SELECT dst, 'imports', src FROM linked),
+    nodes AS (SELECT id, max(seq) AS seq, max_by(provides, seq) AS provides, max_by(aliases, seq) AS aliases FROM chunks GROUP BY id),
+    symbols AS (SELECT symbol, owner FROM owned WHERE batch = 2), aliases AS (SELECT alias, max_by(id, seq) AS owner FROM (SELECT id, seq, unnest(aliases) AS alias FROM chunks) GROUP BY alias)"""
+
+
+def event_chunks(spark, sf_dir):
+    """Events as chunks of their users, in three batches by time: batch, and the columns of a chunk."""
+    e = table(spark, sf_dir, "events")
+    text = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    kind = lambda n: F.concat("event_type", F.lit("-"), (F.col("event_id") % n).cast("string"))
+    edge = lambda n: F.struct(F.lit("calls").alias("edge_type"), text("n", "event_id", n).alias("dst"))
+    last = e.agg(F.max("event_id")).first()[0]
+    outgoing = F.when(F.col("event_id") % 3 != 0, F.array(edge(50), edge(7))).otherwise(F.array().cast("array<struct<edge_type: string, dst: string>>"))
+    return e.select(
+        F.floor(F.col("event_id") * 3 / (last + 1)).cast("int").alias("batch"), F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("chunk_id"), F.col("event_id").alias("seq"),
+        F.md5(F.col("event_id").cast("string")).alias("content_hash"), F.col("event_type").alias("language"), F.lit(1).cast("long").alias("size"),
+        F.array(text("s", "user_id", 40), kind(20)).alias("provides"), F.array(kind(23), text("s", "event_id", 45)).alias("requires"), F.array(text("a", "user_id", 9)).alias("aliases"), outgoing.alias("outgoing"),
+    )
+
+
+def imported(spark, sf_dir):
+    """The store after the three batches; 's5' is an alias of the registry."""
+    made, chunks = GraphStore(spark, new_folder(spark, "store"), buckets=4), event_chunks(spark, sf_dir)
+    registry = spark.createDataFrame([("s5", "n1")], "alias string, owner string")
+    for k in range(3):
+        made.put(chunks.filter(F.col("batch") == k), registry, f"batch {k}")
+    return made
+
+
+def contents(made):
+    row = lambda kind, t, a, b: made.table(t).select(F.lit(kind).alias("kind"), F.col(a).alias("key"), b.cast("string").alias("value"))
+    edge = lambda other: F.concat_ws(" ", "edge_type", other)
+    parts = [row("node", "nodes", "chunk_id", F.col("seq")), row("symbol", "symbols", "symbol", F.col("owner")), row("alias", "aliases", "alias", F.col("owner")), row("forward", "forward", "src", edge("dst")), row("reverse", "reverse", "dst", edge("src"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+CONTENTS_SQL = """SELECT 'node' AS kind, id AS key, seq::VARCHAR AS value FROM nodes UNION ALL SELECT 'symbol', symbol, owner FROM symbols UNION ALL SELECT 'alias', alias, owner FROM aliases
+    UNION ALL SELECT 'forward', src, edge_type || ' ' || dst FROM forward UNION ALL SELECT 'reverse', dst, edge_type || ' ' || src FROM reverse"""
+
+
+@query("src44_store_import", f"WITH {CHUNKS_SQL} {CONTENTS_SQL}")
+def src44_store(spark, sf_dir):
+    """Nodes, indexes and linked edges after three batches."""
+    return contents(imported(spark, sf_dir))
+
+
+@query(
+    "src16_store_delete",
+    f"""WITH {CHUNKS_SQL}, gone AS (SELECT * FROM nodes WHERE substr(id, 2)::BIGINT % 5 = 0), left_ AS (SELECT * FROM ({CONTENTS_SQL}))
+    SELECT * FROM left_ WHERE (kind NOT IN ('node', 'forward', 'reverse') OR key NOT IN (SELECT id FROM gone))
+      AND (kind <> 'symbol' OR key NOT IN (SELECT unnest(provides) FROM gone)) AND (kind <> 'alias' OR key NOT IN (SELECT unnest(aliases) FROM gone))""",
+)
+def src16_store(spark, sf_dir):
+    """The same without every fifth node: its symbols, aliases and lists go, what others say of it dangles."""
+    made = imported(spark, sf_dir)
+    made.delete(made.table("nodes").filter(F.substring("chunk_id", 2, 20).cast("long") % 5 == 0), "every fifth")
+    return contents(made)
+
+
 @query(
     "src43_constraints",
     """WITH c AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'chunk:0' ELSE 'chunk:' || doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'source' END AS kind, CASE WHEN doc_id % 9 <> 0 THEN n_chars END AS size FROM documents),

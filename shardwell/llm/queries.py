@@ -172,13 +172,13 @@ ORACLE: dict[str, str] = {
                        QUALIFY row_number() OVER (PARTITION BY rid, k, s, after ORDER BY CASE after WHEN 0 THEN -pos ELSE pos END) <= 8)
                  WHERE trim(w, {p}) <> '' AND NOT regexp_matches(trim(w, {p}), '[0-9@+]')),
         pairs AS (SELECT entity, term, count(DISTINCT text) AS f_both FROM near JOIN t USING (rid) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-        wide AS (SELECT entity, left(term, 2) AS form, count(DISTINCT text) AS f_wide FROM near JOIN t USING (rid) GROUP BY ALL),
+        wide AS (SELECT entity, left(term, 4) AS form, count(DISTINCT text) AS f_wide FROM near JOIN t USING (rid) GROUP BY ALL),
         own AS (SELECT entity, count(DISTINCT text) AS f_own FROM e JOIN t USING (rid) GROUP BY ALL),
         words AS (SELECT text, {u} AS term FROM (SELECT DISTINCT text FROM t WHERE EXISTS (FROM pairs)), unnest(string_split_regex(text, '[\x20\x09-\x0D]')) AS u(w) WHERE trim(w, {p}) <> ''),
         f1 AS (SELECT term, count(DISTINCT text) AS f_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY ALL),
-        f2 AS (SELECT left(term, 2) AS form, count(DISTINCT text) AS f_form FROM words WHERE left(term, 2) IN (SELECT left(term, 2) FROM pairs) GROUP BY ALL),
+        f2 AS (SELECT left(term, 4) AS form, count(DISTINCT text) AS f_form FROM words WHERE left(term, 4) IN (SELECT left(term, 4) FROM pairs) GROUP BY ALL),
         told AS (SELECT entity, term, CASE WHEN ln(n * f_wide / (f_form * f_own)) / ln(n / f_own) >= 0.95 THEN 1 ELSE 0 END AS removed
-                 FROM pairs JOIN own USING (entity) JOIN f1 USING (term) JOIN wide ON wide.entity = pairs.entity AND wide.form = left(pairs.term, 2) JOIN f2 ON f2.form = wide.form,
+                 FROM pairs JOIN own USING (entity) JOIN f1 USING (term) JOIN wide ON wide.entity = pairs.entity AND wide.form = left(pairs.term, 4) JOIN f2 ON f2.form = wide.form,
                       (SELECT count(DISTINCT text)::DOUBLE AS n FROM t)
                  WHERE f_own < n AND ln(n * f_both / (f_term * f_own)) / ln(n / f_own) >= 0.95),
         terms AS (SELECT rid, a, b, max(removed) AS removed FROM near JOIN told USING (entity, term) GROUP BY ALL),

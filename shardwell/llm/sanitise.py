@@ -26,7 +26,7 @@ from .common import Scratch, join_groups, lower_ascii, text_or_empty
 
 CONTEXT, REACH = 8, 200
 SUPPORT, DISCLOSURE = 3, 0.95
-PREFIX = 2
+PREFIX = 4
 #: Candidate terms (some 50 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 KINDS = ("email", "ip", "card", "phone")
@@ -169,10 +169,14 @@ class Sanitiser:
         both = self.near.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("f_both")).filter(F.col("f_both") >= SUPPORT)
         wide = self.near.select("entity", general(F.col("term")).alias("form"), "digest").distinct().groupBy("entity", "form").agg(F.count("*").alias("f_wide"))
         own = self.base.select("digest", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("f_entity"))
-        pairs = both.withColumn("form", general(F.col("term"))).join(own, "entity").join(wide, ["entity", "form"])
-        pairs = self.scratch.write(pairs, "pairs")
-        names = self.scratch.write(pairs.select(F.explode(F.array("term", "form")).alias("name")).distinct(), "names")
         n = self.base.select("digest").distinct().count()
+        count = F.lit(float(n))
+        tells = lambda both, own: _share(count, F.col(both), F.col(own), F.col("f_entity")) >= DISCLOSURE
+        # Texts that have a term beside any entity are no more than all that have it: who discloses too little by these is out.
+        least = self.near.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("f_least"))
+        pairs = both.withColumn("form", general(F.col("term"))).join(own, "entity").join(least, "term").filter(F.col("f_entity") < n).filter(tells("f_both", "f_least")).join(wide, ["entity", "form"])
+        pairs = self.scratch.write(pairs.drop("f_least"), "pairs")
+        names = self.scratch.write(pairs.select(F.explode(F.array("term", "form")).alias("name")).distinct(), "names")
         some = names.count()
         cut = whole.select(self.digest.alias("digest"), F.split(lower_ascii(F.col("text")), SPACE).alias("words"))
         words = cut.select("digest", F.explode("words").alias("w"))  # a step of its own: a digest a text, not a word
@@ -181,10 +185,7 @@ class Sanitiser:
         met = words.join(F.broadcast(names) if some <= BROADCAST_TERMS else names, "name", "left_semi")
         counted = self.scratch.write(met.distinct().groupBy("name").agg(F.count("*").alias("f")), "counted") if some else names.withColumn("f", F.lit(0).cast("long"))
         term, form = counted.select(F.col("name").alias("term"), F.col("f").alias("f_term")), counted.select(F.col("name").alias("form"), F.col("f").alias("f_form"))
-        out = pairs.filter(F.col("f_entity") < n).join(term, "term").join(form, "form")
-        count = F.lit(float(n))
-        tells = lambda both, own: _share(count, F.col(both), F.col(own), F.col("f_entity")) >= DISCLOSURE
-        out = out.filter(tells("f_both", "f_term"))
+        out = pairs.join(term, "term").join(form, "form").filter(tells("f_both", "f_term"))
         return out.select("entity", "term", F.when(tells("f_wide", "f_form"), "remove").otherwise("generalise").alias("action"))
 
     def spans(self) -> DataFrame:

@@ -50,7 +50,7 @@ def associated(seed=3):
     rows = []
     for k in range(150):
         around = [word() for _ in range(r.randrange(3, 30))]
-        put = {0: "Zora (Quill) zora.q@mail.example.com xylem", 1: "call Bruno at +49 30 1234567, Bruno", 2: "host 10.1.2.3 kilo", 3: "Zenith kilo bruta"}.get(k % 6)
+        put = {0: "Zora (Quill) zora.q@mail.example.com xylem", 1: "call Bruno at +49 30 1234567, Bruno", 2: "host 10.1.2.3 kilo", 3: "Zenith kilo brunel"}.get(k % 6)
         if put:
             around.insert(r.randrange(len(around)), put)
         rows.append((k, " ".join(around)))
@@ -85,8 +85,8 @@ def disclosing(rows):
             continue
         share = lambda b, f: math.log(n * b / (f * len(own[entity]))) / math.log(n / len(own[entity]))
         if share(len(both), sum(term in w for w in words.values())) >= 0.95:
-            wide = {t for (x, y), ts in near.items() if x == entity and y[:2] == term[:2] for t in ts}
-            f = sum(any(x[:2] == term[:2] for x in w) for w in words.values())
+            wide = {t for (x, y), ts in near.items() if x == entity and y[:4] == term[:4] for t in ts}
+            f = sum(any(x[:4] == term[:4] for x in w) for w in words.values())
             out[entity, term] = "remove" if share(len(wide), f) >= 0.95 else "generalise"
     return out
 

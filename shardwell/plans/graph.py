@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shardwell.catalog import query
 from shardwell.operators import graph as g
+from shardwell.operators.components import components
 from shardwell.sources import corpus
 from shardwell.sources.corpus import EDGES_SQL, FK_EDGES_SQL, NODES_SQL, table
 
@@ -141,3 +142,36 @@ def grf14(spark, sf_dir):
     language = F.element_at(F.array(*map(F.lit, ["typescript", "python", "rust", "cobol"])), (key % 4 + 1).cast("int"))
     groups = table(spark, sf_dir, "customer").select(key.alias("grp"), language.alias("language"), F.concat(F.lit("customer:"), key.cast("string")).alias("seed"))
     return g.scaffold_imports(groups, nodes, edges)
+
+
+RINGS = 100_000
+
+
+@query(
+    "join11_components",
+    f"""WITH {EDGES_SQL}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges UNION SELECT 'orders:' || o_orderkey FROM orders),
+    c AS (SELECT node, CASE WHEN node LIKE 'orders:%' THEN 'ring ' || substr(node, 8)::BIGINT // {RINGS} ELSE node END AS label FROM n)
+    SELECT node, min(node) OVER w AS component, count(*) OVER w AS size FROM c WINDOW w AS (PARTITION BY label)""",
+)
+def join11_components(spark, sf_dir):
+    """The whole graph, and rings of 100,000 orders each: each order leads to the next one of its ring, the last to the first."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    ends = o.groupBy(F.floor(F.col("k") / RINGS).alias("ring")).agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    ring = o.withColumn("ring", F.floor(F.col("k") / RINGS)).join(ends, "ring").select("k", F.when(F.col("k") < F.col("last"), F.col("k") + 1).otherwise(F.col("first")).alias("next"))
+    name = lambda c: F.concat(F.lit("orders:"), F.col(c).cast("string"))
+    edges = corpus.edges(spark, sf_dir).select("src", "dst").unionByName(ring.select(name("k").alias("src"), name("next").alias("dst")))
+    return components(edges, o.select(name("k").alias("node")))
+
+
+@query(
+    "grf09_components",
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || user_id AS src, unnest(['n' || (event_id % 50), 'n' || ((event_id * 7) % 400)]) AS dst FROM events WHERE event_id % 3 <> 0),
+    n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), w AS (SELECT dst AS root, dst AS node FROM e UNION SELECT w.root, e.dst FROM w JOIN e ON e.src = w.node),
+    m AS (SELECT a.root AS node, min(a.node) AS component FROM w a JOIN w b ON a.root = b.node AND a.node = b.root GROUP BY a.root),
+    c AS (SELECT node, coalesce(component, node) AS component FROM n LEFT JOIN m USING (node)) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c""",
+)
+def grf09_components(spark, sf_dir):
+    """Cycles among the users of the event log."""
+    e = table(spark, sf_dir, "events").filter("event_id % 3 <> 0")
+    to = F.explode(F.array(F.concat(F.lit("n"), (F.col("event_id") % 50).cast("string")), F.concat(F.lit("n"), (F.col("event_id") * 7 % 400).cast("string"))))
+    return components(e.select(F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("src"), to.alias("dst")))

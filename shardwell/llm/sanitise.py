@@ -172,11 +172,13 @@ class Sanitiser:
         n = self.base.select("digest").distinct().count()
         count = F.lit(float(n))
         tells = lambda both, own: _share(count, F.col(both), F.col(own), F.col("f_entity")) >= DISCLOSURE
-        # Texts that have a term beside any entity are no more than all that have it: who discloses too little by these is out.
-        least = self.near.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("f_least"))
-        pairs = both.withColumn("form", general(F.col("term"))).join(own, "entity").join(least, "term").filter(F.col("f_entity") < n).filter(tells("f_both", "f_least")).join(wide, ["entity", "form"])
-        pairs = self.scratch.write(pairs.drop("f_least"), "pairs")
-        names = self.scratch.write(pairs.select(F.explode(F.array("term", "form")).alias("name")).distinct(), "names")
+        # Texts that have a term (a form) beside any entity are no more than all that have it. So who discloses too little by
+        # these counts is settled: such a term is out, such a form will do. The others are counted in all texts.
+        least = lambda name, c: self.near.select(c.alias(name), "digest").distinct().groupBy(name).agg(F.count("*").alias(f"least_{name}"))
+        pairs = both.withColumn("form", general(F.col("term"))).join(own, "entity").join(least("term", F.col("term")), "term").filter(F.col("f_entity") < n).filter(tells("f_both", "least_term"))
+        pairs = pairs.join(wide, ["entity", "form"]).join(least("form", general(F.col("term"))), "form")
+        pairs = self.scratch.write(pairs.withColumn("open", tells("f_wide", "least_form")).drop("least_term", "least_form"), "pairs")
+        names = self.scratch.write(pairs.select(F.explode(F.array("term", F.when(F.col("open"), F.col("form")))).alias("name")).filter("name IS NOT NULL").distinct(), "names")
         some = names.count()
         cut = whole.select(self.digest.alias("digest"), F.split(lower_ascii(F.col("text")), SPACE).alias("words"))
         words = cut.select("digest", F.explode("words").alias("w"))  # a step of its own: a digest a text, not a word
@@ -185,8 +187,8 @@ class Sanitiser:
         met = words.join(F.broadcast(names) if some <= BROADCAST_TERMS else names, "name", "left_semi")
         counted = self.scratch.write(met.distinct().groupBy("name").agg(F.count("*").alias("f")), "counted") if some else names.withColumn("f", F.lit(0).cast("long"))
         term, form = counted.select(F.col("name").alias("term"), F.col("f").alias("f_term")), counted.select(F.col("name").alias("form"), F.col("f").alias("f_form"))
-        out = pairs.join(term, "term").join(form, "form").filter(tells("f_both", "f_term"))
-        return out.select("entity", "term", F.when(tells("f_wide", "f_form"), "remove").otherwise("generalise").alias("action"))
+        out = pairs.join(term, "term").filter(tells("f_both", "f_term")).join(form, "form", "left")
+        return out.select("entity", "term", F.when(F.col("open") & tells("f_wide", "f_form"), "remove").otherwise("generalise").alias("action"))
 
     def spans(self) -> DataFrame:
         """A row a document: row, doc_id, spans (kind 0 to 3, start, end) and terms (start, end, action), in order."""

@@ -6,7 +6,7 @@ from shardwell.catalog import query
 from shardwell.functions.text import mentions
 from shardwell.operators import edge_types as et
 from shardwell.sources import corpus
-from shardwell.sources.corpus import EDGES_SQL, FK_EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
+from shardwell.sources.corpus import EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
 
 
 @query("fil01_get_node", f"WITH {NODES_SQL} SELECT * FROM nodes WHERE node_id IN ('nation:3', 'part:10', 'missing:1')")
@@ -27,7 +27,7 @@ def fil03(spark, sf_dir):
     return out.unionByName(e.filter("dst = 'customer:5'").select(F.lit("in").alias("way"), F.col("src").alias("other"), "edge_type"))
 
 
-@query("fil04_edges_of_type", f"WITH {FK_EDGES_SQL} SELECT * FROM edges WHERE edge_type = 'imports'")
+@query("fil04_edges_of_type", f"WITH {EDGES_SQL} SELECT * FROM edges WHERE edge_type = 'imports'")
 def fil04(spark, sf_dir):
     return et.of_type(corpus.edges(spark, sf_dir), ["imports"])
 
@@ -87,11 +87,11 @@ def fil18(spark, sf_dir):
     return p.groupBy(F.col("p_name").alias("symbol")).agg(F.max_by("p_partkey", "p_partkey").alias("owner"))
 
 
-@query("fil20_resolve_alias", "SELECT page_id, url FROM pages WHERE ends_with(url, '/' || (SELECT regexp_extract(url, '[^/]*$') FROM pages WHERE page_id = 4 OR page_id = 6 ORDER BY page_id DESC LIMIT 1)) ORDER BY url LIMIT 1")
+@query("fil20_resolve_alias", "SELECT regexp_extract(url, '[^/]*$') AS alias, url, page_id FROM pages QUALIFY row_number() OVER (PARTITION BY alias ORDER BY url, page_id) = 1")
 def fil20(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    wanted = p.filter("page_id IN (4, 6)").orderBy(F.desc("page_id")).limit(1).select(F.regexp_extract("url", "[^/]*$", 0).alias("_a"))
-    return p.crossJoin(F.broadcast(wanted)).filter(F.endswith("url", F.concat(F.lit("/"), F.col("_a")))).orderBy("url").limit(1).select("page_id", "url")
+    """Every alias (the last part of a path), and the first url that ends with it."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "[^/]*$", 0).alias("alias"), F.struct("url", "page_id").alias("p"))
+    return p.groupBy("alias").agg(F.min("p").alias("p")).select("alias", "p.url", "p.page_id")
 
 
 @query("fil24_alias_search", f"WITH {NODES_SQL} SELECT node_id, alias FROM nodes WHERE contains(lower(alias), 'ring') OR contains(lower(node_id), 'nation:1')")

@@ -6,46 +6,41 @@ from shardwell.catalog import query
 from shardwell.operators import graph as g
 from shardwell.operators.components import components
 from shardwell.sources import corpus
-from shardwell.sources.corpus import EDGES_SQL, FK_EDGES_SQL, NODES_SQL, table
+from shardwell.sources.corpus import EDGES_SQL, NODES_SQL, table
 
 
-def bfs(start: str, depth: int, a: str = "src", b: str = "dst", where: str = "true", edges: str = FK_EDGES_SQL) -> str:
+def bfs(start: str, depth: int, a: str = "src", b: str = "dst", where: str = "true", edges: str = EDGES_SQL) -> str:
     return f"""WITH RECURSIVE {NODES_SQL}, {edges}, w AS (
       SELECT '{start}' AS node_id, 0 AS depth UNION SELECT e.{b}, w.depth + 1 FROM w JOIN edges e ON e.{a} = w.node_id WHERE w.depth < {depth} AND {where})
       SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE node_id IN (SELECT node_id FROM nodes) GROUP BY node_id"""
 
 
-def parts(spark, sf_dir):
-    return corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir, lineitem=False)
-
-
 def whole(spark, sf_dir):
-    """With the edges of lineitem: 'calls' (order to part) and 'generic_ref' (part to supplier)."""
-    return corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir)
+    return corpus.nodes(spark, sf_dir), corpus.edge_table(spark, sf_dir)
 
 
-@query("grf01_dependencies", bfs("orders:0", 3, edges=EDGES_SQL))
+@query("grf01_dependencies", bfs("orders:0", 3))
 def grf01_all(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependencies("orders:0").with_limit(None), *whole(spark, sf_dir)).select("node_id", "depth")
 
 
-@query("grf01_dependents", bfs("region:0", 3, "dst", "src", edges=EDGES_SQL))
+@query("grf01_dependents", bfs("region:0", 3, "dst", "src"))
 def grf01b_all(spark, sf_dir):
     return g.traverse(g.GraphQuery.dependents("region:0").with_limit(None), *whole(spark, sf_dir)).select("node_id", "depth")
 
 
 @query("grf02_strong_typed", bfs("orders:5", 2, where="edge_type IN ('imports', 'type_ref', 'implements', 'extends')"))
 def grf02(spark, sf_dir):
-    return g.traverse(g.GraphQuery.dependencies("orders:5").strong_only().with_depth(2), *parts(spark, sf_dir)).select("node_id", "depth")
+    return g.traverse(g.GraphQuery.dependencies("orders:5").strong_only().with_depth(2).with_limit(None), *whole(spark, sf_dir)).select("node_id", "depth")
 
 
 @query(
     "grf03_paths",
-    f"""WITH RECURSIVE {FK_EDGES_SQL}, w AS (SELECT 'orders:7' AS node, ['orders:7'] AS path UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node WHERE len(w.path) <= 3)
+    f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT 'orders:7' AS node, ['orders:7'] AS path UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node WHERE len(w.path) <= 3)
     SELECT node, min(array_to_string(path, '>')) AS path, CAST(min(len(path)) - 1 AS INTEGER) AS depth FROM w GROUP BY node""",
 )
 def grf03(spark, sf_dir):
-    return g.paths(parts(spark, sf_dir)[1], "orders:7", 3).select("node", F.array_join("path", ">").alias("path"), "depth")
+    return g.paths(whole(spark, sf_dir)[1], "orders:7", 3).select("node", F.array_join("path", ">").alias("path"), "depth")
 
 
 def order_groups(spark, sf_dir):
@@ -55,10 +50,10 @@ def order_groups(spark, sf_dir):
 
 @query("grf04_expansion")
 def grf04_all(spark, sf_dir):
-    return g.expand(order_groups(spark, sf_dir), corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir))
+    return g.expand(order_groups(spark, sf_dir), corpus.nodes(spark, sf_dir), corpus.edge_table(spark, sf_dir))
 
 
-@query("grf06_auto_expand", bfs("orders:3", 2, where="edge_type IN ('imports', 'type_ref', 'generic_ref', 'calls')", edges=EDGES_SQL))
+@query("grf06_auto_expand", bfs("orders:3", 2, where="edge_type IN ('imports', 'type_ref', 'generic_ref', 'calls')"))
 def grf06_all(spark, sf_dir):
     """'calls' too: an order reaches parts, and so 'generic_ref', by it alone."""
     q = g.GraphQuery.dependencies("orders:3").of("imports", "type_ref", "generic_ref", "calls").with_depth(2).with_limit(None)
@@ -78,12 +73,12 @@ def chains(e):
 )
 def grf09_all(spark, sf_dir):
     roots = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("root"))
-    return g.closure(corpus.edges(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("reached"))
+    return g.closure(corpus.edge_table(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("reached"))
 
 
 @query("grf10_transitive", bfs("orders:11", 5).replace("SELECT node_id, CAST(min(depth) AS INTEGER) AS depth", "SELECT node_id, CASE WHEN min(depth) = 1 THEN 'direct' ELSE 'transitive' END AS kind").replace("GROUP BY node_id", "GROUP BY node_id HAVING min(depth) > 0"))
 def grf10(spark, sf_dir):
-    t = g.traverse(g.GraphQuery.dependencies("orders:11").with_depth(5), *parts(spark, sf_dir)).filter("depth > 0")
+    t = g.traverse(g.GraphQuery.dependencies("orders:11").with_depth(5).with_limit(None), *whole(spark, sf_dir)).filter("depth > 0")
     return t.select("node_id", F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("kind"))
 
 
@@ -96,21 +91,25 @@ def adjacency(e):
     return e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"), F.min("src").alias("first"))
 
 
-@query("topk12_topological", f"WITH {NODES_SQL} SELECT node_id AS node, CASE language WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'supplier' THEN 2 ELSE 0 END AS level FROM nodes WHERE language IN ('region', 'nation', 'customer', 'supplier')")
+@query(
+    "topk12_topological",
+    f"""WITH {NODES_SQL} SELECT node_id AS node, CASE language WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'customer' THEN 2 WHEN 'supplier' THEN 2
+      WHEN 'part' THEN CASE WHEN node_id IN (SELECT 'part:' || l_partkey FROM lineitem) THEN 3 ELSE 0 END
+      ELSE CASE WHEN node_id IN (SELECT 'orders:' || l_orderkey FROM lineitem) THEN 4 ELSE 3 END END AS level FROM nodes""",
+)
 def topk12(spark, sf_dir):
-    nodes, edges = parts(spark, sf_dir)
-    few = nodes.filter(F.col("language").isin("region", "nation", "customer", "supplier")).select(F.col("node_id").alias("node"))
-    return g.topological(edges.filter("edge_type <> 'type_ref'"), few)
+    nodes, edges = whole(spark, sf_dir)
+    return g.topological(edges, nodes.select(F.col("node_id").alias("node")))
 
 
 @query(
     "grf11_shortest_path",
-    f"""WITH RECURSIVE {FK_EDGES_SQL}, w AS (SELECT 'orders:9' AS node, ['orders:9'] AS path UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node WHERE len(w.path) <= 6)
+    f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT 'orders:9' AS node, ['orders:9'] AS path UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node WHERE len(w.path) <= 6)
     SELECT node, min(array_to_string(path, '>')) AS path FROM w WHERE node LIKE 'region:%' GROUP BY node""",
 )
 def grf11(spark, sf_dir):
     """The smallest of the shortest paths to every region that is reached."""
-    return g.paths(parts(spark, sf_dir)[1], "orders:9", 6).filter("node LIKE 'region:%'").select("node", F.array_join("path", ">").alias("path"))
+    return g.paths(whole(spark, sf_dir)[1], "orders:9", 6).filter("node LIKE 'region:%'").select("node", F.array_join("path", ">").alias("path"))
 
 
 HOP = "e{0}.edge_type || chr(2) || e{0}.dst"
@@ -137,7 +136,7 @@ def grf08(spark, sf_dir):
 )
 def grf14(spark, sf_dir):
     """The imports of each customer, in its own language; of a language without imports there are none."""
-    nodes, edges = parts(spark, sf_dir)
+    nodes, edges = whole(spark, sf_dir)
     key = F.col("c_custkey").cast("long")
     language = F.element_at(F.array(*map(F.lit, ["typescript", "python", "rust", "cobol"])), (key % 4 + 1).cast("int"))
     groups = table(spark, sf_dir, "customer").select(key.alias("grp"), language.alias("language"), F.concat(F.lit("customer:"), key.cast("string")).alias("seed"))
@@ -159,7 +158,7 @@ def join11_components(spark, sf_dir):
     ends = o.groupBy(F.floor(F.col("k") / RINGS).alias("ring")).agg(F.min("k").alias("first"), F.max("k").alias("last"))
     ring = o.withColumn("ring", F.floor(F.col("k") / RINGS)).join(ends, "ring").select("k", F.when(F.col("k") < F.col("last"), F.col("k") + 1).otherwise(F.col("first")).alias("next"))
     name = lambda c: F.concat(F.lit("orders:"), F.col(c).cast("string"))
-    edges = corpus.edges(spark, sf_dir).select("src", "dst").unionByName(ring.select(name("k").alias("src"), name("next").alias("dst")))
+    edges = corpus.edge_table(spark, sf_dir).select("src", "dst").unionByName(ring.select(name("k").alias("src"), name("next").alias("dst")))
     return components(edges, o.select(name("k").alias("node")))
 
 

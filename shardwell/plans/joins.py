@@ -7,7 +7,7 @@ from shardwell.catalog import query
 from shardwell.operators import edge_types as et
 from shardwell.operators.storage import resolve_requires
 from shardwell.sources import corpus
-from shardwell.sources.corpus import EDGES_SQL, FILES_SQL, FK_EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
+from shardwell.sources.corpus import EDGES_SQL, FILES_SQL, NODES_SQL, REGISTRY_SQL, table
 
 
 @query("join01_hits_with_metadata", f"WITH {REGISTRY_SQL} SELECT vec_id AS chunk_id, coalesce(name, 'Unknown') AS name, coalesce(description, 'No description') AS description FROM embeddings LEFT JOIN reg ON vec_id + 300 = doc_id")
@@ -64,9 +64,9 @@ def join07_all(spark, sf_dir):
     return e.select(F.col("dst").alias("ghost")).distinct().join(req, F.col("ghost") == F.col("id"), "left_anti")
 
 
-@query("join08_explanation", f"WITH {FK_EDGES_SQL} SELECT dst AS ghost, min(src) AS because FROM edges WHERE src LIKE 'customer:%' AND edge_type IN ('imports', 'type_ref') GROUP BY dst")
+@query("join08_explanation", f"WITH {EDGES_SQL} SELECT dst AS ghost, min(src) AS because FROM edges WHERE src LIKE 'customer:%' AND edge_type IN ('imports', 'type_ref') GROUP BY dst")
 def join08(spark, sf_dir):
-    e = et.of_type(corpus.edges(spark, sf_dir, lineitem=False), ["imports", "type_ref"]).filter(F.startswith("src", F.lit("customer:")))
+    e = et.of_type(corpus.edges(spark, sf_dir), ["imports", "type_ref"]).filter(F.startswith("src", F.lit("customer:")))
     w = Window.partitionBy("dst").orderBy("src")
     return e.withColumn("n", F.row_number().over(w)).filter("n = 1").select(F.col("dst").alias("ghost"), F.col("src").alias("because"))
 
@@ -101,10 +101,11 @@ def join14(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node")).join(cached, "node", "left").select("node", F.when(F.col("hit"), "cached").otherwise("build").alias("action"))
 
 
-@query("join15_publish_new", "SELECT count(*) AS published, (SELECT count(*) FROM documents) - count(*) AS skipped FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 100)")
+@query("join15_publish_new", "WITH have AS (SELECT sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT count(*) AS published, (SELECT count(*) FROM documents) - count(*) AS skipped FROM documents WHERE sha256(text) NOT IN (SELECT h FROM have)")
 def join15(spark, sf_dir):
+    """The remote has the chunks of the labelled documents; the others are published."""
     h = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    have = h.filter("doc_id < 100").select("h").distinct().withColumn("hit", F.lit(True))
+    have = h.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("h").distinct().withColumn("hit", F.lit(True))
     return h.join(have, "h", "left").agg(F.count_if(F.col("hit").isNull()).alias("published"), F.count_if(F.col("hit")).alias("skipped"))
 
 
@@ -126,8 +127,8 @@ def join17(spark, sf_dir):
     return joined.groupBy("src").agg(F.count("*").alias("deps"), F.count_if(F.col("need") == "high").alias("high"), F.sum(F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"))
 
 
-@query("join18_drawing", f"WITH {NODES_SQL}, {FK_EDGES_SQL}, v AS (SELECT node_id FROM nodes WHERE language = 'nation' ORDER BY node_id LIMIT 50) SELECT src, dst, n.alias FROM edges JOIN v ON src = v.node_id JOIN nodes n ON dst = n.node_id")
+@query("join18_drawing", f"WITH {NODES_SQL}, {EDGES_SQL}, v AS (SELECT node_id FROM nodes WHERE language = 'nation' ORDER BY node_id LIMIT 50) SELECT src, dst, n.alias FROM edges JOIN v ON src = v.node_id JOIN nodes n ON dst = n.node_id")
 def join18(spark, sf_dir):
     n = corpus.nodes(spark, sf_dir)
     seen = n.filter("language = 'nation'").orderBy("node_id").limit(50).select(F.col("node_id").alias("src"))
-    return corpus.edges(spark, sf_dir, lineitem=False).join(F.broadcast(seen), "src").join(n.select(F.col("node_id").alias("dst"), "alias"), "dst").select("src", "dst", "alias")
+    return corpus.edges(spark, sf_dir).join(F.broadcast(seen), "src").join(n.select(F.col("node_id").alias("dst"), "alias"), "dst").select("src", "dst", "alias")

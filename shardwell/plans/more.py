@@ -9,7 +9,7 @@ from shardwell.operators import edge_types as et
 from shardwell.operators import graph as g
 from shardwell.plans.graph import order_groups
 from shardwell.sources import corpus
-from shardwell.sources.corpus import EDGES_SQL, FILES_SQL, FK_EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
+from shardwell.sources.corpus import EDGES_SQL, FILES_SQL, NODES_SQL, REGISTRY_SQL, table
 
 
 def case(column: str, values: dict) -> str:
@@ -47,21 +47,21 @@ def fil08(spark, sf_dir):
     return corpus.edges(spark, sf_dir).groupBy(et.looked_up(F.col("edge_type"), et.NEED).alias("need")).agg(F.count("*").alias("n"))
 
 
-@query("fil09_follow_all", f"WITH {FK_EDGES_SQL} SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
+@query("fil09_follow_all", f"WITH {EDGES_SQL} SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
 def fil09(spark, sf_dir):
-    return et.of_type(corpus.edges(spark, sf_dir, lineitem=False), None).groupBy("edge_type").agg(F.count("*").alias("n"))
+    return et.of_type(corpus.edges(spark, sf_dir), None).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query("fil10_filtered_traversal", f"WITH {FK_EDGES_SQL} SELECT src AS node_id, 1 AS depth FROM edges WHERE dst = 'nation:3' AND src LIKE 'supplier:%'")
+@query("fil10_filtered_traversal", f"WITH {EDGES_SQL} SELECT src AS node_id, 1 AS depth FROM edges WHERE dst = 'nation:3' AND src LIKE 'supplier:%'")
 def fil10(spark, sf_dir):
     q = g.GraphQuery.dependents("nation:3").filtered("language", "supplier").with_limit(10**6).with_depth(2)
-    return g.traverse(q, corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir, lineitem=False)).filter("depth > 0").select("node_id", "depth")
+    return g.traverse(q, corpus.nodes(spark, sf_dir), corpus.edge_table(spark, sf_dir)).filter("depth > 0").select("node_id", "depth")
 
 
-@query("fil11_at_depth", f"WITH {FK_EDGES_SQL} SELECT DISTINCT b.src AS node_id FROM edges a JOIN edges b ON b.dst = a.src WHERE a.dst = 'region:1'")
+@query("fil11_at_depth", f"WITH {EDGES_SQL} SELECT DISTINCT b.src AS node_id FROM edges a JOIN edges b ON b.dst = a.src WHERE a.dst = 'region:1'")
 def fil11(spark, sf_dir):
     q = g.GraphQuery.dependents("region:1").with_depth(2).with_limit(10**6)
-    return g.traverse(q, corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir, lineitem=False)).filter("depth = 2").select("node_id")
+    return g.traverse(q, corpus.nodes(spark, sf_dir), corpus.edge_table(spark, sf_dir)).filter("depth = 2").select("node_id")
 
 
 @query("fil16_interface_name", "SELECT p_partkey, p_name FROM part WHERE p_name = 'small ring'")
@@ -104,7 +104,7 @@ def topk05(spark, sf_dir):
 @query("grf05_policies")
 def grf05(spark, sf_dir):
     """Each customer's orders as a group, over the complete graph."""
-    groups, nodes, edges = order_groups(spark, sf_dir), corpus.nodes(spark, sf_dir), corpus.edges(spark, sf_dir)
+    groups, nodes, edges = order_groups(spark, sf_dir), corpus.nodes(spark, sf_dir), corpus.edge_table(spark, sf_dir)
     out = None
     for name, policy in (("default", g.Policy()), ("conservative", g.CONSERVATIVE), ("aggressive", g.AGGRESSIVE)):
         part = g.expand(groups, nodes, edges, policy).select("grp", F.lit(name).alias("policy"), F.size("included").alias("n"), "tokens", "depth", "truncated")

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 from shardwell.catalog import query
 from shardwell.operators import search
 from shardwell.sources import corpus
-from shardwell.sources.corpus import FK_EDGES_SQL, table
+from shardwell.sources.corpus import EDGES_SQL, table
 
 
-@query("set01_both_directions", f"WITH {FK_EDGES_SQL} SELECT 'nation:4' AS node, dst AS other FROM edges WHERE src = 'nation:4' UNION SELECT 'nation:4', src FROM edges WHERE dst = 'nation:4'")
+@query("set01_both_directions", f"WITH {EDGES_SQL} SELECT 'nation:4' AS node, dst AS other FROM edges WHERE src = 'nation:4' UNION SELECT 'nation:4', src FROM edges WHERE dst = 'nation:4'")
 def set01(spark, sf_dir):
-    e = corpus.edges(spark, sf_dir, lineitem=False)
+    e = corpus.edges(spark, sf_dir)
     out = e.filter("src = 'nation:4'").select(F.col("src").alias("node"), F.col("dst").alias("other"))
     return out.unionByName(e.filter("dst = 'nation:4'").select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
 

@@ -62,7 +62,7 @@ def by_nation(spark, sf_dir, config):
     n = corpus.nodes(spark, sf_dir)
     n = n.select(F.col("node_id").alias("chunk_id"), "alias", "granularity" if "granularity" in n.columns else F.lit("row").alias("granularity"), "language", F.col("alias").alias("content"), F.array("alias").alias("symbols"))
     asked = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("view"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
-    return views.view(asked, n, corpus.edges(spark, sf_dir), config).select("view", "text", "n_atoms", "tokens", "truncated")
+    return views.view(asked, n, corpus.edge_table(spark, sf_dir), config).select("view", "text", "n_atoms", "tokens", "truncated")
 
 
 @query("view02_expanded", f"WITH {assembled(CUSTOMERS, 4000, 'r, pos')}{WHOLE} SELECT CAST(view AS BIGINT) AS view, text, n_atoms, tokens, tokens >= 4000 AS truncated FROM t")

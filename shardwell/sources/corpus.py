@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shardwell.functions.text import chunk_id, lines, token_estimate
 from shardwell.operators.gram_index import GramIndex, index_of
+from shardwell.sources.shared import signature, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,7 @@ NODES_SQL = """nodes AS (
     UNION ALL SELECT 'orders:' || o_orderkey, o_orderpriority, 'orders' FROM orders))"""
 
 
-def edges(spark: SparkSession, sf_dir: str, lineitem: bool = True) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, edge_type: foreign keys as typed edges."""
 
     def edge(name: str, a: str, ka: str, b: str, kb: str, kind: str, distinct: bool = False) -> DataFrame:
@@ -88,16 +89,25 @@ def edges(spark: SparkSession, sf_dir: str, lineitem: bool = True) -> DataFrame:
         edge("supplier", "supplier", "s_suppkey", "nation", "s_nationkey", "imports"),
         edge("orders", "orders", "o_orderkey", "customer", "o_custkey", "type_ref"),
     ]
-    if lineitem:
-        parts += [edge("lineitem", "orders", "l_orderkey", "part", "l_partkey", "calls", True), edge("lineitem", "part", "l_partkey", "supplier", "l_suppkey", "generic_ref", True)]
+    parts += [edge("lineitem", "orders", "l_orderkey", "part", "l_partkey", "calls", True), edge("lineitem", "part", "l_partkey", "supplier", "l_suppkey", "generic_ref", True)]
     return reduce(DataFrame.unionByName, parts)
 
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges written once, for what reads them again and again; anew only if files have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(signature(table(spark, sf_dir, t)) for t in ("nation", "customer", "supplier", "orders", "lineitem")))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = written(edges(spark, sf_dir), "edges")
+    return _WRITTEN[key]
+
+
 _FK_SQL = """SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, 'extends' AS edge_type FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'imports' FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'imports' FROM supplier
   UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey, 'type_ref' FROM orders"""
-FK_EDGES_SQL = f"edges AS ({_FK_SQL})"
 EDGES_SQL = f"""edges AS ({_FK_SQL}
   UNION ALL SELECT DISTINCT 'orders:' || l_orderkey, 'part:' || l_partkey, 'calls' FROM lineitem
   UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'generic_ref' FROM lineitem)"""

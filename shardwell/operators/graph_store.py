@@ -1,9 +1,6 @@
 """The graph store as versioned tables: batches are merged into the buckets of keys that they touch.
 
-Five tables (nodes, symbols, aliases, forward, reverse) lie in folders by a hash of their key. A batch reads and rewrites
-only the buckets in which it has keys; one manifest, created under the next version's name, then points at the new
-folders of all five, so that readers see the whole batch or nothing of it, and of two writers of a version the second fails.
-The manifest also names the batches that it holds: a batch that comes again (a stream that restarts) changes nothing.
+Five tables: nodes, symbols, aliases, forward, reverse; a batch changes all of them in one version.
 
 What a batch does: a write replaces its node; of writes that define a symbol or an alias the last one owns it; a list of
 outgoing edges that isn't empty replaces the node's forward list; entries of reverse lists are only added. When all nodes are
@@ -13,18 +10,15 @@ Deleting a node takes its symbols, its aliases and its own lists; what other nod
 
 from __future__ import annotations
 
-import json
-import uuid
-import zlib
-from collections.abc import Callable
 from dataclasses import dataclass
+from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shardwell.operators.storage import latest, resolve_requires
-from shardwell.sources.shared import file_system
+from shardwell.sources.versioned import Versioned
 
 CHUNK = "chunk_id string, seq long, content_hash string, language string, size long, provides array<string>, requires array<string>, aliases array<string>, outgoing array<struct<edge_type: string, dst: string>>"
 NODE = "chunk_id string, seq long, content_hash string, language string, size long, provides array<string>, aliases array<string>"
@@ -38,10 +32,6 @@ TABLES = {
 }
 
 
-class Conflict(Exception):
-    """Another writer made this version."""
-
-
 def names(column: str, rows: DataFrame) -> DataFrame:
     """name, owner of each name in an array column: of several writes the last, by its place within a write."""
     each = rows.select("seq", F.col("chunk_id").alias("owner"), F.posexplode(column).alias("place", "name"))
@@ -49,86 +39,12 @@ def names(column: str, rows: DataFrame) -> DataFrame:
 
 
 @dataclass
-class GraphStore:
-    spark: SparkSession
-    path: str
-    buckets: int = 64
-
-    def _versions(self) -> list[int]:
-        fs, path = file_system(self.spark, f"{self.path}/manifest")
-        return sorted(int(f.getPath().getName().partition(".")[0]) for f in fs.listStatus(path)) if fs.exists(path) else []
-
-    def manifest(self, version: int | None = None) -> dict:
-        """version, batches, and for each table the folder of each bucket."""
-        found = self._versions()
-        if not found:
-            return {"version": 0, "batches": [], "tables": {t: {} for t in TABLES}}
-        lines = self.spark.read.text(f"{self.path}/manifest/{version if version is not None else found[-1]:012d}.json").collect()
-        return json.loads(lines[0][0])
-
-    def _commit(self, manifest: dict) -> None:
-        fs, path = file_system(self.spark, f"{self.path}/manifest/{manifest['version']:012d}.json")
-        if fs.exists(path):
-            raise Conflict(str(path))
-        try:
-            out = fs.create(path, False)  # never over another writer's
-        except Exception as e:
-            raise Conflict(str(path)) from e
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-
-    def bucket(self, key: Column) -> Column:
-        return F.pmod(F.crc32(key.cast("binary")), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str, folders: dict[str, str]) -> DataFrame:
-        schema = TABLES[name][1] + ", bucket int"
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        parts = [f"{self.path}/data/{folder}/{name}/bucket={b}" for b, folder in folders.items()]  # as many as there are buckets
-        roots = sorted({p.rpartition("/")[0] for p in parts})
-        rows = None
-        for root in roots:
-            some = self.spark.read.schema(schema).option("basePath", root).parquet(*[p for p in parts if p.startswith(root + "/")])
-            rows = some if rows is None else rows.unionByName(some)
-        return rows
-
-    def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self._read(name, self.manifest(version)["tables"][name]).drop("bucket")
-
-    def lookup(self, name: str, keys: list[str]) -> DataFrame:
-        """Rows of some keys; only their buckets are read."""
-        own = {str(zlib.crc32(k.encode()) % self.buckets) for k in keys}
-        found = {b: f for b, f in self.manifest()["tables"][name].items() if b in own}
-        return self._read(name, found).filter(F.col(TABLES[name][0]).isin(keys)).drop("bucket")
-
-    def _merge(self, manifest: dict, folder: str, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Rewrites the buckets that keys (key) lie in; change makes a bucket's new rows from its old ones."""
-        key, schema = TABLES[name]
-        touched = sorted(r[0] for r in keys.filter("key IS NOT NULL").select(self.bucket(F.col("key"))).distinct().collect())
-        if not touched:
-            return
-        folders = manifest["tables"][name]
-        rows = change(self._read(name, {str(b): folders[str(b)] for b in touched if str(b) in folders}).drop("bucket"))
-        rows = rows.filter(F.col(key).isNotNull()).withColumn("bucket", self.bucket(F.col(key))).hint("rebalance", "bucket")
-        rows.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}/{name}")
-        fs, path = file_system(self.spark, f"{self.path}/data/{folder}/{name}")
-        made = {s.getPath().getName().partition("=")[2] for s in fs.listStatus(path)}
-        for b in map(str, touched):
-            folders.pop(b, None)
-            if b in made:
-                folders[b] = folder
-
-    def _next(self, batch: str) -> tuple[dict, str] | None:
-        manifest = self.manifest()
-        if batch in manifest["batches"]:
-            return None
-        manifest["version"] += 1
-        manifest["batches"].append(batch)
-        return manifest, f"{manifest['version']:012d}-{uuid.uuid4().hex}"
+class GraphStore(Versioned):
+    TABLES: ClassVar[dict[str, tuple[str, str]]] = TABLES
 
     def put(self, chunks: DataFrame, registry: DataFrame, batch: str) -> bool:
         """Imports chunks (CHUNK), links what they require; registry: alias, owner. False: the batch is there already."""
-        started = self._next(batch)
+        started = self.start(batch)
         if started is None:
             return False
         manifest, folder = started
@@ -137,38 +53,38 @@ class GraphStore:
         keyed = lambda df, key: df.select(F.col(key).alias("key"))
 
         nodes = latest(rows.drop("requires", "outgoing"), "chunk_id", "seq").select("chunk_id", "seq", "content_hash", "language", "size", "provides", "aliases")
-        self._merge(manifest, folder, "nodes", keyed(nodes, "chunk_id"), over("chunk_id", nodes))
+        self.merge(manifest, folder, "nodes", keyed(nodes, "chunk_id"), over("chunk_id", nodes))
         for table, column, key in (("symbols", "provides", "symbol"), ("aliases", "aliases", "alias")):
             own = names(column, rows).withColumnRenamed("name", key)
-            self._merge(manifest, folder, table, keyed(own, key), over(key, own))
+            self.merge(manifest, folder, table, keyed(own, key), over(key, own))
 
         listed = rows.filter(F.size("outgoing") > 0)
         replaced = latest(listed.select("chunk_id", "seq", "outgoing"), "chunk_id", "seq").select(F.col("chunk_id").alias("src"), F.explode("outgoing").alias("o")).select("src", "o.*")
         wants = rows.select(F.col("chunk_id").alias("src"), F.explode("requires").alias("wanted")).distinct()
         some = {str(r[0]) for r in wants.select(self.bucket(F.col("wanted"))).distinct().collect()}
-        symbols = self._read("symbols", {b: f for b, f in manifest["tables"]["symbols"].items() if b in some}).select("symbol", "owner")
+        symbols = self.read("symbols", {b: f for b, f in manifest["tables"]["symbols"].items() if b in some}).select("symbol", "owner")
         linked = resolve_requires(wants, registry, symbols).select("src", F.lit("imports").alias("edge_type"), "dst").distinct()
 
         forward = replaced.unionByName(linked).distinct()
         gone = listed.select(F.col("chunk_id").alias("src")).distinct()
-        self._merge(manifest, folder, "forward", keyed(forward, "src"), lambda old: old.join(gone, "src", "left_anti").unionByName(forward).distinct())
+        self.merge(manifest, folder, "forward", keyed(forward, "src"), lambda old: old.join(gone, "src", "left_anti").unionByName(forward).distinct())
         reverse = listed.select(F.col("chunk_id").alias("src"), F.explode("outgoing").alias("o")).select("src", "o.*").unionByName(linked).select("dst", "edge_type", "src").distinct()
-        self._merge(manifest, folder, "reverse", keyed(reverse, "dst"), lambda old: old.unionByName(reverse).distinct())
-        self._commit(manifest)
+        self.merge(manifest, folder, "reverse", keyed(reverse, "dst"), lambda old: old.unionByName(reverse).distinct())
+        self.commit(manifest)
         return True
 
     def delete(self, ids: DataFrame, batch: str) -> bool:
         """Deletes nodes (chunk_id) that are there."""
-        started = self._next(batch)
+        started = self.start(batch)
         if started is None:
             return False
         manifest, folder = started
-        gone = self._read("nodes", manifest["tables"]["nodes"]).join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").drop("bucket")
+        gone = self.read("nodes", manifest["tables"]["nodes"]).join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi").drop("bucket")
         without = lambda keys, key: lambda old: old.join(keys.select(F.col("key").alias(key)), key, "left_anti")
         own = gone.select(F.col("chunk_id").alias("key"))
         for table, keys in (("symbols", gone.select(F.explode("provides").alias("key"))), ("aliases", gone.select(F.explode("aliases").alias("key"))), ("forward", own), ("reverse", own), ("nodes", own)):
-            self._merge(manifest, folder, table, keys, without(keys, TABLES[table][0]))
-        self._commit(manifest)
+            self.merge(manifest, folder, table, keys, without(keys, TABLES[table][0]))
+        self.commit(manifest)
         return True
 
     def dangling(self) -> DataFrame:

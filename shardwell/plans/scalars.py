@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shardwell.catalog import query
 from shardwell.functions import code
 from shardwell.functions import text as t
+from shardwell.operators import aliases
 from shardwell.sources import corpus
 from shardwell.sources.corpus import REGISTRY_SQL, table
 
@@ -105,6 +106,20 @@ def scal39(spark, sf_dir):
     return p.select("p_partkey", F.when(F.col("n") == 1, F.col("p_name")).otherwise(F.concat_ws("-", "p_name", (F.col("n") - 1).cast("string"))).alias("alias"))
 
 
+def alias_arrivals(spark, sf_dir):
+    """Parts in order of their keys; every third asks for a name that another's number would give."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("t"), "p_name")
+    return p.select("t", F.when(F.col("t") % 3 == 0, F.concat_ws("-", "p_name", (F.col("t") % 11 + 1).cast("string"))).otherwise(F.col("p_name")).alias("base"))
+
+
+@query("scal39_aliases")
+def scal39_aliases(spark, sf_dir):
+    """After used names (of suppliers' numbers) and reserved ones; no SQL, the loop is one over all arrivals."""
+    p = table(spark, sf_dir, "part")
+    used = p.filter("p_partkey % 5 = 0").select(F.concat_ws("-", "p_name", (F.col("p_size") % 7 + 1).cast("string")).alias("alias"))
+    return aliases.unique(alias_arrivals(spark, sf_dir), used).select(F.col("t").alias("p_partkey"), "base", "alias")
+
+
 @query("scal45_snippet", "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS snippet FROM documents")
 def scal45(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 2, 3), "\n").alias("snippet"))

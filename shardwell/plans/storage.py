@@ -9,10 +9,11 @@ from shardwell.catalog import query
 from shardwell.functions.text import chunk_id, sha256
 from shardwell.operators import storage as op
 from shardwell.operators import store
+from shardwell.operators.collect import ChunkStore
 from shardwell.operators.graph_store import GraphStore
 from shardwell.sources import corpus, relational
 from shardwell.sources.corpus import EDGES_SQL, NODES_SQL, REGISTRY_SQL, table
-from shardwell.sources.shared import new_folder
+from shardwell.sources.shared import new_folder, written
 
 
 @query("src01_read_files", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM documents")
@@ -262,6 +263,35 @@ def src16_store(spark, sf_dir):
     return contents(made)
 
 
+GC_SQL = """d AS (SELECT doc_id, sha256(text) AS hash FROM documents), s AS (SELECT hash, min(doc_id) % 97 = 0 AS bad FROM d GROUP BY hash),
+    e AS (SELECT DISTINCT a.hash AS src, b.hash AS dst FROM d a JOIN d b ON b.doc_id = a.doc_id // 2 WHERE a.doc_id % 3 <> 0),
+    roots AS (SELECT k AS epoch, hash FROM d JOIN labels USING (doc_id), range(1, 4) AS r(k) WHERE k = 2 OR quality = k % 2),
+    w AS (SELECT epoch, hash FROM roots UNION SELECT w.epoch, e.dst FROM w JOIN e ON e.src = w.hash),
+    u AS (SELECT k AS epoch, hash FROM s, range(1, 4) AS r(k) WHERE NOT bad AND NOT EXISTS (FROM w WHERE w.epoch = k AND w.hash = s.hash)),
+    x AS (SELECT hash, max(epoch) FILTER (epoch = 1) AS u1, max(epoch) FILTER (epoch = 2) AS u2, max(epoch) FILTER (epoch = 3) AS u3 FROM u GROUP BY hash)"""
+
+
+@query(
+    "src34_mark_sweep",
+    f"""WITH RECURSIVE {GC_SQL} SELECT s.hash, CASE WHEN bad THEN 'corrupt' WHEN u1 = 1 AND u2 = 2 THEN 'unreachable' WHEN u2 = 2 AND u3 = 3 THEN 'unreachable' WHEN u3 = 3 THEN 'condemned' ELSE 'kept' END AS state,
+      CASE WHEN bad THEN 1 WHEN u1 = 1 AND u2 = 2 THEN 2 WHEN u2 = 2 AND u3 = 3 THEN 3 WHEN u3 = 3 THEN 3 END AS epoch FROM s LEFT JOIN x USING (hash)""",
+)
+def src34_mark_sweep(spark, sf_dir):
+    """Three runs over the documents' chunks, with the labelled ones as roots (of good, any and good quality) and a tree of references."""
+    d = table(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("hash"), "text")
+    ids = written(d.select("doc_id", "hash"), "ids")
+    made = ChunkStore(spark, new_folder(spark, "chunks"), buckets=4)
+    first = d.groupBy("hash").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    made.put(first.select("hash", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content")), "all")
+    edges = ids.filter("doc_id % 3 <> 0").select(F.col("hash").alias("src"), F.floor(F.col("doc_id") / 2).alias("doc_id")).join(ids.select("doc_id", F.col("hash").alias("dst")), "doc_id").select("src", "dst").distinct()
+    edges, roots = written(edges, "references"), ids.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    for epoch in (1, 2, 3):
+        made.collect(roots if epoch == 2 else roots.filter(F.col("quality") == epoch % 2), edges, epoch)
+    rows = made.table("chunks").select("hash").join(made.table("condemned"), "hash", "left")
+    rows = rows.select("hash", F.when(F.col("since").isNull(), "kept").otherwise("condemned").alias("state"), F.col("since").cast("int").alias("epoch"))
+    return rows.unionByName(made.table("swept").select("hash", F.col("reason").alias("state"), F.col("epoch").cast("int").alias("epoch")))
+
+
 @query(
     "src43_constraints",
     """WITH c AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'chunk:0' ELSE 'chunk:' || doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'source' END AS kind, CASE WHEN doc_id % 9 <> 0 THEN n_chars END AS size FROM documents),

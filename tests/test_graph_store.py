@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from shardwell.operators.graph_store import CHUNK, Conflict, GraphStore
+from shardwell.operators.graph_store import CHUNK, GraphStore
+from shardwell.sources.versioned import Conflict
 
 
 class Model:
@@ -106,10 +107,10 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
 
 def test_two_writers_of_a_version(spark, tmp_path):
     store = GraphStore(spark, f"file://{tmp_path}/s", buckets=2)
-    started = store._next("late")[0]
+    started = store.start("late")[0]
     store.put(spark.createDataFrame([chunk("n1", 1)], CHUNK), spark.createDataFrame([], "alias string, owner string"), "first")
     with pytest.raises(Conflict):
-        store._commit(started)
+        store.commit(started)
     assert store.manifest()["batches"] == ["first"]
 
 

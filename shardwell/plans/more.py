@@ -7,9 +7,11 @@ from shardwell.functions import code
 from shardwell.functions import text as t
 from shardwell.operators import edge_types as et
 from shardwell.operators import graph as g
+from shardwell.operators.importer import ImportStore
 from shardwell.plans.graph import order_groups
 from shardwell.sources import corpus
 from shardwell.sources.corpus import EDGES_SQL, FILES_SQL, NODES_SQL, REGISTRY_SQL, table
+from shardwell.sources.shared import new_folder
 
 
 def case(column: str, values: dict) -> str:
@@ -164,6 +166,22 @@ def udf09(spark, sf_dir):
     return d.groupBy(F.when(F.col("n") == 1, "node").otherwise("EQUIVALENT_TO").alias("made")).agg(F.count("*").alias("rows"))
 
 
+@query(
+    "udf09_import_batches",
+    "SELECT CASE WHEN doc_id = first THEN 'node' ELSE 'EQUIVALENT_TO' END AS made, 'docs:' || doc_id AS id, 'docs:' || first AS node FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents)",
+)
+def udf09_batches(spark, sf_dir):
+    """Three batches one after another give what one over all would."""
+    store = ImportStore(spark, new_folder(spark, "import"), buckets=4)
+    d = table(spark, sf_dir, "documents")
+    last = d.agg(F.max("doc_id")).first()[0]
+    rows = d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("docs:"), F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("hash"))
+    for k in range(3):
+        store.put(rows.filter(F.floor(F.col("seq") * 3 / (last + 1)) == k), f"batch {k}")
+    nodes = store.table("nodes").select(F.lit("node").alias("made"), "id", F.col("id").alias("node"))
+    return nodes.unionByName(store.table("edges").select(F.col("edge_type").alias("made"), F.col("src").alias("id"), F.col("dst").alias("node")))
+
+
 @query("reg01_coverage", f"WITH {REGISTRY_SQL} SELECT language, count(*) FILTER (quality > 0) AS rated, round(avg(coverage), 6) AS coverage FROM reg GROUP BY language")
 def reg01(spark, sf_dir):
     return corpus.registry(spark, sf_dir).groupBy("language").agg(F.count_if(F.col("quality") > 0).alias("rated"), F.round(F.avg("coverage"), 6).alias("coverage"))

@@ -184,31 +184,75 @@ def simulate(seeds: list[str], out: dict[str, list[tuple[str, str]]], tokens: di
     return list(included), total, deepest, len(included) >= policy.max_atoms or total >= policy.max_tokens
 
 
+EXPANDED = "included array<string>, tokens long, depth int, truncated boolean"
+WALK = "included array<string>, stack array<struct<atom: string, depth: int>>, tokens long, depth int, truncated boolean, open boolean"
+
+
+def proceed(state: dict, near: dict[str, list[tuple[str, str, int]]], policy: Policy) -> dict:
+    """Goes on with an expansion until it ends or comes to an atom whose neighbourhood isn't in near."""
+    included, stack = dict.fromkeys(state["included"]), [(x["atom"], x["depth"]) for x in state["stack"]]
+    total, deepest, waits = state["tokens"], state["depth"], False
+    full = lambda: len(included) >= policy.max_atoms or total >= policy.max_tokens
+    while stack:
+        atom, depth = stack.pop()
+        if depth >= policy.max_depth:
+            deepest = max(deepest, depth)
+            continue
+        if full():
+            break
+        if atom not in near:
+            stack.append((atom, depth))
+            waits = True
+            break
+        for _, dst, size in near[atom]:
+            if dst not in included and total + size <= policy.max_tokens:
+                included[dst] = None
+                total += size
+                stack.append((dst, depth + 1))
+    kept = [{"atom": x, "depth": d} for x, d in stack] if waits else []
+    return {"included": list(included), "stack": kept, "tokens": total, "depth": deepest, "truncated": full(), "open": waits}
+
+
 def expand(groups: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """grp, included, tokens, depth, truncated for each group of seeds (grp, seed, pos).
 
-    The order of expansion is stateful, so a group runs as a whole, over the subgraph within max_depth of its seeds.
+    The order of expansion is stateful, so a group's stack, budget and atoms are one row. It goes on in rounds: each gives the
+    rows that are still open the neighbourhoods of the atoms on their stacks, the last max_atoms of these, and no others.
     """
-    follow = of_type(edges, list(policy.follow))
-    reach = closure(follow, groups.select(F.col("seed").alias("root")).distinct(), policy.max_depth)
-    local = groups.join(reach, groups["seed"] == reach["root"]).select("grp", "node").distinct()
-    sized = local.join(nodes.select(F.col("node_id").alias("node"), "tokens"), "node", "left").join(follow.withColumnRenamed("src", "node"), "node", "left")
-    out = sized.groupBy("grp", "node").agg(F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.when(F.col("dst").isNotNull(), F.struct("edge_type", "dst")))).alias("out"))
-    graph = out.groupBy("grp").agg(F.collect_list(F.struct("node", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "out")).alias("graph"))
-    asked = groups.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "seed"))).alias("seeds"))
+    sizes = nodes.select("node_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("size"))
+    out = of_type(edges, list(policy.follow)).join(sizes.withColumnRenamed("node_id", "dst"), "dst", "left")
+    near = out.groupBy(F.col("src").alias("atom")).agg(F.array_sort(F.collect_set(F.struct("edge_type", "dst", F.coalesce("size", F.lit(0)).alias("size")))).alias("out"))
+    near = cut_lineage(near)
+    seeded = groups.join(sizes.withColumnRenamed("node_id", "seed"), "seed", "left").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "seed"))).alias("s"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"))
+    seeds = F.transform("s", lambda x: x["seed"])
+    state = seeded.select("grp", seeds.alias("included"), F.transform(seeds, lambda x: F.struct(x.alias("atom"), F.lit(0).alias("depth"))).alias("stack"), "tokens", F.lit(0).alias("depth"), F.lit(False).alias("truncated"), F.lit(True).alias("open"))
+    state = state.withColumn("near", F.array().cast("array<struct<atom: string, out: array<struct<edge_type: string, dst: string, size: bigint>>>>"))
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
             rows = []
-            for g, seeds, graph_ in zip(b["grp"], b["seeds"], b["graph"], strict=True):
-                adjacency = {n["node"]: [(e["edge_type"], e["dst"]) for e in n["out"]] for n in graph_}
-                sizes = {n["node"]: int(n["tokens"]) for n in graph_}
-                rows.append((g, *simulate([s["seed"] for s in seeds], adjacency, sizes, policy)))
-            yield pd.DataFrame(rows, columns=["grp", "included", "tokens", "depth", "truncated"])
-
-    return asked.join(graph, "grp").mapInPandas(run, "grp long, included array<string>, tokens long, depth int, truncated boolean")
+            for row in b.to_pylist():
+                known = {x["atom"]: [(e["edge_type"], e["dst"], e["size"]) for e in x["out"] or []] for x in row["near"]}
+                rows.append({"grp": row["grp"], **proceed(row, known, policy)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ddl = f"grp {dict(groups.dtypes)['grp']}, {WALK}"
+    schema, done = to_arrow_schema(nodes.sparkSession.createDataFrame([], ddl).schema), None
+    while True:
+        after = cut_lineage(state.mapInArrow(run, ddl))
+        ended = after.filter("NOT open").select("grp", *(c.split()[0] for c in EXPANDED.split(", ")))
+        done = ended if done is None else done.unionByName(ended)
+        rest = after.filter("open")
+        if rest.isEmpty():
+            return done
+        top = F.slice("stack", F.greatest(F.size("stack") - policy.max_atoms + 1, F.lit(1)), policy.max_atoms)
+        asked = rest.select("grp", F.explode(F.array_distinct(F.transform(F.filter(top, lambda x: x["depth"] < policy.max_depth), lambda x: x["atom"]))).alias("atom"))
+        got = asked.join(near, "atom", "left").groupBy("grp").agg(F.collect_list(F.struct("atom", "out")).alias("near"))
+        state = rest.join(got, "grp")
 
 
 def topological(edges: DataFrame, nodes: DataFrame) -> DataFrame:

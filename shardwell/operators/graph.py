@@ -115,7 +115,11 @@ def chains(edges: DataFrame, starts: DataFrame, follow: tuple[str, ...] = ("impo
 
 
 # An import of a chunk by its name, by language.
-IMPORT_LINES = {"typescript": "import {{ {name} }} from './chunks/{id}';\n", "python": "from .chunks.{id} import {name}\n", "rust": "use chunks::{id}::{name};\n"}
+IMPORT_LINES = {
+    "typescript": lambda name, id_: F.concat(F.lit("import { "), name, F.lit(" } from './chunks/"), id_, F.lit("';\n")),
+    "python": lambda name, id_: F.concat(F.lit("from .chunks."), id_, F.lit(" import "), name, F.lit("\n")),
+    "rust": lambda name, id_: F.concat(F.lit("use chunks::"), id_, F.lit("::"), name, F.lit(";\n")),
+}
 
 
 def scaffold_imports(groups: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def scaffold_imports(groups: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
     needed = groups.join(reach, groups["seed"] == reach["root"]).select("grp", "language", F.col("node").alias("node_id")).distinct()
     line = None
     for language, form in IMPORT_LINES.items():
-        made = F.replace(F.replace(F.lit(form.replace("{{", "{").replace("}}", "}").replace("{name}", "\0").replace("{id}", "\1")), F.lit("\0"), F.col("alias")), F.lit("\1"), F.col("node_id"))
+        made = form(F.col("alias"), F.col("node_id"))
         line = F.when(F.col("language") == language, made) if line is None else line.when(F.col("language") == language, made)
     rows = needed.join(nodes.select("node_id", "alias"), "node_id").select("grp", "language", "node_id", line.alias("line"))
     lines = rows.groupBy("grp", "language").agg(F.array_sort(F.collect_list(F.struct("node_id", "line"))).alias("l"))

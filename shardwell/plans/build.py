@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shardwell.catalog import query
 from shardwell.functions.text import chunk_id, verify
 from shardwell.operators import builds
+from shardwell.operators.representations import steps
 from shardwell.sources.corpus import table
 
 
@@ -108,3 +109,29 @@ def bld06(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     content = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return d.select("doc_id", (F.col("n_chars") == F.length("text")).alias("size_ok"), verify(content, chunk_id(F.col("text"))).alias("hash_ok"))
+
+
+@query(
+    "scal50_ladder",
+    """WITH n AS (SELECT o_orderkey AS k, 'orders:' || o_orderkey AS id, list_filter([CASE WHEN o_orderkey % 2 = 0 THEN {'form': 'source', 'arch': NULL, 'chunk': 's' || o_orderkey} END,
+        CASE WHEN o_orderkey % 3 = 0 THEN {'form': 'intermediate', 'arch': 'wasm', 'chunk': 'i' || o_orderkey} END, CASE WHEN o_orderkey % 5 < 2 THEN {'form': 'binary', 'arch': o_orderstatus, 'chunk': 'b' || o_orderkey} END,
+        CASE WHEN o_orderkey % 7 = 0 THEN {'form': 'container', 'arch': 'F', 'chunk': 'c' || o_orderkey} END], lambda x: x IS NOT NULL) AS reps,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'intermediate' WHEN '2-HIGH' THEN 'binary' END AS preferred, CASE o_orderstatus WHEN 'F' THEN ['container', 'source'] WHEN 'O' THEN ['none', 'intermediate'] END AS prefer,
+        CASE WHEN o_orderkey % 11 = 0 THEN 'x' || o_orderkey END AS source, CASE WHEN o_orderkey % 13 = 0 THEN 'y' || o_orderkey END AS ir, CASE WHEN o_orderkey % 2 = 1 THEN 'z' || o_orderkey END AS blob FROM orders),
+      r AS (SELECT *, coalesce(list_filter(reps, lambda x: x.form = preferred)[1], list_filter(reps, lambda x: x.form = prefer[1])[1], list_filter(reps, lambda x: x.form = prefer[2])[1], list_filter(reps, lambda x: x.arch = 'F')[1], reps[1]) AS rep FROM n),
+      d AS (SELECT l_orderkey AS k, string_agg('dependency pending:part:' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS pending FROM lineitem GROUP BY l_orderkey)
+    SELECT id, rep.form AS form, CASE WHEN rep.form IN ('source', 'intermediate') THEN 'compile:F' WHEN rep.form IN ('binary', 'container') THEN 'custom:fetch' WHEN source IS NOT NULL OR ir IS NOT NULL THEN 'compile:F' ELSE 'bundle:default' END AS transform,
+      concat_ws(',', 'main ' || coalesce(rep.chunk, source, ir, blob), pending) AS inputs FROM r LEFT JOIN d USING (k)""",
+)
+def scal50_ladder(spark, sf_dir):
+    """Every order as a node with some of four representations and two kinds of preference; its parts are what it depends on."""
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    one = lambda when, form, arch, letter: F.when(when, F.struct(F.lit(form).alias("form"), arch.cast("string").alias("architecture"), F.concat(F.lit(letter), key).alias("chunk")))
+    reps = F.filter(F.array(one(k % 2 == 0, "source", F.lit(None), "s"), one(k % 3 == 0, "intermediate", F.lit("wasm"), "i"), one(k % 5 < 2, "binary", F.col("o_orderstatus"), "b"), one(k % 7 == 0, "container", F.lit("F"), "c")), lambda x: x.isNotNull())
+    preferred = F.when(F.col("o_orderpriority") == "1-URGENT", "ir").when(F.col("o_orderpriority") == "2-HIGH", "binary")
+    prefer = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("container"), F.lit("source"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("none"), F.lit("embed")))
+    loose = lambda when, letter: F.when(when, F.concat(F.lit(letter), key))
+    nodes = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders:"), key).alias("id"), reps.alias("representations"), preferred.alias("preferred"), prefer.alias("prefer"), F.lit("F").alias("platform"), loose(k % 11 == 0, "x").alias("source"), loose(k % 13 == 0, "y").alias("ir"), loose(k % 2 == 1, "z").alias("blob"))
+    deps = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("orders:"), F.col("l_orderkey").cast("string")).alias("id"), F.struct("l_linenumber", "l_partkey").alias("pos"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dep"))
+    out = steps(nodes, deps)
+    return out.select("id", "form", "transform", F.array_join(F.transform("inputs", lambda x: F.concat_ws(" ", x["role"], x["chunk"])), ",").alias("inputs"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardwell.catalog import query
-from shardwell.functions import code
+from shardwell.functions import code, metadata
 from shardwell.functions import text as t
 from shardwell.operators import aliases
 from shardwell.sources import corpus
@@ -138,3 +138,27 @@ def scal49(spark, sf_dir):
 @query("scal50_representation", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'binary' WHEN o_orderpriority = '1-URGENT' THEN 'ir' ELSE 'source' END AS form FROM orders")
 def scal50(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(F.col("o_orderstatus") == "F", "binary"), F.when(F.col("o_orderpriority") == "1-URGENT", "ir"), F.lit("source")).alias("form"))
+
+
+@query(
+    "scal25_manifests",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN 'part' || p_partkey ELSE p_name END AS title,
+      CASE WHEN p_partkey % 5 IN (0, 1) THEN p_type END AS description, CASE p_partkey % 5 WHEN 1 THEN p_brand || '|' || ('s' || p_size) ELSE '' END AS keywords,
+      CASE p_partkey % 5 WHEN 1 THEN ('maker ' || p_size) || '|' || p_brand WHEN 2 THEN ('maker ' || p_size) || '|' || p_type ELSE '' END AS authors,
+      CASE WHEN p_partkey % 5 IN (0, 3) THEN p_brand || '|' || ('s' || p_size) || '|x' ELSE '' END AS tags, CASE p_partkey % 5 WHEN 0 THEN 'Apache-2.0' WHEN 1 THEN 'of ' || p_brand WHEN 3 THEN 'MIT' END AS license FROM part""",
+)
+def scal25_manifests(spark, sf_dir):
+    """Every part as a readme, a JSON or TOML manifest, a commented file with a heading, or broken JSON; read back from its text."""
+    p = table(spark, sf_dir, "part").withColumn("size", F.concat(F.lit("s"), F.col("p_size").cast("string"))).withColumn("maker", F.concat(F.lit("maker "), F.col("p_size").cast("string")))
+    say = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    c = F.col
+    readme = say("intro\n# ", c("p_name"), "  \n\n## more\n  ", c("p_type"), " \n# Later\nother\nUnder Apache\n// @tags: ", c("p_brand"), " , ", c("size"), "\n@tag:x\n")
+    strings = F.to_json(F.struct(c("p_name").alias("name"), c("p_type").alias("description"), F.array("p_brand", "size").alias("keywords"), c("maker").alias("author"), F.array("p_brand").alias("contributors"), say("of ", c("p_brand")).alias("license")))
+    mixed = F.replace(strings, F.lit('"keywords":['), F.lit('"keywords":[1,null,{"a":"b"},'))
+    toml = say('[deps]\nname = "no"\n[package]\nname = "', c("p_name"), '"\nauthors = [\n  "', c("maker"), '",\n  "', c("p_type"), '"\n]\n[other]\nauthors = ["no"]\n')
+    code_ = say("/* MIT\n * @tags: ", c("p_brand"), ",", c("size"), ", x\n */\n# ", c("p_name"))
+    broken = say('{"name": "', c("p_name"), '", "keywords": ["a"], ')
+    content = F.element_at(F.array(readme, mixed, toml, code_, broken), (c("p_partkey") % 5 + 1).cast("int"))
+    rows = p.select("p_partkey", content.alias("content"), say("src/part", c("p_partkey").cast("string"), ".txt").alias("path"))
+    m, joined = F.col("content"), lambda x: F.array_join(x, "|")
+    return rows.select("p_partkey", metadata.title(m, F.col("path")).alias("title"), metadata.description(m).alias("description"), joined(metadata.keywords(m)).alias("keywords"), joined(metadata.authors(m)).alias("authors"), joined(metadata.tags(m)).alias("tags"), metadata.license_name(m).alias("license"))

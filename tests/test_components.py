@@ -39,7 +39,7 @@ def piece(r, p):
 
 def test_random_graphs(spark):
     r, edges = random.Random(11), []
-    for k in range(150):
+    for k in range(80):
         edges += piece(r, f"{k}-")
     edges += edges[:20] + [("0-v0", "1-v0"), ("1-v0", "2-v0")]
     nodes = {x for e in edges for x in e} | {"alone"}

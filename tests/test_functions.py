@@ -52,3 +52,28 @@ def test_imports():
 
 def test_minimize():
     assert code.minimized("a\n\n// b\n/* c\nd */\ne\n") == "a\ne\n"
+
+
+def test_metadata(spark):
+    from pyspark.sql import functions as F
+
+    from shardwell.functions import metadata as m
+
+    texts = ["# # Two  \r\n\r\n#x\n\r\n  text \r\n", "#no\n# ", '{"name": 5, "keywords": ["a", 1], "author": ["x"], "contributors": ["y", null]}', '{"name": "n"} tail', '[package]\nname = "q\\"t"\nauthors = []\n', '[package.x]\nname = "no"', "@tags: a,,b \n x @tag :c", None, ""]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("p", F.lit("a/b.c.md"))
+    out = {r.k: r for r in rows.select("k", m.title(F.col("t"), F.col("p")).alias("title"), m.description(F.col("t")).alias("d"), m.keywords(F.col("t")).alias("kw"), m.authors(F.col("t")).alias("a"), m.tags(F.col("t")).alias("tags")).collect()}
+    assert [out[k].title for k in range(9)] == ["Two", "", "b.c", "b.c", 'q"t', "b.c", "b.c", "b.c", "b.c"]
+    assert out[0].d == "text" and out[1].d is None and out[2].kw == ["a"] and out[2].a == ["y"] and out[6].tags == ["a", "", "b", "c"] and out[8].kw == []
+
+
+def test_representation_ladder(spark):
+    from pyspark.sql import functions as F
+
+    from shardwell.operators.representations import chosen
+
+    reps = [("source", None, "s"), ("binary", "arm", "b1"), ("binary", "x86", "b2"), ("intermediate", None, "i")]
+    asked = [("binary", ["source"], "b1"), ("ir", None, "i"), ("none", ["none", "embed", "source"], "i"), (None, ["none"], "b2"), (None, None, "b2")]
+    rows = spark.createDataFrame([(k, reps, p, q) for k, (p, q, _) in enumerate(asked)], "k int, r array<struct<form: string, architecture: string, chunk: string>>, p string, q array<string>")
+    got = {x.k: x.c for x in rows.select("k", chosen(F.col("r"), F.col("p"), F.col("q"), F.lit("x86"))["chunk"].alias("c")).collect()}
+    assert [got[k] for k in range(5)] == [x[2] for x in asked]
+    assert rows.select(chosen(F.col("r"), F.lit(None), F.lit(None).cast("array<string>"), F.lit("none"))["chunk"].alias("c")).first().c == "s"

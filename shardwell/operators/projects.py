@@ -98,3 +98,22 @@ def suggestions(names: DataFrame, column: str, task: str, language: str | None =
         score = score + F.when(F.contains(n, F.lit(language.lower())), 5).otherwise(0)
     shown = F.regexp_replace(F.replace(n, F.lit("chunk_sha256_"), F.lit("chunk:sha256:")), r"(\.chunk)+$", "")
     return names.select(shown.alias("name"), score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "name").limit(most)
+
+
+def memberships(analyzed: DataFrame) -> DataFrame:
+    """kind, folder, path: the groups that an analyzed file (path, category, is_test) belongs to: its folder, tests, utilities."""
+    path, none = F.col("path"), F.lit(None).cast("string")
+    group = lambda kind, folder: F.struct(F.lit(kind).alias("kind"), folder.alias("folder"))
+    belongs = F.array(group("module", files.folder(path)), F.when(F.col("is_test"), group("test-suite", none)), F.when(F.col("category") == "utility", group("utilities", none)))
+    return analyzed.select(F.explode(F.filter(belongs, lambda g: g.isNotNull())).alias("g"), "path").select("g.*", "path")
+
+
+def compositions(analyzed: DataFrame, least: int = 2) -> DataFrame:
+    """name, folder, reason, members, first and last path of suggested compositions: every folder of at least so many files, and tests and
+    utilities if there are two. The members themselves are rows of memberships(), not lists: a folder may hold most files."""
+    kind, folder = F.col("kind"), F.col("folder")
+    sized = memberships(analyzed).groupBy("kind", "folder").agg(F.count("*").alias("members"), F.min("path").alias("first"), F.max("path").alias("last"))
+    kept = sized.filter(F.col("members") >= F.when(kind == "module", least).otherwise(2))
+    name = F.when(kind == "module", F.concat(files.name_of(folder), F.lit("-module"))).otherwise(kind)
+    reason = F.when(kind == "module", F.concat(F.lit("Module contains "), F.col("members").cast("string"), F.lit(" related files"))).when(kind == "utilities", "Grouped utility files together").otherwise("Grouped all test files together")
+    return kept.select(name.alias("name"), "folder", reason.alias("reason"), "members", "first", "last")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardwell.catalog import query
 from shardwell.functions import code, features, files, interfaces
 from shardwell.functions.text import kebab_case, lines
-from shardwell.operators import chunking, smart
+from shardwell.operators import chunking, projects, smart
 from shardwell.sources.code_files import CODE_FILES_SQL, SHAPES, code_files, values
 from shardwell.sources.corpus import table
 
@@ -356,3 +356,16 @@ def join13(spark, sf_dir):
     source = F.concat(F.lit("fn part"), F.col("p_partkey").cast("string"), F.lit("(v"), F.col("p_partkey").cast("string"), F.lit(": i32)  {\n v"), F.col("p_partkey").cast("string"), F.lit(" +"), F.col("p_size").cast("string"), F.lit(" }"))
     hashed = table(spark, sf_dir, "part").select("p_partkey", code.semantic_hashes("rust")(source).alias("hash"))
     return hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+
+
+@query(
+    "agg06_suggestions",
+    f"""WITH {CODE_FILES_SQL}, a AS ({values([(r[0], r[4], r[7]) for r in FILES], "is_test, category")}), f AS (SELECT path, is_test, category, regexp_extract(path, '^(.*)/', 1) AS folder FROM code_files JOIN a USING (p_partkey)),
+    g AS (SELECT 'module' AS kind, folder, path FROM f UNION ALL SELECT 'test-suite', NULL, path FROM f WHERE is_test UNION ALL SELECT 'utilities', NULL, path FROM f WHERE category = 'utility')
+    SELECT CASE kind WHEN 'module' THEN regexp_extract(folder, '[^/]*$') || '-module' ELSE kind END AS name, folder,
+      CASE kind WHEN 'module' THEN 'Module contains ' || count(*) || ' related files' WHEN 'utilities' THEN 'Grouped utility files together' ELSE 'Grouped all test files together' END AS reason,
+      count(*) AS members, min(path) AS first, max(path) AS last FROM g GROUP BY kind, folder HAVING count(*) >= 2""",
+)
+def agg06_suggestions(spark, sf_dir):
+    """Compositions of all files: folders, tests, utilities."""
+    return projects.compositions(analyzed(spark, sf_dir))

@@ -116,7 +116,7 @@ class GramIndex:
         short = needles.filter(F.length("needle").between(1, q + step - 2))
         for (n,) in sorted(short.select(F.length("needle")).distinct().collect()):  # fewer lengths than q + step
             each = self.texts().select(*TEXT, F.explode(F.array_distinct(grams(value, n))).alias("needle"))
-            found = found.unionByName(each.join(short, "needle").select("id", *TEXT))
+            found = found.unionByName(each.join(short.filter(F.length("needle") == n), "needle").select("id", *TEXT))
         empty = needles.filter("needle = ''").agg(F.collect_list("id").alias("ids"))  # they are in every text
         return found if empty.filter(F.size("ids") > 0).isEmpty() else found.unionByName(self.texts().crossJoin(F.broadcast(empty)).select(F.explode("ids").alias("id"), *TEXT))
 

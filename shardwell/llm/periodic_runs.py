@@ -127,7 +127,7 @@ class Grid:
 
     def pairs(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs within n words, at most about GRID at a time; those of short documents are kept."""
-        if n > len(self.ends) and n <= BLOCK:
+        if n >= len(self.ends) and n <= BLOCK:
             near, far = self.slice(1, top := min(BLOCK, 2 * n))
             self.near, self.far = near.astype(np.int32), far.astype(np.int32)
             self.ends = np.searchsorted(far, np.arange(top + 1))

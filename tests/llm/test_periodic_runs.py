@@ -88,3 +88,10 @@ def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     short = [x for x in docs if len(x.text) < 3000]
     assert len(got) == len(docs) and all(got[x.doc_id] == expected(x.doc_id, x.text, True) for x in short)
+
+
+def test_grid_one_word_longer_than_the_kept_one():
+    grid = periodic_runs.Grid()
+    list(grid.pairs(375))
+    got = {(p, k) for near, far in grid.pairs(751) for p, k in zip((far - near).tolist(), far.tolist(), strict=True)}
+    assert got == {(p, k) for k in range(1, 751) for p in range(1, k + 1) if k % p == 0}

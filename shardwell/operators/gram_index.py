@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from shardwell.sources.shared import new_folder, signature
 
-#: Characters of text for each file of a folder.
-FILE_CHARS = 256 << 20
+#: Postings, or counts of grams, for each file of a folder: what a task that writes one has to sort.
+FILE_ROWS = 1 << 20
 TEXT = ["key", "field", "part"]
 
 
@@ -55,12 +55,15 @@ class GramIndex:
         texts.filter("value IS NOT NULL").select("key", "field", F.col("part").cast("int"), "value").write.parquet(f"{path}/texts")
         texts = index.texts()
         chars = texts.agg(F.sum(F.length("value"))).first()[0] or 0
-        spread = 1 + chars // step // (buckets * FILE_CHARS)
+        spread = 1 + chars // step // (buckets * FILE_ROWS)
         rows = texts.select(*TEXT, F.posexplode(grams(index.folded(F.col("value")), q, step)).alias("n", "gram"))
         rows = rows.select("gram", *TEXT, (F.col("n") * step).alias("place"), bucket(F.col("gram"), buckets).alias("bucket"))
-        dealt = rows.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("key"), F.lit(spread))).sortWithinPartitions("bucket", "gram", *TEXT, "place")
+        file = lambda by: (F.col("bucket") * spread + F.pmod(F.xxhash64(by), F.lit(spread))).cast("int")
+        dealt = rows.repartitionById(buckets * spread, file("key")).sortWithinPartitions("bucket", "gram", *TEXT, "place")
         dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-        index.postings().groupBy("bucket", "gram").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/counts")
+        counts = index.postings().groupBy("bucket", "gram").agg(F.count("*").alias("n"))
+        counts = counts.repartitionById(buckets * spread, file("gram")).sortWithinPartitions("bucket", "gram")
+        counts.write.partitionBy("bucket").parquet(f"{path}/counts")
         return index
 
     def texts(self) -> DataFrame:

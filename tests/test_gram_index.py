@@ -65,3 +65,17 @@ def test_empty(spark):
     index = GramIndex.build(spark.createDataFrame([], SCHEMA))
     assert index.find("abc").count() == index.find("abcdef").count() == index.find("").count() == 0
     assert index.find_all(spark.createDataFrame([(1, "abc"), (2, ""), (3, "abcdefgh")], "id long, needle string")).count() == 0
+
+
+def test_no_task_writes_more_as_the_texts_grow(spark, monkeypatch):
+    from shardwell.operators import gram_index
+
+    monkeypatch.setattr(gram_index, "FILE_ROWS", 1000, raising=False)
+    r = random.Random(5)
+    rows = [(k, "a", 0, "".join(r.choices("abcdefghij", k=100))) for k in range(400)]
+    index = GramIndex.build(spark.createDataFrame(rows, SCHEMA), q=4, buckets=4)
+    for part in (index.postings(), index.counts()):
+        files = part.groupBy(F.input_file_name()).count()
+        assert files.agg(F.max("count")).first()[0] < 2000
+    needle = rows[7][3][20:50]
+    assert [x.key for x in index.find(needle).collect()] == [7]

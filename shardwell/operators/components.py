@@ -33,29 +33,29 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def _doubled(chain: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Pointers (at, to) after 1, 2, 4, ... steps, held at the first node that isn't of the chain; and the last ones."""
-    jumps, size, steps = [chain], chain.count(), 1
+    """Pointers (at, to) after 1, 2, 4, ... steps, held at the first node that isn't of the chain; and the last ones, with the
+    smallest node passed (label; its own counts, the last one's doesn't).
+
+    Cycles never come to an end. Paths lose moving nodes in every round, so if as many move as before, all of these lead into
+    cycles; if no label changes and the nodes that they lead to are no fewer than before, all stand on cycles, and the labels
+    are those of whole cycles.
+    """
+    last, size, steps, jumps, before = chain.withColumn("label", F.col("at")), chain.count(), 1, [chain], None
     while steps <= size:
-        last = jumps[-1]
-        ahead = last.select(F.col("at").alias("to"), F.col("to").alias("_next"))
-        moving = last.join(ahead, "to", "left")
-        new = _keep(moving.select("at", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("_moved")))
+        ahead = last.select(F.col("at").alias("to"), F.col("to").alias("_next"), F.col("label").alias("_label"))
+        both = last.join(ahead, "to", "left")
+        moved, least = F.col("_next").isNotNull(), F.least("label", "_label")  # least passes over nulls
+        new = _keep(both.select("at", F.coalesce("_next", "to").alias("to"), least.alias("label"), moved.alias("_moved"), (least < F.col("label")).alias("_less")))
+        last = new.select("at", "to", "label")
         jumps.append(new.select("at", "to"))
         steps *= 2
-        if new.filter("_moved").isEmpty():
+        moving, less = new.agg(F.count_if("_moved"), F.count_if(F.col("_moved") & F.col("_less"))).first()
+        if not moving:
             break
-    return jumps, jumps[-1]
-
-
-def _cycles(chain: DataFrame, ring: DataFrame) -> DataFrame:
-    """node, label of the nodes (node) on cycles of a chain: the smallest node of the cycle."""
-    own = _keep(chain.join(ring.select(F.col("node").alias("at")), "at", "left_semi").withColumn("label", F.col("at")))
-    size, steps = own.count(), 1
-    while steps < size:
-        ahead = own.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("label").alias("_label"))
-        own = _keep(own.join(ahead, "to").select("at", F.col("_to").alias("to"), F.least("label", "_label").alias("label")))
-        steps *= 2
-    return own.select(F.col("at").alias("node"), "label")
+        if moving == before and not less and jumps[-2].select("to").distinct().count() == jumps[-1].select("to").distinct().count():
+            break
+        before = moving
+    return jumps, last
 
 
 def _reduce(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, Fold | None] | None:
@@ -74,13 +74,15 @@ def _reduce(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, Fold | None]
     inner = chain.select(F.col("at").alias("to"))
     circling = _keep(last.join(inner, "to", "left_semi"))  # they end in a cycle of chain nodes
     ring = circling.select(F.col("to").alias("node")).distinct()
-    labels = None if circling.isEmpty() else _cycles(chain, ring)
+    labels = circling.join(ring, F.col("at") == ring["node"], "left_semi").select(F.col("at").alias("node"), "label")
     heads = _keep(last.join(inner, "to", "left_anti").select(F.col("at").alias("node"), F.col("to").alias("head")))
     branching = edges.join(chain.select(F.col("at").alias("src")), "src", "left_anti")
     into = heads.select(F.col("node").alias("dst"), "head")
     entries = _keep(branching.join(into, "dst").select("src", F.col("dst").alias("at"), "head"))
     direct = branching.join(chain.select(F.col("at").alias("dst")), "dst", "left_anti").select("src", "dst")
     left = direct.unionByName(entries.select("src", F.col("head").alias("dst"))).filter("src <> dst").distinct()
+    if heads.isEmpty():  # all of the chain are on cycles or lead into them
+        return _keep(left), labels, None
     return _keep(left), labels, Fold(heads, [j.join(inner, "to", "left_semi").select("at", "to") for j in jumps], entries)
 
 

@@ -1,6 +1,7 @@
 """Strongly connected components against reachability, on random graphs with chains and rings, and on one long ring."""
 
 import random
+from collections import Counter
 
 from shardwell.operators.components import components
 
@@ -63,3 +64,21 @@ def test_long_ring_and_path(spark):
 def test_empty_and_loops(spark):
     assert components(spark.createDataFrame([], SCHEMA)).count() == 0
     assert {tuple(x) for x in components(spark.createDataFrame([("a", "a"), ("b", None)], SCHEMA)).collect()} == {("a", "a", 1), ("b", "b", 1)}
+
+
+def test_rings_end_after_their_own_length(spark, monkeypatch):
+    from shardwell.operators import components as module
+
+    edges = []
+    for r in range(60):  # rings of 1 to 9 nodes with a tail, beside paths
+        ring = [f"r{r}-{k}" for k in range(1 + r % 9)]
+        edges += [(a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a != b] + [(f"a{r}-{k}", f"a{r}-{k + 1}") for k in range(3)] + [(f"a{r}-3", ring[0])]
+        edges += [(f"p{r}-{k}", f"p{r}-{k + 1}") for k in range(r % 6)]
+    label = brute({x for e in edges for x in e}, edges)
+    sizes = Counter(label.values())
+    want = {x: (c, sizes[c]) for x, c in label.items()}
+    made, keep = [], module._keep
+    monkeypatch.setattr(module, "_keep", lambda df: made.append(1) or keep(df))
+    got = {x.node: (x.component, x.size) for x in module.components(spark.createDataFrame(edges, SCHEMA)).collect()}
+    assert got == want
+    assert len(made) <= 24  # 40 before

@@ -1,8 +1,8 @@
 """A hierarchical Pitman-Yor process over words, its seating sampled by Gibbs.
 
-A word's context is the last two bytes of the token before it; that restaurant's parent is the one of the last byte,
-which contexts with the same last byte share; all of those share the root, over a uniform distribution on the known
-words and one unknown. A customer of a restaurant is a token; a table that it opens is a customer of the parent.
+A word's context is the whole word before it; that restaurant's parent is the one of that word's last byte, which words
+that end alike share; all of those share the root, over a uniform distribution on the known words and one unknown. A
+customer of a restaurant is a token; a table that it opens is a customer of the parent.
 
 A sweep draws the seating of each dish (all its customers at once) from its distribution given all other dishes, from
 the longest contexts to the root. Of a seating only the number of tables matters to predictions and to the parent; the
@@ -16,8 +16,7 @@ while t is below 2 c^d, and else the saddle point of its generating function, an
 size like its spread.
 
 Words are dealt to buckets: a word's dishes in all restaurants are in its bucket, so seats and parents are local, and
-of the rest a bucket needs the restaurants' totals only. Those are of bounded size (65,536 + 256 + 1 restaurants), are
-added up between sweeps, and stand still during one.
+of the rest a bucket needs the restaurants' totals only. Those are added up between sweeps, and stand still during one.
 """
 
 from __future__ import annotations
@@ -26,17 +25,13 @@ from functools import cache
 
 import numpy as np
 
-#: Discount and strength of the root, of one-byte and of two-byte contexts.
+#: Discount and strength of the root, of last bytes and of words before.
 DISCOUNT = (0.7, 0.75, 0.8)
 STRENGTH = (1.0, 1.0, 1.0)
 #: Customers of a dish up to which the number of tables is drawn outright; steps of a walk beyond.
 EXACT, WALK = 128, 24
-PLACES = (1, 1 << 8, 1 << 16)
-
-
-def place(context: np.ndarray, level: int) -> np.ndarray:
-    """The restaurant of a two-byte context at a level."""
-    return context & (PLACES[level] - 1)
+#: Restaurants of the root and of last bytes.
+PLACES = (1, 1 << 8)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -132,18 +127,14 @@ def draw_tables(c: np.ndarray, t: np.ndarray, rest: np.ndarray, base: np.ndarray
 class Level:
     """Dishes (word, restaurant) of one level, sorted."""
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, customers: np.ndarray, level: int):
-        self.word, self.context, self.c, self.level = word, context, customers.astype(np.int64), level
+    def __init__(self, word: np.ndarray, context: np.ndarray, customers: np.ndarray, level: int, places: int):
+        self.word, self.context, self.c, self.level, self.places = word, context, customers.astype(np.int64), level, places
         self.d, self.s = DISCOUNT[level], STRENGTH[level]
         self.t = np.maximum(1, np.minimum(self.c, np.ceil(self.c**self.d))).astype(np.int64)  # about as a restaurant of its own
 
-    def keys(self) -> np.ndarray:
-        return self.word << 16 | self.context
-
     def totals(self) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables of this bucket in each restaurant."""
-        n = PLACES[self.level]
-        return np.bincount(self.context, self.c, n), np.bincount(self.context, self.t, n)
+        return np.bincount(self.context, self.c, self.places), np.bincount(self.context, self.t, self.places)
 
     def predict(self, base: np.ndarray, totals: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         guests, tables = totals[0][self.context], totals[1][self.context]
@@ -159,20 +150,22 @@ class Level:
 class Dishes:
     """The dishes of a bucket's words at all levels."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        """keys: word << 16 | context, distinct and sorted; counts: tokens."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, last: np.ndarray | None = None, bits: int = 16):
+        """keys: word << bits | context, distinct and sorted; counts: tokens; last: the last byte of each context."""
+        self.bits, self.last = bits, np.arange(1 << bits) & 0xFF if last is None else last.astype(np.int64)
         self.levels: list[Level] = [None] * 3  # type: ignore[list-item]
         self.up: list[np.ndarray] = [None] * 3  # type: ignore[list-item]
         self.samples: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        c = counts.astype(np.int64)
+        word, context, c = keys >> bits, keys & ((1 << bits) - 1), counts.astype(np.int64)
         self.tokens = c
+        places = (*PLACES, len(self.last))
         for level in (2, 1, 0):
-            self.levels[level] = Level(keys >> 16, keys & 0xFFFF, c, level)
+            self.levels[level] = Level(word, context, c, level, places[level])
             if level:
-                c = self.levels[level].t
-                short = keys >> 16 << 16 | place(keys & 0xFFFF, level - 1)
+                short = word << 8 | self.last[context] if level == 2 else word << 8
                 parents, at = np.unique(short, return_inverse=True)
-                self.up[level], keys, c = at, parents, np.bincount(at, minlength=len(parents))
+                word, context, c = parents >> 8, parents & 0xFF, np.bincount(at, self.levels[level].t, len(parents)).astype(np.int64)
+                self.up[level] = at
 
     def totals(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return [x.totals() for x in self.levels]
@@ -186,25 +179,33 @@ class Dishes:
         for level in (2, 1, 0):
             self.levels[level].gibbs(target, below[level], totals[level], rng)
             if level:
-                target = np.bincount(self.up[level], self.levels[level].t, len(self.levels[level - 1].word)).astype(np.int64)
+                target = self._opened(level)
+
+    def _opened(self, level: int) -> np.ndarray:
+        """Customers that the tables of a level are in the next."""
+        return np.bincount(self.up[level], self.levels[level].t, len(self.levels[level - 1].word)).astype(np.int64)
+
+    def seats(self) -> list[np.ndarray]:
+        """Tables of each dish, from which seat() sets the whole seating again."""
+        return [x.t.astype(np.int32) for x in self.levels]
+
+    def seat(self, tables: list[np.ndarray]) -> None:
+        for level in (2, 1, 0):
+            self.levels[level].t = tables[level].astype(np.int64)
+            if level:
+                self.levels[level - 1].c = self._opened(level)
 
     def keep(self) -> None:
         """Keeps the seating as a sample."""
-        self.samples.append([(x.c.copy(), x.t.copy()) for x in self.levels])
-
-    def slim(self) -> None:
-        """Lets go of the seats themselves; the samples stay."""
-        for x in self.levels:
-            x.t = x.c = np.empty(0, np.int64)
-        self.up = []
-        self.samples = [[(c.astype(np.int32) if c.max(initial=0) < 2**31 else c, t.astype(np.int32)) for c, t in s] for s in self.samples]
+        self.samples.append([(x.c, x.t) for x in self.levels])
 
     def prob(self, keys: np.ndarray, base: float, totals: list[list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
-        """Predictive probabilities, averaged over the samples, of word << 16 | context; a negative word is unknown."""
+        """Predictive probabilities, averaged over the samples, of word << bits | context; a negative word is unknown."""
         probs = [np.full(len(keys), base) for _ in self.samples]
+        word, context = keys >> self.bits, keys & ((1 << self.bits) - 1)
         for level, x in enumerate(self.levels):
-            u = place(keys & 0xFFFF, level)
-            own, have = keys >> 16 << 16 | u, x.keys()
+            u = (np.zeros_like(context), self.last[context], context)[level]
+            own, have = word << self.bits | u, x.word << self.bits | x.context
             at = np.minimum(np.searchsorted(have, own), max(len(have) - 1, 0))
             there = have[at] == own if len(have) else np.zeros(len(own), bool)
             met = at[there]

@@ -5,7 +5,9 @@ unknown word share the base, so unknown tokens have the probability that the fre
 
 How it is spread: documents become blocks of tokens. Blocks and word buckets exchange packed words, (word, context)
 counts and scores, so no row travels per token. After BURN_IN sweeps, the predictive probabilities of SAMPLES seatings
-are averaged; between sweeps the buckets' totals (of at most 65,793 restaurants) are added up and sent to all.
+are averaged. Between sweeps each bucket sends its tables by context to the contexts' owners, which add them up and send
+the sums back to the buckets that have the context; totals of the 257 restaurants above are sent to all. A context is known
+by 55 bits of its word's hash and its last byte.
 
 Defined results: null text counts as empty (one token, the end); a null id counts as "" for the fold; without training
 rows every token has probability 1; repeated rows each get a row and each count; an empty table gives an empty result.
@@ -14,11 +16,11 @@ rows every token has probability 1; repeated rows each get a row and each count;
 from __future__ import annotations
 
 import pickle
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,77 +99,154 @@ def token_blocks(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, "block string, n_docs long, n_tokens long, n_words long, ids binary, known_id binary, train binary, lens binary, tokens binary, words binary")
 
 
-def _pairs(words: list[bytes], tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (word << 16 | context) of a block, sorted, and each token's place among them."""
-    ends = np.array([int.from_bytes(w[-2:], "big") for w in words], np.int64)
-    context = np.r_[0, ends[tokens[:-1]]] if len(tokens) else np.zeros(0, np.int64)
-    context[(np.cumsum(lens) - lens)[lens > 0]] = 0  # texts begin without context
-    return np.unique(tokens.astype(np.int64) << 16 | context, return_inverse=True)
+def context_ids(words: list[bytes]) -> np.ndarray:
+    """What a word is called as a context: 55 bits of its hash, then its last byte; 0 is the start of a text."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(9)
+    last = np.array([w[-1] if w else 0 for w in words], np.uint64)
+    return (h << np.uint64(8) | last).view(np.int64)
+
+
+def owner(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a word, as a word and as a context."""
+    return (ids >> 8) % buckets
+
+
+def _pairs(tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (word << 32 | the word before + 1; 0 where a text begins) of a block, sorted, and each token's place among them."""
+    before = np.r_[0, tokens[:-1].astype(np.int64) + 1] if len(tokens) else np.zeros(0, np.int64)
+    before[(np.cumsum(lens) - lens)[lens > 0]] = 0
+    return np.unique(tokens.astype(np.int64) << 32 | before, return_inverse=True)
 
 
 def requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, places (of the words in the block), words, pairs (on the row's own words), counts (in training)."""
-    names, types = ["bucket", "block", "n", "places", "words", "pairs", "counts"], [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 4]
+    """bucket, block, places (of the words in the block), words, contexts, pairs (on the row's own words and contexts), counts (in training)."""
+    names, types = ["bucket", "block", "n", "places", "words", "contexts", "pairs", "counts"], [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 words = _unpack_words(r["words"], r["n_words"])
                 lens = np.frombuffer(r["lens"], np.int64)
-                pairs, at = _pairs(words, np.frombuffer(_uz(r["tokens"]), np.int32), lens)
+                pairs, at = _pairs(np.frombuffer(_uz(r["tokens"]), np.int32), lens)
                 counts = np.bincount(at, np.repeat(np.frombuffer(r["train"], bool), lens), len(pairs)).astype(np.int32)
-                to = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                ids = context_ids(words)
+                to, ids = owner(ids, buckets), np.r_[0, ids]
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
                 back = np.empty(len(words), np.int64)
                 back[order] = np.arange(len(words))
-                of = to[pairs >> 16]
+                of = to[pairs >> 32]
                 by = np.argsort(of, kind="stable")
                 edges = np.searchsorted(of[by], np.arange(buckets + 1))
                 rows = []
                 for k in np.flatnonzero(np.diff(cuts)):
                     p, q = order[cuts[k] : cuts[k + 1]], by[edges[k] : edges[k + 1]]
-                    own = back[pairs[q] >> 16] - cuts[k]
-                    packed = _z(own.astype(np.int32).tobytes() + (pairs[q] & 0xFFFF).astype(np.uint16).tobytes())
-                    rows.append((int(k), r["block"], len(p), _z(p.astype(np.int32).tobytes()), _pack_words([words[i] for i in p]), packed, _z(counts[q].tobytes())))
+                    own = back[pairs[q] >> 32] - cuts[k]
+                    met, which = np.unique(pairs[q] & 0xFFFFFFFF, return_inverse=True)
+                    packed = _z(own.astype(np.int32).tobytes() + which.astype(np.int32).tobytes())
+                    rows.append((int(k), r["block"], len(p), _z(p.astype(np.int32).tobytes()), _pack_words([words[i] for i in p.tolist()]), ids[met].tobytes(), packed, _z(counts[q].tobytes())))
                 yield _rows(rows, names, types)
 
-    return blocks.select("block", "n_words", "words", "tokens", "lens", "train").mapInArrow(run, "bucket long, block string, n long, places binary, words binary, pairs binary, counts binary")
+    return blocks.select("block", "n_words", "words", "tokens", "lens", "train").mapInArrow(run, "bucket long, block string, n long, places binary, words binary, contexts binary, pairs binary, counts binary")
 
 
 def _unpack_pairs(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = _uz(b)
-    n = len(raw) // 6
-    return np.frombuffer(raw, np.int32, n).astype(np.int64), np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.int64)
+    raw = np.frombuffer(_uz(b), np.int32).astype(np.int64)
+    return raw[: len(raw) // 2], raw[len(raw) // 2 :]
+
+
+def _pack_dishes(dishes: hpyp.Dishes) -> bytes:
+    x = dishes.levels[2]
+    parts = np.diff(x.word, prepend=0).astype(np.int32), x.context.astype(np.int32), dishes.tokens
+    return _z(pickle.dumps((*parts, dishes.last.astype(np.uint8))))
+
+
+def _unpack_dishes(b: bytes) -> hpyp.Dishes:
+    steps, context, tokens, last = pickle.loads(_uz(b))
+    return hpyp.Dishes(np.cumsum(steps, dtype=np.int64) << 32 | context, tokens, last, 32)
+
+
+def _send(contexts: np.ndarray, buckets: int, *values: np.ndarray) -> list[dict]:
+    """Values of contexts (in order of owner) cut by owner."""
+    edges = np.searchsorted(owner(contexts, buckets), np.arange(buckets + 1))
+    cut = [(k, slice(edges[k], edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
+    return [{"to": k, "values": _z(np.concatenate([v[at] for v in values]).astype(np.int64).tobytes())} for k, at in cut]
+
+
+SENDS = pa.list_(pa.struct([("to", pa.int64()), ("values", pa.binary())]))
+SENT = "array<struct<to: long, values: binary>>"
 
 
-def vocabulary(sent: DataFrame) -> DataFrame:
-    """A row a bucket: its training words, their dishes, totals, and how many tokens and words they are."""
+def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
+    """A row a bucket: its training words, the contexts asked of it in order of their owners, its dishes, totals, what
+    it sends to the owners, and how many tokens and words it has."""
 
     def run(t: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
         put = index.setdefault
+        asked = t.select(["n", "words", "contexts", "pairs", "counts"]).to_pylist()
+        contexts = np.unique(np.concatenate([np.frombuffer(r["contexts"], np.int64) for r in asked]))
+        order = np.argsort(owner(contexts, buckets), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for r in t.select(["n", "words", "pairs", "counts"]).to_pylist():
+        for r in asked:
             word, context = _unpack_pairs(r["pairs"])
             c = np.frombuffer(_uz(r["counts"]), np.int32)
             word, context, c = word[c > 0], context[c > 0], c[c > 0]
             seen, at = np.unique(word, return_inverse=True)
             names = _unpack_words(r["words"], r["n"])
             ids = np.array([put(names[k], len(index)) for k in seen.tolist()], np.int64)
-            keys.append(ids[at] << 16 | context if len(at) else word)
+            global_ = place[np.searchsorted(contexts, np.frombuffer(r["contexts"], np.int64))]
+            keys.append(ids[at] << 32 | global_[context] if len(at) else word)
             counts.append(c.astype(np.int64))
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
-        dishes = hpyp.Dishes(every, n)
-        row = (t.column("bucket")[0].as_py(), len(index), _pack_words(list(index)), _z(pickle.dumps(dishes)), pickle.dumps(dishes.totals()), int(n.sum()))
-        return pa.Table.from_batches([_rows([row], ["bucket", "n", "words", "dishes", "totals", "tokens"], [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64()])])
+        contexts = contexts[order]
+        dishes = hpyp.Dishes(every, n, contexts & 0xFF, 32)
+        *above, own = dishes.totals()
+        row = (t.column("bucket")[0].as_py(), len(index), _pack_words(list(index)), contexts.tobytes(), _pack_dishes(dishes), pickle.dumps(above), _send(contexts, buckets, contexts), _send(contexts, buckets, *own), int(n.sum()))
+        return pa.Table.from_batches([_rows([row], ["bucket", "n", "words", "contexts", "dishes", "totals", "asks", "sends", "tokens"], [pa.int64(), pa.int64(), *[pa.binary()] * 4, SENDS, SENDS, pa.int64()])])
+
+    return sent.select("bucket", "n", "words", "contexts", "pairs", "counts").groupBy("bucket").applyInArrow(run, f"bucket long, n long, words binary, contexts binary, dishes binary, totals binary, asks {SENT}, sends {SENT}, tokens long")
+
+
+def _mail(table: DataFrame, name: str) -> DataFrame:
+    return table.select("bucket", F.explode(name).alias("s")).select(F.col("s.to").alias("to"), "bucket", F.col("s.values").alias("values"))
+
+
+def directory(vocab: DataFrame) -> DataFrame:
+    """to, bucket, places: where the contexts that a bucket shares with their owner stand in the owner's list."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.select(["to", "bucket", "values"]).to_pylist()
+        found = [np.frombuffer(_uz(r["values"]), np.int64) for r in rows]
+        every = np.unique(np.concatenate(found))
+        return pa.Table.from_batches([_rows([(r["to"], r["bucket"], _z(np.searchsorted(every, f).astype(np.int32).tobytes())) for r, f in zip(rows, found, strict=True)], ["to", "bucket", "places"], [pa.int64(), pa.int64(), pa.binary()])])
+
+    return _mail(vocab, "asks").groupBy("to").applyInArrow(run, "to long, bucket long, places binary")
+
+
+def added(listed: DataFrame, table: DataFrame) -> DataFrame:
+    """bucket, owner, values: the values that buckets sent, summed over all buckets by context."""
+
+    def run(key: tuple, own: pa.Table, mail: pa.Table) -> pa.Table:
+        places = {r["bucket"]: np.frombuffer(_uz(r["places"]), np.int32) for r in own.to_pylist()}
+        total: np.ndarray | None = None
+        wide = 1 + max(int(p.max()) for p in places.values())
+        for r in mail.to_pylist():
+            v = np.frombuffer(_uz(r["values"]), np.int64).reshape(-1, len(places[r["bucket"]]))
+            total = np.zeros((len(v), wide), np.int64) if total is None else total
+            for k, x in enumerate(v):
+                total[k, places[r["bucket"]]] += x  # a bucket names a context once
+        rows = [(b, key[0].as_py(), _z(total[:, p].tobytes())) for b, p in places.items()]
+        return pa.Table.from_batches([_rows(rows, ["bucket", "owner", "values"], [pa.int64(), pa.int64(), pa.binary()])])
 
-    return sent.select("bucket", "n", "words", "pairs", "counts").groupBy("bucket").applyInArrow(run, "bucket long, n long, words binary, dishes binary, totals binary, tokens long")
+    return listed.groupBy("to").cogroup(_mail(table, "sends").groupBy("to")).applyInArrow(run, "bucket long, owner long, values binary")
 
 
 def _totals(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Customers and tables of each restaurant over all buckets; a row for each of 65,793 restaurants at most."""
+    """Customers and tables of the restaurants above words, over all buckets: a row for each of 257 at most."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [(np.zeros(n), np.zeros(n)) for n in hpyp.PLACES]
@@ -186,31 +265,55 @@ def _totals(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(vocab: DataFrame, scratch: Scratch, base: float, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = SEED) -> tuple[DataFrame, list]:
-    """The table of dishes with samples kept in it, and the totals at each sample."""
-    table, kept = vocab, []
-    totals = _totals(table)
-    for step in range(burn_in + samples):
-        sent = totals
-
-        def run(batches: Iterator[pa.RecordBatch], step: int = step, sent: list = sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    dishes = pickle.loads(_uz(r["dishes"]))
-                    dishes.sweep(base, sent, np.random.default_rng((seed, step, r["bucket"])))
-                    if step >= burn_in:
-                        dishes.keep()
-                    found = pickle.dumps(dishes.totals())
-                    if step == burn_in + samples - 1:
-                        dishes.slim()
-                    yield _rows([(r["bucket"], r["n"], r["words"], _z(pickle.dumps(dishes)), found)], ["bucket", "n", "words", "dishes", "totals"], [pa.int64(), pa.int64(), *[pa.binary()] * 3])
-
-        new = table.select("bucket", "n", "words", "dishes").repartition("bucket").mapInArrow(run, "bucket long, n long, words binary, dishes binary, totals binary")
-        new = scratch.write(new, f"dishes{step}", codec="none")
-        scratch.drop(f"dishes{step - 1}" if step else "vocabulary")
-        table, totals = new, _totals(new)
-        if step >= burn_in:
-            kept.append(totals)
+def train(vocab: DataFrame, scratch: Scratch, base: float, buckets: int, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = SEED) -> tuple[DataFrame, list]:
+    """bucket, state (customers by context; the samples' seats and tables by context), and the totals above at each sample."""
+    steps, kept = burn_in + samples, []
+
+    def turn(step: int, sent: list) -> Callable:
+        def run(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
+            state, sums = None, []
+            for r in sorted(got.to_pylist(), key=lambda r: r["owner"]):
+                if r["owner"] < 0:
+                    state = pickle.loads(_uz(r["values"]))
+                else:
+                    sums.append(np.frombuffer(_uz(r["values"]), np.int64).reshape(1 if step else 2, -1))
+            sums_ = np.concatenate(sums, axis=1)
+            sums_ = sums_.astype(np.int32) if sums_.max(initial=0) < 1 << 31 else sums_
+            guests, now, held = state or (sums_[0], None, [])
+            tables = sums_[-1]
+            if step > burn_in:
+                held = [*held[:-1], (held[-1][0], tables)]
+            above, sends = b"", []
+            if step < steps:
+                dishes = _unpack_dishes(own.column("dishes")[0].as_py())
+                if now is not None:
+                    dishes.seat(now)
+                dishes.sweep(base, [*sent, (guests, tables)], np.random.default_rng((seed, step, key[0].as_py())))
+                now = dishes.seats()
+                if step >= burn_in:
+                    held = [*held, (now, None)]
+                *low, top = dishes.totals()
+                above, sends = pickle.dumps(low), _send(np.frombuffer(own.column("contexts")[0].as_py(), np.int64), buckets, top[1])
+            row = (key[0].as_py(), _z(pickle.dumps((guests, now, held))), above, sends)
+            return pa.Table.from_batches([_rows([row], ["bucket", "state", "totals", "sends"], [pa.int64(), pa.binary(), pa.binary(), SENDS])])
+
+        return run
+
+    listed = scratch.write(directory(vocab), "directory", codec="none")
+    table, totals = vocab, _totals(vocab)
+    for step in range(steps + 1):  # the last turn takes in the sums of the last sample
+        parts = added(listed, table)
+        if step:
+            parts = parts.unionByName(table.select("bucket", F.lit(-1).cast("long").alias("owner"), F.col("state").alias("values")))
+        new = vocab.select("bucket", "dishes", "contexts").groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(turn(step, totals), f"bucket long, state binary, totals binary, sends {SENT}")
+        new = scratch.write(new, f"state{step}", codec="none")
+        if step:
+            scratch.drop(f"state{step - 1}")
+        table = new
+        if step < steps:
+            totals = _totals(new)
+            if step >= burn_in:
+                kept.append(totals)
     return table, kept
 
 
@@ -219,22 +322,32 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "lm")
     blocks = scratch.write(token_blocks(docs, learn, id_col, text_col), "blocks", codec="none")
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    sent = scratch.write(requests(blocks, max(4, words // BUCKET_WORDS)), "requests", codec="none")
-    vocab = scratch.write(vocabulary(sent), "vocabulary", codec="none")
+    buckets = max(4, words // BUCKET_WORDS)
+    sent = scratch.write(requests(blocks, buckets), "requests", codec="none")
+    vocab = scratch.write(vocabulary(sent, buckets), "vocabulary", codec="none")
     n, kinds = (x or 0 for x in vocab.agg(F.sum("tokens"), F.sum("n")).first())
     base = 1 / (kinds + 1)
-    dishes, kept = train(vocab, scratch, base)
+    state, kept = train(vocab, scratch, base, buckets)
 
     def answer(key: tuple, asked: pa.Table, own: pa.Table) -> pa.Table:
-        o = own.select(["n", "words", "dishes"]).to_pylist()[0]
+        o = own.to_pylist()[0]
         index = {w: k for k, w in enumerate(_unpack_words(o["words"], o["n"]))}
-        model = pickle.loads(_uz(o["dishes"]))
+        model, (guests, _, held) = _unpack_dishes(o["dishes"]), pickle.loads(_uz(o["state"]))
+        totals = []
+        for above, (seats, tables) in zip(kept, held, strict=True):
+            model.seat(seats)
+            model.keep()
+            totals.append([*above, (guests, tables)])
+        contexts = np.frombuffer(o["contexts"], np.int64)
+        order = np.argsort(contexts)
+        names = contexts[order]
         known = np.r_[np.bincount(model.levels[2].word, model.tokens, len(index)).astype(np.int64), 0]  # the last: unknown
         rows = []
-        for r in asked.select(["block", "n", "places", "words", "pairs"]).to_pylist():
+        for r in asked.select(["block", "n", "places", "words", "contexts", "pairs"]).to_pylist():
             ids = np.array([index.get(w, -1) for w in _unpack_words(r["words"], r["n"])], np.int64)
             word, context = _unpack_pairs(r["pairs"])
-            logs = np.log10(model.prob(ids[word] << 16 | context, base, kept)).astype(np.float32)
+            at = order[np.searchsorted(names, np.frombuffer(r["contexts"], np.int64))]
+            logs = np.log10(model.prob(ids[word] << 32 | at[context], base, totals)).astype(np.float32)
             rows.append((r["block"], r["places"], _z(known[ids].tobytes()), _z(logs.tobytes())))
         return pa.Table.from_batches([_rows(rows, ["block", "places", "counts", "logs"], [pa.string(), *[pa.binary()] * 3])])
 
@@ -243,12 +356,12 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for r in batch.to_pylist():
                 flat, lens = np.frombuffer(_uz(r["tokens"]), np.int32), np.frombuffer(r["lens"], np.int64)
-                pairs, at = _pairs(_unpack_words(r["words"], r["n_words"]), flat, lens)
+                pairs, at = _pairs(flat, lens)
                 c, bucket, logs = np.zeros(r["n_words"], np.int64), np.full(r["n_words"], -1, np.int64), np.zeros(len(pairs))
                 for k, a in enumerate(r["answers"]):
                     p = np.frombuffer(_uz(a["places"]), np.int32)
                     c[p], bucket[p] = np.frombuffer(_uz(a["counts"]), np.int64), k
-                of = bucket[pairs >> 16]
+                of = bucket[pairs >> 32]
                 by = np.argsort(of, kind="stable")
                 edges = np.searchsorted(of[by], np.arange(len(r["answers"]) + 1))
                 for k, a in enumerate(r["answers"]):
@@ -259,12 +372,13 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 ids = [i if k else None for i, k in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["known_id"], bool).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, np.frombuffer(r["train"], bool), lens, *sums), types, strict=True)], names=names)
 
-    asked = sent.select("bucket", "block", "n", "places", "words", "pairs")
-    replies = asked.groupBy("bucket").cogroup(dishes.select("bucket", "n", "words", "dishes").groupBy("bucket")).applyInArrow(answer, "block string, places binary, counts binary, logs binary")
+    asked = sent.select("bucket", "block", "n", "places", "words", "contexts", "pairs")
+    model = vocab.select("bucket", "n", "words", "contexts", "dishes").join(state.select("bucket", "state"), "bucket")
+    replies = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, "block string, places binary, counts binary, logs binary")
     replies = scratch.write(replies, "replies", codec="none")
     scratch.drop("requests")
     gathered = replies.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "logs")).alias("answers"))
-    out = blocks.select("block", "n_words", "words", "ids", "known_id", "train", "lens", "tokens").join(gathered, "block").mapInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = blocks.select("block", "n_words", "ids", "known_id", "train", "lens", "tokens").join(gathered, "block").mapInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("doc_id").alias(id_col), "train", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -229,6 +229,17 @@ def test_lm_scores_by_hand(spark):
         assert abs(got[i] - sum(math.log10(prob(w, before(ws, k))) for k, w in enumerate(ws))) < 1e-4
 
 
+def test_lm_tells_words_that_end_alike_apart(spark):
+    """What follows a word is learnt for that word, not for its last bytes."""
+    train = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5 != 1][:40]
+    held = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    texts = ["peach apple", "reach orange"] * 20 + ["peach apple", "peach orange", "reach apple", "reach orange"]
+    docs = spark.createDataFrame(list(zip(train + held, texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_score.query(docs).collect()}
+    a, b, c, d = (got[i] for i in held)
+    assert min(a, d) > max(b, c) + 1
+
+
 def test_seatings_are_drawn_from_their_distribution():
     from itertools import product
 

@@ -21,6 +21,7 @@ of the rest a bucket needs the restaurants' totals only. Those are added up betw
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -72,14 +73,14 @@ def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
         first = log_gamma(x - d)
         while True:
             a = j * d
-            weight = np.sin(np.pi * a) * np.exp(log_gamma(np.array([a + 1]))[0] - log_gamma(np.array([d + 1]))[0]) / np.sin(np.pi * d)
+            weight = np.sin(np.pi * a) * np.exp(math.lgamma(a + 1) - math.lgamma(d + 1)) / np.sin(np.pi * d)
             size = np.where(n >= j, np.exp(ways + log_gamma(np.maximum(x - a, 0.1)) - first), 0.0)
             total += (-1) ** (j - 1) * weight * size
-            if j > 100 or (size * np.exp(log_gamma(np.array([a + 1]))[0]) < 1e-10).all():
+            if j > 100 or (size * np.exp(math.lgamma(a + 1)) < 1e-10).all():
                 break
             ways = ways + np.where(n > j, np.log(np.maximum(n - j, 1) / (j + 1)), 0.0)
             j += 1
-        out[few] = np.log(n) + np.log(d) + first - log_gamma(np.array([1 - d]))[0] + np.log(np.maximum(total, 1e-12)) - n * np.log(d) - log_gamma(n + 1)
+        out[few] = np.log(n) + np.log(d) + first - math.lgamma(1 - d) + np.log(np.maximum(total, 1e-12)) - n * np.log(d) - log_gamma(n + 1)
     if (~few).any():
         x, n = c[~few], t[~few]
         goal, low, high = x / n, np.full(len(x), -30.0), np.full(len(x), 6.0)  # z = x0 as exp(-exp(v))
@@ -142,9 +143,10 @@ class Level:
 
     def gibbs(self, customers: np.ndarray, base: np.ndarray, totals: tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> None:
         """Draws the seating of each dish anew, with so many customers."""
-        rest = np.maximum(totals[1][self.context] - self.t, 0)
-        self.c = customers.astype(np.int64)
-        self.t = draw_tables(self.c, self.t, rest, np.minimum(base, 1.0), self.d, self.s, rng)
+        many = np.flatnonzero(customers > 1)  # one customer sits at one table
+        before, self.c, self.t = self.t[many], customers.astype(np.int64), np.minimum(customers, 1).astype(np.int64)
+        rest = np.maximum(totals[1][self.context[many]] - before, 0)
+        self.t[many] = draw_tables(self.c[many], before, rest, np.minimum(base[many], 1.0), self.d, self.s, rng)
 
 
 class Dishes:

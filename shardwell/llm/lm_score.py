@@ -7,7 +7,7 @@ How it is spread: documents become blocks of tokens. Blocks and word buckets exc
 counts and scores, so no row travels per token. After BURN_IN sweeps, the predictive probabilities of SAMPLES seatings
 are averaged. Between sweeps each bucket sends its tables by context to the contexts' owners, which add them up and send
 the sums back to the buckets that have the context; totals of the 257 restaurants above are sent to all. A context is known
-by 55 bits of its word's hash and its last byte.
+by 47 bits of its word's hash and its last byte.
 
 Defined results: null text counts as empty (one token, the end); a null id counts as "" for the fold; without training
 rows every token has probability 1; repeated rows each get a row and each count; an empty table gives an empty result.
@@ -100,8 +100,8 @@ def token_blocks(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
 
 
 def context_ids(words: list[bytes]) -> np.ndarray:
-    """What a word is called as a context: 55 bits of its hash, then its last byte; 0 is the start of a text."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(9)
+    """What a word is called as a context: 47 bits of its hash, then its last byte; 0 is the start of a text."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(17)
     last = np.array([w[-1] if w else 0 for w in words], np.uint64)
     return (h << np.uint64(8) | last).view(np.int64)
 
@@ -111,6 +111,16 @@ def owner(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (ids >> 8) % buckets
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids: their steps, byte by byte, so that the high ones take no room."""
+    return _z(np.ascontiguousarray(np.diff(ids, prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack_ids(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(_uz(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).reshape(-1).view(np.int64), dtype=np.int64)
+
+
 def _pairs(tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (word << 32 | the word before + 1; 0 where a text begins) of a block, sorted, and each token's place among them."""
     before = np.r_[0, tokens[:-1].astype(np.int64) + 1] if len(tokens) else np.zeros(0, np.int64)
@@ -142,9 +152,9 @@ def requests(blocks: DataFrame, buckets: int) -> DataFrame:
                 for k in np.flatnonzero(np.diff(cuts)):
                     p, q = order[cuts[k] : cuts[k + 1]], by[edges[k] : edges[k + 1]]
                     own = back[pairs[q] >> 32] - cuts[k]
-                    met, which = np.unique(pairs[q] & 0xFFFFFFFF, return_inverse=True)
+                    met, which = np.unique(ids[pairs[q] & 0xFFFFFFFF], return_inverse=True)
                     packed = _z(own.astype(np.int32).tobytes() + which.astype(np.int32).tobytes())
-                    rows.append((int(k), r["block"], len(p), _z(p.astype(np.int32).tobytes()), _pack_words([words[i] for i in p.tolist()]), ids[met].tobytes(), packed, _z(counts[q].tobytes())))
+                    rows.append((int(k), r["block"], len(p), _z(p.astype(np.int32).tobytes()), _pack_words([words[i] for i in p.tolist()]), _pack_ids(met), packed, _z(counts[q].tobytes())))
                 yield _rows(rows, names, types)
 
     return blocks.select("block", "n_words", "words", "tokens", "lens", "train").mapInArrow(run, "bucket long, block string, n long, places binary, words binary, contexts binary, pairs binary, counts binary")
@@ -166,11 +176,32 @@ def _unpack_dishes(b: bytes) -> hpyp.Dishes:
     return hpyp.Dishes(np.cumsum(steps, dtype=np.int64) << 32 | context, tokens, last, 32)
 
 
-def _send(contexts: np.ndarray, buckets: int, *values: np.ndarray) -> list[dict]:
-    """Values of contexts (in order of owner) cut by owner."""
-    edges = np.searchsorted(owner(contexts, buckets), np.arange(buckets + 1))
-    cut = [(k, slice(edges[k], edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
-    return [{"to": k, "values": _z(np.concatenate([v[at] for v in values]).astype(np.int64).tobytes())} for k, at in cut]
+def _send(contexts: np.ndarray, buckets: int, **values: np.ndarray) -> list[dict]:
+    """What each owner of contexts (sorted) is told of them."""
+    to = owner(contexts, buckets)
+    by = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[by], np.arange(buckets + 1))
+    cut = [(k, by[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges)).tolist()]
+    return [{"to": k, "values": _z(pickle.dumps({name: _small(v[at]) for name, v in values.items()}))} for k, at in cut]
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if x.max(initial=0) < 1 << 31 else x
+
+
+def _gather(contexts: np.ndarray, buckets: int, parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Rows of sums in the order of the contexts, from what their owners sent."""
+    by = np.argsort(owner(contexts, buckets), kind="stable")
+    found = np.concatenate([v for _, v in sorted(parts, key=lambda p: p[0])], axis=1) if parts else np.zeros((4, 0), np.int64)
+    out = np.empty_like(found)
+    out[:, by] = found
+    return out
+
+
+def _active(dishes: hpyp.Dishes) -> np.ndarray:
+    """Contexts of dishes whose seating is open: those of more than one customer."""
+    top = dishes.levels[2]
+    return np.unique(top.context[top.c > 1])
 
 
 SENDS = pa.list_(pa.struct([("to", pa.int64()), ("values", pa.binary())]))
@@ -178,17 +209,14 @@ SENT = "array<struct<to: long, values: binary>>"
 
 
 def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
-    """A row a bucket: its training words, the contexts asked of it in order of their owners, its dishes, totals, what
-    it sends to the owners, and how many tokens and words it has."""
+    """A row a bucket: its training words, the contexts asked of it, its dishes, totals, what it tells the owners
+    of its contexts, and how many tokens and words it has."""
 
     def run(t: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
         put = index.setdefault
         asked = t.select(["n", "words", "contexts", "pairs", "counts"]).to_pylist()
-        contexts = np.unique(np.concatenate([np.frombuffer(r["contexts"], np.int64) for r in asked]))
-        order = np.argsort(owner(contexts, buckets), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        contexts = np.unique(np.concatenate([_unpack_ids(r["contexts"]) for r in asked]))
         keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for r in asked:
             word, context = _unpack_pairs(r["pairs"])
@@ -197,52 +225,77 @@ def vocabulary(sent: DataFrame, buckets: int) -> DataFrame:
             seen, at = np.unique(word, return_inverse=True)
             names = _unpack_words(r["words"], r["n"])
             ids = np.array([put(names[k], len(index)) for k in seen.tolist()], np.int64)
-            global_ = place[np.searchsorted(contexts, np.frombuffer(r["contexts"], np.int64))]
-            keys.append(ids[at] << 32 | global_[context] if len(at) else word)
+            place = np.searchsorted(contexts, _unpack_ids(r["contexts"]))
+            keys.append(ids[at] << 32 | place[context] if len(at) else word)
             counts.append(c.astype(np.int64))
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
-        contexts = contexts[order]
         dishes = hpyp.Dishes(every, n, contexts & 0xFF, 32)
-        *above, own = dishes.totals()
-        row = (t.column("bucket")[0].as_py(), len(index), _pack_words(list(index)), contexts.tobytes(), _pack_dishes(dishes), pickle.dumps(above), _send(contexts, buckets, contexts), _send(contexts, buckets, *own), int(n.sum()))
-        return pa.Table.from_batches([_rows([row], ["bucket", "n", "words", "contexts", "dishes", "totals", "asks", "sends", "tokens"], [pa.int64(), pa.int64(), *[pa.binary()] * 4, SENDS, SENDS, pa.int64()])])
+        above, top = dishes.totals()[:2], dishes.levels[2]
+        go = _active(dishes)
+        alone = np.bincount(top.context[top.c == 1], minlength=len(contexts))
+        tables = np.bincount(top.context, top.t * (top.c > 1), len(contexts)).astype(np.int64)
+        held = np.flatnonzero(np.bincount(top.context, minlength=len(contexts)))
+        sends = _send(contexts[held], buckets, ids=contexts[held], alone=alone[held], go=np.isin(held, go), tables=tables[held])
+        row = (t.column("bucket")[0].as_py(), len(index), _pack_words(list(index)), _pack_ids(contexts), _pack_dishes(dishes), pickle.dumps(above), sends, int(n.sum()))
+        return pa.Table.from_batches([_rows([row], ["bucket", "n", "words", "contexts", "dishes", "totals", "sends", "tokens"], [pa.int64(), pa.int64(), *[pa.binary()] * 4, SENDS, pa.int64()])])
 
-    return sent.select("bucket", "n", "words", "contexts", "pairs", "counts").groupBy("bucket").applyInArrow(run, f"bucket long, n long, words binary, contexts binary, dishes binary, totals binary, asks {SENT}, sends {SENT}, tokens long")
+    return sent.select("bucket", "n", "words", "contexts", "pairs", "counts").groupBy("bucket").applyInArrow(run, f"bucket long, n long, words binary, contexts binary, dishes binary, totals binary, sends {SENT}, tokens long")
 
 
-def _mail(table: DataFrame, name: str) -> DataFrame:
-    return table.select("bucket", F.explode(name).alias("s")).select(F.col("s.to").alias("to"), "bucket", F.col("s.values").alias("values"))
+def _mail(table: DataFrame) -> DataFrame:
+    return table.select("bucket", F.explode("sends").alias("s")).select(F.col("s.to").alias("to"), "bucket", F.col("s.values").alias("values"))
 
 
 def directory(vocab: DataFrame) -> DataFrame:
-    """to, bucket, places: where the contexts that a bucket shares with their owner stand in the owner's list."""
+    """to, bucket, places, alone, first: where the open contexts of a bucket stand in their owner's list, their tables of
+    one customer in all buckets, and all their tables before the first sweep."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = t.select(["to", "bucket", "values"]).to_pylist()
-        found = [np.frombuffer(_uz(r["values"]), np.int64) for r in rows]
-        every = np.unique(np.concatenate(found))
-        return pa.Table.from_batches([_rows([(r["to"], r["bucket"], _z(np.searchsorted(every, f).astype(np.int32).tobytes())) for r, f in zip(rows, found, strict=True)], ["to", "bucket", "places"], [pa.int64(), pa.int64(), pa.binary()])])
-
-    return _mail(vocab, "asks").groupBy("to").applyInArrow(run, "to long, bucket long, places binary")
+        rows = [(r["to"], r["bucket"], pickle.loads(_uz(r["values"]))) for r in t.select(["to", "bucket", "values"]).to_pylist()]
+        every, at = np.unique(np.concatenate([v["ids"] for *_, v in rows]), return_inverse=True)
+        alone, tables = (np.bincount(at, np.concatenate([v[name] for *_, v in rows]), len(every)).astype(np.int64) for name in ("alone", "tables"))
+        go = [np.flatnonzero(v["go"]) for *_, v in rows]
+        start = np.cumsum([0, *(len(v["ids"]) for *_, v in rows)])
+        some, place = np.unique(np.concatenate([at[s + g] for s, g in zip(start, go, strict=False)]), return_inverse=True)
+        ends = np.cumsum([0, *map(len, go)])
+        out = []
+        for k, (to, bucket, _) in enumerate(rows):
+            p = place[ends[k] : ends[k + 1]]
+            if len(p):
+                mine = alone[some[p]]
+                out.append((to, bucket, _z(p.astype(np.int32).tobytes()), _z(mine.tobytes()), _z((mine + tables[some[p]]).tobytes())))
+        return pa.Table.from_batches([_rows(out, ["to", "bucket", "places", "alone", "first"], [pa.int64(), pa.int64(), *[pa.binary()] * 3])])
+
+    return _mail(vocab).groupBy("to").applyInArrow(run, "to long, bucket long, places binary, alone binary, first binary")
 
 
 def added(listed: DataFrame, table: DataFrame) -> DataFrame:
-    """bucket, owner, values: the values that buckets sent, summed over all buckets by context."""
+    """bucket, owner, values: the tables of its open contexts, summed over all buckets."""
 
     def run(key: tuple, own: pa.Table, mail: pa.Table) -> pa.Table:
-        places = {r["bucket"]: np.frombuffer(_uz(r["places"]), np.int32) for r in own.to_pylist()}
-        total: np.ndarray | None = None
-        wide = 1 + max(int(p.max()) for p in places.values())
+        listed = {r["bucket"]: (np.frombuffer(_uz(r["places"]), np.int32), np.frombuffer(_uz(r["alone"]), np.int64)) for r in own.to_pylist()}
+        total = np.zeros(1 + max((int(p.max()) for p, _ in listed.values()), default=0), np.int64)
         for r in mail.to_pylist():
-            v = np.frombuffer(_uz(r["values"]), np.int64).reshape(-1, len(places[r["bucket"]]))
-            total = np.zeros((len(v), wide), np.int64) if total is None else total
-            for k, x in enumerate(v):
-                total[k, places[r["bucket"]]] += x  # a bucket names a context once
-        rows = [(b, key[0].as_py(), _z(total[:, p].tobytes())) for b, p in places.items()]
+            total[listed[r["bucket"]][0]] += pickle.loads(_uz(r["values"]))["tables"]  # a bucket names a context once
+        rows = [(b, key[0].as_py(), _z((total[p] + alone).tobytes())) for b, (p, alone) in listed.items()]
         return pa.Table.from_batches([_rows(rows, ["bucket", "owner", "values"], [pa.int64(), pa.int64(), pa.binary()])])
 
-    return listed.groupBy("to").cogroup(_mail(table, "sends").groupBy("to")).applyInArrow(run, "bucket long, owner long, values binary")
+    return listed.groupBy("to").cogroup(_mail(table).groupBy("to")).applyInArrow(run, "bucket long, owner long, values binary")
+
+
+def summed(table: DataFrame, samples: int) -> DataFrame:
+    """bucket, owner, values: customers and each sample's tables of every context that a bucket was asked about."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = [(r["to"], r["bucket"], pickle.loads(_uz(r["values"]))) for r in t.select(["to", "bucket", "values"]).to_pylist()]
+        every, at = np.unique(np.concatenate([v["ids"] for *_, v in rows]), return_inverse=True)
+        total = np.stack([np.bincount(at, np.concatenate([v[name] for *_, v in rows]), len(every)).astype(np.int64) for name in ("guests", *map(str, range(samples)))])
+        start = np.cumsum([0, *(len(v["ids"]) for *_, v in rows)])
+        out = [(b, to, _z(total[:, at[start[k] : start[k + 1]]].tobytes())) for k, (to, b, _) in enumerate(rows)]
+        return pa.Table.from_batches([_rows(out, ["bucket", "owner", "values"], [pa.int64(), pa.int64(), pa.binary()])])
+
+    return _mail(table).groupBy("to").applyInArrow(run, "bucket long, owner long, values binary")
 
 
 def _totals(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -266,55 +319,54 @@ def _totals(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(vocab: DataFrame, scratch: Scratch, base: float, buckets: int, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = SEED) -> tuple[DataFrame, list]:
-    """bucket, state (customers by context; the samples' seats and tables by context), and the totals above at each sample."""
+    """bucket, state (the samples' seats), sums (customers and the samples' tables by context), and the totals above at
+    each sample."""
     steps, kept = burn_in + samples, []
 
     def turn(step: int, sent: list) -> Callable:
         def run(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
-            state, sums = None, []
-            for r in sorted(got.to_pylist(), key=lambda r: r["owner"]):
+            contexts, dishes = _unpack_ids(own.column("contexts")[0].as_py()), _unpack_dishes(own.column("dishes")[0].as_py())
+            open_, (now, held), parts = _active(dishes), (None, []), []
+            for r in got.to_pylist():
                 if r["owner"] < 0:
-                    state = pickle.loads(_uz(r["values"]))
+                    now, held = pickle.loads(_uz(r["values"]))
                 else:
-                    sums.append(np.frombuffer(_uz(r["values"]), np.int64).reshape(1 if step else 2, -1))
-            sums_ = np.concatenate(sums, axis=1)
-            sums_ = sums_.astype(np.int32) if sums_.max(initial=0) < 1 << 31 else sums_
-            guests, now, held = state or (sums_[0], None, [])
-            tables = sums_[-1]
-            if step > burn_in:
-                held = [*held[:-1], (held[-1][0], tables)]
-            above, sends = b"", []
-            if step < steps:
-                dishes = _unpack_dishes(own.column("dishes")[0].as_py())
-                if now is not None:
-                    dishes.seat(now)
-                dishes.sweep(base, [*sent, (guests, tables)], np.random.default_rng((seed, step, key[0].as_py())))
-                now = dishes.seats()
-                if step >= burn_in:
-                    held = [*held, (now, None)]
-                *low, top = dishes.totals()
-                above, sends = pickle.dumps(low), _send(np.frombuffer(own.column("contexts")[0].as_py(), np.int64), buckets, top[1])
-            row = (key[0].as_py(), _z(pickle.dumps((guests, now, held))), above, sends)
+                    parts.append((r["owner"], np.frombuffer(_uz(r["values"]), np.int64)[None, :]))
+            tables = np.zeros(len(contexts), np.int64)
+            if parts:
+                tables[open_] = _gather(contexts[open_], buckets, parts)[0]
+            if now is not None:
+                dishes.seat(now)
+            dishes.sweep(base, [*sent, (None, tables)], np.random.default_rng((seed, step, key[0].as_py())))
+            now, top = dishes.seats(), dishes.levels[2]
+            held = [*held, now] if step >= burn_in else held
+            if step < steps - 1:
+                mine = np.bincount(top.context, top.t * (top.c > 1), len(contexts))[open_].astype(np.int64)
+                sends = _send(contexts[open_], buckets, tables=mine)
+            else:
+                by = {str(k): np.bincount(top.context, s[2], len(contexts)).astype(np.int64) for k, s in enumerate(held)}
+                guests, now = np.bincount(top.context, dishes.tokens, len(contexts)).astype(np.int64), None
+                sends = _send(contexts, buckets, ids=contexts, guests=guests, **by)
+            row = (key[0].as_py(), _z(pickle.dumps((now, held))), pickle.dumps(dishes.totals()[:2]), sends)
             return pa.Table.from_batches([_rows([row], ["bucket", "state", "totals", "sends"], [pa.int64(), pa.binary(), pa.binary(), SENDS])])
 
         return run
 
     listed = scratch.write(directory(vocab), "directory", codec="none")
+    first = listed.select("bucket", F.col("to").alias("owner"), F.col("first").alias("values"))
     table, totals = vocab, _totals(vocab)
-    for step in range(steps + 1):  # the last turn takes in the sums of the last sample
-        parts = added(listed, table)
+    for step in range(steps):
+        parts = added(listed, table) if step else first
         if step:
             parts = parts.unionByName(table.select("bucket", F.lit(-1).cast("long").alias("owner"), F.col("state").alias("values")))
         new = vocab.select("bucket", "dishes", "contexts").groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(turn(step, totals), f"bucket long, state binary, totals binary, sends {SENT}")
         new = scratch.write(new, f"state{step}", codec="none")
-        if step:
-            scratch.drop(f"state{step - 1}")
-        table = new
-        if step < steps:
-            totals = _totals(new)
-            if step >= burn_in:
-                kept.append(totals)
-    return table, kept
+        scratch.drop(f"state{step - 1}")
+        table, totals = new, _totals(new)
+        if step >= burn_in:
+            kept.append(totals)
+    sums = summed(table, samples).groupBy("bucket").agg(F.collect_list(F.struct("owner", "values")).alias("sums"))
+    return table.select("bucket", "state").join(sums, "bucket"), kept
 
 
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,21 +384,20 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def answer(key: tuple, asked: pa.Table, own: pa.Table) -> pa.Table:
         o = own.to_pylist()[0]
         index = {w: k for k, w in enumerate(_unpack_words(o["words"], o["n"]))}
-        model, (guests, _, held) = _unpack_dishes(o["dishes"]), pickle.loads(_uz(o["state"]))
+        model, (_, held) = _unpack_dishes(o["dishes"]), pickle.loads(_uz(o["state"]))
+        contexts = _unpack_ids(o["contexts"])
+        guests, *tables = _gather(contexts, buckets, [(p["owner"], np.frombuffer(_uz(p["values"]), np.int64).reshape(len(held) + 1, -1)) for p in o["sums"]])
         totals = []
-        for above, (seats, tables) in zip(kept, held, strict=True):
+        for above, seats, own_tables in zip(kept, held, tables, strict=True):
             model.seat(seats)
             model.keep()
-            totals.append([*above, (guests, tables)])
-        contexts = np.frombuffer(o["contexts"], np.int64)
-        order = np.argsort(contexts)
-        names = contexts[order]
+            totals.append([*above, (guests, own_tables)])
         known = np.r_[np.bincount(model.levels[2].word, model.tokens, len(index)).astype(np.int64), 0]  # the last: unknown
         rows = []
         for r in asked.select(["block", "n", "places", "words", "contexts", "pairs"]).to_pylist():
             ids = np.array([index.get(w, -1) for w in _unpack_words(r["words"], r["n"])], np.int64)
             word, context = _unpack_pairs(r["pairs"])
-            at = order[np.searchsorted(names, np.frombuffer(r["contexts"], np.int64))]
+            at = np.searchsorted(contexts, _unpack_ids(r["contexts"]))
             logs = np.log10(model.prob(ids[word] << 32 | at[context], base, totals)).astype(np.float32)
             rows.append((r["block"], r["places"], _z(known[ids].tobytes()), _z(logs.tobytes())))
         return pa.Table.from_batches([_rows(rows, ["block", "places", "counts", "logs"], [pa.string(), *[pa.binary()] * 3])])
@@ -373,7 +424,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, np.frombuffer(r["train"], bool), lens, *sums), types, strict=True)], names=names)
 
     asked = sent.select("bucket", "block", "n", "places", "words", "contexts", "pairs")
-    model = vocab.select("bucket", "n", "words", "contexts", "dishes").join(state.select("bucket", "state"), "bucket")
+    model = vocab.select("bucket", "n", "words", "contexts", "dishes").join(state, "bucket")
     replies = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, "block string, places binary, counts binary, logs binary")
     replies = scratch.write(replies, "replies", codec="none")
     scratch.drop("requests")

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from shardwell.catalog import query
 from shardwell.functions import code
-from shardwell.sources.corpus import table
+from shardwell.sources.corpus import spread, table
 
 
 def rust(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     body = F.format_string("pub fn p%d(x: i32) -> i32 {\n  x + %d // %s\n}\n\nstruct S%d { a: u8 }\n", "p_partkey", "p_size", "p_name", "p_partkey")
     return p.select("p_partkey", body.alias("source"))
 
@@ -31,7 +31,7 @@ def chk21(spark, sf_dir):
     def symbols(s):
         return s.map(lambda x: [i[1] for i in code.imports(x, "typescript")])
 
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     source = F.format_string("import { %s, %s as b } from './m'", "p_type", "p_brand")
     return p.select("p_partkey", F.explode(symbols(source)).alias("symbol"))
 
@@ -44,7 +44,7 @@ def chk22(spark, sf_dir):
 
 @query("scal42_minimize", "SELECT p_partkey, p_name || chr(10) AS minimal FROM part")
 def scal42(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     return p.select("p_partkey", code.minimize(F.concat(F.lit("# head\n\n/* a\n b */\n"), "p_name", F.lit("\n// tail\n"))).alias("minimal"))
 
 
@@ -59,4 +59,4 @@ def scal19(spark, sf_dir):
     def canonical(s):
         return s.map(lambda x: code.canonical(x, "rust"))
 
-    return table(spark, sf_dir, "part").select("p_partkey", canonical(F.format_string("a=%d+b ( c ,d )  // note\n\n", "p_size")).alias("canonical"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", canonical(F.format_string("a=%d+b ( c ,d )  // note\n\n", "p_size")).alias("canonical"))

@@ -8,7 +8,7 @@ from shardwell.functions import code, metadata
 from shardwell.functions import text as t
 from shardwell.operators import aliases
 from shardwell.sources import corpus
-from shardwell.sources.corpus import REGISTRY_SQL, table
+from shardwell.sources.corpus import REGISTRY_SQL, spread, table
 
 COS = "round(coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6)"
 
@@ -149,7 +149,7 @@ def scal50(spark, sf_dir):
 )
 def scal25_manifests(spark, sf_dir):
     """Every part as a readme, a JSON or TOML manifest, a commented file with a heading, or broken JSON; read back from its text."""
-    p = table(spark, sf_dir, "part").withColumn("size", F.concat(F.lit("s"), F.col("p_size").cast("string"))).withColumn("maker", F.concat(F.lit("maker "), F.col("p_size").cast("string")))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"), "p_partkey").withColumn("size", F.concat(F.lit("s"), F.col("p_size").cast("string"))).withColumn("maker", F.concat(F.lit("maker "), F.col("p_size").cast("string")))
     say = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
     c = F.col
     readme = say("intro\n# ", c("p_name"), "  \n\n## more\n  ", c("p_type"), " \n# Later\nother\nUnder Apache\n// @tags: ", c("p_brand"), " , ", c("size"), "\n@tag:x\n")

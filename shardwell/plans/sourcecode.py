@@ -10,7 +10,7 @@ from shardwell.functions import code, features, files, interfaces
 from shardwell.functions.text import kebab_case, lines
 from shardwell.operators import chunking, projects, smart
 from shardwell.sources.code_files import CODE_FILES_SQL, SHAPES, code_files, values
-from shardwell.sources.corpus import table
+from shardwell.sources.corpus import spread, table
 
 ATOMS = [
     (0, "p{k}", "async_function", 1, 5), (0, "main", "function", 10, 10), (0, "S{k}", "struct", 6, 6), (0, "std::io", "import", 7, 7), (0, "serde::Serialize", "import", 8, 8),
@@ -255,12 +255,12 @@ def interface_text():
        CASE WHEN p_partkey % 3 = 0 THEN 'Initial state ''c'' not found in states list' END, CASE WHEN p_partkey % 5 = 0 THEN 'Implementation name ''bare'' should be in ''Interface.Implementation'' format' END) END AS problems FROM part""",
 )
 def scal53(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", interfaces.checked(interface_text()).alias("c")).select("p_partkey", "c.parsed", F.array_join("c.problems", ";").alias("problems"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", interfaces.checked(interface_text()).alias("c")).select("p_partkey", "c.parsed", F.array_join("c.problems", ";").alias("problems"))
 
 
 @query("scal52_interface_parts", "SELECT p_partkey, 'Codec' || p_partkey AS interface, 'Codec' || p_partkey || '.encode,Codec' || p_partkey || '.decode' AS methods, CASE WHEN p_partkey % 5 = 0 THEN 'bare' ELSE 'Codec' || p_partkey || '.one' END AS implementation FROM part WHERE p_partkey % 7 <> 0")
 def scal52(spark, sf_dir):
-    c = table(spark, sf_dir, "part").select("p_partkey", interfaces.checked(interface_text()).alias("c")).filter("c.parsed")
+    c = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", interfaces.checked(interface_text()).alias("c")).filter("c.parsed")
     return c.select("p_partkey", F.get("c.interfaces", 0).alias("interface"), F.array_join("c.methods", ",").alias("methods"), F.get("c.implementations", 0).alias("implementation"))
 
 
@@ -346,7 +346,7 @@ def scal15(spark, sf_dir):
     normal = code.normal_forms("rust")
     own = F.concat(F.lit("fn add(a: i32) { a + "), F.col("p_size").cast("string"), F.lit(" } // sum"))
     other = F.concat(F.lit("fn  plus(b: i32) {\n b+"), (F.col("p_size") + F.col("p_size") % 2).cast("string"), F.lit(" } // sum"))
-    found = table(spark, sf_dir, "part").select("p_partkey", normal(own).alias("a"), normal(other).alias("b"))
+    found = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", normal(own).alias("a"), normal(other).alias("b"))
     return found.select("p_partkey", (F.col("a") == F.col("b")).alias("identical"), F.round(code.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
@@ -354,7 +354,7 @@ def scal15(spark, sf_dir):
 def join13(spark, sf_dir):
     """Equivalents: codes with one semantic hash, whatever their names, spaces and comments."""
     source = F.concat(F.lit("fn part"), F.col("p_partkey").cast("string"), F.lit("(v"), F.col("p_partkey").cast("string"), F.lit(": i32)  {\n v"), F.col("p_partkey").cast("string"), F.lit(" +"), F.col("p_size").cast("string"), F.lit(" }"))
-    hashed = table(spark, sf_dir, "part").select("p_partkey", code.semantic_hashes("rust")(source).alias("hash"))
+    hashed = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", code.semantic_hashes("rust")(source).alias("hash"))
     return hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwell.sources.corpus import table
+from shardwell.sources.corpus import spread, table
 
 #: (path, language, text); {k} is the part's key.
 SHAPES = [
@@ -30,7 +30,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, path, language, content."""
     shape, key = F.col("p_partkey") % len(SHAPES), F.col("p_partkey").cast("string")
     made = [F.replace(F.element_at(F.array(*(F.lit(s[k]) for s in SHAPES)), (shape + 1).cast("int")), F.lit("{k}"), key) for k in range(3)]
-    return table(spark, sf_dir, "part").select("p_partkey", made[0].alias("path"), made[1].alias("language"), made[2].alias("content"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", made[0].alias("path"), made[1].alias("language"), made[2].alias("content"))
 
 
 def _text(s: str) -> str:

@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task where each becomes a text that is worked on.
+SPREAD = 5_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt evenly over tasks, as many as they need: a few bytes of a table become much work, so the table's files
+    say nothing of it (a file of one row group is one task, whatever its rows)."""
+    return rows.repartition(max(1, -(-rows.count() // SPREAD)), key)
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, chunk_id, content, language, source, size, tokens."""
     d = table(spark, sf_dir, "documents")

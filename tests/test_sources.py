@@ -59,3 +59,14 @@ def test_embedding_store(spark, tmp_path):
     assert embeddings.get(store, "b") == [0.5, 0.25] and embeddings.get(store, "c") is None
     more = embeddings.insert(store, spark.createDataFrame([("b", [9.0]), ("c", [8.0])], embeddings.SCHEMA))
     assert {r.chunk_id: list(r.embedding) for r in more.collect()} == {"a": [1.0, 2.0], "b": [9.0], "c": [8.0]}
+
+
+def test_rows_that_become_texts_are_dealt_over_tasks(spark, tmp_path):
+    """A table of one row group is one task by its files; the texts made of its rows are worked on in as many as they need."""
+    from shardwell.plans.extraction import rust
+    from shardwell.sources.code_files import code_files
+
+    spark.range(12_000).selectExpr("id AS p_partkey", "'n' AS p_name", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (code_files(spark, str(tmp_path)), rust(spark, str(tmp_path))):
+        rows = made.select("p_partkey", F.spark_partition_id().alias("at")).groupBy("at").count().collect()
+        assert len(rows) == 3 and sum(r["count"] for r in rows) == 12_000 and max(r["count"] for r in rows) < 6_000

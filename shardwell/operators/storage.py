@@ -26,8 +26,11 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
-def append_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
-    return edges.unionByName(more).dropDuplicates(["src", "dst", "edge_type"])
+def append_edges(edges: DataFrame, more: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Both without what repeats; tasks: over how many tasks it is found."""
+    key = ["src", "dst", "edge_type"]
+    rows = edges.unionByName(more)
+    return (rows.repartition(tasks, *key) if tasks else rows).dropDuplicates(key)
 
 
 def put(rows: DataFrame, id_col: str, content: str, max_bytes: int) -> DataFrame:

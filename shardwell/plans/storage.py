@@ -49,8 +49,9 @@ def src15(spark, sf_dir):
 @query("src18_edge_append", "SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, 'generic_ref' AS edge_type FROM lineitem")
 def src18(spark, sf_dir):
     e = corpus.edges(spark, sf_dir).filter("edge_type = 'generic_ref'")
-    again = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("generic_ref").alias("edge_type"))
-    return op.append_edges(e, again)
+    lines = table(spark, sf_dir, "lineitem")
+    again = lines.select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("generic_ref").alias("edge_type"))
+    return op.append_edges(e, again, max(1, -(-2 * lines.count() // corpus.DISTINCT)))
 
 
 @query("src19_cas_list", "SELECT 'chunk_sha256_' || sha256(text) AS file, CAST(min(strlen(text)) AS BIGINT) AS size, count(*) AS puts FROM documents GROUP BY sha256(text)")

@@ -26,6 +26,15 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(max(1, -(-rows.count() // SPREAD)), key)
 
 
+#: Rows of a task that finds distinct ones.
+DISTINCT = 100_000
+
+
+def distinct_in_parts(rows: DataFrame, n: int) -> DataFrame:
+    """The distinct ones of n rows, in tasks whose number grows with n, so that the memory of each does not."""
+    return rows.repartition(max(1, -(-n // DISTINCT)), *rows.columns).distinct()
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, chunk_id, content, language, source, size, tokens."""
     d = table(spark, sf_dir, "documents")
@@ -90,8 +99,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, edge_type: foreign keys as typed edges."""
 
     def edge(name: str, a: str, ka: str, b: str, kb: str, kind: str, distinct: bool = False) -> DataFrame:
-        e = table(spark, sf_dir, name).select(F.concat(F.lit(f"{a}:"), F.col(ka).cast("string")).alias("src"), F.concat(F.lit(f"{b}:"), F.col(kb).cast("string")).alias("dst"), F.lit(kind).alias("edge_type"))
-        return e.distinct() if distinct else e
+        pairs = table(spark, sf_dir, name).select(ka, kb)
+        pairs = distinct_in_parts(pairs, pairs.count()) if distinct else pairs  # as keys, a fraction of their names
+        return pairs.select(F.concat(F.lit(f"{a}:"), F.col(ka).cast("string")).alias("src"), F.concat(F.lit(f"{b}:"), F.col(kb).cast("string")).alias("dst"), F.lit(kind).alias("edge_type"))
 
     parts = [
         edge("nation", "nation", "n_nationkey", "region", "n_regionkey", "extends"),

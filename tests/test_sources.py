@@ -70,3 +70,15 @@ def test_rows_that_become_texts_are_dealt_over_tasks(spark, tmp_path):
     for made in (code_files(spark, str(tmp_path)), rust(spark, str(tmp_path))):
         rows = made.select("p_partkey", F.spark_partition_id().alias("at")).groupBy("at").count().collect()
         assert len(rows) == 3 and sum(r["count"] for r in rows) == 12_000 and max(r["count"] for r in rows) < 6_000
+
+
+def test_distinct_pairs_are_found_in_tasks_that_grow_with_the_rows(spark, tmp_path):
+    """One file and few shuffle partitions don't make few tasks."""
+    from shardwell.sources import corpus
+
+    for name, columns in {"nation": "0 AS n_nationkey, 0 AS n_regionkey", "customer": "0 AS c_custkey, 0 AS c_nationkey", "supplier": "0 AS s_suppkey, 0 AS s_nationkey", "orders": "0 AS o_orderkey, 0 AS o_custkey"}.items():
+        spark.range(1).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.range(1_500_000).selectExpr("id % 1400000 AS l_orderkey", "1 AS l_partkey", "id % 5 AS l_suppkey")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    e = corpus.edges(spark, str(tmp_path)).filter("edge_type = 'calls'")
+    assert e.count() == 1_400_000 and e.select(F.spark_partition_id()).distinct().count() == 15

@@ -391,6 +391,37 @@ def test_passages_past_scattered_seeds(spark):
     assert (6, 5) in got and got[6, 5].end - got[6, 5].start == 200
 
 
+def test_passages_between_other_holders(spark):
+    """Documents that hold a passage in parts, too short to count, are the first and the nearest at each of its keys."""
+    r = random.Random(14)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a = make(70)
+    parts = lambda: a[:45] + make(9) + a[12:57] + make(9) + a[25:]
+    rows = [(i, make(5 + i) + a + make(9) if i % 2 else parts()) for i in range(14)]
+    rows += [(i, list(rows[k][1])) for i, k in ((20, 1), (21, 1), (22, 2))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").coalesce(1)
+    got = passages.fuzzy_passages(docs).collect()
+    near = {i: i for i, _ in rows}
+    for _ in rows:
+        for x in got:
+            near[x.doc_id] = near[x.ref_doc_id] = min(near[x.doc_id], near[x.ref_doc_id])
+    assert {i for i, k in near.items() if k == 1} == {1, 3, 5, 7, 9, 11, 13, 20, 21}
+    assert {(x.doc_id, x.ref_doc_id, x.start, x.end) for x in got if x.doc_id > 13} == {(20, 1, 0, 85), (21, 1, 0, 85), (22, 2, 0, 153)}
+
+
+def test_linked_labels():
+    r = random.Random(15)
+    for _ in range(50):
+        n = r.randrange(1, 30)
+        a, b = ([r.randrange(n) for _ in range(r.randrange(20))] for _ in range(2))
+        k = min(len(a), len(b))
+        want = list(range(n))
+        for _ in range(n):
+            for i, j in zip(a[:k], b[:k], strict=True):
+                want[i] = want[j] = min(want[i], want[j])
+        assert passages._least_linked(n, np.array(a[:k], int), np.array(b[:k], int)).tolist() == want
+
+
 def passages_by_hand(rows, least=50, similarity=0.8, run=5):
     """Documents with a window of `least` words that shares enough runs with one of an earlier document."""
     out = set()

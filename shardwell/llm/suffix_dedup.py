@@ -8,12 +8,15 @@ share their first `least` bytes must meet; they are brought together without shi
    seeds; consecutive windows mostly share theirs, and such a run of windows is a unit.
 2. Repeats. Blocks send the hashes of their seeds, packed, to buckets; a bucket answers each block with one bit a seed:
    whether another document has it. Units of other seeds cannot hold a repeated window.
-3. Factors. Copies of a unit, first in its block and then in its bucket, are represented by that of the smallest
-   document. Buckets, dealt by seed, sort the suffixes of the units (which end with their unit), take the whole longest
+3. Kinds. Blocks send the hashes (64 bits) of the bytes of the units whose seeds repeat, with the smallest document of
+   each; a bucket answers whether a smaller document elsewhere has these bytes, and whether the seed has other bytes
+   around it. Copies of a whole unit are settled so, and only units whose seed stands in unlike units send their bytes, one
+   for the copies of each.
+4. Factors. Buckets, dealt by seed, sort the suffixes of the units (which end with their unit), take the whole longest
    common prefixes of neighbours, and find for each suffix the previous and the next one in suffix order that stands in
    a smaller document: the longer of the two common prefixes is its longest previous factor. Seeds that occur in very
    many blocks are split: each window goes by its own bytes.
-4. Coverage. What factors of `least` bytes or more cover goes back to the blocks, which cut their documents.
+5. Coverage. What factors of `least` bytes or more cover goes back to the blocks, which cut their documents.
 
 Answers, seeds and units travel as packed binary columns, so shuffles stay below the size of the input.
 
@@ -192,7 +195,7 @@ def make_blocks(docs: DataFrame, least: int = LEAST, seed: int = SEED, id_col: s
 def _split(key: np.ndarray, *rest: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Rows of sorted keys, key by key."""
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-    for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(key)], strict=False):
         yield int(key[a]), [r[a:b] for r in rest]
 
 
@@ -245,66 +248,125 @@ def repeats(blocks: DataFrame, buckets: int, hot_blocks: int = HOT_BLOCKS) -> Da
     return sent.groupBy("bucket").applyInArrow(answer, "block string, bucket long, bits binary, hot binary")
 
 
-def candidates(blocks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block and packed units (ids, positions, windows, bytes); without bytes: windows settled in the block."""
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers, byte by byte, so that the high bytes take no room."""
+    return _pack(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T))
+
+
+def _from_planes(b: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, "u1").reshape(8, -1).T).reshape(-1).view(dtype)
+
+
+class Kinds:
+    """The units of a block whose seeds repeat (of hot seeds each window by itself) and, for each kind of them (bytes), the
+    bucket of eight that it is dealt to, its seed, the hash of its bytes and the block's smallest document that has it."""
+
+    def __init__(self, b: Block, answers: list[dict], buckets: int):
+        bucket, _, _, back = _distinct_seeds(b, buckets)
+        repeated, hot = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
+        begin = {k: (m[0], len(m)) for k, (m,) in _split(bucket, np.arange(len(bucket)))}
+        for a in answers:
+            at, n = begin[a["bucket"]]
+            repeated[at : at + n] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=n)
+            hot[at : at + n] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=n)
+        pick = np.flatnonzero(repeated[back])
+        first, count, h, single = b.first[pick], b.count[pick], b.hash[pick], hot[back[pick]]
+        doc = b.ids[b.doc[pick]]
+        k = np.repeat(np.flatnonzero(single), count[single])
+        step = np.arange(len(k)) - np.repeat(np.cumsum(count[single]) - count[single], count[single])
+        self.first = np.r_[first[~single], first[k] + step]
+        self.count = np.r_[count[~single], np.ones(len(k), np.int64)]
+        self.doc = np.r_[doc[~single], doc[k]]
+        begins, ends = (seed_hashes(b.buf, at, b.least) for at in (self.first, self.first + self.count - 1))  # together all its bytes
+        content = _mix(begins * np.uint64(0x9E3779B97F4A7C15) + ends) ^ self.count.astype(np.uint64)
+        self.seed = np.r_[h[~single], begins[(~single).sum() :]]  # of a hot seed: the window's own bytes
+        self.to = ((self.seed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        low = self.seed & np.uint64((1 << 40) - 1)
+        order = np.lexsort((self.doc, content, low, self.to // TOGETHER))
+        keys = [x[order] for x in (self.to // TOGETHER, low, content)]
+        new = np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)] if len(order) else np.zeros(0, bool)
+        self.kind = np.empty(len(order), np.int64)
+        self.kind[order] = np.cumsum(new) - 1
+        self.bucket, self.low, self.content = (x[new] for x in keys)
+        self.smallest = self.doc[order][new]
+
+
+def kinds(blocks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, bits, hot: for each kind of unit of the block in the bucket, whether a smaller document of another
+    block has it, and whether its seed has other kinds."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                k = Kinds(Block(row), row["answers"] or [], buckets)
+                rows = [(to, row["block"], len(low), _planes(np.diff(low, prepend=np.uint64(0))), content.tobytes(), _planes(doc)) for to, (low, content, doc) in _split(k.bucket, k.low, k.content, k.smallest)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "n", "low", "content", "doc"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        low = np.concatenate([np.cumsum(_from_planes(b, "<u8"), dtype=np.uint64) for b in t.column("low").to_pylist()])
+        content = np.concatenate([np.frombuffer(b, "<u8") for b in t.column("content").to_pylist()])
+        doc = np.concatenate([_from_planes(b, "<i8") for b in t.column("doc").to_pylist()])
+        order = np.lexsort((doc, content, low))
+        seed = np.r_[True, low[order][1:] != low[order][:-1]]
+        new = seed | np.r_[True, content[order][1:] != content[order][:-1]]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        older, several = np.empty(len(order), bool), np.empty(len(order), bool)
+        older[order] = doc[order][head] < doc[order]
+        several[order] = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(seed)) > 1)[np.cumsum(seed) - 1]
+        cuts = np.cumsum(t.column("n").to_numpy())[:-1]
+        bits, more = ([np.packbits(x).tobytes() for x in np.split(y, cuts)] for y in (older, several))
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "bits": pa.array(bits, pa.binary()), "hot": pa.array(more, pa.binary())})
+
+    types = (pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 3)
+    gathered = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("answers"))
+    sent = blocks.join(gathered, "block").mapInArrow(send, "bucket long, block string, n long, low binary, content binary, doc binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "block string, bucket long, bits binary, hot binary")
+
+
+def candidates(blocks: DataFrame, found: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block and packed units (ids, positions, windows, bytes); without bytes: windows that are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
-                rows = _candidates(Block(row), row["answers"] or [], buckets)
+                rows = _candidates(Block(row), *([a for a in row["answers"] if a["told"] == t] for t in (False, True)), buckets)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "part", "ids", "pos", "count", "bytes"])
 
     types = (pa.int64(), pa.string(), *[pa.binary()] * 5)
-    gathered = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("answers"))
-    return blocks.join(gathered, "block", "left").mapInArrow(run, "bucket long, block string, part binary, ids binary, pos binary, count binary, bytes binary")
+    both = found.withColumn("told", F.lit(False)).unionByName(told.withColumn("told", F.lit(True)))
+    gathered = both.groupBy("block").agg(F.collect_list(F.struct("told", "bucket", "bits", "hot")).alias("answers"))
+    return blocks.join(gathered, "block").mapInArrow(run, "bucket long, block string, part binary, ids binary, pos binary, count binary, bytes binary")
 
 
-def _candidates(b: Block, answers: list[dict], buckets: int) -> list[tuple]:
-    bucket, _, _, back = _distinct_seeds(b, buckets)
-    repeated, hot = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
-    begin = {k: (m[0], len(m)) for k, (m,) in _split(bucket, np.arange(len(bucket)))}
-    for a in answers:
-        at, n = begin[a["bucket"]]
-        repeated[at : at + n] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=n)
-        hot[at : at + n] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=n)
-    pick = np.flatnonzero(repeated[back])
-    first, count, h, single = b.first[pick], b.count[pick], b.hash[pick], hot[back[pick]]
-    doc = b.ids[b.doc[pick]]
-    # windows of hot seeds, one by one
-    k = np.repeat(np.flatnonzero(single), count[single])
-    step = np.arange(len(k)) - np.repeat(np.cumsum(count[single]) - count[single], count[single])
-    first = np.r_[first[~single], first[k] + step]
-    doc, h = np.r_[doc[~single], doc[k]], np.r_[h[~single], h[k]]
-    count = np.r_[count[~single], np.ones(len(k), np.int64)]
-    if not len(first):
+def _candidates(b: Block, answers: list[dict], told: list[dict], buckets: int) -> list[tuple]:
+    k = Kinds(b, answers, buckets)
+    if not len(k.first):
         return []
-    most = int(count.max()) + b.least - 1
-    padded = np.r_[b.buf, np.zeros(most, np.uint8)]
-    text = np.lib.stride_tricks.sliding_window_view(padded, most)[first].copy()
-    text[np.arange(most)[None, :] >= (count + b.least - 1)[:, None]] = 0
-    keyed = np.c_[text, count.astype(np.uint8)]  # the last byte is never 0
-    flat = np.ascontiguousarray(keyed).view(f"S{most + 1}").ravel()
-    order = np.lexsort((first, doc))
-    order = order[np.argsort(flat[order], kind="stable")]
-    same = np.r_[False, flat[order][1:] == flat[order][:-1]]
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    later = np.zeros(len(order), bool)
-    later[order] = doc[order] > doc[order][head]  # the block's first document has these windows too
+    older, several = np.zeros(len(k.bucket), bool), np.zeros(len(k.bucket), bool)
+    begin = {to: (m[0], len(m)) for to, (m,) in _split(k.bucket, np.arange(len(k.bucket)))}
+    for a in told:
+        at, n = begin[a["bucket"]]
+        older[at : at + n] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=n)
+        several[at : at + n] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=n)
+    settled = older[k.kind] | (k.doc > k.smallest[k.kind])  # a smaller document has all of its windows
     out = []
-    if later.any():
-        out.append((zlib.crc32(b.name.encode()) % buckets // TOGETHER, b.name, b"", b"", _pack(first[later].astype("<i8")), _pack(count[later].astype("<i8")), b""))
-    to = h.copy()
-    if len(k):  # by the window's own bytes
-        lone = np.r_[np.zeros((~single).sum(), bool), np.ones(len(k), bool)]
-        to[lone] = seed_hashes(b.buf, first[lone], b.least)
-    to = ((to >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-    go = np.flatnonzero(~later)
-    go = go[np.lexsort((first[go], to[go]))]
-    for bucket_, (u,) in _split(to[go] // TOGETHER, go):
-        mask = np.arange(most)[None, :] < (count[u] + b.least - 1)[:, None]
-        out.append((bucket_, b.name, _pack((to[u] % TOGETHER).astype("<u1")), _pack(doc[u].astype("<i8")), _pack(first[u].astype("<i8")), _pack(count[u].astype("<u1")), _pack(text[u][mask], 3)))
+    if settled.any():
+        order = np.argsort(k.first[settled])
+        first, end = k.first[settled][order], (k.first + k.count)[settled][order]
+        new = np.r_[True, first[1:] > end[:-1]]  # windows of one document follow each other; the next one's stand apart
+        first, end = first[new], end[np.r_[new[1:], True]]
+        out.append((zlib.crc32(b.name.encode()) % buckets // TOGETHER, b.name, b"", b"", _pack(first.astype("<i8")), _pack((end - first).astype("<i8")), b""))
+    go = np.flatnonzero(~settled & several[k.kind])
+    go = go[np.lexsort((k.first[go], k.to[go]))]
+    most = int(k.count.max()) + b.least - 1
+    windows = np.lib.stride_tricks.sliding_window_view(np.r_[b.buf, np.zeros(most, np.uint8)], most)
+    for bucket, (u,) in _split(k.to[go] // TOGETHER, go):
+        mask = np.arange(most)[None, :] < (k.count[u] + b.least - 1)[:, None]
+        out.append((bucket, b.name, _pack((k.to[u] % TOGETHER).astype("<u1")), _pack(k.doc[u].astype("<i8")), _pack(k.first[u].astype("<i8")), _pack(k.count[u].astype("<u1")), _pack(windows[k.first[u]][mask], 3)))
     return out
 
 
@@ -482,5 +544,6 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     blocks = scratch.write(make_blocks(docs, least, seed, id_col, text_col), "blocks", codec="none")
     buckets = max(64, (blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET)
     found = scratch.write(repeats(blocks, buckets), "repeats", codec="none")
-    runs = scratch.write(factors(candidates(blocks, found, buckets), least), "runs", codec="none")
+    told = scratch.write(kinds(blocks, found, buckets), "kinds", codec="none")
+    runs = scratch.write(factors(candidates(blocks, found, told, buckets), least), "runs", codec="none")
     return cut(blocks, runs, want_text).withColumnRenamed("doc_id", id_col)

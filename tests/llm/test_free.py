@@ -142,6 +142,18 @@ def test_suffixes(docs, rows, monkeypatch):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_copies_of_units_send_no_bytes(spark):
+    random.seed(5)
+    text = " ".join(str(random.random()) for _ in range(300))
+    docs = spark.createDataFrame([(k, text) for k in range(8)] + [(8, "y" + text[1000:])], "doc_id long, text string").repartition(9, "doc_id")
+    blocks = suffix_dedup.make_blocks(docs).cache()
+    found = suffix_dedup.repeats(blocks, 64)
+    sent = suffix_dedup.candidates(blocks, found, suffix_dedup.kinds(blocks, found, 64), 64).agg(F.sum(F.length("bytes"))).first()[0]
+    assert 0 < sent < 1000  # only the units around the last one's start
+    got = {r[0]: r[2] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {0: 0} | dict.fromkeys(range(1, 8), len(text)) | {8: len(text) - 1000}
+
+
 def test_previous_factors():
     r = random.Random(2)
     for _ in range(50):

@@ -114,7 +114,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     """Those of the pairs (a, b) that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 100) for whole in batches for k in range(0, whole.num_rows, 100)):
             texts = zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)
             fit = pa.array([alike(shingles(x), shingles(y)) for x, y in texts], pa.bool_())
             yield b.select(["a", "b"]).filter(fit)

@@ -4,8 +4,9 @@ import random
 
 import corpus_pipeline as p
 import numpy as np
+import pyarrow as pa
 
-from shardwell.llm import near_copies
+from shardwell.llm import common, near_copies
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(500)]
@@ -71,3 +72,14 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, a), (7, a + " more"), (7, b), (7, b), (None, a), (None, a), (8, "other")]
     left = near_copies.keep_one(spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, row int"))
     assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted([(1, a), (7, b), (None, a), (None, a), (8, "other")], key=str)
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    common.ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.get_total_buffer_size()])], names=["n"])
+
+    rows = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('x', 1000000) AS text").mapInArrow(sizes, "n long")
+    assert max(r[0] for r in rows.collect()) < 2 * common.ARROW_BYTES + (1 << 21)

@@ -25,20 +25,21 @@ def _trim(c: Column) -> Column:
 
 def parsed(content: Column) -> Column:
     """The object that a JSON text is; null if it is none. (Within brackets, as the parser stops at the end of the first value.)"""
-    within = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]")))
-    alone = F.try_variant_get(within, "$[1]", "variant").isNull() & F.endswith(_trim(content), F.lit("}"))
-    return F.when(alone, F.try_variant_get(within, "$[0]", "variant"))
+    own = _trim(content)
+    likely = F.when(F.startswith(own, F.lit("{")) & F.endswith(own, F.lit("}")), content)  # others cost an error each
+    within = F.try_parse_json(F.concat(F.lit("["), likely, F.lit("]")))
+    return F.when(F.try_variant_get(within, "$[1]", "variant").isNull(), F.try_variant_get(within, "$[0]", "variant"))
 
 
-def json_string(content: Column, path: str) -> Column:
-    """The string at a path of a JSON text; null if it is none."""
-    found = F.try_variant_get(parsed(content), path, "variant")
+def json_string(doc: Column, path: str) -> Column:
+    """The string at a path of a parsed JSON text; null if it is none."""
+    found = F.try_variant_get(doc, path, "variant")
     return F.when(F.schema_of_variant(found) == "STRING", found.cast("string"))
 
 
-def json_strings(content: Column, path: str) -> Column:
-    """The strings of an array at a path of a JSON text; empty if it is none."""
-    found = F.try_variant_get(parsed(content), path, "array<variant>")
+def json_strings(doc: Column, path: str) -> Column:
+    """The strings of an array at a path of a parsed JSON text; empty if it is none."""
+    found = F.try_variant_get(doc, path, "array<variant>")
     return F.coalesce(F.transform(F.filter(found, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string")), F.array().cast("array<string>"))
 
 
@@ -56,29 +57,32 @@ def toml_strings(content: Column, key: str) -> Column:
     return F.regexp_extract_all(inside, F.lit(r'"([^"\n]*)"'), 1)
 
 
-def title(content: Column, path: Column) -> Column:
+# doc, below: the content as parsed() gives it, a column of its own where several of these are asked, so that a text is parsed once
+
+
+def title(content: Column, path: Column, doc: Column) -> Column:
     """The first `# ` line, the name of a JSON manifest, that of a TOML package, or the file's stem."""
     heading = F.get(F.filter(lines(content), lambda x: F.startswith(x, F.lit("# "))), 0)
-    return F.coalesce(_trim(F.regexp_replace(heading, "^(# )+", "")), json_string(content, "$.name"), toml_string(content, "name"), stem(path))
+    return F.coalesce(_trim(F.regexp_replace(heading, "^(# )+", "")), json_string(doc, "$.name"), toml_string(content, "name"), stem(path))
 
 
-def description(content: Column) -> Column:
+def description(content: Column, doc: Column) -> Column:
     """The first line after the first `# ` line that has text and no # in front, or the description of a JSON manifest."""
     each = lines(content)
     start = F.filter(F.transform(each, lambda x, i: F.when(F.startswith(x, F.lit("# ")), i)), lambda i: i.isNotNull())
     after = F.filter(F.slice(each, F.coalesce(F.get(start, 0), F.size(each)) + 2, F.size(each) + 1), lambda x: (_trim(x) != "") & ~F.startswith(x, F.lit("#")))
-    return F.coalesce(_trim(F.get(after, 0)), json_string(content, "$.description"))
+    return F.coalesce(_trim(F.get(after, 0)), json_string(doc, "$.description"))
 
 
-def keywords(content: Column) -> Column:
-    return json_strings(content, "$.keywords")
+def keywords(doc: Column) -> Column:
+    return json_strings(doc, "$.keywords")
 
 
-def authors(content: Column) -> Column:
+def authors(content: Column, doc: Column) -> Column:
     """Author and contributors of a JSON manifest, then the authors of a TOML package."""
-    one = json_string(content, "$.author")
+    one = json_string(doc, "$.author")
     first = F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
-    return F.concat(first, json_strings(content, "$.contributors"), toml_strings(content, "authors"))
+    return F.concat(first, json_strings(doc, "$.contributors"), toml_strings(content, "authors"))
 
 
 def tags(content: Column) -> Column:
@@ -87,6 +91,6 @@ def tags(content: Column) -> Column:
     return F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ",", -1))), _trim)
 
 
-def license_name(content: Column) -> Column:
+def license_name(content: Column, doc: Column) -> Column:
     named = reduce(lambda out, x: out.when(F.contains(content, F.lit(x[0])), x[1]), LICENSES.items(), F.when(F.lit(False), ""))
-    return F.coalesce(named, json_string(content, "$.license"))
+    return F.coalesce(named, json_string(doc, "$.license"))

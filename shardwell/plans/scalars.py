@@ -159,6 +159,6 @@ def scal25_manifests(spark, sf_dir):
     code_ = say("/* MIT\n * @tags: ", c("p_brand"), ",", c("size"), ", x\n */\n# ", c("p_name"))
     broken = say('{"name": "', c("p_name"), '", "keywords": ["a"], ')
     content = F.element_at(F.array(readme, mixed, toml, code_, broken), (c("p_partkey") % 5 + 1).cast("int"))
-    rows = p.select("p_partkey", content.alias("content"), say("src/part", c("p_partkey").cast("string"), ".txt").alias("path"))
-    m, joined = F.col("content"), lambda x: F.array_join(x, "|")
-    return rows.select("p_partkey", metadata.title(m, F.col("path")).alias("title"), metadata.description(m).alias("description"), joined(metadata.keywords(m)).alias("keywords"), joined(metadata.authors(m)).alias("authors"), joined(metadata.tags(m)).alias("tags"), metadata.license_name(m).alias("license"))
+    rows = p.select("p_partkey", content.alias("content"), say("src/part", c("p_partkey").cast("string"), ".txt").alias("path")).withColumn("doc", metadata.parsed(F.col("content")))
+    m, doc, joined = F.col("content"), F.col("doc"), lambda x: F.array_join(x, "|")
+    return rows.select("p_partkey", metadata.title(m, F.col("path"), doc).alias("title"), metadata.description(m, doc).alias("description"), joined(metadata.keywords(doc)).alias("keywords"), joined(metadata.authors(m, doc)).alias("authors"), joined(metadata.tags(m)).alias("tags"), metadata.license_name(m, doc).alias("license"))

@@ -4,7 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from shardwell.functions import code, text
+from shardwell import catalog
+from shardwell.functions import code, metadata, text
 
 
 def test_identity(spark):
@@ -77,3 +78,12 @@ def test_representation_ladder(spark):
     got = {x.k: x.c for x in rows.select("k", chosen(F.col("r"), F.col("p"), F.col("q"), F.lit("x86"))["chunk"].alias("c")).collect()}
     assert [got[k] for k in range(5)] == [x[2] for x in asked]
     assert rows.select(chosen(F.col("r"), F.lit(None), F.lit(None).cast("array<string>"), F.lit("none"))["chunk"].alias("c")).first().c == "s"
+
+
+def test_a_text_is_parsed_once_and_only_if_it_may_be_an_object(spark):
+    texts = ['{"a": "b"}', ' \n{"a": "b"}\t', '{"a": "b"} {"a": "c"}', '{"a": "b"},{"a": "c"}', '["a"}', '"}"', "{", "}", "", None, '[{"a": "b"}]', 'x {"a": "b"}', '{"a": 1}', "{}"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("doc", metadata.parsed(F.col("t")))
+    got = [tuple(r) for r in rows.orderBy("k").select(metadata.json_string(F.col("doc"), "$.a"), F.col("doc").isNotNull()).collect()]
+    assert got == [("b", True)] * 2 + [(None, False)] * 10 + [(None, True)] * 2
+    plan = catalog.QUERIES["scal25_manifests"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") <= 3

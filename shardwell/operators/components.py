@@ -7,6 +7,11 @@ largest name that reaches it, and those that reach back to that name within the
 edges between colours, goes round again. Folded nodes are told at the end, last fold first: one is of its head's component
 if a node of that component leads into the chain before it.
 
+Before all this, nodes without a way out are trimmed for a few rounds while edges are as given: what is shallow and wide goes
+there, before it is folded or made distinct. Where no node of what is left branches, its rings are shortened first: a node
+named higher (by a hash) than those before and after it is skipped, a third of all, so that all rounds together handle three
+times the rows, not their number times the logarithm of the longest ring.
+
 Rounds follow the depth of the part that branches; each is a few joins of edges, written to the shared folder. Rows are nodes
 and edges, never reaches or pairs. A component is named by its smallest node.
 """
@@ -15,12 +20,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwell.sources.shared import written
 
 
+#: Rounds of trimming before the first fold, and dead ends beyond which the edges left are written anew.
+TRIMS, MANY = 8, 100_000
+#: Rows of rings that are followed by doubling, without skipping nodes.
+SHORT = 200_000
+
+
 @dataclass
 class Fold:
     heads: DataFrame  # node, head: a chain's node and the branching node that it leads to
@@ -58,6 +69,54 @@ def _doubled(chain: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return jumps, last
 
 
+def _without_dead_ends(edges: DataFrame) -> DataFrame:
+    """The distinct edges that a few rounds of trimming leave."""
+    for _ in range(TRIMS):
+        ways = edges.select(F.col("src").alias("node")).distinct()
+        dead = _keep(edges.select(F.col("dst").alias("node")).distinct().join(ways, "node", "left_anti"))
+        n = dead.count()
+        if not n:
+            break
+        edges = edges.join(dead.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        edges = _keep(edges) if n > MANY else edges
+    return _keep(edges.distinct())
+
+
+def _skipping(chain: DataFrame, k: int) -> DataFrame:
+    """at, to, skipped: pointers past the nodes whose names rank, by the k-th hash, above those before and after them. A node
+    meets the pointers to it and its own at one place."""
+    rank = lambda c: F.xxhash64(c, F.lit(k))
+    none, by_node = F.lit(None).cast(chain.schema["at"].dataType), Window.partitionBy("node")
+    rows = chain.select(F.col("at").alias("node"), none.alias("at"), "to").unionByName(chain.select(F.col("to").alias("node"), "at", none.alias("to")))
+    rows = rows.withColumn("_on", F.max("to").over(by_node)).withColumn("_top", F.max(F.when(F.col("at").isNotNull(), rank("at"))).over(by_node))
+    skip = F.col("_on").isNotNull() & (rank("node") > rank("_on")) & (rank("node") > F.col("_top"))
+    return rows.filter("at IS NOT NULL").select("at", F.when(skip, F.col("_on")).otherwise(F.col("node")).alias("to"), F.when(skip, F.col("node")).alias("skipped"))
+
+
+def _rings(chain: DataFrame) -> DataFrame:
+    """node, label of the nodes on cycles where every node has one way out. Of a skipped node's pointers at most one comes from
+    its ring, whose label it takes."""
+    size, rounds = chain.count(), []
+    while size > SHORT:
+        rounds.append(_keep(_skipping(chain, len(rounds))))
+        chain = rounds[-1].select("at", "to")
+        n = chain.count()
+        if n > 0.9 * size:  # many lead into rings from outside: those that none leads to are on no ring
+            chain = _keep(chain.join(chain.select(F.col("to").alias("at")).distinct(), "at", "left_semi").select("at", "to"))
+            n = chain.count()
+            if n > 0.9 * size:
+                break
+        size = n
+    _, last = _doubled(chain)
+    circling = _keep(last.join(chain.select(F.col("at").alias("to")), "to", "left_semi"))
+    ring = circling.select(F.col("to").alias("node")).distinct()
+    labels = _keep(circling.join(ring, F.col("at") == ring["node"], "left_semi").select(F.col("at").alias("node"), "label"))
+    for met in reversed(rounds):
+        own = met.filter("skipped IS NOT NULL").join(labels.withColumnRenamed("node", "at"), "at").select(F.col("skipped").alias("node"), "label")
+        labels = labels.unionByName(_keep(own))
+    return labels
+
+
 def _reduce(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, Fold | None] | None:
     """One round of trimming and folding: the edges left, (node, label) of cycles of chains, the fold. None: nothing to do."""
     ways = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("to"))
@@ -70,6 +129,9 @@ def _reduce(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, Fold | None]
             return None
         gone = lambda side: dead.select(F.col("node").alias(side))
         return _keep(edges.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst")), None, None
+    size = chain.count()
+    if size > SHORT and size == edges.count():  # nothing branches
+        return edges.limit(0), _rings(chain), None
     jumps, last = _doubled(chain)
     inner = chain.select(F.col("at").alias("to"))
     circling = _keep(last.join(inner, "to", "left_semi"))  # they end in a cycle of chain nodes
@@ -113,10 +175,11 @@ def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component, size of every node (of nodes, if given, and of the edges). Edges: src, dst."""
-    start = edges.select("src", "dst").distinct()
-    all_nodes = start.select(F.col("src").alias("node")).unionByName(start.select(F.col("dst").alias("node")))
+    edges = edges.select("src", "dst")
+    all_nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     all_nodes = (all_nodes if nodes is None else all_nodes.unionByName(nodes.select("node"))).filter("node IS NOT NULL").distinct()
-    left, labels, folds = _keep(start.filter("src <> dst")), all_nodes.sparkSession.createDataFrame([], "node string, label string").select(F.col("node").cast(dict(all_nodes.dtypes)["node"]), F.col("label").cast(dict(all_nodes.dtypes)["node"])), []
+    kind = dict(all_nodes.dtypes)["node"]
+    left, labels, folds = _without_dead_ends(edges.filter("src <> dst")), all_nodes.sparkSession.createDataFrame([], f"node {kind}, label {kind}"), []
     while not left.isEmpty():
         reduced = _reduce(left)
         if reduced is None:

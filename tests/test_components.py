@@ -82,3 +82,34 @@ def test_rings_end_after_their_own_length(spark, monkeypatch):
     got = {x.node: (x.component, x.size) for x in module.components(spark.createDataFrame(edges, SCHEMA)).collect()}
     assert got == want
     assert len(made) <= 24  # 40 before
+
+
+def test_rings_with_ways_into_them_by_skipping(spark, monkeypatch):
+    from shardwell.operators import components as module
+
+    r, edges = random.Random(3), []
+    for k in range(40):  # every node has one way out: rings of 1 to 40 nodes, trees that lead into them, paths that end
+        ring = [f"r{k}-{i}" for i in range(k + 1)]
+        r.shuffle(ring)
+        edges += [(a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a != b]
+        tree = list(ring)
+        for i in range(k):
+            tree.append(f"t{k}-{i}")
+            edges.append((tree[-1], r.choice(tree[:-1])))
+        edges += [(f"p{k}-{i}", f"p{k}-{i + 1}") for i in range(k % 20)]
+    label = brute({x for e in edges for x in e}, edges)
+    monkeypatch.setattr(module, "SHORT", 10)
+    monkeypatch.setattr(module, "TRIMS", 2)
+    got = {x.node: x.component for x in module.components(spark.createDataFrame(edges, SCHEMA)).collect()}
+    assert got == label
+
+
+def test_rounds_of_a_long_ring_shrink(spark, monkeypatch):
+    from shardwell.operators import components as module
+
+    n, rows, keep = 20_000, [], module._keep
+    monkeypatch.setattr(module, "SHORT", 500, raising=False)
+    monkeypatch.setattr(module, "_keep", lambda df: [kept := keep(df), rows.append(kept.count())][0])
+    out = module.components(spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst"))
+    assert {tuple(x) for x in out.groupBy("component", "size").count().collect()} == {(0, n, n)}
+    assert sum(rows) < 10 * n  # 9 times; doubling alone writes all nodes in each of its 15 rounds
